@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, packing, quality, simhash, toxicity
+from . import decontamination, language, packing, quality, secrets, simhash, toxicity
 from .common import read_table
 
 #: Vocabulary file of the packing query, one of the installed public tokenizers.
@@ -35,6 +35,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_toxicity": op3_toxicity,
+        "op4_secret_scans": op4_secret_scans,
         "op5_quality_rules": op5_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_decontamination": op7_decontamination,
