@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, ngrams, packing, quality, secrets, simhash, substrings, toxicity
+from . import decontamination, html_extract, language, ngrams, packing, quality, secrets, simhash, substrings, toxicity
 from .common import read_table
 
 #: Vocabulary file of the packing query, one of the installed public tokenizers.
@@ -23,6 +23,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_html_extraction": op2_html_extraction,
         "op3_toxicity": op3_toxicity,
         "op4_secret_scans": op4_secret_scans,
         "op5_quality_rules": op5_quality_rules,
