@@ -242,3 +242,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "near_items",
     )
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a benchmark window, with all their columns; a null id always stays."""
+    hit = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")

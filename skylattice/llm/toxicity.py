@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, documents, text_buffer, word_spans
 
 #: Bounds of the training sample (documents).
-MAX_TOXIC, MAX_CLEAN = 2500, 5000
+MAX_TOXIC, MAX_CLEAN = 2000, 3000
 #: A lexicon feature occurs in this share of the toxic documents, and in at least so many.
 MIN_SHARE, MIN_DOCS = 0.01, 5
 #: Least logarithm of the ratio of the smoothed shares among toxic and among clean documents.
@@ -312,6 +312,17 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     return documents(docs).mapInArrow(_score_batches(model, spans), schema)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column("text").fill_null(""))
+            yield batch.filter(pa.array([model.score(p) < threshold for _, p in _documents(model, raw, offsets)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Model:
     return fit(*sample(docs, labels, usable))
 
