@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, shuffle_partitions, staged
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights and combinations used in each: bounds the plan's size.
@@ -256,7 +256,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     count = np.zeros(capacity + 1, np.int64)
     for row in cut.groupBy("length").count().collect():  # at most `capacity` rows
         count[row["length"]] = row["count"]
-    spread = max(1, int(count.sum()) // RANKED_TOGETHER)
+    spread = max(shuffle_partitions(spark), int(count.sum()) // RANKED_TOGETHER)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     start = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select(F.col("length").alias("s_length"), F.col("salt").alias("s_salt"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
