@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
+from ..sources.tables import written
 
 
 def legendre(m: int, lmax: int, z: np.ndarray) -> np.ndarray:
@@ -56,6 +57,21 @@ def coefficients(sky_map: DataFrame, nside: int, lmax: int) -> DataFrame:
     return ring.groupBy("m").applyInPandas(project, "l long, m long, re double, im double")
 
 
+def refined(sky_map: DataFrame, nside: int, lmax: int, iterations: int = 3) -> DataFrame:
+    """Coefficients corrected by those of what the map and its synthesis differ by, some times over.
+
+    Pixels that the map lacks count as zero in the differences too.
+    """
+    target = sky_map.sparkSession.range(hp.npix(nside)).withColumnRenamed("id", "pix").join(sky_map.where("value is not null and not isnan(value)").select("pix", F.col("value").alias("want")), "pix", "left")
+    alm = written(coefficients(sky_map, nside, lmax), "alm")
+    for _ in range(iterations):
+        made = synthesis(alm, nside, lmax)
+        rest = target.join(made, "pix").select("pix", (F.coalesce("want", F.lit(0.0)) - F.col("value")).alias("value"))
+        more = coefficients(rest, nside, lmax)
+        alm = written(alm.unionByName(more).groupBy("l", "m").agg(F.sum("re").alias("re"), F.sum("im").alias("im")), "alm")
+    return alm
+
+
 def synthesis(alm: DataFrame, nside: int, lmax: int) -> DataFrame:
     """``pix, value`` of a real map with the given coefficients."""
     rings = alm.sparkSession.range(1, 4 * nside).select(F.col("id").alias("k"), hp.ring_z(nside, F.col("id")).alias("z"))
@@ -89,7 +105,7 @@ def smoothed(sky_map: DataFrame, nside: int, fwhm_arcmin: float, lmax: int | Non
     lmax = 3 * nside - 1 if lmax is None else lmax
     sigma = np.deg2rad(fwhm_arcmin / 60) / np.sqrt(8 * np.log(2))
     beam = F.exp(-F.col("l") * (F.col("l") + 1) * float(sigma * sigma / 2))
-    alm = coefficients(sky_map, nside, lmax).select("l", "m", (F.col("re") * beam).alias("re"), (F.col("im") * beam).alias("im"))
+    alm = refined(sky_map, nside, lmax).select("l", "m", (F.col("re") * beam).alias("re"), (F.col("im") * beam).alias("im"))
     return synthesis(alm, nside, lmax)
 
 
@@ -103,11 +119,17 @@ def cross_spectrum(map1: DataFrame, map2: DataFrame, nside: int, lmax: int | Non
     good = lambda m, c: m.where("value is not null and not isnan(value)").select("pix", F.col("value").alias(c))
     both = good(map1, "v1").join(good(map2, "v2"), "pix")
     f_sky = both.count() / hp.npix(nside)
-    a = coefficients(both.select("pix", F.col("v1").alias("value")), nside, lmax).select("l", "m", F.col("re").alias("r1"), F.col("im").alias("i1"))
-    b = coefficients(both.select("pix", F.col("v2").alias("value")), nside, lmax).select("l", "m", F.col("re").alias("r2"), F.col("im").alias("i2"))
+    one, two = both.select("pix", F.col("v1").alias("value")), both.select("pix", F.col("v2").alias("value"))
     twice = F.when(F.col("m") == 0, 1.0).otherwise(2.0)
-    mean = lambda e: F.sum(twice * e) / (2 * F.col("l") + 1)
-    c = a.join(b, ["l", "m"]).groupBy("l").agg(mean(F.col("r1") * F.col("r2") + F.col("i1") * F.col("i2")).alias("cl"), mean(F.col("r1") * F.col("r1") + F.col("i1") * F.col("i1")).alias("c11"), mean(F.col("r2") * F.col("r2") + F.col("i2") * F.col("i2")).alias("c22"))
+
+    def power(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
+        product = F.col("r1") * F.col("r2") + F.col("i1") * F.col("i2")
+        joined = x.select("l", "m", F.col("re").alias("r1"), F.col("im").alias("i1")).join(y.select("l", "m", F.col("re").alias("r2"), F.col("im").alias("i2")), ["l", "m"])
+        return joined.groupBy("l").agg((F.sum(twice * product) / (2 * F.first("l") + 1)).alias(name))
+
+    a, b = written(coefficients(one, nside, lmax), "alm"), written(coefficients(two, nside, lmax), "alm")
+    # The cross term uses refined coefficients, the auto terms of the variance plain ones.
+    c = power(refined(one, nside, lmax), refined(two, nside, lmax), "cl").join(power(a, a, "c11"), "l").join(power(b, b, "c22"), "l")
     if window is not None:
         w2 = F.col("w") * F.col("w")
         c = c.join(window, "l").select("l", *[(F.col(x) / w2).alias(x) for x in ("cl", "c11", "c22")])
