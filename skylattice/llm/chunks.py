@@ -9,6 +9,7 @@ table in the shared folder, so a lost executor repeats only its own tasks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,15 +21,13 @@ from pyspark.sql import functions as F
 from .common import documents, shuffle_partitions, staged, text_buffer
 
 #: Text bytes of a chunk (a longer document has its own), and of a bucket at least.
-CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 6 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
 
 CHUNK = "chunk string, ids binary, nulls binary, sizes binary, n_bytes long, payload binary"
 _CHUNK = pa.schema([("chunk", pa.string()), ("ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("n_bytes", pa.int64()), ("payload", pa.binary())])
 
 
-def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import uuid
-
+def _pack_batches(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -44,7 +43,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         _, offsets = text_buffer(batch.column("text"))
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES - size, "right")) - 1
+            to = int(np.searchsorted(offsets, offsets[at] + chunk_bytes - size, "right")) - 1
             to = min(batch.num_rows, max(to, at + (not held)))
             if to > at:
                 held.append(batch.slice(at, to - at))
@@ -57,15 +56,15 @@ def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield chunk(pa.Table.from_batches(held))
 
 
-def packed(docs: DataFrame, name: str) -> DataFrame:
+def packed(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents as compressed chunks in a table of the shared folder."""
-    return staged(documents(docs).mapInArrow(_pack_batches, CHUNK), name)
+    return staged(documents(docs).mapInArrow(lambda batches: _pack_batches(batches, chunk_bytes), CHUNK), name)
 
 
 def buckets_for(table: DataFrame) -> int:
-    """Buckets in proportion to the text, and some for each shuffle partition."""
+    """Buckets in proportion to the text, at least one for each shuffle partition."""
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(1, 3 * shuffle_partitions(table.sparkSession), -(-total // BUCKET_BYTES))
+    return max(1, shuffle_partitions(table.sparkSession), -(-total // BUCKET_BYTES))
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

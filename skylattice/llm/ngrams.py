@@ -33,6 +33,8 @@ from .common import LOWER, SPACE, hash_words, staged, word_spans
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MODULUS, HELD_OUT = 10, 0
+#: Text bytes of a chunk: the larger, the fewer distinct bigrams are sent in all.
+CHUNK_BYTES = 11 << 20
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -273,7 +275,7 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 def score(docs: DataFrame) -> DataFrame:
     """Scores of all documents, and their perplexity for each token (see the module's docstring)."""
-    table = packed(docs, "ngram-chunks")
+    table = packed(docs, "ngram-chunks", CHUNK_BYTES)
     buckets = buckets_for(table)
     messages = ask(table, _bigram_request, buckets)
     grams = staged(messages.groupBy("bucket").applyInArrow(_bigram_bucket(buckets), _KINDS), "bigrams")

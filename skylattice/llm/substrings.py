@@ -33,8 +33,11 @@ from .common import mix
 LENGTH = 50
 #: Bytes of a minimiser.
 GRAM = 20
+#: Bytes whose hashes are held at once.
+BLOCK = 1 << 18
 
-_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Low bits of a compared key: the place within a block, which is shorter than this.
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -60,60 +63,63 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return mix(out)
 
 
-def minimisers(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window start inside one row: the start and the place of its minimiser (the first of equal hashes)."""
+def minimisers(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window inside one row: its start, the place of its minimiser and the k-gram's hash.
+
+    The minimiser is the k-gram of least leading hash bits, of equal ones the first: the place stands
+    in the low bits of the compared keys, so a running minimum gives it at once.
+    """
     n = len(raw)
-    start = np.zeros(n, bool)
-    size = np.diff(offsets)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    size = np.diff(offsets)
     marks = np.zeros(n + 1, np.int32)
     long_enough = size >= length
     np.add.at(marks, offsets[:-1][long_enough], 1)
     np.add.at(marks, (offsets[1:] - length + 1)[long_enough], -1)
-    start = np.cumsum(marks[:-1]) > 0
     h = gram_hashes(raw, gram)
-    span = length - gram + 1
-    # Least hash of each run of `span` k-grams, by doubling; then the first place that has it.
-    least, width = h, 1
+    least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    m = len(h) - (length - gram)
+    span, width = length - gram + 1, 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[: len(h) - span + 1], least[span - width : span - width + len(h) - span + 1])
-    windows = np.flatnonzero(start)
-    windows = windows[windows < len(least)]
-    value = least[windows]
-    # The place moves right with the window: search only where the value changes or its place is passed.
-    place = _first_places(h, windows, value, span)
-    return windows, place
-
-
-def _first_places(h: np.ndarray, windows: np.ndarray, value: np.ndarray, span: int) -> np.ndarray:
-    place = np.full(len(windows), -1, np.int64)
-    open_rows = np.arange(len(windows))
-    for k in range(span):
-        hit = h[windows[open_rows] + k] == value[open_rows]
-        place[open_rows[hit]] = windows[open_rows[hit]] + k
-        open_rows = open_rows[~hit]
-        if not len(open_rows):
-            break
-    return place
+    least = np.minimum(least[:m], least[span - width : span - width + m])
+    windows = np.flatnonzero(np.cumsum(marks[:m]) > 0)
+    place = (least[windows] & _PLACE).astype(np.int64)
+    return windows, place, h[place]
 
 
 class Segments:
     """Runs of windows of one document that share a minimiser place."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> None:
-        windows, place = minimisers(raw, offsets, length, gram)
+        parts: list[tuple[np.ndarray, ...]] = []
+        at, n_docs = 0, len(offsets) - 1
+        while at < n_docs:  # whole documents, about BLOCK bytes at a time: hashes take 8 bytes a byte
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+            if to == at + 1 and offsets[to] - offsets[at] > 2 * BLOCK:  # a long document, in pieces that overlap by a window
+                for cut in range(int(offsets[at]), int(offsets[to]), BLOCK):
+                    piece = np.array([cut, min(cut + BLOCK + length - 1, int(offsets[to]))])
+                    parts.append(self._block(raw[piece[0] : piece[1]], piece, at, length, gram))
+            else:
+                parts.append(self._block(raw[offsets[at] : offsets[to]], offsets[at : to + 1], at, length, gram))
+            at = to
+        none = np.zeros(0, np.int64)
+        joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [none, none, none, none, np.zeros(0, np.uint64)]
+        self.start, self.run, self.doc, self.place, self.hash = joined
+
+    @staticmethod
+    def _block(raw: np.ndarray, offsets: np.ndarray, first_doc: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        base = int(offsets[0])
+        windows, place, value = minimisers(raw, offsets - base, length, gram)
         fresh = np.ones(len(windows), bool)
         fresh[1:] = (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)
         first = np.flatnonzero(fresh)
-        self.start = windows[first]
-        self.run = np.diff(np.append(first, len(windows)))
-        self.doc = np.searchsorted(offsets[1:], self.start, "right")
-        self.place = place[first]
-        h = gram_hashes(raw, gram)
-        self.hash = h[self.place] if len(first) else np.zeros(0, np.uint64)
+        start = windows[first]
+        run = np.diff(np.append(first, len(windows)))
+        doc = np.searchsorted(offsets[1:] - base, start, "right") + first_doc
+        return start + base, run, doc, place[first] + base, value[first]
 
 
 def _first_request(length: int, gram: int) -> object:

@@ -37,6 +37,8 @@ MIN_LOG_RATIO = 4.0
 THRESHOLD = 0.7
 #: Gaps between lexicon tokens beyond this length behave alike to double precision.
 LONG_GAP = 96
+#: Text bytes whose tokens are held at once.
+SLICE = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -253,20 +255,25 @@ def _calibrate(model: Model, toxic: list[bytes], clean: list[bytes]) -> None:
 
 
 def _documents(model: Model, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each document (byte ranges of its lexicon tokens, their marginals)."""
-    starts, ends, key = tokens(raw, offsets)
-    index, score = model.emissions(features(key, ends - starts))
-    first = np.searchsorted(starts, offsets)
-    cut = np.searchsorted(index, first)
+    """For each document (byte ranges of its lexicon tokens, their marginals); about SLICE bytes at a time."""
     gaps = model.gaps()
-    for d in range(len(offsets) - 1):
-        own = slice(cut[d], cut[d + 1])
-        at = index[own]
-        if not len(at):
-            yield np.zeros((0, 2), np.int64), np.zeros(0)
-            continue
-        p = model.marginals(at - first[d], score[own], int(first[d + 1] - first[d]), gaps)
-        yield np.stack([starts[at], ends[at]], 1) - offsets[d], p
+    at, n_docs = 0, len(offsets) - 1
+    while at < n_docs:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        own = offsets[at : to + 1] - offsets[at]
+        starts, ends, key = tokens(raw[offsets[at] : offsets[to]], own)
+        index, score = model.emissions(features(key, ends - starts))
+        first = np.searchsorted(starts, own)
+        cut = np.searchsorted(index, first)
+        for d in range(to - at):
+            rows = slice(cut[d], cut[d + 1])
+            hit = index[rows]
+            if not len(hit):
+                yield np.zeros((0, 2), np.int64), np.zeros(0)
+                continue
+            p = model.marginals(hit - first[d], score[rows], int(first[d + 1] - first[d]), gaps)
+            yield np.stack([starts[hit], ends[hit]], 1) - own[d], p
+        at = to
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tuple[list[bytes], list[int]]:
