@@ -34,7 +34,7 @@ LENGTH = 50
 #: Bytes of a minimiser.
 GRAM = 20
 #: Bytes whose hashes are held at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 #: Low bits of a compared key: the place within a block, which is shorter than this.
 _PLACE = np.uint64((1 << 24) - 1)
