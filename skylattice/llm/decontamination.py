@@ -31,7 +31,8 @@ GAP = 1
 #: Text bytes of a segment (a longer document has its own), and windows sent to the segments at once.
 SEGMENT_BYTES = 8 << 20
 WINDOW_BLOCK = 200_000
-#: A proximity match has this share of a window's terms at their places within SLOP words.
+#: A proximity match has the rarest of a window's terms that the segment holds, and this share of all
+#: of them, at their places within SLOP words.
 NEAR_SHARE, SLOP = 0.8, 2
 
 _WORD = np.zeros(256, bool)
@@ -123,9 +124,10 @@ def lookup(segment: dict, block: Windows) -> tuple[np.ndarray, np.ndarray, np.nd
     at = np.minimum(np.searchsorted(terms, block.term), len(terms) - 1)
     there = terms[at] == block.term
     used = np.arange(WINDOW)[None, :] < block.size[:, None]
-    frequency = np.where(used, np.where(there, count[at], 0), np.iinfo(np.int64).max)
-    order = np.argsort(frequency, axis=1, kind="stable")
-    live = np.flatnonzero((there | ~used).all(1))
+    there &= used
+    # Present terms by rarity, then the missing ones; windows with too few terms here can't match nearly.
+    order = np.argsort(np.where(there, count[at], np.iinfo(np.int64).max), axis=1, kind="stable")
+    live = np.flatnonzero(there.sum(1) >= np.maximum(NEAR_SHARE * block.size, 1))
     rarest = order[live, 0]
     slot = at[live, rarest]
     n = count[slot]
@@ -135,7 +137,7 @@ def lookup(segment: dict, block: Windows) -> tuple[np.ndarray, np.ndarray, np.nd
     keep = start >= 0
     window, start = window[keep], start[keep]
     # Positions of the terms that some window uses: the lists that are intersected.
-    needed = np.unique(at[there & used])
+    needed = np.unique(at[there])
     size = int(posting.max()) + 1 + WINDOW + SLOP
     term_at = np.full(size, -1, np.int64)
     total = count[needed]
@@ -144,7 +146,7 @@ def lookup(segment: dict, block: Windows) -> tuple[np.ndarray, np.ndarray, np.nd
     exact = np.ones(len(start), bool)
     for rank in range(1, WINDOW):
         j = order[window, rank]
-        exact &= (rank >= block.size[window]) | (term_at[start + j] == at[window, j])
+        exact &= (rank >= block.size[window]) | (there[window, j] & (term_at[start + j] == at[window, j]))
     near = np.flatnonzero(~exact)
     matched = np.ones(len(near), np.int64)
     for rank in range(1, WINDOW):
@@ -154,7 +156,7 @@ def lookup(segment: dict, block: Windows) -> tuple[np.ndarray, np.ndarray, np.nd
         hit = np.zeros(len(near), bool)
         for slack in range(-SLOP, SLOP + 1):
             hit |= term_at[np.maximum(start[near] + j + slack, 0)] == at[window[near], j]
-        matched += hit & (rank < block.size[window[near]])
+        matched += hit & there[window[near], j]
         hopeless = matched + (WINDOW - 1 - rank) < NEAR_SHARE * block.size[window[near]]
         near, matched = near[~hopeless], matched[~hopeless]
     close = near[matched >= NEAR_SHARE * block.size[window[near]]] if len(near) else near

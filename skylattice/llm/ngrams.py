@@ -236,7 +236,7 @@ def _finish(d2: np.ndarray, word_stat: np.ndarray) -> object:
         for b, data in chunk["words"].items():
             own = order[cut[b] : cut[b + 1]]
             contexts[own], count[own] = _unwrap(data, np.int64, np.int64)
-        below = spread / (n_types + 1) + (_discounted(contexts, d1) / contexts_all if contexts_all else 0.0)
+        below = spread / (n_types + 1) + _discounted(contexts, d1) / max(contexts_all, 1)
         seen = np.zeros(len(t.u), np.int64)
         of_u = np.zeros((4, len(t.words)), np.int64)
         order, cut = t.by_bucket(t.u, buckets)

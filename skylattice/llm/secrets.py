@@ -29,10 +29,12 @@ MIN_ASSIGNED, MIN_ACCESS = 6, 20
 #: Characters of candidate strings, their least length, and the least ratio in bits.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]+"
-MIN_LENGTH, MIN_BITS, MIN_BITS_EACH = 16, 14.0, 0.5
+MIN_LENGTH, MIN_BITS, MIN_BITS_EACH = 16, 30.0, 4.0
 LONG = f"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
 #: Bound of the training sample (documents, the least by a hash of the id), and digests of each form.
 MAX_DOCUMENTS, DIGESTS = 1500, 1000
+#: Weight, in counts, of the characters' own frequencies in each transition.
+PRIOR = 2.0
 
 _MARK, _OTHER = "\ue000", "\ue001"
 SPAN = "array<struct<start:int,end:int,s:string>>"
@@ -70,13 +72,16 @@ def _transitions(strings: DataFrame) -> list[float]:
     """Log2 probabilities of the transitions between the characters of ``strings(s)``, smoothed."""
     size = len(ALPHABET)
     pairs = strings.select("s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i")).select(F.expr("substring(s, i, 2)").alias("pair"))
-    counts = [0.1] * (size * size)
+    counts, single = [0.0] * (size * size), [0.5] * size
     for row in pairs.groupBy("pair").count().collect():  # at most one row for each pair of the alphabet
         a, b = (ALPHABET.find(c) for c in row["pair"])
         if a >= 0 and b >= 0:
             counts[a * size + b] += row["count"]
-    totals = [sum(counts[a * size : (a + 1) * size]) for a in range(size)]
-    return [log2(c / totals[i // size]) for i, c in enumerate(counts)]
+            single[b] += row["count"]
+    # A character that is rare after any other stays rare after one that was never seen.
+    share = [PRIOR * n / sum(single) for n in single]
+    totals = [sum(counts[a * size : (a + 1) * size]) + PRIOR for a in range(size)]
+    return [log2((c + share[i % size]) / totals[i // size]) for i, c in enumerate(counts)]
 
 
 def train(docs: DataFrame) -> list[int]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import answered, ask, buckets_for, packed, unpack
+from .chunks import CHUNK_BYTES, answered, ask, buckets_for, packed, unpack
 from .common import mix
 
 LENGTH = 50
@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
 
     Cuts are made at bytes; a character cut apart is left out of the kept text (not of the digest).
     """
-    table = packed(docs, "substrings")
+    table = packed(docs, "substrings", CHUNK_BYTES)
     buckets = buckets_for(table)
     first = ask(table, _first_request(length, gram), buckets)
     with_first = answered(table, first, _repeated, "replies")
