@@ -32,7 +32,7 @@ ROUNDS, PER_ROUND = 150, 24
 #: Exponent of the weights, and share of the tightest remaining demand that one use takes.
 STRENGTH, STEP = 0.5, 0.5
 #: Words kept with their ids by a Python worker, and pieces ranked together in one window group.
-CACHED_WORDS, RANKED_TOGETHER = 800_000, 50_000
+CACHED_WORDS, RANKED_TOGETHER = 1_500_000, 50_000
 SEPARATOR = b"\0\0\0\0"
 
 # The pre-tokenizer's pieces of an ASCII word without white space (fixed value, after the tokenizer's file).
