@@ -220,3 +220,14 @@ distances = f"""WITH a AS (SELECT s_suppkey AS key, (s_acctbal + 1000) / 1e5 AS
 SELECT key, round({distance('z')}, 6) AS d_c, round({distance('z')} / (1 + z), 6) AS d_a, round(z, 9) AS z_back FROM a"""
 map_statistics = f"WITH {MAP} SELECT count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM m"
 degraded_map = f"WITH {MAP}, {rings(N)} SELECT {pixel(4, 'z', 'phi')} AS pix, round(avg(value), 6) AS value FROM m JOIN c USING (pix) GROUP BY 1"
+
+
+def _part(a: float, b: float) -> str:
+    p = frac(f"(sample * {num(a)} + key * {num(b)} + {num(0.5 * a)})")
+    return f"greatest(least({p}, {num(1 - 1e-9)}), 1e-9)"
+
+
+mass_ratio = f"""WITH a AS (SELECT s_suppkey AS key, 14 + {frac('s_suppkey * 0.6180339887498949e0')} AS la, 14 + {frac('s_suppkey * 0.7548776662466927e0')} AS lb FROM supplier),
+s AS (SELECT *, unnest(range(0, 200)) AS sample FROM a), u AS (SELECT sample, la, lb, {_part(0.6180339887498949, 0.7548776662466927)} AS p1, {_part(0.5698402909980532, 0.3247179572447460)} AS p2 FROM s),
+m AS (SELECT sample, avg(la + 0.1e0 * ({isf('p1')}) - lb - 0.05e0 * ({isf('p2')})) AS m FROM u GROUP BY sample)
+SELECT round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS error FROM m"""

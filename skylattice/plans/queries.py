@@ -243,9 +243,9 @@ def cross_cl(spark: SparkSession, sf: str) -> DataFrame:
 CHECKED: tuple[Query, ...] = (
     aperture_mean, annulus_mean, enclosed_profile, halo_cuts, halo_sorted, extent_centre_cut, mass_bins, pool_pvalue, bootstrap_stack,
     random_stack, empirical_sigma_profile, crossmatch_best, radius_cdf, match_halo, pval_matrix, halo_neighbours, particle_projection,
-    grid_projection, cutout_stack, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map,
+    grid_projection, cutout_stack, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map, mass_ratio,
 )
-UNCHECKED: tuple[Query, ...] = (student_profile, greedy_match, halo_associations, find_center, mass_ratio, smooth_map, cross_cl)
+UNCHECKED: tuple[Query, ...] = (student_profile, greedy_match, halo_associations, find_center, smooth_map, cross_cl)
 
 
 def queries() -> dict[str, Query]:
