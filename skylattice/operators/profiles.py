@@ -21,7 +21,7 @@ def annulus_mean(sources: DataFrame, sky_map: DataFrame, nside: int, inner_arcmi
     outer = 2 * inner_arcmin if outer_arcmin is None else outer_arcmin
     near = sources.select(key, "lon", "lat", inner_arcmin.alias("r_in"), outer.alias("r_out"))
     found = aperture_join(near, sky_map, nside, F.col("r_out") * ARCMIN)
-    ring = with_cos_distance(found, nside).where(F.col("cos_dist") < F.cos(F.col("r_in") * ARCMIN))
+    ring = with_cos_distance(found).where(F.col("cos_dist") < F.cos(F.col("r_in") * ARCMIN))
     each = ring.groupBy(key).agg(F.count("*").alias("n_pix"), F.avg("value").alias("background"))
     return sources.select(key).join(each, key, "left").select(key, F.coalesce("n_pix", F.lit(0)).alias("n_pix"), "background")
 
@@ -34,9 +34,12 @@ def enclosed_profile(sources: DataFrame, sky_map: DataFrame, nside: int, radii_a
     """
     radii = sorted(radii_arcmin)
     found = aperture_join(sources.select(key, "lon", "lat"), sky_map, nside, F.lit(radii[-1] * ARCMIN))
-    edges = F.array(*[F.cos(F.lit(r * ARCMIN)) for r in radii])
-    first = F.size(F.filter(edges, lambda e: e > F.col("cos_dist")))
-    shell = with_cos_distance(found, nside).withColumn("r_idx", F.least(first, F.lit(len(radii) - 1)))
+    edges = [F.cos(F.lit(r * ARCMIN)) for r in radii]
+    if len(radii) <= 32:
+        first = sum(((e > F.col("cos_dist")).cast("int") for e in edges), F.lit(0))
+    else:
+        first = F.size(F.filter(F.array(*edges), lambda e: e > F.col("cos_dist")))
+    shell = with_cos_distance(found).withColumn("r_idx", F.least(first, F.lit(len(radii) - 1)))
     sums = shell.groupBy(key, "r_idx").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
     # Running sums hold from a shell to the next one that has pixels.
     own = Window.partitionBy(key).orderBy("r_idx")

@@ -17,17 +17,17 @@ def with_position(sources: DataFrame, lon: str = "lon", lat: str = "lat") -> Dat
     return sources.withColumn("z0", F.sin(F.radians(F.col(lat)))).withColumn("phi0", F.radians(F.pmod(F.col(lon), F.lit(360.0))))
 
 
-def with_cos_distance(df: DataFrame, nside: int, out: str = "cos_dist") -> DataFrame:
-    """Adds the cosine of the angle between the centre of ``pix`` and the position (z0, phi0)."""
+def with_cos_distance(df: DataFrame, out: str = "cos_dist") -> DataFrame:
+    """Adds the cosine of the angle between the pixel centre (pz, pphi) and the position (z0, phi0)."""
     flat = F.sqrt(F.greatest((1 - F.col("pz") * F.col("pz")) * (1 - F.col("z0") * F.col("z0")), F.lit(0.0)))
     cos = F.col("pz") * F.col("z0") + flat * F.cos(F.col("pphi") - F.col("phi0"))
-    return hp.with_centre(df, nside).withColumn(out, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))).drop("pz", "pphi")
+    return df.withColumn(out, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
 
 
 def disc_pixels(sources: DataFrame, nside: int, radius: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """One row for each source and pixel whose centre lies within ``radius`` (radians), as column ``pix``.
+    """One row for each source and pixel whose centre lies within ``radius`` (radians).
 
-    All columns of the sources stay.  A source with a null position or radius has no pixels.
+    All columns of the sources stay; ``z0, phi0`` is their position, ``pix, pz, pphi`` the pixel and its centre.  A source with a null position or radius has no pixels.
     """
     rows = with_position(sources, lon, lat).withColumn("_r", radius).where("_r >= 0 and z0 is not null").withColumn("_b", F.asin("z0"))
     top = F.when(F.col("_b") + F.col("_r") >= hp.HALF_PI, F.lit(1.0)).otherwise(F.sin(F.col("_b") + F.col("_r")))
@@ -45,7 +45,9 @@ def disc_pixels(sources: DataFrame, nside: int, radius: Column, lon: str = "lon"
     spans = spans.withColumn("_lo", F.when(x <= -1, 0).otherwise(F.ceil(edge(-1))).cast("long"))
     spans = spans.withColumn("_hi", F.when(x <= -1, n - 1).otherwise(F.least(F.floor(edge(1)), F.col("_lo") + n - 1)).cast("long")).where("_hi >= _lo")
     cells = spans.withColumn("_start", hp.ring_start(nside, k)).withColumn("_i", F.explode(F.sequence("_lo", "_hi")))
-    return cells.select(*sources.columns, "z0", "phi0", (F.col("_start") + F.pmod(F.col("_i"), n)).alias("pix"))
+    cells = cells.withColumn("_i", F.pmod(F.col("_i"), n))
+    centre = ((F.col("_i") + F.col("_shift")) * hp.TWO_PI / n).alias("pphi")
+    return cells.select(*sources.columns, "z0", "phi0", (F.col("_start") + F.col("_i")).alias("pix"), z.alias("pz"), centre)
 
 
 def good_pixels(sky_map: DataFrame, mask: DataFrame | None = None, unseen: float = -1.6375e30) -> DataFrame:
