@@ -29,25 +29,27 @@ def disc_pixels(sources: DataFrame, nside: int, radius: Column, lon: str = "lon"
 
     All columns of the sources stay; ``z0, phi0`` is their position, ``pix, pz, pphi`` the pixel and its centre.  A source with a null position or radius has no pixels.
     """
-    rows = with_position(sources, lon, lat).withColumn("_r", radius).where("_r >= 0 and z0 is not null").withColumn("_b", F.asin("z0"))
+    rows = with_position(sources, lon, lat).withColumn("_r", radius).withColumn("_b", F.asin("z0"))
     top = F.when(F.col("_b") + F.col("_r") >= hp.HALF_PI, F.lit(1.0)).otherwise(F.sin(F.col("_b") + F.col("_r")))
     low = F.when(F.col("_b") - F.col("_r") <= -hp.HALF_PI, F.lit(-1.0)).otherwise(F.sin(F.col("_b") - F.col("_r")))
     rows = rows.withColumn("_top", top).withColumn("_low", low)
     rows = rows.withColumn("_from", F.greatest(F.lit(1), hp.rings_above(nside, F.col("_top")) - 1)).withColumn("_to", F.least(F.lit(4 * nside - 1), hp.rings_above(nside, F.col("_low")) + 1))
-    rings = rows.withColumn("_k", F.explode(F.sequence("_from", F.greatest("_from", "_to"))))
+    # Rows are dropped by empty lists under outer explodes: a filter on a derived column would be
+    # pushed down with all of its expressions copied into it.
+    rings = rows.withColumn("_k", F.explode_outer(F.when((F.col("_r") >= 0) & F.col("z0").isNotNull(), F.sequence("_from", F.greatest("_from", "_to")))))
     k, z, n, x = F.col("_k"), F.col("_z"), F.col("_n"), F.col("_x")
     rings = rings.withColumn("_z", hp.ring_z(nside, k)).withColumn("_n", hp.ring_length(nside, k))
     rings = rings.withColumn("_flat", F.sqrt(F.greatest((1 - z * z) * (1 - F.col("z0") * F.col("z0")), F.lit(0.0)))).withColumn("_gap", F.cos("_r") - z * F.col("z0"))
     # On a pole (or for a source there) the ring is inside or outside as a whole.
     inside = F.when(F.col("_flat") > 1e-12, F.try_divide("_gap", "_flat")).otherwise(F.when(F.col("_gap") <= 0, -2.0).otherwise(2.0))
-    spans = rings.withColumn("_x", inside).where(x <= 1).withColumn("_half", F.acos(F.greatest(x, F.lit(-1.0)))).withColumn("_shift", hp.ring_shift(nside, k))
+    spans = rings.withColumn("_x", inside).withColumn("_half", F.acos(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))).withColumn("_shift", hp.ring_shift(nside, k))
     edge = lambda sign: n * (F.col("phi0") + sign * F.col("_half")) / hp.TWO_PI - F.col("_shift")
     spans = spans.withColumn("_lo", F.when(x <= -1, 0).otherwise(F.ceil(edge(-1))).cast("long"))
-    spans = spans.withColumn("_hi", F.when(x <= -1, n - 1).otherwise(F.least(F.floor(edge(1)), F.col("_lo") + n - 1)).cast("long")).where("_hi >= _lo")
-    cells = spans.withColumn("_start", hp.ring_start(nside, k)).withColumn("_i", F.explode(F.sequence("_lo", "_hi")))
+    spans = spans.withColumn("_hi", F.when(x <= -1, n - 1).otherwise(F.least(F.floor(edge(1)), F.col("_lo") + n - 1)).cast("long"))
+    cells = spans.withColumn("_start", hp.ring_start(nside, k)).withColumn("_i", F.explode_outer(F.when((x <= 1) & (F.col("_hi") >= F.col("_lo")), F.sequence("_lo", F.greatest("_lo", "_hi")))))
     cells = cells.withColumn("_i", F.pmod(F.col("_i"), n))
     centre = ((F.col("_i") + F.col("_shift")) * hp.TWO_PI / n).alias("pphi")
-    return cells.select(*sources.columns, "z0", "phi0", (F.col("_start") + F.col("_i")).alias("pix"), z.alias("pz"), centre)
+    return cells.select(*sources.columns, "z0", "phi0", (F.col("_start") + F.col("_i")).alias("pix"), z.alias("pz"), centre).where("pix is not null")
 
 
 def good_pixels(sky_map: DataFrame, mask: DataFrame | None = None, unseen: float = -1.6375e30) -> DataFrame:
