@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ CAPACITY = 2048
 ROUNDS, PER_ROUND = 150, 24
 #: Exponent of the weights, and share of the tightest remaining demand that one use takes.
 STRENGTH, STEP = 0.5, 0.5
-#: Words kept with their ids by a Python worker, and pieces ranked together in one window group.
-CACHED_WORDS, RANKED_TOGETHER = 1_500_000, 50_000
+#: Words and parts of words that a Python worker keeps with their ids, pieces ranked together in one
+#: window group, and documents whose texts are held at once.
+CACHED_WORDS, CACHED_PIECES, RANKED_TOGETHER, HELD_TEXTS = 400_000, 200_000, 50_000, 256
 SEPARATOR = b"\0\0\0\0"
 
 # The pre-tokenizer's pieces of an ASCII word without white space (fixed value, after the tokenizer's file).
@@ -40,6 +41,20 @@ _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
 
 
+class _Known(dict):
+    """Words with their ids; an unknown word is looked up once, and a full table starts anew."""
+
+    def __init__(self, find: Callable[[bytes], bytes], most: int) -> None:
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids = self.find(word)
+        return ids
+
+
 class WordIds:
     """Token ids of words as little-endian bytes, remembered within a worker."""
 
@@ -51,8 +66,8 @@ class WordIds:
 
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.pieces = _Known(lambda piece: np.array([t.id for t in self.model.tokenize(piece.decode())], "<u4").tobytes(), CACHED_PIECES)
+        self.known = _Known(self._word, CACHED_WORDS)
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -60,45 +75,20 @@ class WordIds:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _piece(self, piece: bytes) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(piece.decode())], "<u4").tobytes()
-            self.pieces[piece] = ids
-        return ids
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-            self.pieces.clear()
-        other = []
-        for word in words:
-            if _PLAIN.fullmatch(word) and b"<|" not in word:
-                self.known[word] = b"".join(map(self._piece, _PIECES.findall(word.lower())))
-            else:
-                other.append(word)
-        for word, found in zip(other, self.full.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+    def _word(self, word: bytes) -> bytes:
+        if _PLAIN.fullmatch(word) and b"<|" not in word:
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+        return np.array(self.full.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        get = self.known.get
-        found = [get(w) for w in words]
-        if None in found:
-            self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            get = self.known.get
-            found = [get(w) for w in words]
-            if None in found:  # the cache was emptied meanwhile
-                self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-                found = [self.known[w] for w in words]
-        return b"".join(found)
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def _piece_batches(path: str, capacity: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(path)
         size = 4 * capacity
-        for batch in batches:
+        for batch in (whole.slice(at, HELD_TEXTS) for whole in batches for at in range(0, whole.num_rows, HELD_TEXTS)):
             doc, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = words.encode(text.encode()) + SEPARATOR

@@ -55,7 +55,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         marks = np.array([fingerprint(t.encode()) for t in batch.column("text").to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
 
