@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -55,6 +56,10 @@ class _Known(dict):
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Token ids of words as little-endian bytes, remembered within a worker."""
 
@@ -66,7 +71,7 @@ class WordIds:
 
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
-        self.pieces = _Known(lambda piece: np.array([t.id for t in self.model.tokenize(piece.decode())], "<u4").tobytes(), CACHED_PIECES)
+        self.pieces = _Known(lambda piece: _packed([t.id for t in self.model.tokenize(piece.decode())]), CACHED_PIECES)
         self.known = _Known(self._word, CACHED_WORDS)
 
     @classmethod
@@ -78,7 +83,7 @@ class WordIds:
     def _word(self, word: bytes) -> bytes:
         if _PLAIN.fullmatch(word) and b"<|" not in word:
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
-        return np.array(self.full.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.full.encode(word.decode(), add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.known.__getitem__, text.split()))
