@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from . import shingles
 from .common import LOWER_BYTES, components, documents, staged
 
 #: Segments of the fingerprint: first bit and number of bits.
@@ -161,8 +162,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one, the least id, kept of each component; all columns stay.
 
-    Rows that repeat a kept id stay together; a row with a null id always stays.
+    Components are those of verified shingle similarity (``shingles``): the fingerprint's two bits
+    would leave most edited copies.  Rows that repeat a kept id stay together; a row with a null id
+    always stays.
     """
-    found = near_duplicates(docs)
+    found = shingles.near_duplicates(docs)
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
     return docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti")
