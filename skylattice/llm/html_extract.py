@@ -39,6 +39,7 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _SAME_STOP = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -62,16 +63,8 @@ class Node:
 def parse(page: str) -> Node:
     """The page's tree; missing end tags are implied as browsers do for common cases."""
     root = Node("#root", "", None)
-    now, at, hold = root, 0, None
-    for m in _MARKUP.finditer(page):
-        if m.start() < at:
-            continue
-        if hold is not None:
-            if not (m[1] and m[2].lower() == hold):
-                continue
-            now.children.append(page[at : m.start()])
-            now, hold, at = now.parent, None, m.end()
-            continue
+    now, at = root, 0
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
             now.children.append(page[at : m.start()])
         at = m.end()
@@ -102,7 +95,12 @@ def parse(page: str) -> Node:
         if tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
             now = node
             if tag in RAW:
-                hold = tag
+                # Nothing but its own end tag counts in a raw element.
+                end = _RAW_END[tag].search(page, at)
+                if end is None:
+                    break
+                now.children.append(page[at : end.start()])
+                now, at = node.parent, end.end()
     if at < len(page):
         now.children.append(page[at:])
     return root

@@ -18,6 +18,31 @@ def test_known_pages(model):
         assert model.texts([page]) == [want]
 
 
+@pytest.mark.parametrize(
+    "script",
+    [
+        "for(i=0;i<n;i++){x}",
+        "if(a<b)c()",
+        "if (a <b && c> d) e='it\\'s'",
+        "s = 'don\"t <p' + \"<b\"",
+        "<!-- x <y --",
+        "// it's <!-- open",
+        "s='</scripts><p>no</p></ script>'",
+        "<![CDATA[ a<b ]]",
+        "",
+    ],
+)
+def test_text_after_a_script_stays(model, script):
+    page, want = CASES[0]
+    for end in ("</script>", "</SCRIPT >"):
+        inline = page.replace("<p>Second", f"<script>{script}{end}<p>Second")
+        root = H.parse(f"<div><script>{script}{end}<p>after</p></div>")
+        assert [c.tag for c in root.children[0].children] == ["script", "p"]
+        assert model.texts([inline]) == [want]
+    style = H.parse(f"<style>{script}</style><title>a<b</title><p>after</p>")
+    assert [c.tag for c in style.children] == ["style", "title", "p"]
+
+
 def test_held_out_layouts(model):
     layouts = H.Layouts(1234)
     hits = extra = missed = 0
