@@ -4,8 +4,9 @@ DataFrame functions alone.  Matches get their code-point offsets by marking them
 splitting at the marks.  Strings of at least ``MIN_LENGTH`` key characters outside the patterns'
 matches are scored by the log-likelihood ratio of two first-order character models: one of random
 strings (values that the patterns find in a bounded sample, and digests in hex and base 64), one of
-the other words of the sample.  A string is a secret if the ratio is at least ``MIN_BITS`` in all
-and ``MIN_BITS_EACH`` for each transition.
+the other words of the sample.  A string holds a secret if in some stretch of ``MIN_LENGTH`` or more
+of its characters the ratio is at least ``MIN_BITS`` in all and ``MIN_BITS_EACH`` for each
+transition, so what is joined to a secret can't hide it; the span is the whole string.
 
 Null and empty texts have no spans.  Repeated rows get equal results.  An empty table gives no rows,
 and a corpus without samples is scanned with the models of the digests alone.
@@ -100,11 +101,26 @@ def train(docs: DataFrame) -> list[int]:
     return [round(1000 * (p - q)) for p, q in zip(_transitions(random), _transitions(plain), strict=True)]
 
 
-def ratio(s: Column, table: Column) -> Column:
-    """Sum of the transitions' ratios over a candidate string."""
+def holds_secret(s: Column, table: Column) -> Column:
+    """Whether some stretch of a candidate string reaches the limits.
+
+    ``recent`` has the running sums of the ratios beyond the limit at the last characters, ``low`` the
+    least of those at which a stretch that is long enough can start.
+    """
     chars = F.transform(F.split(s, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1)
-    step = lambda acc, b: F.struct((acc["sum"] + F.when(acc["a"] >= 0, F.get(table, acc["a"] * len(ALPHABET) + b)).otherwise(0)).alias("sum"), b.alias("a"))
-    return F.aggregate(chars, F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("a")), step, lambda acc: acc["sum"])
+    steps = MIN_LENGTH - 1
+    # A stretch has MIN_LENGTH - 1 transitions at least, and MIN_BITS in all follows where they suffice for it.
+    each = int(1000 * max(MIN_BITS_EACH, MIN_BITS / steps))
+    zero, far = F.lit(0).cast("long"), F.lit(1 << 62).cast("long")
+
+    def step(acc: Column, b: Column) -> Column:
+        now = F.element_at(acc["recent"], -1) + F.when(acc["a"] >= 0, F.coalesce(F.get(table, acc["a"] * len(ALPHABET) + b), F.lit(0)) - each).otherwise(zero)
+        full = F.size(acc["recent"]) >= steps + 1
+        low = F.when(full, F.least(acc["low"], F.get(acc["recent"], F.lit(1)))).otherwise(acc["low"])
+        kept = F.when(full, F.slice(acc["recent"], 2, steps)).otherwise(acc["recent"])
+        return F.struct(F.concat(kept, F.array(now)).alias("recent"), low.alias("low"), (acc["hit"] | (now >= low)).alias("hit"), b.alias("a"))
+
+    return F.aggregate(chars, F.struct(F.array(zero).alias("recent"), far.alias("low"), F.lit(False).alias("hit"), F.lit(-1).alias("a")), step, lambda acc: acc["hit"])
 
 
 def find(docs: DataFrame, table: list[int] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -114,9 +130,7 @@ def find(docs: DataFrame, table: list[int] | None = None, keep: tuple[str, ...]
     values = F.lit(table) if table else F.array().cast("array<int>")
     candidates = matches(F.col("text"), LONG, LONG)
     alone = F.filter(candidates, lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    bits = lambda c: ratio(c["s"], values)
-    least = lambda c: F.greatest(F.lit(1000 * MIN_BITS), 1000 * MIN_BITS_EACH * (F.length(c["s"]) - 1))
-    return rows.withColumn("markov", F.filter(alone, lambda c: bits(c) >= least(c))).drop("_base")
+    return rows.withColumn("markov", F.filter(alone, lambda c: holds_secret(c["s"], values))).drop("_base")
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:

@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from skylattice.llm import secrets as S
 
 KEY = re.compile(S.ASSIGN)
@@ -40,6 +43,51 @@ def test_base_spans_and_models(spark, docs, texts):
     assert (4, 28) in [(s["start"], s["end"]) for s in found]
 
 
+def random_value(r, n, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    return "".join(r.choices(alphabet, k=n))
+
+
+#: Ordinary strings that a secret may be joined to.
+JOINED = ["session_identifier_cookie_value={}", "/home/someone/projects/website/settings/{}", "www/example/download/files/archive/{}/index/of/the/page", "the-name-of-a-very-long-branch-{}", "{}/and/then/some/other/words/follow/here"]
+
+
+def labelled(n):
+    """Random values joined to ordinary strings, and ordinary strings alone."""
+    r = random.Random(n)
+    held = [r.choice(JOINED).format(random_value(r, r.choice((16, 20, 24, 32)))) for _ in range(n)]
+    words = "home user project setting value the name other long index page download file world reader morning under water letter number".split()
+    plain = [r.choice("/_-=").join(r.choices(words, k=r.randint(4, 12))) for _ in range(n)]
+    return held, plain
+
+
+def test_secrets_joined_to_ordinary_strings(spark, docs):
+    held, plain = labelled(100)
+    rows = [(i, f"a {s} b") for i, s in enumerate(held + plain)]
+    # The words of the plain strings are known to the models, as those of a corpus are.
+    known = spark.createDataFrame([(10_000 + i, s) for i, s in enumerate(labelled(300)[1])], "doc_id long, text string")
+    table = S.train(docs.select("doc_id", "text").union(known))
+    found = {x["doc_id"]: x["markov"] for x in S.find(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    caught = sum(bool(found[i]) for i in range(100))
+    false = sum(bool(found[i]) for i in range(100, 200))
+    assert caught >= 95 and false <= 2, (caught, false)
+
+
+def test_limits_hold_for_some_stretch(spark):
+    r = random.Random(2)
+    size = len(S.ALPHABET)
+    table = [r.randint(-9000, 16000) for _ in range(size * size)]
+    strings = [random_value(r, r.randint(16, 60)) for _ in range(200)] + ["x" * 16, "x" * 200_000]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "doc_id long, s string").select("doc_id", S.holds_secret(F.col("s"), F.lit(table)).alias("hit")).collect()
+    for x in got:
+        s = strings[x["doc_id"]]
+        sums = [0]
+        for a, b in zip(s[:100], s[1:100], strict=False):
+            sums.append(sums[-1] + table[S.ALPHABET.index(a) * size + S.ALPHABET.index(b)] - 4000)
+        want = any(sums[k] >= sums[i] for k in range(len(sums)) for i in range(k - 14))
+        assert x["hit"] == want, s[:60]
+    assert 0 < sum(x["hit"] for x in got) < len(got)
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a password=abcdef b", 19, "k"), (2, None, None, "k"), (3, "clean", 5, "k")], "doc_id long, text string, n_chars long, assign string")
     table = [0] * len(S.ALPHABET) ** 2
