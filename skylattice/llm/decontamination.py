@@ -31,8 +31,9 @@ GAP = 1
 #: Text bytes of a segment (a longer document has its own), and windows sent to the segments at once.
 SEGMENT_BYTES = 8 << 20
 WINDOW_BLOCK = 200_000
-#: A proximity match has the rarest of a window's terms that the segment holds, and this share of all
-#: of them, at their places within SLOP words.
+#: Starts of windows that are tried at once.
+TRIED = 1 << 20
+#: A proximity match has this share of a window's terms, each within SLOP words of its place, in one document.
 NEAR_SHARE, SLOP = 0.8, 2
 
 _WORD = np.zeros(256, bool)
@@ -112,8 +113,13 @@ def windows(rows: Iterator[tuple[int, str | None]]) -> Iterator[Windows]:
         yield block()
 
 
-def lookup(segment: dict, block: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact occurrences and near ones in a segment: rows (window, position, exact)."""
+def lookup(segment: dict, block: Windows, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact occurrences and near ones in a segment: rows (window, position, exact).
+
+    An exact occurrence has its first position, a near one a position of one of its terms.  A match
+    of all but m terms holds one of the window's m + 1 rarest terms, so each of these starts a
+    search, for matches without the rarer ones; none is missed, whatever the segment's other documents.
+    """
     terms = np.frombuffer(segment["terms"], np.uint64)
     count = np.frombuffer(segment["counts"], np.uint32).astype(np.int64)
     posting = np.frombuffer(segment["positions"], np.uint32).astype(np.int64)
@@ -125,43 +131,73 @@ def lookup(segment: dict, block: Windows) -> tuple[np.ndarray, np.ndarray, np.nd
     there = terms[at] == block.term
     used = np.arange(WINDOW)[None, :] < block.size[:, None]
     there &= used
-    # Present terms by rarity, then the missing ones; windows with too few terms here can't match nearly.
-    order = np.argsort(np.where(there, count[at], np.iinfo(np.int64).max), axis=1, kind="stable")
-    live = np.flatnonzero(there.sum(1) >= np.maximum(NEAR_SHARE * block.size, 1))
-    rarest = order[live, 0]
-    slot = at[live, rarest]
-    n = count[slot]
-    window = np.repeat(live, n)
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    start = posting[np.repeat(first[slot], n) + within] - np.repeat(rarest, n)
-    keep = start >= 0
-    window, start = window[keep], start[keep]
-    # Positions of the terms that some window uses: the lists that are intersected.
+    # Terms by rarity, missing ones first and unused ones last; windows with too few terms here can't match nearly.
+    order = np.argsort(np.where(used, np.where(there, count[at], 0), np.iinfo(np.int64).max), axis=1, kind="stable")
+    spare = block.size - np.ceil(NEAR_SHARE * block.size).astype(np.int64)
+    absent = block.size - there.sum(1)
+    live = np.flatnonzero((absent <= spare) & (absent < block.size))
+    at = np.where(there, at, -2)
+    # Positions of the terms that some window uses: the lists that are intersected.  Ends are padded.
     needed = np.unique(at[there])
-    size = int(posting.max()) + 1 + WINDOW + SLOP
-    term_at = np.full(size, -1, np.int64)
+    pad = WINDOW + 2 * SLOP
+    term_at = np.full(int(posting.max()) + 1 + 2 * pad, -1, np.int64)
     total = count[needed]
     where = posting[np.repeat(first[needed], total) + np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)]
-    term_at[where] = np.repeat(needed, total)
-    exact = np.ones(len(start), bool)
-    for rank in range(1, WINDOW):
-        j = order[window, rank]
-        exact &= (rank >= block.size[window]) | (there[window, j] & (term_at[start + j] == at[window, j]))
-    near = np.flatnonzero(~exact)
-    matched = np.ones(len(near), np.int64)
-    for rank in range(1, WINDOW):
-        if not len(near):
+    term_at[pad + where] = np.repeat(needed, total)
+    begin = np.cumsum(n_words + GAP) - n_words - GAP
+    found = [(empty, empty, empty.astype(bool))]
+    for rank in range(int(spare.max()) + 1):
+        own = live[(rank >= absent[live]) & (rank <= spare[live])]
+        totals = np.cumsum(count[at[own, order[own, rank]]])
+        cuts = np.unique(np.searchsorted(totals, np.arange(0, int(totals[-1]) + TRIED, TRIED), "right")) if len(own) else []
+        for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True):
+            part = own[a:b]
+            slot = at[part, order[part, rank]]
+            n = count[slot]
+            window = np.repeat(part, n)
+            spot = posting[np.repeat(first[slot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            start = spot - order[window, rank]
+            if not len(window):
+                continue
+            if rank == 0:
+                exact = np.flatnonzero(_reach(term_at, pad, at, order, window, start, block.size, 0, 0, 0 * spare, None))
+                found.append((window[exact], start[exact], np.ones(len(exact), bool)))
+            # Whatever the best start is, all matched terms are within twice SLOP of where this term puts them.
+            doc = np.searchsorted(begin, spot, "right") - 1
+            bounds = (begin[doc], begin[doc] + n_words[doc])
+            near = np.flatnonzero(_reach(term_at, pad, at, order, window, start, block.size, rank, 2 * SLOP, spare, bounds))
+            hit = np.zeros(len(near), bool)
+            bounds = (bounds[0][near], bounds[1][near])
+            for shift in range(-SLOP, SLOP + 1):
+                hit |= _reach(term_at, pad, at, order, window[near], start[near] + shift, block.size, rank, SLOP, spare, bounds)
+            near = near[hit]
+            # One hit of a window in a document is enough.
+            near = near[np.unique(np.stack([window[near], doc[near]]), axis=1, return_index=True)[1]]
+            found.append((window[near], spot[near], np.zeros(len(near), bool)))
+    return tuple(np.concatenate(columns) for columns in zip(*found, strict=True))
+
+
+def _reach(term_at: np.ndarray, pad: int, at: np.ndarray, order: np.ndarray, window: np.ndarray, start: np.ndarray, size: np.ndarray, rank: int, slop: int, spare: np.ndarray, bounds: tuple | None) -> np.ndarray:
+    """Which rows (window, start) miss at most ``spare`` terms, counting all terms before ``rank`` as missed."""
+    live, missed = np.arange(len(window)), np.full(len(window), rank, np.int64)
+    for k in range(rank + 1 if bounds is not None else 0, WINDOW):
+        if not len(live):
             break
-        j = order[window[near], rank]
-        hit = np.zeros(len(near), bool)
-        for slack in range(-SLOP, SLOP + 1):
-            hit |= term_at[np.maximum(start[near] + j + slack, 0)] == at[window[near], j]
-        matched += hit & there[window[near], j]
-        hopeless = matched + (WINDOW - 1 - rank) < NEAR_SHARE * block.size[window[near]]
-        near, matched = near[~hopeless], matched[~hopeless]
-    close = near[matched >= NEAR_SHARE * block.size[window[near]]] if len(near) else near
-    rows = np.concatenate([np.flatnonzero(exact), close])
-    return window[rows], start[rows], exact[rows]
+        w = window[live]
+        j = order[w, k]
+        place, term = start[live] + j, at[w, j]
+        hit = k >= size[w]
+        for slack in range(-slop, slop + 1):
+            same = term_at[place + slack + pad] == term
+            if bounds is not None:
+                same &= (place + slack >= bounds[0][live]) & (place + slack < bounds[1][live])
+            hit |= same
+        missed = missed + ~hit
+        stay = missed <= spare[w]
+        live, missed = live[stay], missed[stay]
+    out = np.zeros(len(window), bool)
+    out[live] = True
+    return out
 
 
 def _search_batches(block: Windows) -> object:
@@ -172,7 +208,7 @@ def _search_batches(block: Windows) -> object:
                 segment = {name: batch.column(name)[r].as_py() for name in ("terms", "counts", "positions")}
                 ids = batch.column("doc_ids")[r].as_py()
                 n_words = np.array(batch.column("n_words")[r].as_py(), np.int64)
-                window, start, exact = lookup(segment, block)
+                window, start, exact = lookup(segment, block, n_words)
                 begin = np.cumsum(n_words + GAP) - n_words - GAP
                 doc = np.searchsorted(begin, start, "right") - 1
                 items, near_items, hits = ([[] for _ in ids] for _ in range(3))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -48,6 +49,45 @@ def test_proximity(spark):
     assert out[1]["contaminated"] and not out[2]["contaminated"] and out[2]["near_items"] == [7] and out[3]["near_items"] == []
 
 
+def near_by(window, words):
+    """Whether some start has four fifths of the terms within SLOP words of their places."""
+    least = -(-4 * len(window) // 5)
+    for start in range(-len(window) - 2, len(words) + 3):
+        places = (words[max(0, start + j - D.SLOP) : max(0, start + j + D.SLOP + 1)] for j in range(len(window)))
+        if sum(t in p for t, p in zip(window, places, strict=True)) >= least:
+            return True
+    return False
+
+
+@pytest.mark.parametrize(("segment", "tried"), [(8 << 20, 1 << 20), (400, 7)])
+def test_proximity_against_brute_force(spark, monkeypatch, segment, tried):
+    monkeypatch.setattr(D, "SEGMENT_BYTES", segment)
+    monkeypatch.setattr(D, "TRIED", tried)
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, r.sample(words, n)) for i, n in enumerate((10, 10, 11, 10, 4, 5, 6, 1, 2))]
+    docs = []
+    for i in range(90):
+        own = list(r.choice(items)[1])
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(own))
+            own[at : at + r.randint(0, 1)] = r.choices(words, k=r.randint(0, 2))
+            own = own or ["w0"]
+        docs.append((i, r.choices(words, k=r.choice((0, 0, 3))) + own + r.choices(words, k=r.choice((0, 0, 3)))))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").coalesce(1)
+    got = {x["doc_id"]: x["near_items"] for x in D.contamination(frame, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    for i, own in docs:
+        want = [k for k, w in items if any(near_by(w[at : at + 10], own) for at in range(max(1, len(w) - 9)))]
+        assert got[i] == want, i
+
+
+def test_near_match_without_the_rarest_term(spark):
+    text = "alpha beta gamma delta eps zeta eta theta iota kappa"
+    docs = [(1, text.replace("delta", "other")), (2, "delta"), *[(i, " ".join(w for w in text.split() if w != "delta")[i:]) for i in range(3, 6)]]
+    out = {r["doc_id"]: r for r in D.contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([(7, text)], "item_id long, text string")).collect()}
+    assert out[1]["near_items"] == [7] and out[2]["near_items"] == []
+
+
 def test_empty(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(docs, none).where("contaminated").count() == 0
