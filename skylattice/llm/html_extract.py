@@ -10,6 +10,8 @@ The trees are trained here on ``TRAINING_PAGES`` generated layouts whose labels
 construction: many combinations of wrappers, menus, sidebars, notices, adverts, forms, comments.
 
 Null and empty html give an empty text.  Repeated rows give equal rows; an empty table gives none.
+Parsing takes time in proportion to the page, however long or broken.  Nodes whose labels tie (log-odds
+of zero) are cut.
 """
 
 from __future__ import annotations
@@ -38,18 +40,24 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SAME_STOP = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_EMPTY_COMMENT, _COMMENT_END = re.compile(r"-?>"), re.compile(r"--!?>")
+_BEFORE_QUOTE = re.compile(r"[^>\"']*")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"(?<![^\s/\"'])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "code")
+    __slots__ = ("tag", "attributes", "children", "parent", "block", "code")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
+        # The element itself or, for an inline one, the nearest ancestor that is not inline.
+        self.block: Node = parent.block if parent is not None and tag in INLINE else self
         self.code = -1
 
     def tokens(self) -> list[str]:
@@ -60,49 +68,124 @@ class Node:
         return out
 
 
+class Markup:
+    """Tags and texts of a page in order: (end tag, name, attributes) or a text.
+
+    Every position is passed a bounded number of times, however broken the page: a quote that is
+    never closed is searched for once, and its tag then ends at the first ``>``.  An unfinished tag
+    at the end of the page is dropped.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at = page, 0
+        self.unclosed: set[str] = set()
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag at ``at``, or -1."""
+        now = at
+        while True:
+            now = _BEFORE_QUOTE.match(self.page, now).end()
+            if now == len(self.page):
+                break
+            quote = self.page[now]
+            if quote == ">":
+                return now
+            closing = -1 if quote in self.unclosed else self.page.find(quote, now + 1)
+            if closing < 0:
+                self.unclosed.add(quote)
+                break
+            now = closing + 1
+        return self.page.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[bool, str, str] | str]:
+        page, size = self.page, len(self.page)
+        begin = 0
+        while (at := page.find("<", self.at)) >= 0:
+            name = _NAME.match(page, at + 1)
+            declared = page[at + 1 : at + 2] in ("!", "?")
+            if not name and not declared:
+                self.at = at + 1
+                continue
+            if at > begin:
+                yield page[begin:at]
+            if declared:
+                if page.startswith("<!--", at):
+                    end = _EMPTY_COMMENT.match(page, at + 4) or _COMMENT_END.search(page, at + 4)
+                    self.at = end.end() if end else size
+                else:
+                    cdata = page.startswith("<![CDATA[", at)
+                    end = page.find("]]>" if cdata else ">", at)
+                    self.at = size if end < 0 else end + (3 if cdata else 1)
+            else:
+                end = self._tag_end(name.end())
+                if end < 0:
+                    self.at = begin = size
+                    break
+                self.at = end + 1
+                tag = name[0].lower()
+                yield tag[0] == "/", tag.lstrip("/"), page[name.end() : end]
+            begin = self.at
+        if begin < size:
+            yield page[begin:]
+
+    def raw(self, tag: str) -> str:
+        """The content of a raw element, in which nothing but its own end tag counts."""
+        end = _RAW_END[tag].search(self.page, self.at)
+        inner = self.page[self.at : end.start() if end else len(self.page)]
+        self.at = end.end() if end else len(self.page)
+        return inner
+
+
 def parse(page: str) -> Node:
     """The page's tree; missing end tags are implied as browsers do for common cases."""
     root = Node("#root", "", None)
-    now, at = root, 0
-    while m := _MARKUP.search(page, at):
-        if m.start() > at:
-            now.children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    now = root
+    # Open elements by tag, and those that matter for the elements of a list or table: the last is the nearest.
+    opened: dict[str, list[Node]] = {}
+    near: dict[str, list[Node]] = {tag: [] for tag in _SAME}
+    watched = {t: [tag for tag in _SAME if t in _SAME[tag] or t in _SAME_STOP[tag]] for tag in _SAME for t in (*_SAME[tag], *_SAME_STOP[tag])}
+
+    def close(upto: Node) -> Node:
+        """Closes the open elements down to one; what contains it is then the innermost."""
+        node = now
+        while True:
+            opened[node.tag].pop()
+            for tag in watched.get(node.tag, ()):
+                near[tag].pop()
+            if node is upto:
+                return node.parent
+            node = node.parent
+
+    markup = Markup(page)
+    for item in markup:
+        if isinstance(item, str):
+            if now.tag == "head" and not item.isspace():
+                now = close(now)
+            now.children.append(item)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                now = up.parent
+        ends, tag, attributes = item
+        if ends:
+            same = opened.get(tag)
+            # The end of an inline element doesn't end the blocks inside it.
+            if same and (tag not in INLINE or same[-1].block is now.block):
+                now = close(same[-1])
             continue
-        if tag in _CLOSES_P:
-            up = now
-            while up is not root and up.tag in INLINE:
-                up = up.parent
-            if up.tag == "p":
-                now = up.parent
-        elif tag in _SAME:
-            up = now
-            while up is not root and up.tag not in _SAME[tag] and up.tag not in _SAME_STOP[tag]:
-                up = up.parent
-            if up.tag in _SAME[tag]:
-                now = up.parent
-        node = Node(tag, m[3] or "", now)
+        if now.tag == "head" and tag not in _HEAD:
+            now = close(now)
+        if tag in _CLOSES_P and now.block.tag == "p":
+            now = close(now.block)
+        elif tag in _SAME and near[tag] and near[tag][-1].tag in _SAME[tag]:
+            now = close(near[tag][-1])
+        node = Node(tag, attributes, now)
         now.children.append(node)
-        if tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
+        if tag in RAW:
+            if not attributes.rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
+                node.children.append(markup.raw(tag))
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
             now = node
-            if tag in RAW:
-                # Nothing but its own end tag counts in a raw element.
-                end = _RAW_END[tag].search(page, at)
-                if end is None:
-                    break
-                now.children.append(page[at : end.start()])
-                now, at = node.parent, end.end()
-    if at < len(page):
-        now.children.append(page[at:])
+            opened.setdefault(tag, []).append(node)
+            for watch in watched.get(tag, ()):
+                near[watch].append(node)
     return root
 
 
@@ -222,7 +305,7 @@ class Tree:
         line: list[str] = []
 
         def end() -> None:
-            block = " ".join(html.unescape("".join(line)).split())
+            block = " ".join("".join(line).split())
             if block:
                 blocks.append(block)
             line.clear()
@@ -235,7 +318,7 @@ class Tree:
                 end()
                 continue
             if isinstance(node, str):
-                line.append(node)
+                line.append(html.unescape(node))
                 continue
             if node.tag in HIDDEN:
                 continue

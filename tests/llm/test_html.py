@@ -83,6 +83,48 @@ def test_broken_pages(model):
         assert isinstance(out, str), page
 
 
+ARTICLE = "<article><h1>Heading</h1><p>The first paragraph, of several words.</p><p>The second one, with more words in it.</p></article>"
+ARTICLE_TEXT = "Heading\n\nThe first paragraph, of several words.\n\nThe second one, with more words in it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<head><title>t</title><meta charset=utf-8><body>{ARTICLE}</body>",
+        f"<html><head><script>var s='<!--';</script><link rel=x>{ARTICLE}",
+        f"<body><script>for(var i=0;i<n;i++){{x()}}</script>{ARTICLE}<footer>(c) someone</footer>",
+        f"<body><!-->{ARTICLE}<!-- never closed <p>hidden</p>",
+        f"<body><!-- a -- b --!>{ARTICLE}</body>",
+        f'<body><div class="nav menu"><a href="a>b">Home</a> <a href=\'c"d\'>About</a></div>{ARTICLE}</body>',
+        f"<body>{ARTICLE}<p unfinished",
+    ],
+)
+def test_pages_labelled_by_hand(model, page):
+    assert model.texts([page]) == [ARTICLE_TEXT]
+
+
+def test_references_and_misnested_tags(model):
+    page = ARTICLE.replace("several words", "&am<b>p;</b> &eacute;t&eacute; &#x41;&#66; &lt;x&gt;").replace("more words", "<b><i>more</b> wo</i>rds")
+    assert model.texts([page]) == [ARTICLE_TEXT.replace("several words", "&amp; été AB <x>").replace("words in", "words in")]
+    root = H.parse("<div><b><p>one</b> two</p></div><p>three")
+    assert [c.tag for c in root.children] == ["div", "p"]
+    # A quote that is never closed ends with its tag.
+    assert model.texts([ARTICLE.replace("<p>The second", '<p title="x>The second')]) == [ARTICLE_TEXT]
+
+
+@pytest.mark.parametrize("broken", ['<a "', "<a '>", "</p>", "<div x='", "<b><hr>", "<i><div></b>", "<li><ul>", "<!-- ", "<![CDATA[", "<p " + "x" * 50, "<", "<script>", "</script>", "a=", "<x a= "])
+def test_parsing_is_linear(broken):
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        start = time.perf_counter()
+        tree = H.Tree(broken * n)
+        tree.text([True] * len(tree.nodes))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_frame(spark, model):
     df = spark.createDataFrame([(1, "u", CASES[0][0], 5), (2, None, None, 6), (2, None, None, 6), (None, "v", "", 7)], "page_id long, url string, html string, text long")
     rows = H.extract(df, model).collect()
