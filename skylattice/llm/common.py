@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,31 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def bounded_texts(docs: DataFrame, ids: list[int], most_bytes: int) -> list[tuple[int, str]]:
+    """Texts of the ids, in order of a hash of the id, as many as stay within the bytes.
+
+    ``ids`` is a bounded sample.  Sizes are read first, so that no more than ``most_bytes`` come to
+    the driver; rows that repeat an id are one, the least of its texts, on the executors.
+    """
+    spark = docs.sparkSession
+
+    def found(wanted: list[int]) -> DataFrame:
+        rows = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+        return documents(docs).where("doc_id is not null").join(F.broadcast(rows), "doc_id").groupBy("doc_id")
+
+    if not ids:
+        return []
+    size = {r["doc_id"]: r["n"] for r in found(ids).agg(F.max(F.octet_length("text")).alias("n")).collect()}
+    total, chosen = 0, []
+    for i in sorted(size, key=lambda i: (zlib.crc32(str(i).encode()), i)):
+        if total + size[i] <= most_bytes:
+            total += size[i]
+            chosen.append(i)
+    rows = found(chosen).agg(F.min("text").alias("text")).toArrow() if chosen else pa.table({"doc_id": [], "text": []})
+    texts = dict(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True))
+    return [(i, texts[i]) for i in chosen]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

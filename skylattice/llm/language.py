@@ -2,12 +2,16 @@
 
 A text is the average of the embeddings of its hashed byte n-grams (two to four bytes of lower-cased
 letters, runs of anything else count as one space).  Embeddings and classifier are trained in numpy
-by stochastic gradient descent on the lines of at most ``MAX_DOCUMENTS`` documents; averaging commutes
-with the linear layer, so scoring needs one table row for each n-gram.  A temperature and a rejection
+by stochastic gradient descent on the lines of a bounded sample (``MAX_DOCUMENTS`` documents of at most
+``MAX_BYTES``, spread over the languages so that a rare one is learned too); averaging commutes with
+the linear layer, so scoring needs one table row for each n-gram.  A temperature and a rejection
 level are calibrated on every fifth document of the sample, which the descent doesn't see.
 
 Null texts and texts without a letter get ``und`` and score 0.  Rows of null language teach nothing;
-without any usable row everything is ``und``.  Repeated rows get equal predictions.
+without any usable row everything is ``und``.  Repeated rows get equal predictions and teach once (of
+several texts under one id the least teaches, as its first language by name).  Very long texts are
+scored by slices of documents, a long document at a time.  Of languages with equal scores the first by
+name wins.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, text_buffer
+from .common import LOWER, bounded_texts, text_buffer
 
-#: Bound of the training sample (documents, the least by a hash of the id), and of its lines.
-MAX_DOCUMENTS, MAX_LINES = 4000, 12_000
+#: Bounds of the training sample: documents (the least by a hash of the id in each language), bytes of
+#: their texts, lines, and documents of a language at least (so the languages are bounded too, the most frequent first).
+MAX_DOCUMENTS, MAX_BYTES, MAX_LINES, LEAST_EACH = 4000, 48 << 20, 12_000, 20
 BUCKETS, DIMENSIONS = 1 << 15, 16
 EPOCHS, RATE, BATCH = 3, 0.8, 128
 #: Share of calibration documents whose confidence lies below the rejection level.
@@ -155,12 +160,26 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
 
 
 def sample(docs: DataFrame, usable: Column) -> tuple[list[str], list[str]]:
-    """At most MAX_DOCUMENTS texts with their languages, the least by a hash of the id."""
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS)
-    # At most MAX_DOCUMENTS ids of eight bytes are broadcast.
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id")
-    return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
+    """At most MAX_DOCUMENTS texts of MAX_BYTES in all with their languages: an equal share of each, the least by a hash of the id."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    known = known.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    languages = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_DOCUMENTS // LEAST_EACH).collect()
+    if not languages:
+        return [], []
+    # What rare languages leave of their equal shares goes to the others.
+    quota, room = {}, MAX_DOCUMENTS
+    for k, row in enumerate(sorted(languages, key=lambda r: (r["count"], r["lang"]))):
+        quota[row["lang"]] = min(row["count"], room // (len(languages) - k))
+        room -= quota[row["lang"]]
+    shares = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
+    # Each partition keeps its first rows by hash before any shuffle, so a hot language is no hot task.
+    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= max(quota.values()))
+    language: dict[int, str] = {}
+    for row in ids.where(F.col("rank") <= shares[F.col("lang")]).orderBy("doc_id", F.desc("lang")).select("doc_id", "lang").collect():
+        language[row["doc_id"]] = row["lang"]
+    texts = bounded_texts(docs.where(F.col("text").isNotNull()), list(language), MAX_BYTES)
+    return [t for _, t in texts], [language[i] for i, _ in texts]
 
 
 def in_training(modulus: int = 4, held_out: int = 2) -> Column:

@@ -1,22 +1,28 @@
 """Toxic spans by a linear-chain conditional random field, aggregated to document scores.
 
-Training reads a bounded sample of labelled documents (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, the
-least by a hash of the id).  Words and word prefixes that occur in many toxic and hardly any clean
-documents of the sample form the lexicon; in toxic documents their tokens are labelled toxic, every
-other token clean.  The chain has two states, one weight for each lexicon feature, a bias and
-transitions, fitted by gradient ascent on the log-likelihood.  Forward-backward marginals give each
-token's probability; a logistic model of their largest and summed values gives the document's score.
-
-Most tokens have no lexicon feature and so one common emission.  The chain over a gap of them is a
-power of one 2x2 matrix, so the exact marginals need a step only for each lexicon token, whatever
-the length of the text.
+Training reads a bounded sample of labelled documents (``MAX_TOXIC`` and ``MAX_CLEAN`` ids, the
+least by a hash, of at most ``MAX_BYTES`` of text).  A token's features are its word, its prefixes,
+and the prefixes of the words before and after it; those that occur in enough toxic documents and
+seldom in clean ones enter the model.  No token labels are given, so the field finds them: tokens of
+toxic documents with a telling feature of their own start as toxic, all others as clean; the chain of
+two states (one weight for each feature, a bias, transitions) is fitted by gradient ascent on the
+log-likelihood, its marginals relabel the tokens of toxic documents, and it is fitted again.
+Forward-backward marginals then give each token's probability; a logistic model of their largest and
+summed values gives the document's score.
+
+Most tokens have no such feature and so one common emission.  The chain over a gap of them is a
+power of one 2x2 matrix, so the exact marginals need a step only for each token with features,
+whatever the length of the text.
 
 Null and empty texts have no tokens and get the score of a document without toxic tokens.  Labels
-that are null are ignored; with no usable labels every score is 0.  Repeated rows score alike.
+that are null are ignored; with no usable labels every score is 0.  Repeated rows score alike and
+teach once; of several texts under one id the least teaches.  Very long texts are scored by slices of
+documents, one long document at a time.  Scores that tie have no order.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, text_buffer, word_spans
+from .common import LOWER, bounded_texts, documents, hash_words, mix, text_buffer, word_spans
 
-#: Bounds of the training sample (documents).
-MAX_TOXIC, MAX_CLEAN = 2000, 3000
-#: A lexicon feature occurs in this share of the toxic documents, and in at least so many.
+#: Bounds of the training sample: documents, and bytes of their texts.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 3000, 48 << 20
+#: A feature occurs in this share of the toxic documents, and in at least so many.
 MIN_SHARE, MIN_DOCS = 0.01, 5
-#: Least logarithm of the ratio of the smoothed shares among toxic and among clean documents.
-MIN_LOG_RATIO = 4.0
+#: Least logarithm of the ratio of the smoothed shares among toxic and clean documents, of a feature
+#: of the model and of one that marks a token as toxic at first.
+MIN_LOG_RATIO, TELLING = 3.0, 4.0
+#: Fits in all, steps of each, windows of tokens around features and elsewhere in each class, and penalty.
+FITS, STEPS, WINDOWS, OTHER_WINDOWS, PENALTY = 2, 80, 4000, 1500, 2e-5
 THRESHOLD = 0.7
 #: Gaps between lexicon tokens beyond this length behave alike to double precision.
 LONG_GAP = 96
@@ -45,8 +54,8 @@ _LETTER[ord("a") : ord("z") + 1] = True
 _LETTER[0x80:] = True
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and keys (first eight lower-cased bytes) of the words."""
+def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts and ends of the words, and their feature codes (zero: none)."""
     low = LOWER[raw]
     starts, ends = word_spans(_LETTER[low], offsets)
     padded = np.concatenate([low, np.zeros(8, np.uint8)])
@@ -54,20 +63,25 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     key = np.zeros(len(starts), np.uint64)
     for i in range(8):
         key |= np.where(length > i, padded[starts + i], 0).astype(np.uint64) << np.uint64(8 * (7 - i))
-    return starts, ends, key
-
-
-_PREFIXES = ((4, np.uint64(0xFFFFFFFF00000000)), (5, np.uint64(0xFFFFFFFFFF000000)))
-
-
-def features(key: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
-    """Feature codes of each token: the word (eight bytes and length), prefixes of four and five bytes."""
-    with np.errstate(over="ignore"):
-        out = [key * np.uint64(0x9E3779B97F4A7C15) + length.astype(np.uint64)]
-        for n, mask in _PREFIXES:
-            code = (key & mask) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n)
-            out.append(np.where(length >= n, code, np.uint64(0)))
-    return out
+    own = [mix(hash_words(low, starts, ends))]
+    for n in PREFIXES:
+        mask = np.uint64((1 << 64) - (1 << 8 * (8 - n)))
+        own.append(np.where(length >= n, mix((key & mask) + np.uint64(n)), np.uint64(0)))
+    stem = own[1 + PREFIXES.index(CONTEXT)]
+    first = np.searchsorted(starts, offsets)
+    before, after = np.zeros_like(stem), np.zeros_like(stem)
+    before[1:], after[:-1] = stem[:-1], stem[1:]
+    before[first[first < len(stem)]] = 0
+    after[first[first > 0] - 1] = 0
+    context = [np.where(c > 0, mix(c + np.uint64(k)), np.uint64(0)) for k, c in ((1, before), (2, after))]
+    return starts, ends, own + context
+
+
+#: Bytes of the prefixes of a word, and of those of its neighbours; features that are the token's own.
+PREFIXES, CONTEXT = (4, 5, 6), 5
+OWN = 1 + len(PREFIXES)
+#: Bound of the log-odds that enter a document's score.
+_ODDS = 8.0
 
 
 @dataclass
@@ -81,7 +95,7 @@ class Model:
     calibration: np.ndarray
 
     def emissions(self, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Which tokens have a lexicon feature, and the score of the toxic state of those."""
+        """Which tokens have a feature of the model, and the score of the toxic state of those."""
         score, active = np.zeros(len(codes[0])), np.zeros(len(codes[0]), bool)
         if len(self.lexicon):
             for code in codes:
@@ -132,8 +146,12 @@ class Model:
 
 
 def _summary(marginal: np.ndarray) -> np.ndarray:
-    top = float(marginal.max()) if len(marginal) else 0.0
-    return np.array([1.0, top, np.log1p(float(marginal.sum()))])
+    """Of the tokens' marginals: the largest, the log-odds that some token is toxic if they were independent, the sum."""
+    if not len(marginal):
+        return np.array([1.0, 0.0, -_ODDS, 0.0])
+    none = float(np.log1p(-np.minimum(marginal, 1 - 1e-9)).sum())
+    odds = np.log(-np.expm1(none) + 1e-12) - none
+    return np.array([1.0, float(marginal.max()), np.clip(odds, -_ODDS, _ODDS), np.log1p(float(marginal.sum()))])
 
 
 def _spread(texts: list[bytes]) -> list[bytes]:
@@ -142,7 +160,7 @@ def _spread(texts: list[bytes]) -> list[bytes]:
     out = []
     for text in texts:
         words = text.split()
-        hashes = sorted(hash((words[i], words[i + 1], words[i + 2])) for i in range(len(words) - 2))[:4]
+        hashes = sorted(zlib.crc32(b" ".join(words[i : i + 3])) for i in range(len(words) - 2))[:4]
         if seen.isdisjoint(hashes):
             out.append(text)
         seen.update(hashes)
@@ -153,61 +171,87 @@ def _arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text_buffer(pa.array(texts, pa.large_binary()))
 
 
-def fit(texts: list[bytes], labels: list[int], rounds: int = 120) -> Model:
+def _document_counts(texts: list[bytes]) -> list[Counter]:
+    """For each kind of feature, in how many of the texts a code occurs."""
+    out: list[Counter] = [Counter() for _ in range(OWN + 2)]
+    for text in texts:
+        for seen, code in zip(out, tokens(*_arrays([text]))[2], strict=True):
+            seen.update(np.unique(code[code > 0]).tolist())
+    return out
+
+
+def fit(texts: list[bytes], labels: list[int], rounds: int = STEPS) -> Model:
     """Fit the field on labelled texts (a bounded sample; runs in memory)."""
-    toxic = _spread([t for t, y in zip(texts, labels, strict=True) if y])
+    every = [t for t, y in zip(texts, labels, strict=True) if y]
+    toxic = _spread(every)
     clean = [t for t, y in zip(texts, labels, strict=True) if not y]
-    counts: list[Counter] = []
-    for group in (toxic, clean):
-        raw, offsets = _arrays(group)
-        starts, ends, key = tokens(raw, offsets)
-        doc = np.searchsorted(offsets[1:], starts, "right").astype(np.uint64)
-        seen: Counter = Counter()
-        for code in features(key, ends - starts):
-            pair = np.unique(np.stack([code, doc], 1)[code != 0], axis=0) if len(code) else np.zeros((0, 2), np.uint64)
-            u, c = np.unique(pair[:, 0], return_counts=True)
-            seen.update(dict(zip(u.tolist(), c.tolist(), strict=True)))
-        counts.append(seen)
     least = max(MIN_DOCS, MIN_SHARE * len(toxic))
-    chosen = [f for f, n in counts[0].items() if n >= least and np.log((n + 0.5) / (len(toxic) + 1)) - np.log((counts[1][f] + 0.5) / (len(clean) + 1)) >= MIN_LOG_RATIO]
-    model = Model(np.array(sorted(chosen), np.uint64), np.zeros(len(chosen)), -3.0, np.zeros((2, 2)), np.array([-5.0, 5.0, 1.0]))
-    if not chosen:
-        model.calibration = np.array([-50.0, 0.0, 0.0])
+    chosen, telling = set(), set()
+    for k, (bad, good) in enumerate(zip(_document_counts(toxic), _document_counts(clean), strict=True)):
+        for code, n in bad.items():
+            ratio = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((good[code] + 0.5) / (len(clean) + 1))
+            if n >= least and ratio >= MIN_LOG_RATIO:
+                chosen.add(code)
+                if ratio >= TELLING and k < OWN:
+                    telling.add(code)
+    model = Model(np.array(sorted(chosen), np.uint64), np.zeros(len(chosen)), -3.0, np.zeros((2, 2)), np.array([-5.0, 5.0, 1.0, 0.0]))
+    if not telling:
+        model.calibration = np.array([-50.0, 0.0, 0.0, 0.0])
         return model
-    _train(model, toxic, clean, rounds)
-    _calibrate(model, toxic, clean)
+    _train(model, toxic, clean, np.array(sorted(telling), np.uint64), rounds)
+    # The field learns from different texts; the scores are calibrated on all of the sample, as often as they occur.
+    _calibrate(model, every, clean)
     return model
 
 
-def _train(model: Model, toxic: list[bytes], clean: list[bytes], rounds: int, width: int = 17) -> None:
-    """Gradient ascent over windows around lexicon tokens and an equal number of others."""
-    windows, feats, gold = [], [], []
-    rng = np.random.default_rng(7)
-    for group, label in ((toxic, 1), (clean, 0)):
-        raw, offsets = _arrays(group)
-        starts, ends, key = tokens(raw, offsets)
-        codes = features(key, ends - starts)
-        active, _ = model.emissions(codes)
-        flag = np.zeros(len(starts), bool)
-        flag[active] = True
-        n = len(starts)
+def _windows(model: Model, texts: list[bytes], telling: np.ndarray, width: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray] | None:
+    """Windows of tokens around features and elsewhere: feature numbers (the last: none) and telling tokens."""
+    parts: list[list[np.ndarray]] = [[], []]
+    none = len(model.lexicon)
+    for at in range(0, len(texts), 256):
+        _, _, codes = tokens(*_arrays(texts[at : at + 256]))
+        place = [np.minimum(np.searchsorted(model.lexicon, c), none - 1) for c in codes]
+        number = np.stack([np.where(model.lexicon[p] == c, p, none) for p, c in zip(place, codes, strict=True)], 1).astype(np.int32)
+        n = len(number)
         if n < width:
             continue
-        at = np.concatenate([rng.permutation(active)[:4000], rng.integers(0, n, 2000)])
-        at = np.clip(at - rng.integers(0, width, len(at)), 0, n - width)[:, None] + np.arange(width)
-        f = np.stack([np.where(model.lexicon[np.minimum(np.searchsorted(model.lexicon, c), len(model.lexicon) - 1)] == c, np.searchsorted(model.lexicon, c), len(model.lexicon)) for c in codes], 1)
-        windows.append(at)
-        feats.append(f[at])
-        gold.append((flag[at] & bool(label)).astype(np.int64))
-    if not windows:
+        share = min(256, len(texts) - at) / len(texts)
+        active = np.flatnonzero((number < none).any(1))
+        spots = np.concatenate([rng.permutation(active)[: int(np.ceil(WINDOWS * share))], rng.integers(0, n, int(np.ceil(OTHER_WINDOWS * share)))])
+        rows = np.clip(spots - rng.integers(0, width, len(spots)), 0, n - width)[:, None] + np.arange(width)
+        parts[0].append(number[rows])
+        parts[1].append(np.isin(np.stack(codes[:OWN], 1), telling).any(1)[rows])
+    return (np.concatenate(parts[0]), np.concatenate(parts[1])) if parts[0] else None
+
+
+def _train(model: Model, toxic: list[bytes], clean: list[bytes], telling: np.ndarray, rounds: int, width: int = 17) -> None:
+    """Gradient ascent over the windows; between two fits the marginals relabel those of toxic documents."""
+    rng = np.random.default_rng(7)
+    found = [(_windows(model, group, telling, width, rng), label) for group, label in ((toxic, True), (clean, False))]
+    found = [(w, label) for w, label in found if w is not None]
+    if not found:
         return
-    f, y = np.concatenate(feats), np.concatenate(gold)
-    n, size = len(y), len(model.lexicon) + 1
-    params = np.zeros(size + 1 + 4)
-    params[size] = -2.0
+    f = np.concatenate([w[0] for w, _ in found])
+    of_toxic = np.repeat([label for _, label in found], [len(w[0]) for w, _ in found])[:, None]
+    y = np.concatenate([w[1] for w, _ in found]) & of_toxic
+    some = (f < len(model.lexicon)).any(2)
+    params = np.zeros(len(model.lexicon) + 1 + 1 + 4)
+    params[len(model.lexicon) + 1] = -2.0
+    for _ in range(FITS):
+        p1 = _ascend(params, f, y.astype(np.int64), rounds)
+        y = (p1 >= 0.5) & of_toxic & some
+    size = len(model.lexicon) + 1
+    model.weight, model.bias, model.transition = params[: size - 1].copy(), float(params[size]), params[size + 1 :].reshape(2, 2).copy()
+
+
+def _ascend(params: np.ndarray, f: np.ndarray, y: np.ndarray, rounds: int) -> np.ndarray:
+    """Changes the parameters (features, none, bias, transitions) by steps of adaptive size; the last marginals."""
+    n, width, kinds = f.shape
+    size = len(params) - 5
     first, second = np.zeros_like(params), np.zeros_like(params)
     pair_gold = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
     emit_gold = np.bincount(f[y == 1].ravel(), minlength=size).astype(float)
+    p1 = np.zeros((n, width))
     for step in range(1, rounds + 1):
         weight, bias, turn = params[:size].copy(), params[size], params[size + 1 :].reshape(2, 2)
         weight[-1] = 0
@@ -215,13 +259,11 @@ def _train(model: Model, toxic: list[bytes], clean: list[bytes], rounds: int, wi
         emit = np.stack([np.ones_like(e), np.exp(e)], 2)
         move = np.exp(turn)
         forward, scale = np.empty((n, width, 2)), np.empty((n, width))
-        a = emit[:, 0]
         for t in range(width):
             a = emit[:, 0] if t == 0 else (forward[:, t - 1] @ move) * emit[:, t]
             scale[:, t] = a.sum(1)
             forward[:, t] = a / scale[:, t, None]
-        back = np.ones((n, 2))
-        p1, pair = np.empty((n, width)), np.zeros((2, 2))
+        back, pair = np.ones((n, 2)), np.zeros((2, 2))
         for t in range(width - 1, -1, -1):
             both = forward[:, t] * back
             p1[:, t] = both[:, 1] / both.sum(1)
@@ -230,13 +272,13 @@ def _train(model: Model, toxic: list[bytes], clean: list[bytes], rounds: int, wi
                 pair += move * (forward[:, t - 1].T @ right)
                 back = right @ move.T
         grad = np.empty_like(params)
-        grad[:size] = emit_gold - np.bincount(f.reshape(-1, f.shape[2]).ravel(), np.repeat(p1.ravel(), f.shape[2]), size)
+        grad[:size] = emit_gold - np.bincount(f.ravel(), np.repeat(p1.ravel(), kinds), size)
         grad[size] = y.sum() - p1.sum()
         grad[size + 1 :] = (pair_gold - pair).ravel()
-        grad = grad / n - 2e-4 * params
+        grad = grad / n - PENALTY * params
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         params += 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    model.weight, model.bias, model.transition = params[: size - 1], float(params[size]), params[size + 1 :].reshape(2, 2)
+    return p1
 
 
 def _calibrate(model: Model, toxic: list[bytes], clean: list[bytes]) -> None:
@@ -246,10 +288,10 @@ def _calibrate(model: Model, toxic: list[bytes], clean: list[bytes]) -> None:
         for _, marginal in _documents(model, *_arrays(group)):
             x.append(_summary(marginal))
             y.append(label)
-    x, y, w = np.array(x), np.array(y), np.zeros(3)
+    x, y, w = np.array(x), np.array(y), np.zeros(4)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
         w += np.linalg.solve(hess, x.T @ (y - p) - 1e-2 * w)
     model.calibration = w
 
@@ -261,8 +303,8 @@ def _documents(model: Model, raw: np.ndarray, offsets: np.ndarray) -> Iterator[t
     while at < n_docs:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
         own = offsets[at : to + 1] - offsets[at]
-        starts, ends, key = tokens(raw[offsets[at] : offsets[to]], own)
-        index, score = model.emissions(features(key, ends - starts))
+        starts, ends, codes = tokens(raw[offsets[at] : offsets[to]], own)
+        index, score = model.emissions(codes)
         first = np.searchsorted(starts, own)
         cut = np.searchsorted(index, first)
         for d in range(to - at):
@@ -277,17 +319,18 @@ def _documents(model: Model, raw: np.ndarray, offsets: np.ndarray) -> Iterator[t
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tuple[list[bytes], list[int]]:
-    """At most MAX_TOXIC and MAX_CLEAN labelled texts, the least by a hash of the id."""
+    """At most MAX_TOXIC and MAX_CLEAN labelled texts of MAX_BYTES in all, the least by a hash of the id."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     if usable is not None:
         marks = marks.where(usable)
-    picked = None
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = []
     for label, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         part = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        picked = part if picked is None else picked.union(part)
-    # The sample holds at most MAX_TOXIC + MAX_CLEAN ids of sixteen bytes, so its broadcast is bounded.
-    rows = documents(docs).join(F.broadcast(picked), "doc_id").toArrow()
-    return [t.encode() for t in rows.column("text").to_pylist()], rows.column("toxic").to_pylist()
+        picked += [(r["doc_id"], r["toxic"]) for r in part.collect()]
+    toxic = dict(picked)
+    texts = bounded_texts(docs, list(toxic), MAX_BYTES)
+    return [t.encode() for _, t in texts], [toxic[i] for i, _ in texts]
 
 
 def _score_batches(model: Model, spans: bool) -> object:

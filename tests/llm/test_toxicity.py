@@ -69,3 +69,25 @@ def test_held_out_labels_are_not_used(spark, docs):
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
     none = labels.limit(0)
     assert T.toxicity(docs, none).where("score > 0.5").count() == 0
+
+
+def test_ties_repeats_and_bounds_of_the_sample(spark, monkeypatch):
+    texts, labels = corpus(120)
+    rows = [(i, t, "x", 1.0) for i, t in enumerate(texts)] + [(0, texts[0], "y", 2.0)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score double").repartition(3)
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate(labels)] * 2, "doc_id long, toxic int")
+    got, y = T.sample(df, marks)
+    assert sorted(got) == sorted(t.encode() for t in texts) and sum(y) == sum(labels)
+    monkeypatch.setattr(T, "MAX_BYTES", 1000)
+    assert sum(len(t) for t in T.sample(df, marks)[0]) <= 1000
+    model = T.fit([t.encode() for t in texts], labels)
+    again = T.fit([t.encode() for t in texts], labels)
+    assert (model.weight == again.weight).all()
+    scores = T.score(df, model, spans=False).where("doc_id = 0").distinct().collect()
+    assert len(scores) == 1
+
+
+def test_long_words_are_read_whole():
+    raw, offsets = T._arrays([b"abcdefgh" + b"x" * 50 + b"y", b"abcdefgh" + b"x" * 50 + b"z"])
+    codes = T.tokens(raw, offsets)[2]
+    assert codes[0][0] != codes[0][1] and codes[1][0] == codes[1][1] and not codes[-1].any() and not codes[-2].any()
