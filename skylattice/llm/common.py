@@ -10,39 +10,24 @@ Conventions used by every operator of this folder:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is made only where none is set (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    made = spark.sparkContext.getCheckpointDir()
-    if made is None:
-        made = tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.sparkContext.setCheckpointDir(made)
-        made = spark.sparkContext.getCheckpointDir()
-    return made
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,6 +59,20 @@ def bounded_texts(docs: DataFrame, ids: list[int], most_bytes: int) -> list[tupl
     return [(i, texts[i]) for i in chosen]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose id is not in ``gone(doc_id)``; null ids stay.  Columns of any name are kept."""
+    key = unused(docs, "gone")
+    return docs.join(gone.select(F.col("doc_id").alias(key)), F.col("doc_id") == F.col(key), "left_anti")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -85,18 +84,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 LOWER_BYTES = LOWER.tobytes()
-#: Random odd multiplier of the word hash, and its powers for words of up to 2**16 bytes.
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    with np.errstate(over="ignore"):
-        out[1:] = np.uint64(_BASE)
-        return np.multiply.accumulate(out)
-
-
-_POW = _powers(1 << 12)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+#: The low bytes of a little-endian block, by how many of the word are in it.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,60 +125,20 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
-    """64-bit hashes of byte ranges: a polynomial in the bytes, then mixed with the length."""
-    out = np.zeros(len(starts), np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(starts), block):
-            s, e = starts[at : at + block], ends[at : at + block]
-            ln = e - s
-            cut = np.zeros(len(ln), np.int64)
-            np.cumsum(ln[:-1], out=cut[1:])
-            k = np.arange(int(ln.sum()), dtype=np.int64) - np.repeat(cut, ln)
-            longest = int(ln.max())
-            power = _POW if longest <= len(_POW) else _powers(longest)
-            value = (raw[np.repeat(s, ln) + k].astype(np.uint64) + np.uint64(1)) * power[k]
-            out[at : at + block] = mix(np.add.reduceat(value, cut) + ln.astype(np.uint64))
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: blocks of eight bytes enter one by one, each with a full mixing."""
+    length = ends - starts
+    out = mix(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(starts):
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    now = np.flatnonzero(length <= LONG_WORD)
+    at, left = starts[now], length[now]
+    while len(now):
+        out[now] = mix(out[now] ^ mix(blocks[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        now, at, left = now[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
     return out
-
-
-# ---------------------------------------------------------------- connected components
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, root)``; root is the least node.
-
-    Alternates the large-star and small-star steps until the edge set stops changing, so a
-    component of any diameter needs a logarithmic number of rounds.  Minima are pre-aggregated
-    and joined back, so a hub is never gathered in one group.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            near = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            near = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = near.join(least, "a")
-        if large:
-            out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-        return row["n"], row["s"]
-
-    now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = mark(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        now = staged(star(star(now, True), False), "edges")
-        last, seen = seen, mark(now)
-        if last == seen:
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

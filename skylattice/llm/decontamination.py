@@ -3,12 +3,14 @@
 ``build_index`` writes one row per segment (a block of whole documents): the segment's distinct
 terms, sorted by hash, and the positions of each term in the segment.  Documents are a gap apart, so
 no match crosses their bounds.  ``search`` takes the benchmark's windows, in blocks of at most
-``WINDOW_BLOCK``, to every segment: it looks the terms up, starts from the postings of each window's
+``WINDOW_BLOCK`` of which the driver holds one, to every segment: it looks the terms up, starts from the postings of each window's
 rarest term, shifts them by the term's offset and intersects them with the postings of the next
 rarest terms until all ten agree.  Nothing is shuffled but the (document, item) hits.
 
 Null or wordless texts have no words, no hits and are clean.  An item without words has no window.
-Repeated rows of either table count on their own (an item id is listed once).
+Repeated rows of either table count on their own (an item id is listed once).  Of equally rare terms
+the first of a window starts the search, which changes no result.  A very long text is a segment by
+itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, hash_words, staged, text_buffer, word_spans
+from .common import LOWER, documents, hash_words, staged, text_buffer, without, word_spans
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
@@ -239,18 +241,29 @@ _RESULT = pa.schema([("segment", pa.string()), ("row", pa.int32()), ("doc_id", p
 def search(index: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: its items and the word ranges of their windows.
 
-    The benchmark is read once on the driver as a stream of blocks of bounded size; a benchmark of
-    several blocks makes one pass over the index for each, and the passes' rows are joined.
+    The benchmark streams through the driver in blocks of at most WINDOW_BLOCK windows, one at a time.
+    A benchmark of one block is a single pass over the index; with several, each block's hits are
+    written before the next block is read, and joined with the index's documents at the end.
     """
     rows = ((r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id").toLocalIterator())
-    parts = [index.mapInArrow(_search_batches(block), RESULT) for block in windows(rows)]
-    if not parts:
-        parts = [index.mapInArrow(_search_batches(Windows([], np.zeros((0, WINDOW), np.uint64), np.zeros(0, np.int64))), RESULT)]
-    out = reduce(DataFrame.unionAll, parts)
-    if len(parts) > 1:
-        lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items", "hits")]
-        out = out.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
-    return out
+    blocks = windows(rows)
+    first = next(blocks, Windows([], np.zeros((0, WINDOW), np.uint64), np.zeros(0, np.int64)))
+    second = next(blocks, None)
+    if second is None:
+        return index.mapInArrow(_search_batches(first), RESULT)
+
+    def hits(block: Windows) -> DataFrame:
+        return staged(index.mapInArrow(_search_batches(block), RESULT).where("size(near_items) > 0").select("segment", "row", "items", "near_items", "hits"), "window-hits")
+
+    parts = [hits(first), hits(second)]
+    parts += [hits(block) for block in blocks]
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items", "hits")]
+    # One entry from each block at most, so what is gathered for a document is what its row returns.
+    gathered = reduce(DataFrame.unionAll, parts).groupBy("segment", "row").agg(*lists)
+    every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("row", "d")).select("segment", "row", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
+    full = every.join(gathered, ["segment", "row"], "left")
+    empty = {c: F.coalesce(F.col(c), F.array().cast(index.sparkSession.createDataFrame([], RESULT).schema[c].dataType)).alias(c) for c in ("items", "near_items", "hits")}
+    return full.select("segment", "row", "doc_id", "n_words", *empty.values())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -284,5 +297,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark window, with all their columns; a null id always stays."""
-    hit = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    hit = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
+    return without(docs, hit)

@@ -1,24 +1,29 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and identifiers.
 
 DataFrame functions alone.  Matches get their code-point offsets by marking them in the text and
-splitting at the marks.  Strings of at least ``MIN_LENGTH`` key characters outside the patterns'
-matches are scored by the log-likelihood ratio of two first-order character models: one of random
+splitting at the marks.  Strings of at least ``MIN_LENGTH`` key characters in what the patterns' matches
+leave of a text are scored by the log-likelihood ratio of two first-order character models: one of random
 strings (values that the patterns find in a bounded sample, and digests in hex and base 64), one of
 the other words of the sample.  A string holds a secret if in some stretch of ``MIN_LENGTH`` or more
 of its characters the ratio is at least ``MIN_BITS`` in all and ``MIN_BITS_EACH`` for each
 transition, so what is joined to a secret can't hide it; the span is the whole string.
 
-Null and empty texts have no spans.  Repeated rows get equal results.  An empty table gives no rows,
-and a corpus without samples is scanned with the models of the digests alone.
+Arrays of matches are built in blocks of ``BLOCK``, so work grows with the text and its matches even in
+very long texts.  Null and empty texts have no spans.  Repeated rows get equal results.  Spans that
+start together are listed by kind; a sum equal to a limit reaches it.  An empty table gives no rows, and
+a corpus without samples is scanned with the models of the digests alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Kinds in the order in which spans of one start are listed: marking pattern, quick test of a text.
 KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 ASSIGN = KEYWORD + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -37,35 +42,101 @@ MAX_DOCUMENTS, DIGESTS = 1500, 1000
 #: Weight, in counts, of the characters' own frequencies in each transition.
 PRIOR = 2.0
 
+#: Parts of a text that are handled at once (even, so that each block starts outside a match).
+BLOCK = 256
+
 _MARK, _OTHER = "\ue000", "\ue001"
 SPAN = "array<struct<start:int,end:int,s:string>>"
 KINDS = ("assign", "access", "hex", "markov")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running results before each of a few values, from zero, and the last."""
+    start = F.struct(F.lit(0).alias("now"), F.array(F.lit(0)).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = combine(acc["now"], x)
+        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
+
+
+def _numbers(items: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / BLOCK).cast("int"))
+
+
+def _block(items: Column, b: Column) -> Column:
+    return F.slice(items, b * BLOCK + 1, BLOCK)
+
+
 def matches(text: Column, pattern: str, test: str) -> Column:
     """All leftmost matches of a pattern as (start, end, s); ``test`` finds the texts worth marking."""
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
     none = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
         span = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("s")))
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.split(marked, _MARK), zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(test), found).otherwise(none)
+    def found(parts: Column) -> Column:
+        sums = F.transform(_numbers(parts), lambda b: F.aggregate(_block(parts, b), F.lit(0), lambda acc, x: acc + F.length(x)))
+
+        def spans(starts: Column) -> Column:
+            zero = lambda b: F.struct(F.get(starts, b).alias("at"), F.lit(False).alias("odd"), none.alias("out"))
+            return F.flatten(F.transform(_numbers(parts), lambda b: F.aggregate(_block(parts, b), zero(b), step, lambda acc: acc["out"])))
+
+        return _let(_before(sums, lambda x, y: x + y), spans)
+
+    return F.when(text.rlike(test), _let(F.split(marked, _MARK), found)).otherwise(none)
+
+
+def rebuilt(text: Column, spans: Column, piece: Callable[[Column, Column, Column], Column]) -> Column:
+    """The text with ``piece(start, end, fresh)`` for each of the sorted (start, end); start is where the
+    span leaves earlier ones, and fresh says whether it overlaps none."""
+
+    def build(x: Column) -> Column:
+        tops = F.transform(_numbers(x), lambda b: F.aggregate(_block(x, b), F.lit(0), lambda acc, y: F.greatest(acc, y["end"])))
 
+        def put(reach: Column) -> Column:
+            def block(b: Column) -> Column:
+                first = F.get(reach, b)
 
-def base_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``text`` and the spans ``assign``, ``access`` and ``hex`` of the fixed patterns."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*keep, text.alias("text"))
-    return rows.select(
-        "*",
-        F.filter(matches(F.col("text"), ASSIGN, ASSIGN.removesuffix("+)") + f"{{{MIN_ASSIGNED},}})"), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= MIN_ASSIGNED).alias("assign"),
-        F.filter(matches(F.col("text"), ACCESS, f"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}"), lambda x: F.length(x["s"]) >= MIN_ACCESS).alias("access"),
-        matches(F.col("text"), HEX, HEX).alias("hex"),
+                def pieces(own: Column) -> Column:
+                    def step(acc: Column, y: Column) -> Column:
+                        gap = F.substring(own, acc["at"] - first + 1, F.greatest(F.lit(0), y["start"] - acc["at"]))
+                        new = piece(F.greatest(acc["at"], y["start"]), F.greatest(acc["at"], y["end"]), y["start"] >= acc["at"])
+                        return F.struct(F.greatest(acc["at"], y["end"]).alias("at"), F.concat(acc["out"], F.array(gap, new)).alias("out"))
+
+                    start = F.struct(first.alias("at"), F.array().cast("array<string>").alias("out"))
+                    return F.aggregate(_block(x, b), start, step, lambda acc: acc["out"])
+
+                return _let(F.substring(text, first + 1, F.get(reach, b + 1) - first), pieces)
+
+            rest = F.substring(text, F.element_at(reach, -1) + 1, F.length(text))
+            return F.concat(F.array_join(F.flatten(F.transform(_numbers(x), block)), ""), rest)
+
+        return _let(_before(tops, lambda a, c: F.greatest(a, c)), put)
+
+    return F.when(F.size(spans) > 0, _let(spans, build)).otherwise(text)
+
+
+def _bounds(*lists: Column) -> Column:
+    """All spans as sorted (start, end)."""
+    return F.array_sort(F.transform(F.concat(*lists), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+
+
+def base_spans(text: Column) -> Column:
+    """The spans ``assign``, ``access`` and ``hex`` of the fixed patterns, as a struct."""
+    return F.struct(
+        F.filter(matches(text, ASSIGN, ASSIGN.removesuffix("+)") + f"{{{MIN_ASSIGNED},}})"), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= MIN_ASSIGNED).alias("assign"),
+        F.filter(matches(text, ACCESS, f"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}"), lambda x: F.length(x["s"]) >= MIN_ACCESS).alias("access"),
+        matches(text, HEX, HEX).alias("hex"),
     )
 
 
@@ -90,7 +161,8 @@ def train(docs: DataFrame) -> list[int]:
     spark = docs.sparkSession
     ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS)
     # At most MAX_DOCUMENTS ids of eight bytes are broadcast.
-    marked = base_spans(docs.join(F.broadcast(ids.distinct()), "doc_id"))
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").select(text.alias("text"), base_spans(text).alias("base")).select("text", "base.*")
     values = F.concat(F.transform("assign", lambda x: F.regexp_extract(x["s"], ASSIGN, 2)), F.transform("access", lambda x: x["s"]), F.transform("hex", lambda x: x["s"]))
     cleaned = F.transform(values, lambda v: F.regexp_replace(v, "[^A-Za-z0-9+/_=-]", ""))
     digest = spark.range(DIGESTS).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
@@ -123,14 +195,24 @@ def holds_secret(s: Column, table: Column) -> Column:
     return F.aggregate(chars, F.struct(F.array(zero).alias("recent"), far.alias("low"), F.lit(False).alias("hit"), F.lit(-1).alias("a")), step, lambda acc: acc["hit"])
 
 
-def find(docs: DataFrame, table: list[int] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``text`` and the spans of the four kinds; ``markov`` has those that the models add."""
-    table = train(docs) if table is None else table
-    rows = base_spans(docs, keep).withColumn("_base", F.concat("assign", "access", "hex"))
+def spans_of(text: Column, table: list[int]) -> Column:
+    """The spans of the four kinds as a struct; ``markov`` has those that the models add."""
+    text = F.coalesce(text, F.lit(""))
     values = F.lit(table) if table else F.array().cast("array<int>")
-    candidates = matches(F.col("text"), LONG, LONG)
-    alone = F.filter(candidates, lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.withColumn("markov", F.filter(alone, lambda c: holds_secret(c["s"], values))).drop("_base")
+
+    def with_models(base: Column) -> Column:
+        known = [base[k] for k in KINDS[:3]]
+        blanked = rebuilt(text, _bounds(*known), lambda start, end, fresh: F.repeat(F.lit(" "), end - start))
+        added = _let(blanked, lambda rest: F.filter(matches(rest, LONG, LONG), lambda c: holds_secret(c["s"], values)))
+        return F.struct(*[x.alias(k) for k, x in zip(KINDS, [*known, added], strict=True)])
+
+    return _let(base_spans(text), with_models)
+
+
+def find(docs: DataFrame, table: list[int] | None = None) -> DataFrame:
+    """``doc_id``, ``text`` and the spans of the four kinds in every document."""
+    table = train(docs) if table is None else table
+    return docs.select("doc_id", "text", spans_of(F.col("text"), table).alias("spans")).select("doc_id", "text", "spans.*")
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
@@ -152,19 +234,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, replacement: str = "[secret]") -> DataFrame:
-    """The documents with every secret of the text replaced; ``n_chars`` follows, all else stays."""
-    others = tuple(c for c in docs.columns if c != "text")
-    found = find(docs, keep=others)
-    spans = F.array_sort(F.transform(F.concat(*[F.col(k) for k in KINDS]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(replacement))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    text = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = found.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
+    """The documents with every secret of the text replaced (overlapping ones once); ``n_chars`` follows
+    where there were some, all else stays, null texts too.  Columns of any name are kept."""
+    name = unused(docs, "spans")
+    rows = docs.withColumn(name, spans_of(F.col("text"), train(docs)))
+    spans = _bounds(*[F.col(name)[k] for k in KINDS])
+    some = sum((F.size(F.col(name)[k]) for k in KINDS), F.lit(0)) > 0
+    clean = rebuilt(F.col("text"), spans, lambda start, end, fresh: F.when(fresh, F.lit(replacement)).otherwise(F.lit("")))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.when(some, clean).otherwise(F.col("text"))}
+    rows = rows.select(name, *[x.alias(c) for c, x in columns.items()])
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*[f"`{c}`" for c in docs.columns])

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import shingles
-from .common import LOWER_BYTES, components, documents, staged
+from ..operators.graph import connected_components
+from .common import LOWER_BYTES, documents, staged, without
 
 #: Segments of the fingerprint: first bit and number of bits.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document (see the module's docstring)."""
     marks = staged(fingerprints(docs), "simhash")
     least = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(least))
+    roots = connected_components(links(least))
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -167,5 +168,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     always stays.
     """
     found = shingles.near_duplicates(docs)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti")
+    return without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))

@@ -37,5 +37,18 @@ def test_frequent_lines(spark):
     assert by[200]["removed_chars"] == 0 and by[200]["kept"]
 
 
+def test_documents_count_by_id_and_host(spark):
+    line = "Subscribe to our newsletter for more of it today"
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    # One id in many rows is one document; a null host and the empty one are two hosts.
+    rows = [(1, f"{line}\n{body(1)}", "a")] * 30 + [(100 + i, f"{line}\n{body(i)}", None) for i in range(15)] + [(200 + i, f"{line}\n{body(i)}", "") for i in range(15)]
+    got = Q.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(r["removed_chars"] == 0 and r["kept"] for r in got)
+    # The same id and text under a host where the line is frequent and one where it isn't.
+    rows = [(i, f"{line}\n{body(i)}", "a") for i in range(30)] + [(3, f"{line}\n{body(3)}", "b")]
+    removed = sorted(r["removed_chars"] for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r["doc_id"] == 3)
+    assert removed == [0, len(line)]
+
+
 def test_empty(empty):
     assert Q.quality(empty).count() == 0

@@ -89,12 +89,54 @@ def test_limits_hold_for_some_stretch(spark):
 
 
 def test_redact(spark):
-    df = spark.createDataFrame([(1, "a password=abcdef b", 19, "k"), (2, None, None, "k"), (3, "clean", 5, "k")], "doc_id long, text string, n_chars long, assign string")
+    columns = ["assign", "access", "hex", "markov", "_base", "_spans", "spans", "base"]
+    rows = [(1, "a password=abcdef b", 19, *"clashing"), (2, None, None, *"clashing"), (3, "clean", 5, *"clashing"), (4, "token=" + "0" * 30 + "xyz AKIA" + "A" * 20, 9, *"clashing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in columns))
     table = [0] * len(S.ALPHABET) ** 2
     found = S.find(df.select("doc_id", "text"), table).where("doc_id = 1").first()
     assert [(s["start"], s["end"]) for s in found["assign"]] == [(2, 17)]
-    rows = {r["doc_id"]: r for r in S.redact(df.drop("assign")).collect()}
-    assert rows[1]["text"] == "a [secret] b" and rows[1]["n_chars"] == 12 and rows[3]["text"] == "clean"
+    out = S.redact(df)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["text"] == "a [secret] b" and got[1]["n_chars"] == 12 and got[3]["text"] == "clean"
+    assert got[2]["text"] is None and got[2]["n_chars"] is None and got[4]["text"] == "[secret] [secret]"
+    assert all("".join(r[c] for c in columns) == "clashing" for r in got.values())
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    took = {}
+    for n in (4_000, 32_000):
+        text = "token=abcdef12 " * n + "z"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = S.scan(df).first()
+        clean = S.redact(df).first()["text"]
+        took[n] = time.perf_counter() - start
+        assert row["n_assign"] == n and row["base_sha256"] == hashlib.sha256(",".join(f"assign:{15 * i}:{15 * i + 14}" for i in range(n)).encode()).hexdigest()
+        assert clean == "[secret] " * n + "z"
+    assert took[32_000] < 16 * took[4_000] + 5
+
+
+def test_overlaps_and_blocks_against_direct(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    r = random.Random(8)
+    parts = ["token=", "0123456789abcdef" * 2, "secret: ", "AKIA" + "B" * 18, " ", " plain words ", "passwd='longvalue' ", "é", "\n"]
+    rows = [(i, "".join(r.choices(parts, k=r.randint(0, 40)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x for x in S.find(df, []).collect()}
+    for i, text in rows:
+        spans = sorted((a, k, b) for a, k, b in base(text))
+        assert sorted((s["start"], k, s["end"]) for k, name in enumerate(S.KINDS[:3]) for s in found[i][name]) == spans
+        merged, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                merged += text[at:a] + "#"
+            at = max(at, b)
+        piece = lambda start, end, fresh: F.when(fresh, F.lit("#")).otherwise(F.lit(""))
+        one = df.where(F.col("doc_id") == i).select(S._let(S.base_spans(F.col("text")), lambda x: S.rebuilt(F.col("text"), S._bounds(x["assign"], x["access"], x["hex"]), piece)).alias("t")).first()["t"] if i < 12 else None
+        assert one is None or one == merged + text[at:]
 
 
 def test_empty(empty):
