@@ -163,20 +163,24 @@ def sample(docs: DataFrame, usable: Column) -> tuple[list[str], list[str]]:
     """At most MAX_DOCUMENTS texts of MAX_BYTES in all with their languages: an equal share of each, the least by a hash of the id."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     known = known.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    languages = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_DOCUMENTS // LEAST_EACH).collect()
+    ids = known.select("doc_id", "lang").distinct()
+    languages = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_DOCUMENTS // LEAST_EACH).collect()
     if not languages:
         return [], []
     # What rare languages leave of their equal shares goes to the others.
-    quota, room = {}, MAX_DOCUMENTS
+    quota, reach, room = {}, {}, MAX_DOCUMENTS
     for k, row in enumerate(sorted(languages, key=lambda r: (r["count"], r["lang"]))):
-        quota[row["lang"]] = min(row["count"], room // (len(languages) - k))
-        room -= quota[row["lang"]]
-    shares = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
-    # Each partition keeps its first rows by hash before any shuffle, so a hot language is no hot task.
-    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= max(quota.values()))
+        most = quota[row["lang"]] = min(row["count"], room // (len(languages) - k))
+        room -= most
+        # Hashes below this hold the least ones, and few more: the ranks below are over a bounded set.
+        reach[row["lang"]] = int(min(1.0, (most + 6 * most**0.5 + 10) / row["count"]) * (1 << 31))
+    by_language = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])[F.col("lang")]
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    near = ids.where(place < by_language(reach))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= by_language(quota))
     language: dict[int, str] = {}
-    for row in ids.where(F.col("rank") <= shares[F.col("lang")]).orderBy("doc_id", F.desc("lang")).select("doc_id", "lang").collect():
+    for row in chosen.orderBy("doc_id", F.desc("lang")).select("doc_id", "lang").collect():
         language[row["doc_id"]] = row["lang"]
     texts = bounded_texts(docs.where(F.col("text").isNotNull()), list(language), MAX_BYTES)
     return [t for _, t in texts], [language[i] for i, _ in texts]
