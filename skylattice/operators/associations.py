@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angular_size_arcmin, icrs_to_galactic_spherical
+from ..sources.tables import written
 from .graph import connected_components
+from .profiles import aperture_mean
+from .rows import computed, numbered
+from .significance import signal_pvalue
 from .spatial import cell_neighbours
 
 
@@ -29,8 +33,7 @@ def density_clusters(halos: DataFrame, eps: float = 1.75, min_samples: int = 9)
     roots = connected_components(edges)
     rooted = core.join(roots, core["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
     border = from_core.join(rooted, "id").join(core.withColumnRenamed("id", "other"), "other", "left_anti").groupBy("other").agg(F.min("root").alias("root")).select(F.col("other").alias("id"), "root")
-    # One row for each cluster is numbered.
-    labels = rooted.select("root").distinct().withColumn("label", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
+    labels = numbered(rooted.select("root").distinct(), F.col("root"), name="label").withColumn("label", F.col("label").cast("int"))
     return rooted.unionByName(border).join(labels, "root").select("id", "label")
 
 
@@ -66,9 +69,36 @@ def member_sky(members: DataFrame, centre: tuple, radius_col: str = "r500") -> D
     if radius_col not in members.columns:
         raise KeyError(f"no column {radius_col}; there are {', '.join(members.columns)}")
     r, ell, b = icrs_to_galactic_spherical(F.col("x"), F.col("y"), F.col("z"), centre)
-    return members.withColumns({"r": r, "ell": ell, "b": b}).withColumn("theta500", angular_size_arcmin(F.col(radius_col), F.col("r")))
+    rows = computed(members, r=r, ell=ell, b=b)
+    return computed(rows, theta500=angular_size_arcmin(F.col(radius_col), F.col("r")))
 
 
 def median_position(members: DataFrame) -> DataFrame:
     """Medians of position, distance and size, each on its own."""
     return members.groupBy("label").agg(*[F.median(c).alias(f"median_{c}") for c in ("r", "ell", "b", "theta500")])
+
+
+def centroid_sky(summary: DataFrame, centre: tuple) -> DataFrame:
+    """Adds distance and Galactic position of each centroid ``(cx, cy, cz)`` seen from the centre."""
+    r, ell, b = icrs_to_galactic_spherical(F.col("cx"), F.col("cy"), F.col("cz"), centre)
+    return computed(summary, centroid_r=r, centroid_ell=ell, centroid_b=b)
+
+
+def association_signals(members: DataFrame, sky_map: DataFrame, nside: int, pool: DataFrame, centre: tuple, radius_col: str = "r500") -> tuple[DataFrame, DataFrame]:
+    """Signals and p-values of associations: of all members, and at the median positions.
+
+    The members ``(id, label, x, y, z, radius)`` gain distance, Galactic position, angular size, the mean
+    of the map inside it and the pool's upper tail; each label gets the medians, and signal and p-value
+    there.  Every step is one plan over all members and labels.
+    """
+    placed = written(member_sky(members, centre, radius_col), "member-sky")
+
+    def measured(rows: DataFrame, key: str, ell: str, b: str, theta: str) -> DataFrame:
+        at = rows.select(key, F.col(ell).alias("lon"), F.col(b).alias("lat"), F.col(theta).alias("theta"))
+        signal = aperture_mean(at, sky_map, nside, F.col("theta"), key).select(key, "signal")
+        return signal_pvalue(at.select(key, "theta").join(signal, key), pool, key).select(key, "signal", F.col("p").alias("pval"))
+
+    each = placed.join(measured(placed, "id", "ell", "b", "theta500"), "id")
+    medians = written(median_position(placed), "medians")
+    found = measured(medians, "label", "median_ell", "median_b", "median_theta500")
+    return each, medians.join(found.select("label", F.col("signal").alias("median_signal"), F.col("pval").alias("median_pval")), "label")

@@ -22,19 +22,19 @@ def mass_bin_edges(masses: DataFrame, step: float = 0.2, top_counts: tuple[int,
     facts = log_mass.agg(F.count("*").alias("n"), F.min("lm").alias("low"), F.max("lm").alias("high")).first()
     if not facts["n"]:
         return []
-    counts = [c for c in top_counts if c > 0]
     ends, total = [], 0
-    for c in counts:
-        total = min(total + c, facts["n"])
+    for c in top_counts:
+        total = min(total + max(c, 0), facts["n"])
         ends.append(total)
     top = log_mass.orderBy(F.col("lm").desc(), key).limit(max(ends, default=0)).withColumn("rank", F.row_number().over(Window.orderBy(F.col("lm").desc(), key)))
     at = {r["rank"]: r["lm"] for r in top.where(F.col("rank").isin(ends)).collect()} if ends else {}
     bins, hi, used = [], None, 0
-    for c, end in zip(counts, ends, strict=True):
+    for place, (c, end) in enumerate(zip(top_counts, ends, strict=True)):
         if end == used:
             continue
         lo = at[end]
-        bins.append({"bin_idx": len(bins), "lo": lo, "hi": hi, "label": f"{'top' if not bins else 'next'}{c}"})
+        # The label has the number of groups found, which can be less than asked for.
+        bins.append({"bin_idx": len(bins), "lo": lo, "hi": hi, "label": f"{'next' if place else 'top'}{end - used}", "first": used, "end": end})
         hi, used = lo, end
     hi = facts["high"] if hi is None else hi
     while True:
@@ -58,5 +58,30 @@ def assign_bins(rows: DataFrame, bins: list[dict], value: str = "log_mass") -> D
     return rows.join(F.broadcast(table), (F.col(value) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(value) < F.col("hi"))))
 
 
-def bin_summary(binned: DataFrame, value: str = "log_mass") -> DataFrame:
-    return binned.groupBy("bin_idx", "lo", "hi").agg(F.count("*").alias("count"), F.median(value).alias("median_log_mass"))
+def bin_members(masses: DataFrame, bins: list[dict], key: str = "key") -> DataFrame:
+    """``bin_idx, log_mass`` of the groups that made each bin: the heads by rank (ties by key), the steps by
+    value, the last step with its upper edge.  The heads' total is bounded by the counts asked for."""
+    log_mass = masses.select(F.log10("mass").alias("log_mass"), key)
+    heads = [b for b in bins if b["label"] is not None]
+    steps = [b for b in bins if b["label"] is None]
+    table = lambda rows: masses.sparkSession.createDataFrame(rows, "bin_idx int, a double, b double, closed boolean")
+    last = max((b["bin_idx"] for b in steps), default=None)
+    edges = table([(b["bin_idx"], float(b["lo"]), float(b["hi"]), b["bin_idx"] == last) for b in steps])
+    x = F.col("log_mass")
+    out = log_mass.join(F.broadcast(edges), (x >= F.col("a")) & ((x < F.col("b")) | (F.col("closed") & (x == F.col("b"))))).select("bin_idx", "log_mass")
+    if heads:
+        order = [x.desc(), F.col(key)]
+        top = log_mass.orderBy(*order).limit(heads[-1]["end"]).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        ranks = table([(b["bin_idx"], float(b["first"]), float(b["end"]), False) for b in heads])
+        out = out.unionByName(top.join(F.broadcast(ranks), (F.col("rank") > F.col("a")) & (F.col("rank") <= F.col("b"))).select("bin_idx", "log_mass"))
+    return out
+
+
+def bin_summary(binned: DataFrame, bins: list[dict], masses: DataFrame | None = None, value: str = "log_mass", key: str = "key") -> DataFrame:
+    """Every bin with its edges, the count of the rows selected again and the median of the groups that made
+    it (of the selected rows without ``masses``); an empty bin has count 0 and no median."""
+    table = binned.sparkSession.createDataFrame([(b["bin_idx"], b["lo"], b["hi"]) for b in bins], "bin_idx int, lo double, hi double")
+    counts = binned.groupBy("bin_idx").agg(F.count("*").alias("count"))
+    members = binned if masses is None else bin_members(masses, bins, key)
+    medians = members.groupBy("bin_idx").agg(F.median(value).alias("median_log_mass"))
+    return table.join(counts, "bin_idx", "left").join(medians, "bin_idx", "left").withColumn("count", F.coalesce("count", F.lit(0)))

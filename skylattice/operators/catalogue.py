@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angular_size_arcmin, icrs_to_galactic_spherical
+from ..sources.tables import part_types as known_types
+from .rows import computed, numbered
 
 
 def renamed(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -39,7 +41,7 @@ def fof_units(groups: DataFrame, flip_xz: bool = False) -> DataFrame:
 
 def particles(snapshot: DataFrame, part_types: list[str] | None = None, flip_xz: bool = False) -> DataFrame:
     """Positions of the given particle types; unknown types are ignored unless none is left."""
-    known = [r["part_type"] for r in snapshot.select("part_type").distinct().where(F.col("part_type").startswith("PartType")).orderBy("part_type").collect()]
+    known = known_types(snapshot)
     chosen = known if part_types is None else [t for t in part_types if t in known]
     if not chosen:
         raise KeyError(f"none of {part_types}; there are {known}")
@@ -63,9 +65,10 @@ def halo_catalogue(halos: DataFrame, box_size: float, aperture_scale: float = 1.
     """Adds distance, Galactic position, angular size, aperture and log mass, seen from the box's centre."""
     centre = (box_size / 2,) * 3
     r, ell, b = icrs_to_galactic_spherical(F.col("x"), F.col("y"), F.col("z"), centre)
-    rows = halos.withColumns({"r": r, "ell": ell, "b": b})
+    rows = computed(halos, r=r, ell=ell, b=b)
     theta = angular_size_arcmin(F.col("r500"), F.col("r"))
-    return rows.withColumn("theta", theta).withColumns({"aperture": aperture_scale * F.col("theta"), "log_mass": F.when(F.col("mass") > 0, F.log10("mass"))})
+    rows = computed(rows, theta=theta, log_mass=F.when(F.col("mass") > 0, F.log10("mass")))
+    return rows.withColumn("aperture", aperture_scale * F.col("theta")).select(*halos.columns, "r", "ell", "b", "theta", "aperture", "log_mass")
 
 
 def halo_cuts(rows: DataFrame, r_min: float = 0.0, r_max: float | None = None, b_min: float = 0.0, theta_min: float = 0.0, theta_max: float | None = None, mass_min: float = 0.0, mass_max: float | None = None) -> DataFrame:
@@ -82,14 +85,19 @@ def halo_cuts(rows: DataFrame, r_min: float = 0.0, r_max: float | None = None, b
 
 
 def by_mass(halos: DataFrame, key: str) -> DataFrame:
-    """Adds the rank by falling mass; equal masses stand in the order of the key.
+    """Adds the rank by falling mass; equal masses stand in the order of the key."""
+    return numbered(halos, F.col("mass").desc_nulls_last(), F.col(key), name="mass_rank").withColumn("mass_rank", F.col("mass_rank") + 1)
 
-    Rows are range-partitioned and sorted; ranks come from the partitions' sizes, so no single task
-    holds the catalogue.
-    """
-    n = int(halos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = halos.repartitionByRange(n, F.col("mass").desc_nulls_last(), F.col(key)).withColumn("_part", F.spark_partition_id())
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("mass").desc_nulls_last(), F.col(key)))
-    return rows.withColumn("_w", within).join(F.broadcast(before), "_part").withColumn("mass_rank", F.col("_before") + F.col("_w")).drop("_part", "_w", "_before")
+
+def chosen_simulations(halos: DataFrame, requested: str | int | None, limit: int | None = None) -> list[str]:
+    """Realisations to run: "all" lists them in numeric order (the first ``limit``), one id stands for itself."""
+    if requested is None:
+        raise ValueError("a simulation must be named, or all of them")
+    if isinstance(requested, str) and requested.lower() == "all":
+        return [str(r["sim"]) for r in simulations(halos, limit).collect()]
+    return [str(requested)]
+
+
+def mean_over_simulations(images: DataFrame, group: list[str], value: str = "value") -> DataFrame:
+    """Mean of an image's cells over the realisations that have them (nulls and NaN are left out)."""
+    return images.groupBy(*group).agg(F.avg(F.when(~F.isnan(value), F.col(value))).alias(value), F.countDistinct("sim").alias("n_sims"))

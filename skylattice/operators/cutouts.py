@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ARCMIN, sky_of_offset
+from ..sources.tables import written
+from .rows import computed, numbered
+from .significance import SEED, drawn, random_positions
 from .spatial import nearest_pixel
 
 
@@ -16,14 +19,20 @@ def cutout_grid(sources: DataFrame, size_arcmin: Column, npix: int) -> DataFrame
     n = npix + 1 - npix % 2
     cells = sources.withColumn("_size", size_arcmin).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     at = lambda i: (F.col(i) - (n - 1) / 2.0) * F.col("_size") / n
-    cells = cells.withColumn("x", at("ix")).withColumn("y", at("iy")).drop("_size")
+    cells = computed(cells, x=at("ix"), y=at("iy")).drop("_size")
     lon, lat = sky_of_offset(F.col("x") * ARCMIN, F.col("y") * ARCMIN, F.col("lon"), F.col("lat"))
-    return cells.withColumn("sky_lon", lon).withColumn("sky_lat", lat)
+    return computed(cells, sky_lon=lon, sky_lat=lat)
+
+
+def extent(size_arcmin: Column) -> Column:
+    """Bounds of a square cutout: x from, x to, y from, y to (arcmin)."""
+    half = size_arcmin / 2.0
+    return F.array(-half, half, -half, half)
 
 
 def cutout(sources: DataFrame, sky_map: DataFrame, nside: int, size_arcmin: Column, npix: int = 301, key: str = "source_id") -> DataFrame:
-    """``key, iy, ix, x, y, pix, value`` with null values where the map isn't good."""
-    grid = cutout_grid(sources.select(key, "lon", "lat"), size_arcmin, npix)
+    """``key, iy, ix, x, y, pix, value`` with null values where the map isn't good or is masked (``bound_map``)."""
+    grid = cutout_grid(sources.select(key, "lon", "lat", size_arcmin.alias("_s")), F.col("_s"), npix)
     return nearest_pixel(grid, sky_map, nside, "sky_lon", "sky_lat").select(key, "iy", "ix", "x", "y", "pix", "value")
 
 
@@ -44,43 +53,64 @@ def stacked(normal: DataFrame) -> DataFrame:
     return normal.groupBy("iu", "iv").agg(F.avg("value").alias("value"), F.count("*").alias("n_sources"))
 
 
+def random_stack(sizes: DataFrame, sky_map: DataFrame, nside: int, n_stack: int, nbins: int, half: float, npix: int = 301, size_factor: float = 5.0, abs_b_min: float = 10.0, seed: int | None = SEED) -> DataFrame:
+    """``source_id, iu, iv, value, count`` of cutouts at random positions, each with a size drawn with
+    replacement from ``sizes(theta)`` and normalised by it; ``stacked`` gives their mean."""
+    ranked = written(numbered(sizes.where("theta > 0").select("theta"), F.col("theta"), name="_k"), "sizes")
+    n = ranked.count()
+    if not n:
+        raise ValueError("no sizes to draw from")
+    where = random_positions(sizes.sparkSession, n_stack, abs_b_min, seed).withColumnRenamed("id", "source_id")
+    drawn_sizes = where.withColumn("_k", drawn(F.lit(0), F.col("source_id"), F.lit(n), seed, 3)).join(ranked, "_k").drop("_k")
+    cut = cutout(drawn_sizes, sky_map, nside, size_factor * F.col("theta"), npix)
+    return normalised(cut.join(drawn_sizes.select("source_id", "theta"), "source_id"), F.col("theta"), nbins, half)
+
+
 def find_centers(sources: DataFrame, sky_map: DataFrame, nside: int, size_arcmin: float = 240.0, npix: int = 101, final_arcmin: float = 9.6, initial_arcmin: float | None = None, shrink: float = 0.9, max_iterations: int = 1000, key: str = "source_id") -> DataFrame:
     """Centre by shrinking apertures: weighted centroids of positive values, then the peak.
 
-    The patch around each source (twice the size, so that the aperture may move) is one group of
-    bounded size; the iteration runs on it in one task.
+    Every step cuts a square anew around each source's present centre, takes the centroid inside the
+    aperture and moves there (longitude by the cosine of the present latitude).  The radius is the
+    same for all sources, so a step is one plan over all of them; sources without weight stop.
     """
-    patch = cutout(sources, sky_map, nside, F.lit(2 * size_arcmin), 2 * npix + 1, key).join(sources.select(key, "lon", "lat"), key)
-    start = size_arcmin / np.sqrt(2) if initial_arcmin is None else initial_arcmin
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.dropna(subset=["value"])
-        x, y, w = own["x"].to_numpy(), own["y"].to_numpy(), np.maximum(own["value"].to_numpy(), 0.0)
-        cx = cy = 0.0
-        radius, steps, done = start, 0, False
-        while steps < max_iterations:
-            near = np.hypot(x - cx, y - cy) <= radius
-            total = w[near].sum()
-            if not total > 0:
-                break
-            cx, cy = float((x[near] * w[near]).sum() / total), float((y[near] * w[near]).sum() / total)
-            steps += 1
-            radius *= shrink
-            if radius < final_arcmin:
-                done = True
-                break
-        if done:
-            near = np.flatnonzero(np.hypot(x - cx, y - cy) <= final_arcmin)
-            if len(near):
-                best = near[int(np.argmax(own["value"].to_numpy()[near]))]
-                cx, cy = float(x[best]), float(y[best])
-        lat0 = float(pdf["lat"].iloc[0])
-        lat = lat0 + cy / 60
-        lon = float(pdf["lon"].iloc[0]) + cx / 60 / max(np.cos(np.deg2rad(lat0)), 1e-9)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "lon": [lon], "lat": [lat], "converged": [done], "n_iterations": [steps], "final_radius": [radius]})
-
-    kind = sources.schema[key].dataType.simpleString()
-    return patch.select(key, "x", "y", "value", "lon", "lat").groupBy(key).applyInPandas(search, f"{key} {kind}, lon double, lat double, converged boolean, n_iterations int, final_radius double")
+    if not 0 < shrink < 1:
+        raise ValueError("the aperture must shrink")
+    radius = size_arcmin / math.sqrt(2) if initial_arcmin is None else initial_arcmin
+    now = written(sources.select(key, "lon", "lat", F.lit(True).alias("alive"), F.lit(0).alias("n_iterations"), F.lit(float(radius)).alias("final_radius")), "centres")
+
+    def moved(rows: DataFrame, dx: Column, dy: Column) -> dict[str, Column]:
+        return {"lon": F.col("lon") + dx / 60 / F.cos(F.radians("lat")), "lat": F.col("lat") + dy / 60}
+
+    def inside(limit: float) -> DataFrame:
+        cut = cutout(now.where("alive"), sky_map, nside, F.lit(float(size_arcmin)), npix, key)
+        return cut.where(F.col("value").isNotNull() & (F.hypot("x", "y") <= limit))
+
+    steps = 0
+    while steps < max_iterations:
+        w = F.greatest(F.col("value"), F.lit(0.0))
+        centroid = inside(radius).groupBy(key).agg(F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("y")).alias("wy")).where("w > 0")
+        steps, next_radius = steps + 1, radius * shrink
+        rows = now.join(centroid, key, "left")
+        go = F.col("alive") & F.col("w").isNotNull()
+        to = moved(rows, F.try_divide("wx", "w"), F.try_divide("wy", "w"))
+        now = written(
+            rows.select(
+                key, *[F.when(go, c).otherwise(F.col(n)).alias(n) for n, c in to.items()], go.alias("alive"),
+                F.when(F.col("alive"), F.lit(steps)).otherwise(F.col("n_iterations")).alias("n_iterations"),
+                F.when(go, F.lit(float(next_radius))).otherwise(F.col("final_radius")).alias("final_radius"),
+            ),
+            "centres",
+        )
+        radius = next_radius
+        if radius < final_arcmin:
+            break
+    else:
+        return now.select(key, "lon", "lat", F.lit(False).alias("converged"), "n_iterations", "final_radius")
+    # The peak in the last aperture; of equal values the first in reading order.
+    best = inside(final_arcmin).groupBy(key).agg(F.max(F.struct(F.col("value"), -F.col("iy"), -F.col("ix"), F.col("x"), F.col("y"))).alias("m")).select(key, "m.x", "m.y")
+    rows = now.join(best, key, "left")
+    to = moved(rows, F.col("x"), F.col("y"))
+    return rows.select(key, *[F.coalesce(c, F.col(n)).alias(n) for n, c in to.items()], F.col("alive").alias("converged"), "n_iterations", "final_radius")
 
 
 def display_scale(image: DataFrame) -> float:

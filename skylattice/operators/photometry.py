@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cosmology import angular_diameter_distance, growth
 from ..functions.geometry import ARCMIN, solid_angle
+from ..functions.stats import normal_isf
 from .profiles import interpolated
 
 
@@ -69,15 +70,15 @@ def mass_ratio(pairs: DataFrame, n_samples: int = 1000, seed: int | None = None)
 
     Without a seed the deviates come from a low-discrepancy sequence through the normal quantile.
     """
-    from ..functions.stats import normal_isf
-
     samples = pairs.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     if seed is None:
         part = lambda a, b: F.pmod(F.col("sample") * a + F.col("key") * b + 0.5 * a, F.lit(1.0))
         g1 = normal_isf(F.greatest(F.least(part(0.6180339887498949, 0.7548776662466927), F.lit(1 - 1e-9)), F.lit(1e-9)))
         g2 = normal_isf(F.greatest(F.least(part(0.5698402909980532, 0.3247179572447460), F.lit(1 - 1e-9)), F.lit(1e-9)))
     else:
-        g1, g2 = F.randn(seed), F.randn(seed + 1)
+        # Deviates by a hash of seed, sample and key are the same in every attempt of a task.
+        part = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "sample", "key"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+        g1, g2 = normal_isf(part(1)), normal_isf(part(2))
     e1, e2 = F.greatest("err_a", F.lit(1e-6)), F.greatest("err_b", F.lit(1e-6))
     ratio = F.col("log_a") + e1 * g1 - F.col("log_b") - e2 * g2
     means = samples.groupBy("sample").agg(F.avg(ratio).alias("m"))

@@ -26,15 +26,17 @@ def annulus_mean(sources: DataFrame, sky_map: DataFrame, nside: int, inner_arcmi
     return sources.select(key).join(each, key, "left").select(key, F.coalesce("n_pix", F.lit(0)).alias("n_pix"), "background")
 
 
-def enclosed_profile(sources: DataFrame, sky_map: DataFrame, nside: int, radii_arcmin: list[float], key: str = "source_id") -> DataFrame:
+def enclosed_profile(sources: DataFrame, sky_map: DataFrame, nside: int, radii_arcmin: list[float], key: str = "source_id", scale: Column | None = None) -> DataFrame:
     """``key, r_idx, radius, n_pix, signal`` at every radius, from one disc join and running sums.
 
+    With a ``scale`` (arcmin, by source) the radii are in units of it.
     A pixel is counted once, at the first radius that holds it; partial sums for each source and
     radius are taken before the shuffle.
     """
     radii = sorted(radii_arcmin)
-    found = aperture_join(sources.select(key, "lon", "lat"), sky_map, nside, F.lit(radii[-1] * ARCMIN))
-    edges = [F.cos(F.lit(r * ARCMIN)) for r in radii]
+    unit = F.lit(1.0) if scale is None else scale.cast("double")
+    found = aperture_join(sources.select(key, "lon", "lat", unit.alias("_unit")), sky_map, nside, F.lit(radii[-1] * ARCMIN) * F.col("_unit"))
+    edges = [F.cos(F.lit(r * ARCMIN) if scale is None else F.lit(r * ARCMIN) * F.col("_unit")) for r in radii]
     if len(radii) <= 32:
         first = sum(((e > F.col("cos_dist")).cast("int") for e in edges), F.lit(0))
     else:
@@ -46,9 +48,9 @@ def enclosed_profile(sources: DataFrame, sky_map: DataFrame, nside: int, radii_a
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
     run = sums.select(key, F.col("r_idx").alias("at"), F.sum("s").over(upto).alias("s"), F.sum("n").over(upto).alias("n"), F.lead("r_idx").over(own).alias("next"))
     dense = run.withColumn("r_idx", F.explode(F.sequence("at", F.coalesce("next", F.lit(len(radii))) - 1)))
-    grid = sources.select(key).withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.lit(len(radii) - 1))))
+    grid = sources.select(key, unit.alias("_unit")).withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.lit(len(radii) - 1))))
     full = grid.join(dense.select(key, "r_idx", "s", "n"), [key, "r_idx"], "left")
-    return full.select(key, "r_idx", F.element_at(F.array(*[F.lit(r) for r in radii]), F.col("r_idx") + 1).alias("radius"), F.coalesce("n", F.lit(0)).alias("n_pix"), F.try_divide("s", "n").alias("signal"))
+    return full.select(key, "r_idx", (F.element_at(F.array(*[F.lit(r) for r in radii]), F.col("r_idx") + 1) * F.col("_unit")).alias("radius"), F.coalesce("n", F.lit(0)).alias("n_pix"), F.try_divide("s", "n").alias("signal"))
 
 
 def drop_incomplete(profiles: DataFrame, key: str, n_radii: int) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
+from .rows import computed
 
 
 def radial_shell(particles: DataFrame, observer: tuple, r_min: float | None = None, r_max: float | None = None) -> DataFrame:
     """Particles with distance ``r`` between the limits (inclusive), and their direction."""
     d = [F.col(c) - o for c, o in zip("xyz", observer, strict=True)]
-    rows = particles.withColumn("r", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-    rows = rows.withColumn("zdir", F.try_divide(d[2], F.col("r"))).withColumn("phi", F.pmod(F.atan2(d[1], d[0]), F.lit(hp.TWO_PI)))
+    rows = computed(particles, r=F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    rows = computed(rows, zdir=F.try_divide(d[2], F.col("r")), phi=F.pmod(F.atan2(d[1], d[0]), F.lit(hp.TWO_PI)))
     if r_max is not None:
         rows = rows.where(F.col("r") <= r_max)
     return rows if r_min is None else rows.where(F.col("r") >= r_min)
@@ -24,7 +25,7 @@ def particle_counts(particles: DataFrame, nside: int, observer: tuple, r_min: fl
     """``pix, n`` of every pixel, zeros included; a particle at the observer counts in the first ring."""
     shell = radial_shell(particles, observer, r_min, r_max).where("r is not null and not isnan(r)")
     pix = hp.z_phi_to_pix(nside, F.coalesce("zdir", F.lit(1.0)), F.col("phi"))
-    counted = shell.groupBy(pix.alias("pix")).agg(F.count("*").alias("n"))
+    counted = computed(shell.select("zdir", "phi"), pix=pix).groupBy("pix").agg(F.count("*").alias("n"))
     return particles.sparkSession.range(hp.npix(nside)).withColumnRenamed("id", "pix").join(counted, "pix", "left").select("pix", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -55,7 +56,8 @@ def grid_projection(grid: DataFrame, shape: tuple[int, int, int], nside: int, bo
     """``pix, value``: mean density along each pixel's ray, weighted by r to a power.
 
     ``grid(ix, iy, iz, rho)`` has cell centres at (i + 1/2) box / n.  Each sample is the trilinear mean
-    of eight cells, met by an equi-join; a sample outside the cell centres is an error unless periodic.
+    of eight cells, met by an equi-join; a sample outside the cell centres is an error unless periodic,
+    and so is a cell that the grid lacks (cells of no weight are not needed).
     """
     spark = grid.sparkSession
     n_steps = math.ceil((r_max + dr - r_min) / dr - 1e-9)
@@ -87,5 +89,5 @@ def grid_projection(grid: DataFrame, shape: tuple[int, int, int], nside: int, bo
     for i, (c, n) in enumerate(zip("xyz", shape, strict=True)):
         weight = weight * share(c, i, n)
     rows = cells.select("pix", "w", weight.alias("t"), *[index(c, i, n) for i, (c, n) in enumerate(zip("xyz", shape, strict=True))])
-    joined = rows.join(grid, ["ix", "iy", "iz"])
+    joined = rows.join(grid, ["ix", "iy", "iz"], "left").withColumn("rho", F.when(F.col("rho").isNotNull() | (F.col("w") * F.col("t") == 0), F.coalesce("rho", F.lit(0.0))).otherwise(F.raise_error(F.lit("the grid lacks a cell"))))
     return joined.groupBy("pix").agg((F.sum(F.col("w") * F.col("t") * F.col("rho")) / F.sum(F.col("w") * F.col("t"))).alias("value"))

@@ -11,20 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_isf, normal_sf
+from ..sources.tables import written
+from .rows import numbered
 
 
 def upper_tail(signals: DataFrame, pool: DataFrame, group: str, key: str, nan_as_zero: bool = False) -> DataFrame:
     """Adds ``p``: the fraction of the group's pool values at or above each signal.
 
-    Both sides are sorted together once for each group: a running count of pool values from above
-    replaces the product of signals and pool.  A null signal has a null p (or 0, if asked).
+    Equal values of signals and pool are counted first; the distinct ones are dealt by ranges of group
+    and value, and running counts continue over the ranges, so neither a group nor a frequent value is
+    one task.  A null signal has a null p (or 0, if asked).
     """
-    marks = signals.select(group, key, F.col("signal").alias("_v"), F.lit(0).alias("_pool"))
-    values = pool.where("value is not null").select(group, F.lit(None).cast(signals.schema[key].dataType).alias(key), F.col("value").alias("_v"), F.lit(1).alias("_pool"))
-    above = Window.partitionBy(group).orderBy(F.col("_v").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    ranked = marks.where("_v is not null").unionByName(values).withColumn("_n", F.sum("_pool").over(above)).withColumn("_all", F.sum("_pool").over(Window.partitionBy(group)))
-    p = ranked.where("_pool = 0").select(group, key, F.try_divide(F.col("_n").cast("double"), F.col("_all")).alias("p"))
-    out = signals.join(p, [group, key], "left")
+    n = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = signals.where("signal is not null").select(group, F.col("signal").alias("_v"), F.lit(0).alias("_c"))
+    values = pool.where("value is not null").select(group, F.col("value").alias("_v"), F.lit(1).alias("_c"))
+    counts = marks.unionByName(values).groupBy(group, "_v").agg(F.sum("_c").alias("_c"))
+    dealt = written(counts.repartitionByRange(n, F.col(group), F.col("_v").desc()).withColumn("_part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy(group, "_part").agg(F.sum("_c").alias("_s"))
+    # One row for each range and group that meet.
+    own = Window.partitionBy(group)
+    before = parts.select(group, "_part", (F.sum("_s").over(own.orderBy("_part")) - F.col("_s")).alias("_before"), F.sum("_s").over(own).alias("_all"))
+    within = F.sum("_c").over(Window.partitionBy(group, "_part").orderBy(F.col("_v").desc()))
+    ranked = dealt.withColumn("_n", within).join(before, [group, "_part"])
+    p = ranked.select(group, F.col("_v").alias("signal"), F.try_divide((F.col("_before") + F.col("_n")).cast("double"), F.col("_all")).alias("p"))
+    out = signals.join(p, [group, "signal"], "left").select(*signals.columns, "p")
     return out.withColumn("p", F.when(F.col("signal").isNull(), 0.0).otherwise(F.col("p"))) if nan_as_zero else out
 
 
@@ -33,36 +43,127 @@ def resample_error(means: DataFrame, group: list[str]) -> DataFrame:
     return means.groupBy(*group).agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("error"))
 
 
-def draws(n_reps: int, n_draws: int, n_rows: int, spark, a: int = 7919, b: int = 104729, c: int = 17, seed: int | None = None) -> DataFrame:
-    """``rep, draw, row``: rows drawn with replacement, by a linear rule or, with a seed, at random."""
+def drawn(rep: Column, draw: Column, n: Column, seed: int | None, salt: int = 0, rule: tuple[int, int, int] = (7919, 104729, 17)) -> Column:
+    """A row number below n: by a hash of seed, repetition and draw (the same in every attempt of a task)
+    or, without a seed, by a linear rule that SQL can follow (its cycles are short; not for error estimates)."""
+    if seed is not None:
+        return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), rep, draw), n).cast("long")
+    a, b, c = rule
+    return F.pmod(draw * a + rep * b + draw * rep + c, n).cast("long")
+
+
+#: Seed of resampling where none is given.
+SEED = 42
+
+
+def draws(n_reps: int, n_draws: int, n_rows: int, spark, seed: int | None = SEED) -> DataFrame:
+    """``rep, draw, row``: rows drawn with replacement."""
     base = spark.range(n_reps).withColumnRenamed("id", "rep").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    row = F.pmod(F.col("draw") * a + F.col("rep") * b + F.col("draw") * F.col("rep") + c, F.lit(n_rows)) if seed is None else F.floor(F.rand(seed) * n_rows)
-    return base.select("rep", "draw", row.cast("long").alias("row"))
+    return base.select("rep", "draw", drawn(F.col("rep"), F.col("draw"), F.lit(n_rows), seed).alias("row"))
 
 
-def bootstrap(profiles: DataFrame, n_rows: int, n_boot: int, a: int = 7919, b: int = 104729, c: int = 17, seed: int | None = None) -> DataFrame:
+def bootstrap(profiles: DataFrame, n_rows: int, n_boot: int, seed: int | None = SEED) -> DataFrame:
     """``r_idx, mean, error`` of ``profiles(row, r_idx, signal)``: plain mean, deviation of resample means.
 
     Draws are counted for each row first, so a resample mean is a weighted sum with one entry a row.
     """
-    times = draws(n_boot, n_rows, n_rows, profiles.sparkSession, a, b, c, seed).groupBy("rep", "row").agg(F.count("*").alias("w"))
+    times = draws(n_boot, n_rows, n_rows, profiles.sparkSession, seed).groupBy("rep", "row").agg(F.count("*").alias("w"))
     joined = profiles.where("signal is not null").join(times, "row")
     means = joined.groupBy("r_idx", "rep").agg((F.sum(F.col("w") * F.col("signal")) / F.sum("w")).alias("mean"))
     error = means.groupBy("r_idx").agg(F.stddev_pop("mean").alias("error"))
     return profiles.groupBy("r_idx").agg(F.avg("signal").alias("mean")).join(error, "r_idx", "left")
 
 
-def random_stacks(pool: DataFrame, n_rows: int, n_stack: int, n_sources: int, a: int = 7919, b: int = 104729, c: int = 17, seed: int | None = None) -> DataFrame:
+def random_stacks(pool: DataFrame, n_rows: int, n_stack: int, n_sources: int, seed: int | None = SEED) -> DataFrame:
     """``rep, r_idx, mean`` of stacks of pool rows ``(row, r_idx, signal)`` drawn with replacement."""
-    times = draws(n_stack, n_sources, n_rows, pool.sparkSession, a, b, c, seed).groupBy("rep", "row").agg(F.count("*").alias("w"))
+    times = draws(n_stack, n_sources, n_rows, pool.sparkSession, seed).groupBy("rep", "row").agg(F.count("*").alias("w"))
     joined = pool.where("signal is not null").join(times, "row")
     return joined.groupBy("rep", "r_idx").agg((F.sum(F.col("w") * F.col("signal")) / F.sum("w")).alias("mean"))
 
 
-def significance_profile(data: DataFrame, stacks: DataFrame) -> DataFrame:
-    """``r_idx, p, sigma``: fraction of random stacks at or above the data, as sigma too."""
-    joined = stacks.join(F.broadcast(data.select("r_idx", F.col("mean").alias("d"))), "r_idx")
-    p = joined.groupBy("r_idx").agg(F.avg(F.when(F.col("mean") >= F.col("d"), 1.0).otherwise(0.0)).alias("p"))
+#: Radii of a pool at most: they stand in expressions.
+MAX_RADII = 20_000
+
+
+def pool_radii(pool: DataFrame) -> list[float]:
+    """The rising radii that the pool's profiles share."""
+    found = sorted(r["radius"] for r in pool.select("radius").distinct().limit(MAX_RADII + 1).collect())
+    if len(found) > MAX_RADII or len(found) < 2:
+        raise ValueError(f"a pool has from 2 to {MAX_RADII} radii")
+    return found
+
+
+def segment_of(target: Column, radii: list[float]) -> Column:
+    """Number of the segment of the radii that holds a target (the end ones hold what lies outside)."""
+    inner = F.array(*[F.lit(float(r)) for r in radii[1:-1]])
+    return F.size(F.filter(inner, lambda r: r <= target))
+
+
+def segments(pool: DataFrame, radii: list[float]) -> DataFrame:
+    """``row, seg, x0, y0, x1, y1``: the pieces between neighbouring radii of each profile."""
+    own = Window.partitionBy("row").orderBy("radius")
+    pieces = pool.select("row", F.col("radius").alias("x0"), F.col("signal").alias("y0"), F.lead("radius").over(own).alias("x1"), F.lead("signal").over(own).alias("y1"), (F.row_number().over(own) - 1).alias("seg"))
+    return pieces.where("x1 is not null")
+
+
+def on_segment(target: Column) -> Column:
+    return F.col("y0") + (target - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
+
+
+def signal_pvalue(signals: DataFrame, pool: DataFrame, key: str, nan_as_zero: bool = False) -> DataFrame:
+    """Adds ``p`` to ``signals(key, theta, signal)``: the fraction of pool profiles at or above the signal.
+
+    Every profile of ``pool(row, radius, signal)`` is interpolated at the source's own radius, the end
+    segments extended.  Signals meet only the segment that holds their radius; each meets all
+    profiles there, and the comparisons are added up before any shuffle.  Null as in ``upper_tail``.
+    """
+    radii = pool_radii(pool)
+    asked = signals.where("signal is not null and theta is not null").select(key, "theta", F.col("signal").alias("_v"), segment_of(F.col("theta"), radii).alias("seg"))
+    met = asked.join(segments(pool, radii), "seg").where("y0 is not null and y1 is not null")
+    p = met.groupBy(key).agg(F.avg(F.when(on_segment(F.col("theta")) >= F.col("_v"), 1.0).otherwise(0.0)).alias("p"))
+    out = signals.join(p, key, "left")
+    return out.withColumn("p", F.when(F.col("signal").isNull(), 0.0).otherwise(F.col("p"))) if nan_as_zero else out
+
+
+def scaled_stacks(sources: DataFrame, pool: DataFrame, norms: list[float], n_stack: int, seed: int | None = SEED, group: str = "bin_idx") -> DataFrame:
+    """``group, rep, r_idx, mean``: stacks of random profiles for groups of sources of different sizes.
+
+    ``sources(group, number, size, theta)`` with places in the group.  In each stack every source draws
+    a pool row and, apart from it, a size among those of its group; the row is interpolated at the
+    scaled radii, clamped to the pool's.
+    """
+    radii = pool_radii(pool)
+    rows = numbered(pool.select("row").distinct(), F.col("row"), name="_row")
+    n_rows = rows.count()
+    pieces = segments(pool, radii).join(rows, "row").drop("row")
+    each = sources.select(group, "number", "size").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_stack - 1))))
+    salted = None if seed is None else F.xxhash64(F.col(group), F.col("number"))
+    draw = F.col("number") if salted is None else salted
+    pick = each.select(group, "rep", drawn(F.col("rep"), draw, F.lit(n_rows), seed, 1).alias("_row"), drawn(F.col("rep"), draw, F.col("size"), seed, 2, (6271, 92821, 29)).alias("number"))
+    sized = pick.join(sources.select(group, "number", "theta"), [group, "number"])
+    low, high = F.lit(radii[0]), F.lit(radii[-1])
+    at = sized.select(group, "rep", "_row", "theta", F.posexplode(F.array(*[F.lit(float(x)) for x in norms])).alias("r_idx", "norm"))
+    at = at.withColumn("target", F.least(F.greatest(F.col("theta") * F.col("norm"), low), high))
+    met = at.withColumn("seg", segment_of(F.col("target"), radii)).join(pieces, ["_row", "seg"])
+    return met.groupBy(group, "rep", "r_idx").agg(F.avg(on_segment(F.col("target"))).alias("mean"))
+
+
+def group_bootstrap(profiles: DataFrame, sources: DataFrame, n_boot: int, seed: int | None = SEED, group: str = "bin_idx") -> DataFrame:
+    """``group, r_idx, stack, error``: plain means of ``profiles(group, number, r_idx, signal)`` over a group,
+    and the deviation of the means over resamples of its sources ``(group, number, size)``."""
+    each = sources.select(group, "number", "size").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    draw = F.col("number") if seed is None else F.xxhash64(F.col(group), F.col("number"))
+    times = each.select(group, "rep", drawn(F.col("rep"), draw, F.col("size"), seed).alias("number")).groupBy(group, "rep", "number").agg(F.count("*").alias("w"))
+    good = profiles.where("signal is not null")
+    means = good.join(times, [group, "number"]).groupBy(group, "r_idx", "rep").agg((F.sum(F.col("w") * F.col("signal")) / F.sum("w")).alias("mean"))
+    error = means.groupBy(group, "r_idx").agg(F.stddev_pop("mean").alias("error"))
+    return good.groupBy(group, "r_idx").agg(F.avg("signal").alias("stack")).join(error, [group, "r_idx"], "left")
+
+
+def significance_profile(data: DataFrame, stacks: DataFrame, by: tuple[str, ...] = ("r_idx",)) -> DataFrame:
+    """``by.., p, sigma``: fraction of random stacks at or above the data, as sigma too."""
+    joined = stacks.join(data.select(*by, F.col("mean").alias("d")), list(by))
+    p = joined.groupBy(*by).agg(F.avg(F.when(F.col("mean") >= F.col("d"), 1.0).otherwise(0.0)).alias("p"))
     return p.withColumn("sigma", normal_isf(F.col("p")))
 
 
@@ -112,15 +213,27 @@ def _student_sf(t: float, nu: float) -> float:
     return inc / 2 if t >= 0 else 1 - inc / 2
 
 
-def student_profile(data: DataFrame, stacks: DataFrame, every: int = 10) -> DataFrame:
-    """``r_idx, p_t``: tail of a Student law fitted to the stacks at every n-th radius."""
-    chosen = stacks.where(F.col("r_idx") % every == 0).join(F.broadcast(data.select("r_idx", F.col("mean").alias("d"))), "r_idx")
+def student_profile(data: DataFrame, stacks: DataFrame, every: int = 10, first: int = 0) -> DataFrame:
+    """``r_idx, p_t, sigma_t``: tail of a Student law fitted to the stacks at every n-th radius, as sigma too.
+
+    Between fitted radii both are interpolated in the radius number, beyond the last they stay.
+    """
+    wanted = data.select(F.col("r_idx").cast("int").alias("r_idx"), F.col("mean").alias("d"))
+    chosen = stacks.where((F.col("r_idx") - first) % every == 0).select(F.col("r_idx").cast("int").alias("r_idx"), "mean").join(wanted, "r_idx")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         nu, mu, sigma = _student_fit(pdf["mean"].to_numpy(float))
         return pd.DataFrame({"r_idx": [pdf["r_idx"].iloc[0]], "p_t": [_student_sf((float(pdf["d"].iloc[0]) - mu) / sigma, nu)]})
 
-    return chosen.select(F.col("r_idx").cast("int").alias("r_idx"), "mean", "d").groupBy("r_idx").applyInPandas(fit, "r_idx int, p_t double")
+    fitted = written(chosen.groupBy("r_idx").applyInPandas(fit, "r_idx int, p_t double").withColumn("sigma_t", normal_isf(F.col("p_t"))), "student")
+    # One row for each fitted radius: neighbours come from a window over that small table.
+    at = Window.orderBy("k0")
+    lead = lambda c: F.lead(c).over(at)
+    pieces = fitted.select(F.col("r_idx").alias("k0"), F.col("p_t").alias("p0"), F.col("sigma_t").alias("s0")).select("*", lead("k0").alias("k1"), lead("p0").alias("p1"), lead("s0").alias("s1"))
+    k = F.col("r_idx")
+    met = wanted.select("r_idx").join(F.broadcast(pieces), (k >= F.col("k0")) & (k < F.coalesce("k1", F.lit(1 << 30))))
+    line = lambda a, b: F.when(F.col("k1").isNull() | (k == F.col("k0")), F.col(a)).otherwise(F.col(a) + (k - F.col("k0")) * (F.col(b) - F.col(a)) / (F.col("k1") - F.col("k0")))
+    return met.select("r_idx", line("p0", "p1").alias("p_t"), line("s0", "s1").alias("sigma_t"))
 
 
 def stouffer(pvalues: DataFrame, group: str, p: str = "p") -> DataFrame:
@@ -136,7 +249,7 @@ def random_positions(spark, n: int, abs_b_min: float = 0.0, seed: int | None = N
     if seed is None:
         u, v, s = golden_fraction(F.col("id"), 0.6180339887498949), golden_fraction(F.col("id"), 0.3819660112501051), golden_fraction(F.col("id"), 0.7548776662466927)
     else:
-        u, v, s = F.rand(seed), F.rand(seed + 1), F.rand(seed + 2)
+        u, v, s = (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1 << 53)) / F.lit(float(1 << 53)) for k in range(3))
     low = math.sin(math.radians(abs_b_min))
     size = low + (1 - low) * u
     lat = F.degrees(F.asin(F.least(size, F.lit(1.0)))) * F.when(s < 0.5, -1.0).otherwise(1.0)

@@ -6,10 +6,13 @@ on the pixel: no theta join, no broadcast that grows with the map.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
+from .rows import computed
 
 
 def with_position(sources: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -53,15 +56,41 @@ def disc_pixels(sources: DataFrame, nside: int, radius: Column, lon: str = "lon"
 
 
 def good_pixels(sky_map: DataFrame, mask: DataFrame | None = None, unseen: float = -1.6375e30) -> DataFrame:
-    """``pix, value`` of the pixels that are finite, not the unseen mark and, with a mask, positive there."""
+    """``pix, value`` of the pixels that are finite, not the unseen mark and, with a mask, positive there.
+
+    Every join with a map goes through this rule, so a map that was bound to its mask here keeps it in
+    apertures, profiles and cutouts.
+    """
     value = F.col("value")
     rows = sky_map.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 1e300) & (value != unseen))
     if mask is not None:
         weight = F.col("weight")
-        rows = rows.join(mask.where(weight.isNotNull() & ~F.isnan(weight) & (weight > 0) & (weight != unseen)).select("pix"), "pix", "left_semi")
+        good = weight.isNotNull() & ~F.isnan(weight) & (F.abs(weight) < 1e300) & (weight > 0) & (weight != unseen)
+        rows = rows.join(mask.where(good).select("pix"), "pix", "left_semi")
     return rows.select("pix", "value")
 
 
+@dataclass(frozen=True)
+class BoundMap:
+    """A map with its resolution, mask and cutout settings, as the composite runs take them."""
+
+    pixels: DataFrame
+    nside: int
+    fwhm_arcmin: float = 9.66
+    npix: int = 301
+    nbins: int = 128
+    half: float = 2.0
+
+
+def bound_map(sky_map: DataFrame, nside: int, mask: DataFrame | None = None, mask_nside: int | None = None, **settings: float) -> BoundMap:
+    """The good pixels of a map; a mask of another resolution is an error."""
+    if mask is not None and mask_nside is not None and mask_nside != nside:
+        raise ValueError(f"the mask has nside {mask_nside}, the map {nside}")
+    if nside < 1 or nside & (nside - 1):
+        raise ValueError("nside must be a power of two")
+    return BoundMap(good_pixels(sky_map, mask), nside, **settings)
+
+
 def aperture_join(sources: DataFrame, sky_map: DataFrame, nside: int, radius: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Sources with the value of every good pixel within the radius."""
     return disc_pixels(sources, nside, radius, lon, lat).join(good_pixels(sky_map), "pix")
@@ -69,7 +98,7 @@ def aperture_join(sources: DataFrame, sky_map: DataFrame, nside: int, radius: Co
 
 def nearest_pixel(points: DataFrame, sky_map: DataFrame, nside: int, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Points with the value of the pixel that holds them (null where the map has none)."""
-    return points.withColumn("pix", hp.lonlat_to_pix(nside, F.col(lon), F.col(lat))).join(good_pixels(sky_map), "pix", "left")
+    return computed(points, pix=hp.lonlat_to_pix(nside, F.col(lon), F.col(lat))).join(good_pixels(sky_map), "pix", "left")
 
 
 def cell_neighbours(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str) -> DataFrame:

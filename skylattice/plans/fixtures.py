@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import unit_vector
+from ..operators.rows import numbered
 from ..operators.significance import golden_fraction
-from ..sources.tables import table
+from ..sources.tables import table, written
 
 GOLDEN_ANGLE = 137.50776405 / 360
 GOLDEN = 0.6180339887498949
@@ -51,11 +52,22 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf: str) -> DataFrame:
-    """``row, r_idx, radius, signal``: running means of the square roots of each user's first 40 events."""
-    own = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf, "events").select("user_id", "event_id", "value").withColumn("r_idx", F.row_number().over(own)).where("r_idx <= 40")
-    mean = F.avg(F.sqrt("value")).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("signal", mean)
-    # Users are numbered by a small table of their own.
-    users = rows.select("user_id").distinct().withColumn("row", F.row_number().over(Window.orderBy("user_id")).cast("long") - 1)
-    return rows.join(users, "user_id").select("row", F.col("user_id"), F.col("r_idx").cast("int").alias("r_idx"), F.col("r_idx").cast("double").alias("radius"), "signal")
+    """``row, user_id, r_idx, radius, signal``: running means of the square roots of each user's events.
+
+    A user's events, from the first to the last id, fall into BINS equal ranges of ids; a bin's signal is
+    the mean over all events up to it.  Sums for each user and bin are taken before any shuffle.
+    """
+    events = table(spark, sf, "events").select("user_id", "event_id", F.sqrt("value").alias("v"))
+    ends = events.groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    place = F.floor((F.col("event_id") - F.col("lo")) * BINS / (F.col("hi") - F.col("lo") + 1)).cast("int") + 1
+    sums = events.join(ends, "user_id").groupBy("user_id", place.alias("r_idx")).agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    users = numbered(ends.select("user_id"), F.col("user_id"), name="row")
+    grid = users.withColumn("r_idx", F.explode(F.sequence(F.lit(1), F.lit(BINS)))).join(sums, ["user_id", "r_idx"], "left")
+    # A user has BINS rows here, whatever the number of events.
+    upto = Window.partitionBy("user_id").orderBy("r_idx").rowsBetween(Window.unboundedPreceding, 0)
+    signal = F.sum("s").over(upto) / F.sum("n").over(upto)
+    return written(grid.select("row", "user_id", "r_idx", F.col("r_idx").cast("double").alias("radius"), signal.alias("signal")), "pool")
+
+
+#: Radii of a pool's profile.
+BINS = 40

@@ -99,17 +99,28 @@ extent_centre_cut = """WITH p AS (SELECT vec_id AS id, label AS sim, CAST(embedd
 e AS (SELECT sim, (max(x) + min(x)) / 2 AS cx, (max(y) + min(y)) / 2 AS cy, (max(z) + min(z)) / 2 AS cz FROM p GROUP BY sim)
 SELECT id, sim, round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)), 9) AS r FROM p JOIN e USING (sim)
 WHERE sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) <= 0.3 AND mass >= 5e13"""
-mass_bins = """WITH RECURSIVE l AS (SELECT log10(o_totalprice * 1e10) AS lm, o_orderkey AS k FROM orders),
-k AS (SELECT lm, row_number() OVER (ORDER BY lm DESC, k) AS rank FROM l), n AS (SELECT count(*) AS n, min(lm) AS low FROM l),
-ends AS (SELECT * FROM (VALUES (0, 10), (1, 60), (2, 160)) t(i, e)),
-top AS (SELECT i, lm AS lo, lag(lm) OVER (ORDER BY i) AS hi FROM ends JOIN k ON rank = e),
+
+
+def bin_tables(rows: str) -> str:
+    """Tables n, k, top, steps and b (bins) over ``l(lm, k)``; to stand after WITH RECURSIVE."""
+    return f"""l AS ({rows}), k AS (SELECT lm, row_number() OVER (ORDER BY lm DESC, k) AS rank FROM l), n AS (SELECT count(*) AS n, min(lm) AS low FROM l),
+ends AS (SELECT * FROM (VALUES (0, 0, 10), (1, 10, 60), (2, 60, 160)) t(i, s, e)),
+top AS (SELECT i, s, e, lm AS lo, lag(lm) OVER (ORDER BY i) AS hi FROM ends JOIN k ON rank = e),
 steps AS (SELECT 3 AS i, greatest((SELECT min(lo) FROM top) - 0.2, low) AS lo, (SELECT min(lo) FROM top) AS hi FROM n
   UNION ALL SELECT i + 1, greatest(lo - 0.2, low), lo FROM steps, n WHERE lo > low),
-b AS (SELECT * FROM top UNION ALL SELECT * FROM steps)
-SELECT CAST(i AS INTEGER) AS bin_idx, round(lo, 6) AS lo, round(hi, 6) AS hi, count(*) AS count, round(median(lm), 6) AS median_log_mass
-FROM b JOIN l ON lm >= lo AND (hi IS NULL OR lm < hi) GROUP BY i, lo, hi"""
-POOL = """e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r_idx, avg(sqrt(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS signal FROM events),
-q AS (SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS row, user_id, r_idx, signal FROM e WHERE r_idx <= 40)"""
+b AS (SELECT i, lo, hi FROM top UNION ALL SELECT i, lo, hi FROM steps)"""
+
+
+mass_bins = f"""WITH RECURSIVE {bin_tables('SELECT log10(o_totalprice * 1e10) AS lm, o_orderkey AS k FROM orders')},
+c AS (SELECT i, count(l.lm) AS n FROM b LEFT JOIN l ON lm >= lo AND (hi IS NULL OR lm < hi) GROUP BY i),
+d AS (SELECT i, lm FROM top JOIN k ON rank > s AND rank <= e UNION ALL SELECT i, lm FROM steps JOIN l ON lm >= lo AND (lm < hi OR (lm = hi AND i = (SELECT max(i) FROM steps)))),
+e AS (SELECT i, median(lm) AS m FROM d GROUP BY i)
+SELECT CAST(b.i AS INTEGER) AS bin_idx, round(lo, 6) AS lo, round(hi, 6) AS hi, c.n AS count, round(m, 6) AS median_log_mass FROM b JOIN c USING (i) LEFT JOIN e USING (i)"""
+POOL = """ends0 AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id),
+e AS (SELECT user_id, CAST(floor((event_id - lo) * 40 / (hi - lo + 1)) AS INTEGER) + 1 AS r_idx, sum(sqrt(value)) AS s, count(value) AS n FROM events JOIN ends0 USING (user_id) GROUP BY ALL),
+us AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS row FROM ends0),
+q AS (SELECT row, us.user_id, CAST(kk AS INTEGER) AS r_idx, sum(s) OVER w / sum(n) OVER w AS signal FROM us CROSS JOIN range(1, 41) g(kk) LEFT JOIN e ON e.user_id = us.user_id AND e.r_idx = kk WINDOW w AS (PARTITION BY us.user_id ORDER BY kk ROWS UNBOUNDED PRECEDING)),
+sg AS (SELECT row, r_idx AS x0, signal AS y0, lead(r_idx) OVER w AS x1, lead(signal) OVER w AS y1 FROM q WINDOW w AS (PARTITION BY row ORDER BY r_idx))"""
 pool_pvalue = f"""WITH {POOL}, n AS (SELECT r_idx, count(*) AS n FROM q GROUP BY r_idx)
 SELECT a.r_idx, a.user_id, round(CAST(count(b.signal) AS DOUBLE) / any_value(n), 9) AS p FROM q a JOIN n ON a.r_idx = n.r_idx LEFT JOIN q b ON a.r_idx = b.r_idx AND b.signal >= a.signal * 1.02 GROUP BY a.r_idx, a.user_id"""
 N_BOOT, N_STACK, N_SRC = 60, 50, 25
@@ -153,10 +164,18 @@ crossmatch_best = f"""WITH o AS (SELECT c_custkey AS obs_id, {sky('(c_custkey +
 j AS (SELECT obs_id, cat_id, {separation('o', 't')} AS sep, abs(o.z - t.z) AS dz FROM o JOIN t ON {separation('o', 't')} <= 240 AND abs(o.z - t.z) <= 0.005),
 k AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY sep, cat_id) AS rn FROM j)
 SELECT o.obs_id, k.cat_id, round(sep, 6) AS separation_arcmin, round(dz, 9) AS delta_z FROM o LEFT JOIN k ON o.obs_id = k.obs_id AND rn = 1"""
-MASS_FUNCTION = ((12.0, 1e-2), (13.0, 3e-3), (14.0, 3e-4), (15.0, 1e-5), (16.0, 1e-7))
-_seg = ", ".join(f"({a[0]}, {a[1]!r}, {b[0]}, {b[1]!r})" for a, b in zip(MASS_FUNCTION, MASS_FUNCTION[1:], strict=False))
+MASS_FUNCTION = tuple((12 + k / 4, 10 ** (-2 - 0.8 * k / 4 - 0.06 * (k / 4) ** 2)) for k in range(33))
+
+
+def _piece(i: int) -> str:
+    near = MASS_FUNCTION[max(0, min(i - 1, len(MASS_FUNCTION) - 4)) :][:4]
+    return "(" + ", ".join(num(x) for x in (MASS_FUNCTION[i][0], MASS_FUNCTION[i + 1][0], *[p for p, _ in near], *[d for _, d in near])) + ")"
+
+
+_seg = ", ".join(_piece(i) for i in range(len(MASS_FUNCTION) - 1))
+_cubic = " + ".join(f"y{j} * " + " * ".join(f"(log_mass - p{k}) / (p{j} - p{k})" for k in range(4) if k != j) for j in range(4))
 POINTS = f"""p0 AS (SELECT vec_id AS id, label AS sim, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, 13 + 4 * abs(CAST(embedding[4] AS DOUBLE)) AS log_mass FROM embeddings),
-p AS (SELECT p0.*, 1000 * pow(10.0, log10(n0) + (log_mass - m0) / (m1 - m0) * (log10(n1) - log10(n0))) AS n FROM p0 JOIN (VALUES {_seg}) t(m0, n0, m1, n1) ON log_mass >= m0 AND log_mass < m1),
+p AS (SELECT p0.*, 1000 * ({_cubic}) AS n FROM p0 JOIN (VALUES {_seg}) t(m0, m1, p0, p1, p2, p3, y0, y1, y2, y3) ON log_mass >= m0 AND log_mass < m1),
 f AS (SELECT s_suppkey AS ref_id, 0.4 * ({frac('s_suppkey * 0.6180339887498949e0')} - 0.5) AS x, 0.4 * ({frac('s_suppkey * 0.7548776662466927e0')} - 0.5) AS y, 0.4 * ({frac('s_suppkey * 0.5698402909980532e0')} - 0.5) AS z, 13.5 AS log_mass FROM supplier)"""
 _d = "sqrt((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y) + (p.z - f.z) * (p.z - f.z))"
 _cdf = f"(1 - exp(-4.0 / 3 * {np.pi!r} * pow(dist, 3) * n))"
@@ -231,3 +250,69 @@ mass_ratio = f"""WITH a AS (SELECT s_suppkey AS key, 14 + {frac('s_suppkey * 0.6
 s AS (SELECT *, unnest(range(0, 200)) AS sample FROM a), u AS (SELECT sample, la, lb, {_part(0.6180339887498949, 0.7548776662466927)} AS p1, {_part(0.5698402909980532, 0.3247179572447460)} AS p2 FROM s),
 m AS (SELECT sample, avg(la + 0.1e0 * ({isf('p1')}) - lb - 0.05e0 * ({isf('p2')})) AS m FROM u GROUP BY sample)
 SELECT round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS error FROM m"""
+
+_line = lambda t: f"(y0 + ({t} - x0) * (y1 - y0) / (x1 - x0))"
+_in = lambda t: f"x1 IS NOT NULL AND ({t} >= x0 OR x0 = 1) AND ({t} < x1 OR x1 = 40)"
+signal_pvalue = f"""WITH {POOL}, t AS (SELECT c_custkey AS key, 44 * {frac('c_custkey * 0.6180339887498949e0')} - 1 AS theta, 14 + c_acctbal / 5000 AS signal FROM customer)
+SELECT key, round(avg(CASE WHEN {_line('theta')} >= t.signal THEN 1.0 ELSE 0.0 END), 9) AS p FROM t JOIN sg ON {_in('theta')} GROUP BY key"""
+
+
+def stack_tables(sources: str, norms: tuple[float, ...], n_boot: int, n_stack: int) -> str:
+    """Tables data, rs (random stacks) and rt over ``sources(bin_idx, key, lon, lat, theta)``; needs the map, rings and pool."""
+    far = max(norms)
+    values = ", ".join(f"({i}, {num(x)})" for i, x in enumerate(norms))
+    return f"""src AS (SELECT *, sin(radians(lat)) AS z0, radians(lon) AS phi0, row_number() OVER (PARTITION BY bin_idx ORDER BY key) - 1 AS number, count(*) OVER (PARTITION BY bin_idx) AS size FROM ({sources})),
+nm AS (SELECT * FROM (VALUES {values}) t(r_idx, norm)),
+px AS (SELECT s.bin_idx, s.number, s.theta, {DISTANCE} AS d, m.value FROM src s JOIN c ON {DISTANCE} >= cos(s.theta * {num(far * np.pi / 10800)}) JOIN m USING (pix)),
+own AS (SELECT bin_idx, number, r_idx, avg(value) AS signal FROM px JOIN nm ON d >= cos(norm * theta * {num(np.pi / 10800)}) GROUP BY ALL),
+bt AS (SELECT bin_idx, rep, (number * 7919 + rep * 104729 + number * rep + 17) % size AS number FROM src, range(0, {n_boot}) a(rep)),
+bm AS (SELECT bin_idx, rep, r_idx, avg(signal) AS m FROM bt JOIN own USING (bin_idx, number) GROUP BY ALL),
+be AS (SELECT bin_idx, r_idx, stddev_pop(m) AS error FROM bm GROUP BY ALL),
+data AS (SELECT bin_idx, r_idx, avg(signal) AS stack FROM own GROUP BY ALL),
+np AS (SELECT count(*) AS n FROM us),
+rd AS (SELECT bin_idx, rep, (number * 7919 + rep * 104729 + number * rep + 17) % n AS row, (number * 6271 + rep * 92821 + number * rep + 29) % size AS number FROM src, np, range(0, {n_stack}) a(rep)),
+rx AS (SELECT rd.bin_idx, rep, row, r_idx, least(greatest(theta * norm / 20, 1), 40) AS t FROM rd JOIN src USING (bin_idx, number), nm),
+rs AS (SELECT bin_idx, rep, r_idx, avg({_line('t')}) AS m FROM rx JOIN sg ON sg.row = rx.row AND {_in('t')} GROUP BY ALL),
+rt AS (SELECT bin_idx, r_idx, avg(m) AS random_mean, stddev_pop(m) AS random_error FROM rs GROUP BY ALL)"""
+
+
+STACK_NORMS, STACK_BOOT, STACK_REPS = (0.5, 1.0, 2.0), 40, 30
+_stack = "SELECT s_suppkey % 4 AS bin_idx, s_suppkey AS key, {}, 200 + 40 * (s_suppkey % 7) AS theta FROM supplier".format(sky("s_suppkey"))
+stacked_profile = f"""WITH {MAP}, {rings(N)}, {POOL}, {stack_tables(_stack, STACK_NORMS, STACK_BOOT, STACK_REPS)}
+SELECT CAST(data.bin_idx AS BIGINT) AS bin_idx, CAST(r_idx AS INTEGER) AS r_idx, round(stack, 6) AS stack, round(error, 6) AS error, round(random_mean, 6) AS random_mean, round(random_error, 6) AS random_error
+FROM data JOIN be USING (bin_idx, r_idx) JOIN rt USING (bin_idx, r_idx)"""
+SUITE_BOOT, SUITE_REPS = 10, 20
+_suite_rows = "SELECT i AS bin_idx, halo_idx AS key, ell AS lon, b AS lat, theta FROM cut JOIN b ON lm >= lo AND (hi IS NULL OR lm < hi)"
+mass_bin_suite = f"""WITH RECURSIVE {SKY_HALOS}, cut AS (SELECT halo_idx, ell, b, theta, log10(mass) AS lm FROM u WHERE r <= 250 AND abs(b) >= 10 AND theta >= 5 AND theta <= 6000 AND mass >= 1e14 AND mass <= 4e15),
+{bin_tables('SELECT lm, halo_idx AS k FROM cut')}, {MAP}, {rings(N)}, {POOL}, {stack_tables(_suite_rows.replace('b AS lat', 'cut.b AS lat'), STACK_NORMS, SUITE_BOOT, SUITE_REPS)},
+pv AS (SELECT rs.bin_idx, rs.r_idx, avg(CASE WHEN m >= stack THEN 1.0 ELSE 0.0 END) AS p FROM rs JOIN data ON rs.bin_idx = data.bin_idx AND rs.r_idx = data.r_idx GROUP BY ALL)
+SELECT CAST(data.bin_idx AS INTEGER) AS bin_idx, CAST(r_idx AS INTEGER) AS r_idx, round(stack, 6) AS stack, round(error, 6) AS error, round(random_mean, 6) AS random_mean, round(random_error, 6) AS random_error, round(p, 9) AS p, round({isf('p')}, 6) AS sigma
+FROM data JOIN be USING (bin_idx, r_idx) JOIN rt USING (bin_idx, r_idx) JOIN pv USING (bin_idx, r_idx)"""
+_mv = rotation("x", "y", "z")
+_near = lambda t: f"(SELECT avg(value) FROM c JOIN m USING (pix) WHERE {DISTANCE} >= cos(s.{t} * {num(np.pi / 10800)}))"
+_tail = lambda t, v: f"(SELECT avg(CASE WHEN s.{v} IS NULL THEN NULL WHEN y0 + (s.{t} / 20 - x0) * (y1 - y0) / (x1 - x0) >= s.{v} THEN 1.0 ELSE 0.0 END) FROM sg WHERE {_in(f's.{t} / 20')})"
+association_signals = f"""WITH {MAP}, {rings(N)}, {POOL},
+p AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, 0.03 + 0.001 * (vec_id % 10) AS r500 FROM embeddings),
+g AS (SELECT id, label, sqrt(x * x + y * y + z * z) AS r, r500, {_mv[0]} AS gx, {_mv[1]} AS gy, {_mv[2]} AS gz FROM p),
+w AS (SELECT id, label, r, {lon_of('gx', 'gy')} AS ell, degrees(asin(greatest(least(gz / sqrt(gx * gx + gy * gy + gz * gz), 1), -1))) AS b, degrees(atan(r500 / r)) * 60 AS theta FROM g),
+o AS (SELECT id, label, theta, sin(radians(b)) AS z0, radians(ell) AS phi0 FROM w), o1 AS (SELECT *, {_near('theta')} AS signal FROM o s), o2 AS (SELECT *, {_tail('theta', 'signal')} AS pval FROM o1 s),
+h AS (SELECT label, count(*) AS n_members, avg(signal) AS mean_signal, avg(pval) AS mean_pval FROM o2 GROUP BY label),
+d AS (SELECT label, median(r) AS median_r, median(ell) AS median_ell, median(b) AS median_b, median(theta) AS median_theta500 FROM w GROUP BY label),
+d0 AS (SELECT *, sin(radians(median_b)) AS z0, radians(median_ell) AS phi0 FROM d), d1 AS (SELECT *, {_near('median_theta500')} AS median_signal FROM d0 s), d2 AS (SELECT *, {_tail('median_theta500', 'median_signal')} AS median_pval FROM d1 s)
+SELECT label, n_members, round(mean_signal, 6) AS mean_signal, round(mean_pval, 9) AS mean_pval, round(median_r, 6) AS median_r, round(median_ell, 6) AS median_ell, round(median_b, 6) AS median_b,
+  round(median_theta500, 6) AS median_theta500, round(median_signal, 6) AS median_signal, round(median_pval, 9) AS median_pval FROM d2 JOIN h USING (label)"""
+masked_aperture = f"""WITH {MAP}, {rings(N)}, {SOURCES}, k AS (SELECT l_orderkey % {12 * N * N} AS pix, avg(l_discount) - 0.03 AS weight FROM lineitem GROUP BY 1),
+j AS (SELECT s.source_id, m.value FROM s JOIN c ON {DISTANCE} >= {cosr(300.0)} JOIN m USING (pix) JOIN k USING (pix) WHERE weight > 0)
+SELECT s.source_id, count(j.value) AS n_pix, round(avg(j.value), 6) AS signal FROM s LEFT JOIN j USING (source_id) GROUP BY s.source_id"""
+RANDOM_CUTOUTS = 300
+_low = num(np.sin(np.deg2rad(10.0)))
+random_cutout_stack = cutout_stack.replace(
+    f"s AS (SELECT s_suppkey AS source_id, {sky('s_suppkey')}, 300 + (s_suppkey % 5) * 60 AS theta FROM supplier)",
+    f"""z AS (SELECT 300 + (s_suppkey % 5) * 60 AS theta, row_number() OVER (ORDER BY s_suppkey % 5) - 1 AS place, count(*) OVER () AS n FROM supplier),
+s AS (SELECT id AS source_id, 360 * {frac('id * 0.3819660112501051e0')} AS lon, degrees(asin(least({_low} + (1 - {_low}) * {frac('id * 0.6180339887498949e0')}, 1.0))) * CASE WHEN {frac('id * 0.7548776662466927e0')} < 0.5 THEN -1 ELSE 1 END AS lat, theta
+  FROM range(0, {RANDOM_CUTOUTS}) a(id) JOIN z ON (id * 7919 + 17) % n = place)""",
+).replace("* 1200.0 / 11", "* 4 * theta / 11")
+matched_in_both = f"""WITH o AS (SELECT c_custkey AS obs_id, {sky('(c_custkey + 0.31)')} FROM customer), t AS (SELECT s_suppkey AS cat_id, {sky('s_suppkey')} FROM supplier), v AS (SELECT s_suppkey AS cat_id, {sky('(s_suppkey + 0.5)')} FROM supplier),
+a AS (SELECT obs_id, cat_id, {separation('o', 't')} AS sep FROM o JOIN t ON {separation('o', 't')} <= 1200 QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY {separation('o', 't')}, cat_id) = 1),
+b AS (SELECT obs_id, cat_id, {separation('o', 'v')} AS sep FROM o JOIN v ON {separation('o', 'v')} <= 1200 QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY {separation('o', 'v')}, cat_id) = 1)
+SELECT obs_id, a.cat_id AS cat_id_a, round(a.sep, 6) AS sep_a, b.cat_id AS cat_id_b, round(b.sep, 6) AS sep_b FROM a JOIN b USING (obs_id)"""

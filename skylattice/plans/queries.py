@@ -12,9 +12,10 @@ from ..operators import associations as assoc
 from ..operators import bins as mass_bins_ops
 from ..operators import catalogue, cutouts, harmonics, matching, photometry, profiles, projection, significance
 from ..operators.significance import golden_fraction
+from ..operators.spatial import bound_map
 from ..sources.tables import table
 from . import fixtures as fx
-from . import oracle
+from . import oracle, suite
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +56,7 @@ def mass_bins(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") * 1e10).alias("mass"))
     edges = mass_bins_ops.mass_bin_edges(rows, 0.2, (10, 50, 100))
     binned = mass_bins_ops.assign_bins(rows.withColumn("log_mass", F.log10("mass")), edges)
-    return rounded(mass_bins_ops.bin_summary(binned), 6, "lo", "hi", "median_log_mass")
+    return rounded(mass_bins_ops.bin_summary(binned, edges, rows), 6, "lo", "hi", "median_log_mass")
 
 
 def pool_pvalue(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,11 +72,11 @@ def _n_rows(pool: DataFrame) -> int:
 
 def bootstrap_stack(spark: SparkSession, sf: str) -> DataFrame:
     pool = fx.pool(spark, sf)
-    return rounded(significance.bootstrap(pool, _n_rows(pool), oracle.N_BOOT), 6, "mean", "error")
+    return rounded(significance.bootstrap(pool, _n_rows(pool), oracle.N_BOOT, None), 6, "mean", "error")
 
 
 def _stacks(pool: DataFrame) -> DataFrame:
-    return significance.random_stacks(pool, _n_rows(pool), oracle.N_STACK, oracle.N_SRC)
+    return significance.random_stacks(pool, _n_rows(pool), oracle.N_STACK, oracle.N_SRC, None)
 
 
 def random_stack(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +94,7 @@ def empirical_sigma_profile(spark: SparkSession, sf: str) -> DataFrame:
 def student_profile(spark: SparkSession, sf: str) -> DataFrame:
     pool = fx.pool(spark, sf)
     data = pool.groupBy("r_idx").agg(F.avg("signal").alias("mean"))
-    return rounded(significance.student_profile(data, _stacks(pool), 10), 6, "p_t")
+    return rounded(significance.student_profile(data, _stacks(pool), 10, 1), 6, "p_t", "sigma_t")
 
 
 def crossmatch_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,13 +240,86 @@ def cross_cl(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(harmonics.cross_spectrum(one, two, 8), 6, "cl", "c11", "c22", "sigma")
 
 
+def signal_pvalue(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    at = table(spark, sf, "customer").select(k.alias("key"), (44 * golden_fraction(k, fx.GOLDEN) - 1).alias("theta"), (14 + F.col("c_acctbal") / 5000).alias("signal"))
+    return rounded(significance.signal_pvalue(at, fx.pool(spark, sf), "key").select("key", "p"), 9, "p")
+
+
+def _wide_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The pool with radii from 20 to 800 arcmin."""
+    return fx.pool(spark, sf).withColumn("radius", 20 * F.col("radius"))
+
+
+_STACK = ("stack", "error", "random_mean", "random_error")
+
+
+def stacked_profile(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("source_id")
+    rows = fx.suppliers(spark, sf).select((k % 4).alias("bin_idx"), k, "lon", "lat", (200 + 40 * (k % 7)).cast("double").alias("theta"))
+    out, _ = suite.stacked_profiles(rows, fx.sky_map(spark, sf), fx.NSIDE, _wide_pool(spark, sf), list(oracle.STACK_NORMS), oracle.STACK_BOOT, oracle.STACK_REPS, None, key="source_id")
+    return rounded(out.select("bin_idx", "r_idx", *_STACK), 6, *_STACK)
+
+
+def mass_bin_suite(spark: SparkSession, sf: str) -> DataFrame:
+    cuts = {"r_max": 250.0, "b_min": 10.0, "theta_min": 5.0, "theta_max": 6000.0, "mass_min": 1e14, "mass_max": 4e15}
+    sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE)
+    out = suite.mass_bin_suite(fx.halos(spark, sf), sky_map, _wide_pool(spark, sf), fx.BOX, list(oracle.STACK_NORMS), n_boot=oracle.SUITE_BOOT, n_stack=oracle.SUITE_REPS, t_fit_every=0, seed=None, **cuts)
+    rows = out["profiles"].withColumn("sigma", F.when(F.abs("sigma") < 1e300, F.col("sigma")))
+    return rounded(rounded(rows.select("bin_idx", "r_idx", *_STACK, "p", "sigma"), 6, *_STACK, "sigma"), 9, "p")
+
+
+def association_signals(spark: SparkSession, sf: str) -> DataFrame:
+    members = fx.points(spark, sf).select("id", F.col("sim").alias("label"), "x", "y", "z", (0.03 + 0.001 * (F.col("id") % 10)).alias("r500"))
+    each, medians = assoc.association_signals(members, fx.sky_map(spark, sf), fx.NSIDE, _wide_pool(spark, sf), (0.0, 0.0, 0.0))
+    means = each.groupBy("label").agg(F.count("*").alias("n_members"), F.avg("signal").alias("mean_signal"), F.avg("pval").alias("mean_pval"))
+    out = rounded(medians.join(means, "label"), 9, "mean_pval", "median_pval")
+    return rounded(out, 6, "mean_signal", "median_r", "median_ell", "median_b", "median_theta500", "median_signal")
+
+
+def masked_aperture(spark: SparkSession, sf: str) -> DataFrame:
+    mask = table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % (12 * fx.NSIDE**2)).alias("pix")).agg((F.avg("l_discount") - 0.03).alias("weight"))
+    sky_map = bound_map(fx.sky_map(spark, sf), fx.NSIDE, mask, fx.NSIDE)
+    return rounded(profiles.aperture_mean(fx.sources(spark, sf), sky_map.pixels, fx.NSIDE, F.lit(300.0)), 6, "signal")
+
+
+def random_cutout_stack(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = table(spark, sf, "supplier").select((300 + F.col("s_suppkey") % 5 * 60).cast("double").alias("theta"))
+    normal = cutouts.random_stack(sizes, fx.sky_map(spark, sf), fx.NSIDE, oracle.RANDOM_CUTOUTS, 6, 2.0, 11, 4.0, seed=None)
+    return rounded(cutouts.stacked(normal), 6, "value")
+
+
+def matched_in_both(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None).cast("double").alias("z")
+    observed = fx.on_sky(table(spark, sf, "customer").select(F.col("c_custkey").alias("obs_id"), (F.col("c_custkey") + 0.31).alias("_k"), none), "_k")
+    known = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cat_id"), (F.col("s_suppkey") + 0.5).alias("_k"), none)
+    one, two = (matching.crossmatch(observed, fx.on_sky(known, k), 1200.0, None).select("obs_id", "cat_id", F.col("separation_arcmin").alias("sep")) for k in ("cat_id", "_k"))
+    return rounded(matching.matched_in_both(one, two), 6, "sep_a", "sep_b")
+
+
+def cluster_matching(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.points(spark, sf).withColumn("mass", F.pow(F.lit(10.0), F.col("log_mass"))).withColumn("r500", F.lit(0.03)).drop("log_mass")
+    clusters = _references(spark, sf).withColumnRenamed("ref_id", "obs_id")
+    sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE)
+    out = suite.cluster_matching(rows, clusters, _mass_function(spark), sky_map, _wide_pool(spark, sf), (0.0, 0.0, 0.0), 0.08, 5, 0.1, None, 0.6)
+    return rounded(out["matches"], 9, "pval", "dist")
+
+
+def random_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """As many pointings as there are orders."""
+    n = table(spark, sf, "orders").count()
+    found = suite.random_pool(fx.sky_map(spark, sf), fx.NSIDE, list(oracle.RADII), n, 10.0)
+    return rounded(found.groupBy("r_idx", "radius").agg(F.count("*").alias("n"), F.avg("signal").alias("mean")), 6, "mean")
+
+
 #: Queries with a SQL counterpart, and those that SQL can't express (tested against brute force).
 CHECKED: tuple[Query, ...] = (
     aperture_mean, annulus_mean, enclosed_profile, halo_cuts, halo_sorted, extent_centre_cut, mass_bins, pool_pvalue, bootstrap_stack,
     random_stack, empirical_sigma_profile, crossmatch_best, radius_cdf, match_halo, pval_matrix, halo_neighbours, particle_projection,
     grid_projection, cutout_stack, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map, mass_ratio,
+    signal_pvalue, stacked_profile, mass_bin_suite, association_signals, masked_aperture, random_cutout_stack, matched_in_both,
 )
-UNCHECKED: tuple[Query, ...] = (student_profile, greedy_match, halo_associations, find_center, smooth_map, cross_cl)
+UNCHECKED: tuple[Query, ...] = (student_profile, greedy_match, halo_associations, find_center, smooth_map, cross_cl, cluster_matching, random_pool)
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,4 @@
-"""Composite runs: the mass-bin suite, the random pool, and cluster matching."""
+"""Composite runs: the random pool, the mass-bin suite, cluster matching and the catalogue comparison."""
 
 from __future__ import annotations
 
@@ -7,37 +7,102 @@ from pyspark.sql import functions as F
 
 from ..operators import associations as assoc
 from ..operators import bins as mass_bins
-from ..operators import catalogue, matching, profiles, significance
+from ..operators import catalogue, cutouts, harmonics, matching, photometry, profiles, significance
+from ..operators.rows import numbered_within
+from ..operators.significance import SEED
+from ..operators.spatial import BoundMap, bound_map
 from ..sources.tables import written
 
 
-def random_pool(sky_map: DataFrame, nside: int, radii_arcmin: list[float], n_points: int, abs_b_min: float = 10.0, seed: int | None = 42) -> DataFrame:
-    """``id, r_idx, radius, signal`` of random pointings with a value at every radius."""
-    where = written(significance.random_positions(sky_map.sparkSession, n_points, abs_b_min, seed), "pointings")
+def prepared_map(sky_map: DataFrame, nside: int, mask: DataFrame | None = None, mask_nside: int | None = None, smooth_arcmin: float | None = None, **settings: float) -> tuple[BoundMap, DataFrame]:
+    """The map bound to its mask, smoothed on demand (and written once), and its statistics."""
+    rows = sky_map if smooth_arcmin is None else harmonics.smoothed(sky_map, nside, smooth_arcmin)
+    bound = bound_map(written(rows, "map"), nside, mask, mask_nside, **settings)
+    return bound, photometry.map_statistics(bound.pixels)
+
+
+def random_pool(sky_map: DataFrame, nside: int, radii_arcmin: list[float], n_points: int, abs_b_min: float = 10.0, seed: int | None = SEED) -> DataFrame:
+    """``row, r_idx, radius, signal`` of random pointings with a value at every radius."""
+    where = significance.random_positions(sky_map.sparkSession, n_points, abs_b_min, seed)
     found = profiles.enclosed_profile(where.withColumnRenamed("id", "source_id"), sky_map, nside, radii_arcmin)
-    return profiles.drop_incomplete(found, "source_id", len(radii_arcmin)).withColumnRenamed("source_id", "id")
+    return profiles.drop_incomplete(found, "source_id", len(radii_arcmin)).withColumnRenamed("source_id", "row")
 
 
-def mass_bin_suite(halos: DataFrame, sky_map: DataFrame, pool: DataFrame, nside: int, box: float, step: float = 0.2, top_counts: tuple[int, ...] = (10, 50, 100), aperture_scale: float = 1.0, **cuts: float) -> tuple[DataFrame, DataFrame]:
-    """Halos with signal, bin and p-value, and the bins with counts and mean signals.
+def stacked_profiles(sources: DataFrame, sky_map: DataFrame, nside: int, pool: DataFrame, norms: list[float], n_boot: int, n_stack: int, seed: int | None = SEED, group: str = "bin_idx", key: str = "halo_idx") -> tuple[DataFrame, DataFrame]:
+    """Stacks of profiles in units of each source's size, for all groups in one plan.
 
-    All realisations and bins are grouping keys of one plan.
+    ``sources(group, key, lon, lat, theta)`` and ``pool(row, radius, signal)``.  The first result is
+    ``group, r_idx, norm, stack, error, random_mean, random_error``: plain mean, deviation of the
+    bootstrap means, mean and deviation of the random stacks; the second the random stacks themselves.
+    """
+    ranked = written(numbered_within(sources.select(group, key, "lon", "lat", "theta"), group, F.col(key)), "stack-sources")
+    found = profiles.enclosed_profile(ranked.select(key, "lon", "lat", "theta"), sky_map, nside, norms, key, F.col("theta"))
+    own = written(found.join(ranked.select(key, group, "number"), key).select(group, "number", "r_idx", "signal"), "own-profiles")
+    data = significance.group_bootstrap(own, ranked, n_boot, seed, group)
+    stacks = written(significance.scaled_stacks(ranked, pool, norms, n_stack, seed, group), "random-stacks")
+    random = stacks.groupBy(group, "r_idx").agg(F.avg("mean").alias("random_mean"), F.stddev_pop("mean").alias("random_error"))
+    norm = F.element_at(F.array(*[F.lit(float(x)) for x in norms]), F.col("r_idx") + 1)
+    return data.withColumn("norm", norm).join(random, [group, "r_idx"], "left"), stacks
+
+
+def mass_bin_suite(
+    halos: DataFrame, sky_map: BoundMap, pool: DataFrame, box: float, norms: list[float], step: float = 0.2, top_counts: tuple[int, ...] = (10, 50, 100), aperture_scale: float = 1.0,
+    n_boot: int = 10_000, n_stack: int = 1_000, t_fit_every: int = 10, cutout_bins: int = 3, size_factor: float = 5.0, seed: int | None = SEED, **cuts: float,
+) -> dict[str, DataFrame]:
+    """The run over mass bins; all bins are grouping keys of one plan.
+
+    * ``halos``: cut catalogue with signal, pool p-value at the halo's own aperture, and bin;
+    * ``bins``: edges, count and median of every bin, empty ones too;
+    * ``profiles``: stacks and random stacks with errors, empirical p-value and sigma at each radius;
+    * ``t_fits``: tails of Student laws fitted to the random stacks of each bin;
+    * ``cutouts``: mean normalised cutouts of the first bins, by the angular size (not the aperture).
     """
     rows = catalogue.halo_cuts(catalogue.halo_catalogue(halos, box, aperture_scale), **cuts)
     rows = written(rows.withColumns({"lon": F.col("ell"), "lat": F.col("b")}), "suite-halos")
-    edges = mass_bins.mass_bin_edges(rows.select(F.col("halo_idx").alias("key"), "mass"), step, top_counts)
-    signal = profiles.aperture_mean(rows, sky_map, nside, F.col("aperture"), "halo_idx")
-    binned = mass_bins.assign_bins(rows.join(signal, "halo_idx"), edges)
-    # The pool at each halo's aperture: interpolation extends the end segments.
-    one = pool.groupBy("radius").agg(F.avg("signal").alias("signal")).withColumn("key", F.lit(0))
-    expected = profiles.interpolated(one, binned.select(F.lit(0).alias("key"), "halo_idx", F.col("aperture").alias("target")), "key", "extrapolate")
-    halos_out = binned.join(expected.select("halo_idx", F.col("value").alias("expected")), "halo_idx", "left")
-    bins_out = halos_out.groupBy("bin_idx", "lo", "hi").agg(F.count("*").alias("count"), F.median("log_mass").alias("median_log_mass"), F.avg("signal").alias("signal"), F.avg("expected").alias("expected"))
-    return halos_out, bins_out
-
-
-def cluster_matching(halos: DataFrame, clusters: DataFrame, mass_function: DataFrame, eps: float = 1.75, min_samples: int = 9, r_max: float = 50.0, threshold: float = 0.05) -> DataFrame:
-    """Associations matched one to one to observed clusters ``(obs_id, x, y, z)``."""
-    members = written(assoc.associations(halos, eps, min_samples), "members")
+    masses = rows.select(F.col("halo_idx").alias("key"), "mass")
+    edges = mass_bins.mass_bin_edges(masses, step, top_counts)
+    signal = profiles.aperture_mean(rows, sky_map.pixels, sky_map.nside, F.col("aperture"), "halo_idx").select("halo_idx", "signal")
+    at = rows.select("halo_idx", F.col("aperture").alias("theta")).join(signal, "halo_idx")
+    tails = significance.signal_pvalue(at, pool, "halo_idx").select("halo_idx", "signal", "p")
+    binned = written(mass_bins.assign_bins(rows.join(tails, "halo_idx"), edges), "suite-binned")
+    stacked, stacks = stacked_profiles(binned.select("bin_idx", "halo_idx", "lon", "lat", F.col("aperture").alias("theta")), sky_map.pixels, sky_map.nside, pool, norms, n_boot, n_stack, seed)
+    stacked = written(stacked, "suite-stacks")
+    tail = significance.significance_profile(stacked.withColumnRenamed("stack", "mean"), stacks, ("bin_idx", "r_idx"))
+    out = {"halos": binned, "bins": mass_bins.bin_summary(binned, edges, masses), "profiles": stacked.join(tail, ["bin_idx", "r_idx"], "left")}
+    fits = None
+    for b in edges if t_fit_every else []:  # as many bins as mass steps; each fit is a job over its radii
+        own = F.col("bin_idx") == b["bin_idx"]
+        one = significance.student_profile(stacked.where(own).select("r_idx", F.col("stack").alias("mean")), stacks.where(own), t_fit_every).withColumn("bin_idx", F.lit(b["bin_idx"]))
+        fits = one if fits is None else fits.unionByName(one)
+    if fits is not None:
+        out["t_fits"] = fits
+    first = binned.where(F.col("bin_idx") < cutout_bins).select("bin_idx", "halo_idx", "lon", "lat", "theta")
+    cut = cutouts.cutout(first, sky_map.pixels, sky_map.nside, size_factor * F.col("theta"), sky_map.npix, "halo_idx").join(first.select("halo_idx", "bin_idx", "theta"), "halo_idx")
+    normal = cutouts.normalised(cut, F.col("theta"), sky_map.nbins, sky_map.half, "halo_idx").join(first.select("halo_idx", "bin_idx"), "halo_idx")
+    out["cutouts"] = normal.groupBy("bin_idx", "iu", "iv").agg(F.avg("value").alias("value"), F.count("*").alias("n_sources"))
+    return out
+
+
+def cutout_seed(base: int, sim_index: int, bin_idx: int) -> int:
+    """Seed of the random cutouts of a realisation's bin."""
+    return base + sim_index + bin_idx
+
+
+def cluster_matching(halos: DataFrame, clusters: DataFrame, mass_function: DataFrame, sky_map: BoundMap, pool: DataFrame, centre: tuple, eps: float = 1.75, min_samples: int = 9, r_max: float = 50.0, threshold: float | None = 0.05, mass_sigma: float = 0.3, radius_col: str = "r500") -> dict[str, DataFrame]:
+    """Associations with signals and p-values, matched one to one to observed clusters ``(obs_id, x, y, z)``.
+
+    ``matches`` has the pairs, ``members`` and ``summary`` the signals, ``combined`` the members'
+    p-values of each association joined into one.
+    """
+    members = written(assoc.associations(halos, eps, min_samples, mass_sigma), "members")
+    each, summary = assoc.association_signals(members, sky_map.pixels, sky_map.nside, pool, centre, radius_col)
     dense = matching.density_of(members.withColumn("log_mass", F.log10("mass")), mass_function)
-    return matching.greedy_match(matching.matching_matrix(clusters, dense, r_max), threshold)
+    pairs = matching.matching_pairs(clusters, dense, r_max)
+    return {"members": each, "summary": summary, "matches": matching.greedy_match(pairs, threshold), "combined": significance.stouffer(each, "label", "pval")}
+
+
+def catalogue_comparison(first: DataFrame, second: DataFrame, n_samples: int = 1000, seed: int | None = SEED) -> tuple[DataFrame, DataFrame]:
+    """Masses of clusters matched in two lists ``(obs_id, cat_id, log_mass, log_mass_err)``, and their mean ratio."""
+    both = matching.matched_in_both(first, second)
+    pairs = both.select(F.col("obs_id").alias("key"), F.col("log_mass_a").alias("log_a"), F.col("log_mass_err_a").alias("err_a"), F.col("log_mass_b").alias("log_b"), F.col("log_mass_err_b").alias("err_b"))
+    return both, photometry.mass_ratio(pairs, n_samples, seed)

@@ -7,6 +7,10 @@ import re
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.geometry import radec_to_galactic
+from ..operators.rows import computed
 
 SCHEMA = "identifier string, name string, ra_deg double, dec_deg double, cz_cmb double, cz_cmb_err double"
 
@@ -33,6 +37,16 @@ def observed_clusters(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def cluster_positions(clusters: DataFrame) -> DataFrame:
+    """Adds Galactic position and redshift of observed clusters; an unknown velocity gives a null redshift."""
+    ell, b = radec_to_galactic(F.col("ra_deg"), F.col("dec_deg"))
+    return computed(clusters, ell=ell, b=b, z=F.when(~F.isnan("cz_cmb"), F.col("cz_cmb") / SPEED_OF_LIGHT))
+
+
+#: km/s.
+SPEED_OF_LIGHT = 299792.458
+
+
 def load_settings(path: str, keys: tuple[str, ...] = ("map", "pool", "output", "catalogue")) -> dict:
     """Settings with the paths of ``[paths]`` resolved against its root (relative to the file's folder)."""
     with open(path, encoding="utf-8") as f:

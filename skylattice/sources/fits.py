@@ -105,3 +105,30 @@ def read_map(spark: SparkSession, path: str, column: str = "FULL") -> DataFrame:
         wide = df.select("row", F.size(column).alias("n"), F.posexplode(column).alias("i", "value"))
         return wide.select((F.col("row") * F.col("n") + F.col("i")).alias("pix"), F.col("value").cast("double").alias("value"))
     return df.select(F.col("row").alias("pix"), F.col(column).cast("double").alias("value"))
+
+
+# Columns of the SZ cluster catalogue by type (fixed values: names of the published table in lower case,
+# with their unit where there is one).
+CLUSTER_COLUMNS = {
+    "int": "index pipeline pipe_det validation psz pccs2 wise_flag".split(),
+    "double": "glon_deg glat_deg ra_deg dec_deg pos_err_arcmin".split(),
+    "float": "snr redshift y5r500 y5r500_err msz msz_err_up msz_err_low q_neural".split(),
+    "boolean": ["ir_flag"],
+    "string": "name redshift_id mcxc redmapper act spt comment".split(),
+}
+
+
+def read_cluster_catalogue(spark: SparkSession, path: str, extension: str | int = "PSZ2_UNION") -> DataFrame:
+    """The SZ cluster catalogue with typed columns, trimmed strings, and ``z`` (null where unknown)."""
+    return cluster_catalogue(read_fits(spark, path, extension))
+
+
+def cluster_catalogue(table: DataFrame) -> DataFrame:
+    """Typed columns of a cluster table with the published names in any case."""
+    own = {c.lower(): c for c in table.columns}
+    source = lambda name: name.removesuffix("_deg").removesuffix("_arcmin")
+    missing = [n for names in CLUSTER_COLUMNS.values() for n in names if source(n) not in own]
+    if missing:
+        raise KeyError(f"no column {', '.join(map(source, missing))}; there are {', '.join(table.columns)}")
+    typed = [(F.trim(F.col(own[source(n)]).cast("string")) if kind == "string" else F.col(own[source(n)]).cast(kind)).alias(n) for kind, names in CLUSTER_COLUMNS.items() for n in names]
+    return table.select(*typed).withColumn("z", F.when((F.col("redshift") >= 0) & ~F.isnan("redshift"), F.col("redshift").cast("double")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import cosmology, geometry, massfunction, stats
 from skylattice.functions import healpix as hp
 from skylattice.operators import associations as assoc
+from skylattice.sources.tables import written
 from skylattice.operators import bins, catalogue, cutouts, harmonics, matching, photometry, projection, significance
 
 
@@ -57,10 +58,17 @@ def test_mass_bins(spark):
     lm = np.sort(np.log10(mass))[::-1]
     assert edges[0]["hi"] is None and edges[0]["lo"] == pytest.approx(lm[9]) and edges[1]["lo"] == pytest.approx(lm[59])
     assert edges[-1]["lo"] == pytest.approx(lm[-1]) and [b["label"] for b in edges[:3]] == ["top10", "next50", None]
-    counts = {r["bin_idx"]: r["count"] for r in bins.bin_summary(bins.assign_bins(df.withColumn("log_mass", F.log10("mass")), edges)).collect()}
+    counts = {r["bin_idx"]: r["count"] for r in bins.bin_summary(bins.assign_bins(df.withColumn("log_mass", F.log10("mass")), edges), edges).collect()}
     assert counts[0] == 10 and counts[1] == 50 and sum(counts.values()) == 300
     few = bins.mass_bin_edges(df.limit(5), 0.2, (10, 100))
-    assert few[0]["label"] == "top10" and few[-1]["lo"] == few[-1]["hi"]
+    assert few[0]["label"] == "top5" and few[-1]["lo"] == few[-1]["hi"]
+    # A gap in the masses leaves bins empty; they keep their edges, and the last one has its upper edge.
+    gap = spark.createDataFrame([(1, 10**13.0), (2, 10**13.1), (3, 10**14.0), (4, 10**14.0)], "key long, mass double")
+    edges = bins.mass_bin_edges(gap, 0.25, (0, 1))
+    assert edges[0]["label"] == "next1" and edges[0]["hi"] is None
+    rows = bins.bin_summary(bins.assign_bins(gap.withColumn("log_mass", F.log10("mass")), edges), edges, gap).orderBy("bin_idx").collect()
+    assert [r["bin_idx"] for r in rows] == [b["bin_idx"] for b in edges] and any(r["count"] == 0 and r["median_log_mass"] is None for r in rows)
+    assert rows[0]["count"] == 2 and rows[0]["median_log_mass"] == pytest.approx(14.0)
     assert bins.mass_bin_edges(df.limit(0)) == []
     for bad in (0.0, -1.0):
         with pytest.raises(ValueError):
@@ -76,6 +84,40 @@ def test_upper_tail_and_ties(spark):
     assert got == {1: 0.75, 2: 1.0, 3: 0.0, 4: None}
     zero = {r["k"]: r["p"] for r in significance.upper_tail(sig, pool, "g", "k", nan_as_zero=True).collect()}
     assert zero[4] == 0.0
+    rng = np.random.default_rng(4)
+    values = [(g, float(v)) for g in range(3) for v in rng.integers(0, 9, 200)] + [(1, 4.0)] * 1000
+    asked = [(g, i, float(rng.integers(0, 10))) for g in range(3) for i in range(40)]
+    got = significance.upper_tail(spark.createDataFrame(asked, "g int, k long, signal double"), spark.createDataFrame(values, "g int, value double"), "g", "k").collect()
+    for r in got:
+        own = [v for g, v in values if g == r["g"]]
+        assert r["p"] == pytest.approx(sum(v >= r["signal"] for v in own) / len(own))
+
+
+def test_signal_pvalue_outside_the_pool_and_nulls(spark):
+    pool = spark.createDataFrame([(i, r, float(i * r)) for i in range(5) for r in (1.0, 2.0, 4.0)], "row long, radius double, signal double")
+    sig = spark.createDataFrame([(1, 3.0, 6.0), (2, 8.0, 16.0), (3, 0.5, 1.1), (4, 2.0, None), (5, 2.0, 99.0)], "key long, theta double, signal double")
+    assert {r["key"]: r["p"] for r in significance.signal_pvalue(sig, pool, "key").collect()} == {1: 0.6, 2: 0.6, 3: 0.4, 4: None, 5: 0.0}
+    assert {r["key"]: r["p"] for r in significance.signal_pvalue(sig, pool, "key", True).collect()}[4] == 0.0
+
+
+def test_student_profile_between_fitted_radii(spark):
+    rng = np.random.default_rng(2)
+    stacks = spark.createDataFrame([(k, float(v)) for k in range(5) for v in rng.normal(k, 1, 300)], "r_idx int, mean double")
+    data = spark.createDataFrame([(k, k + 1.0) for k in range(5)], "r_idx int, mean double")
+    got = {r["r_idx"]: r for r in significance.student_profile(data, stacks, 2).collect()}
+    assert got[0]["p_t"] == pytest.approx(0.16, abs=0.04) and got[0]["sigma_t"] == pytest.approx(1, abs=0.2)
+    for c in ("p_t", "sigma_t"):
+        assert got[1][c] == pytest.approx((got[0][c] + got[2][c]) / 2) and got[3][c] == pytest.approx((got[2][c] + got[4][c]) / 2)
+
+
+def test_seeded_draws_repeat_and_fill(spark):
+    got = significance.draws(4, 1000, 50, spark).collect()
+    assert sorted(got) == sorted(significance.draws(4, 1000, 50, spark).collect())
+    counts = np.bincount([r["row"] for r in got], minlength=50)
+    assert counts.min() > 40 and counts.max() < 130
+    rows = spark.createDataFrame([(i, 0, float(i)) for i in range(400)], "row long, r_idx int, signal double")
+    error = significance.bootstrap(rows, 400, 200).first()["error"]
+    assert error == pytest.approx(np.std(range(400)) / 20, rel=0.2)
 
 
 def test_student_tail():
@@ -158,9 +200,11 @@ def test_match_probability_inverse(spark):
     out = df.withColumn("c", matching.match_cdf(F.col("r"), F.col("n"))).withColumn("r2", matching.match_inverse_cdf(F.col("c"), F.col("n"))).collect()
     for r in out:
         assert r["r2"] == pytest.approx(r["r"], rel=1e-9)
-    table = spark.createDataFrame([(12.0, 1e-2), (14.0, 1e-4)], "log_mass double, nd double")
-    got = matching.density_of(spark.createDataFrame([(13.0,), (14.0,)], "log_mass double"), table).collect()
-    assert sorted(r["n"] for r in got) == pytest.approx([1e-4, 1e-3])
+    grid = np.linspace(12, 16, 81)
+    table = spark.createDataFrame([(float(m), float(10 ** (-0.9 * (m - 12)))) for m in grid], "log_mass double, nd double")
+    got = matching.density_of(spark.createDataFrame([(12.01,), (13.033,), (15.98,), (16.0,)], "log_mass double"), table).collect()
+    for r in got:
+        assert r["n"] == pytest.approx(10 ** (-0.9 * (r["log_mass"] - 12)), rel=1e-5)
     with pytest.raises(Exception, match="outside"):
         matching.density_of(spark.createDataFrame([(20.0,)], "log_mass double"), table).collect()
 
@@ -177,6 +221,60 @@ def test_find_center_recovers_a_peak(spark):
     assert not out[2]["converged"]
 
 
+def test_find_center_step_by_step(spark):
+    """Against the same steps taken one by one, with a cutout of its own for each."""
+    nside, size, npix, final = 32, 600.0, 21, 120.0
+    pixels = spark.range(hp.npix(nside)).withColumnRenamed("id", "pix").withColumn("value", F.sin(F.col("pix") * 0.37) + F.cos(F.col("pix") * 0.011))
+    sky = written(pixels, "sky")
+    src = [(1, 100.0, 55.0), (2, 359.5, -20.0)]
+    out = {r["source_id"]: r for r in cutouts.find_centers(spark.createDataFrame(src, "source_id long, lon double, lat double"), sky, nside, size, npix, final, shrink=0.7).collect()}
+    for i, lon, lat in src:
+        radius, steps = size / np.sqrt(2), 0
+        while True:
+            one = spark.createDataFrame([(i, float(lon), float(lat))], "source_id long, lon double, lat double")
+            cut = cutouts.cutout(one, sky, nside, F.lit(size), npix).toPandas()
+            near = cut[np.hypot(cut["x"], cut["y"]) <= (final if radius < final else radius)]
+            if radius < final:
+                best = near.sort_values(["value", "iy", "ix"], ascending=[False, True, True]).iloc[0]
+                dx, dy = best["x"], best["y"]
+            else:
+                w = np.maximum(near["value"], 0)
+                dx, dy = (near["x"] * w).sum() / w.sum(), (near["y"] * w).sum() / w.sum()
+            lon, lat = lon + dx / 60 / np.cos(np.deg2rad(lat)), lat + dy / 60
+            if radius < final:
+                break
+            radius, steps = radius * 0.7, steps + 1
+        assert out[i]["converged"] and out[i]["n_iterations"] == steps
+        assert (out[i]["lon"], out[i]["lat"]) == pytest.approx((lon, lat), abs=1e-9)
+
+
+def test_plans_compute_once(spark):
+    """No expression is copied into filters: the plans stay short enough to be compiled."""
+    from skylattice.plans import fixtures as fx
+    from skylattice.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(queries.halo_cuts(spark, sf)).upper().count("CBRT") <= 6
+    assert len(plan(cutouts.cutout(fx.suppliers(spark, sf), fx.sky_map(spark, sf), fx.NSIDE, F.lit(1200.0), 11))) < 40_000
+
+
+def test_masks(spark):
+    from skylattice.operators import spatial
+
+    sky = spark.createDataFrame([(p, float(p)) for p in range(12)] , "pix long, value double")
+    mask = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, -1.6375e30), (3, float("nan")), (4, None), (5, 0.5)], "pix long, weight double")
+    assert sorted(r["pix"] for r in spatial.bound_map(sky, 1, mask, 1).pixels.collect()) == [0, 5]
+    with pytest.raises(ValueError):
+        spatial.bound_map(sky, 1, mask, 2)
+
+
+def test_matched_in_both(spark):
+    a = spark.createDataFrame([(1, 5, 0.1), (2, None, None), (3, 6, 0.2)], "obs_id long, cat_id long, sep double")
+    b = spark.createDataFrame([(1, 7, 0.3), (3, None, None)], "obs_id long, cat_id long, sep double")
+    assert [tuple(r) for r in matching.matched_in_both(a, b).collect()] == [(1, 5, 0.1, 7, 0.3)]
+
+
 def test_normalised_last_edge(spark):
     cut = spark.createDataFrame([(1, 1.0, 1.0, 2.0), (1, -1.0, 0.0, 4.0), (1, 1.1, 0.0, 9.0), (1, 0.5, 0.5, None)], "source_id long, x double, y double, value double")
     got = {(r["iu"], r["iv"]): r["value"] for r in cutouts.normalised(cut, F.lit(1.0), 4, 1.0).collect()}

@@ -52,16 +52,51 @@ def test_clusters(spark, tmp_path):
 
 
 def test_results_round_trip(spark, tmp_path):
-    halos = spark.createDataFrame([("b", 1), ("a", 2)], "sim string, halo_idx long")
-    bins = spark.createDataFrame([("b", 0, [1.0], [2.0], [4.0])], "sim string, bin_idx int, stacked array<double>, stacked_low array<double>, stacked_high array<double>")
-    tables.save_results(halos, bins, str(tmp_path / "r"))
-    got = tables.load_bins(spark, str(tmp_path / "r"))
-    assert got.first()["stacked_error"] == [1.0] and tables.default_simulation(got) == "b"
-    assert "stacked" not in tables.load_bins(spark, str(tmp_path / "r"), profiles=False).columns
+    halos = spark.createDataFrame([(x, i, *[1.0] * 9, 0) for i, x in enumerate("ba")], tables.HALO_RESULT)
+    columns = tables.BIN_RESULT.replace(" result_ord int,", "") + ", stacked array<double>, stacked_low array<double>, stacked_high array<double>, stacked_profile array<double>"
+    bins = spark.createDataFrame([("b", k, 1.0, None, 1.0, n, [1.0], [2.0], [4.0], [1.0]) for k, n in ((0, 2), (1, 0), (2, 3))] + [("a10", 0, 1.0, 2.0, 1.5, 1, [1.0], [2.0], [4.0], None)], columns)
+    folder = str(tmp_path / "r")
+    tables.save_results(halos, bins, folder)
+    got = tables.load_bins(spark, folder)
+    assert got.first()["stacked_error"] == [1.0] and tables.default_simulation(got) == "a10" and tables.result_simulations(spark, folder) == ["a10", "b"]
+    # An empty bin has no result, so places and bin numbers differ behind it.
+    assert sorted((r["bin_idx"], r["result_ord"]) for r in got.where("sim = 'b'").collect()) == [(0, 0), (2, 1)]
+    assert got.where(tables.has_profiles(got)).count() == 2 and tables.load_halos(spark, folder, "a").count() == 1
+    entry = tables.bins_as_maps(got.where("sim = 'a10'")).first()["entries"]
+    assert entry["count"] == '{"value":1}'
+    assert "stacked" not in tables.load_bins(spark, folder, profiles=False).columns
     tables.dump(halos, str(tmp_path / "d"))
     assert tables.select_columns(spark, str(tmp_path / "d"), "sim").columns == ["sim"]
     with pytest.raises(KeyError):
         tables.select_columns(spark, str(tmp_path / "d"), "none")
+    with pytest.raises(KeyError):
+        tables.shaped(halos.drop("mass"), tables.HALO_RESULT)
+
+
+def test_snapshot_and_catalogue_schemas(spark):
+    head = tables.snapshot_header(spark.createDataFrame([(681.0, 0.5)], "BoxSize float, Redshift double")).first()
+    assert head["BoxSize"] == 681.0 and head["Redshift"] == 0.5 and head["Time"] != head["Time"]
+    snap = spark.createDataFrame([("PartType1",), ("PartType0",), ("Header",), ("PartType1",)], "part_type string")
+    assert tables.part_types(snap) == ["PartType0", "PartType1"]
+    names = [n for group in fits.CLUSTER_COLUMNS.values() for n in group]
+    upper = {n: n.removesuffix("_deg").removesuffix("_arcmin").upper() for n in names}
+    row = spark.range(1).select(*[(F.lit(" a ") if n in fits.CLUSTER_COLUMNS["string"] else F.lit(-1)).alias(u) for n, u in upper.items()])
+    got = fits.cluster_catalogue(row)
+    assert len(got.columns) == 29 and got.first()["name"] == "a" and got.first()["z"] is None and dict(got.dtypes)["snr"] == "float"
+    with pytest.raises(KeyError):
+        fits.cluster_catalogue(row.drop("SNR"))
+    seen = clusters.cluster_positions(spark.createDataFrame([("a", 10.0, 20.0, 2997.92458), ("b", 1.0, 2.0, None)], "identifier string, ra_deg double, dec_deg double, cz_cmb double")).collect()
+    assert seen[0]["z"] == pytest.approx(0.01) and seen[1]["z"] is None and 0 <= seen[0]["ell"] < 360
+
+
+def test_simulation_choice(spark):
+    from skylattice.operators import catalogue
+
+    rows = spark.createDataFrame([("10",), ("9",), ("9",)], "sim string")
+    assert catalogue.chosen_simulations(rows, "All") == ["9", "10"] and catalogue.chosen_simulations(rows, "all", 1) == ["9"]
+    assert catalogue.chosen_simulations(rows, 7) == ["7"]
+    with pytest.raises(ValueError):
+        catalogue.chosen_simulations(rows, None)
 
 
 def test_pixel_count_stream(spark, tmp_path):
@@ -83,7 +118,16 @@ def test_suite(spark):
     sky = tables.written(fx.sky_map(spark, sf, 4), "map")
     pool = suite.random_pool(sky, 4, [600.0, 1200.0, 2400.0], 20, 10.0, None)
     assert pool.count() % 3 == 0
-    halos, bins = suite.mass_bin_suite(fx.halos(spark, sf), sky, pool, 4, fx.BOX, top_counts=(10, 20), aperture_scale=20.0, b_min=10.0)
-    assert bins.agg(F.sum("count")).first()[0] == halos.count() > 0
+    bound, facts = suite.prepared_map(sky, 4, npix=7, nbins=4)
+    assert facts.first()["n"] == bound.pixels.count()
+    out = suite.mass_bin_suite(fx.halos(spark, sf), bound, pool, fx.BOX, [0.5, 1.0], top_counts=(10, 20), aperture_scale=20.0, n_boot=5, n_stack=8, t_fit_every=1, b_min=10.0)
+    halos = out["halos"].collect()
+    assert out["bins"].agg(F.sum("count")).first()[0] == len(halos) > 0
+    assert all((h["p"] is None) == (h["signal"] is None) and (h["p"] is None or 0 <= h["p"] <= 1) for h in halos)
+    profile = out["profiles"].collect()
+    assert {r["bin_idx"] for r in profile} == {h["bin_idx"] for h in halos if h["signal"] is not None} and all(0 <= r["p"] <= 1 for r in profile if r["p"] is not None)
+    assert {r["bin_idx"] for r in out["t_fits"].collect()} <= {h["bin_idx"] for h in halos} and out["cutouts"].count() > 0
+    compared, ratio = suite.catalogue_comparison(*[spark.createDataFrame([(1, 5, 14.0, 0.1), (2, 6, 14.5, 0.1)], "obs_id long, cat_id long, log_mass double, log_mass_err double")] * 2, n_samples=50)
+    assert compared.count() == 2 and abs(ratio.first()["mean"]) < 0.2
     one = significance.numpy_positions(spark, 5, 10.0, 42).collect()
     assert all(abs(r["lat"]) >= 10 for r in one)
