@@ -1,20 +1,24 @@
-"""Exact substring deduplication by longest-previous-factor tests in suffix order.
+"""Exact substring deduplication by longest-previous-factor arrays over suffix orders.
 
 Every byte covered by a ``LENGTH``-byte string that also starts in a document of smaller id goes.
 
 1. Documents are packed into chunks, compressed and written once to the shared folder.
 2. Each window of LENGTH bytes is represented by its minimiser: the k-gram in it of least hash.
    Equal windows have equal minimisers at equal places.  Chunks send the hashes of their distinct
-   minimisers to buckets, which answer with one bit for each: does it occur in two documents?
+   minimisers to buckets, which answer for each: does it occur in two documents, and is it hot?
 3. For the minimisers that do, chunks send the segment of text around each, once for each distinct
-   segment and with the least id that holds it.  A bucket sorts the suffixes of its segments (to
-   LENGTH bytes, equal ones by id).  In that order the previous smaller position of a suffix has the
-   longest earlier factor, and the factor reaches LENGTH bytes just if the run of equal suffixes
-   starts with a smaller id.  The bucket answers with one bit for each window.
-4. Chunks mark the bytes of the windows with earlier factors and cut them out.
+   segment and with the least id that holds it.  Segments of a hot minimiser are sent window by
+   window to the bucket of the whole window's hash, so no minimiser is one bucket's burden.
+   A bucket sorts the suffixes of its segments (to LENGTH bytes, equal ones by id) and takes the
+   lengths of the neighbours' common prefixes.  The longest previous factor of a suffix is the longer
+   of its common prefixes with the previous and the next suffix in that order that have a smaller id.
+   The bucket answers with one bit for each window: its factor reaches LENGTH bytes.
+4. Chunks mark the bytes of the windows with such factors and cut them out; what stays is the copy
+   in the document of the least id.
 
 A string that occurs in any number of documents is one entry from each chunk.  Null texts are empty;
-rows that repeat an id don't count as earlier for each other.  An empty table gives no rows.
+rows that repeat an id don't count as earlier for each other.  Ties between equal suffixes go by id.
+Very long texts are chunks of their own, hashed in blocks.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,9 @@ LENGTH = 50
 GRAM = 20
 #: Bytes whose hashes are held at once.
 BLOCK = 1 << 16
+#: Occurrences in a chunk from which a minimiser's distinct segments are counted, and their number over
+#: all chunks from which it is hot.  Both only decide where windows meet, not what is found.
+COUNTED, HOT_SEGMENTS = 64, 20_000
 
 #: Low bits of a compared key: the place within a block, which is shorter than this.
 _PLACE = np.uint64((1 << 24) - 1)
@@ -123,84 +131,114 @@ class Segments:
 
 
 def _first_request(length: int, gram: int) -> object:
-    """Distinct minimisers of a chunk; the low bit tells of two documents within it."""
+    """Distinct minimisers of a chunk, by bucket: hashes, a bit for two documents within it, and the
+    places and numbers of those with many distinct segments."""
 
     def make(chunk: dict, buckets: int) -> Iterator[tuple[int, bytes]]:
         s = Segments(chunk["raw"], chunk["offsets"], length, gram)
-        unique, flag = _distinct(s, chunk["ids"])
+        unique, flag, segments = _distinct(s, chunk["ids"], chunk["raw"], length)
         bucket = (unique >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in range(buckets):
             own = order[cut[b] : cut[b + 1]]
             if len(own):
-                yield b, np.concatenate([unique[own].view(np.uint8), np.packbits(flag[own])]).tobytes()
+                many = np.flatnonzero(segments[own])
+                head = np.array([len(own), len(many)], np.int64)
+                yield b, head.tobytes() + unique[own].tobytes() + many.tobytes() + segments[own[many]].tobytes() + np.packbits(flag[own]).tobytes()
 
     return make
 
 
-def _distinct(s: Segments, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct minimiser hashes, and whether each occurs in rows of two ids."""
+def _distinct(s: Segments, ids: np.ndarray, raw: np.ndarray | None = None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct minimiser hashes, whether each occurs in rows of two ids, and the number of distinct
+    segments of those that occur often (else 0)."""
     order = np.argsort(s.hash, kind="stable")
     h, doc = s.hash[order], ids[s.doc[order]]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
     if not len(first):
-        return h, np.zeros(0, bool)
-    return h[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        return h, np.zeros(0, bool), np.zeros(0, np.int64)
+    segments = np.zeros(len(first), np.int64)
+    if raw is not None:
+        size = np.diff(np.append(first, len(h)))
+        for k in np.flatnonzero(size >= COUNTED).tolist():
+            own = order[first[k] : first[k] + size[k]]
+            segments[k] = len({(raw[x : x + n + length - 1].tobytes(), p - x) for x, n, p in zip(s.start[own].tolist(), s.run[own].tolist(), s.place[own].tolist(), strict=True)})
+    return h[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), segments
 
 
-def _split(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(len(data) * 8 // 65)
-    while 8 * n + -(-n // 8) < len(data):
-        n += 1
-    return np.frombuffer(data, np.uint64, n), np.unpackbits(np.frombuffer(data, np.uint8, offset=8 * n), count=n).astype(bool)
+def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(data, np.int64, 2).tolist()
+    at = 16 + 8 * n
+    return np.frombuffer(data, np.uint64, n, 16), np.frombuffer(data, np.int64, m, at), np.frombuffer(data, np.int64, m, at + 8 * m), np.unpackbits(np.frombuffer(data, np.uint8, offset=at + 16 * m), count=n).astype(bool)
 
 
 def _repeated(requests: list[bytes]) -> list[bytes]:
-    """For each request one bit per hash: it occurs in two documents of the corpus."""
+    """For each request two bits per hash: it occurs in two documents of the corpus, and it is hot."""
     parts = [_split(r) for r in requests]
+    ends = np.cumsum([len(p[0]) for p in parts])
     every = np.concatenate([p[0] for p in parts])
     order = np.argsort(every, kind="stable")
-    h, flag = every[order], np.concatenate([p[1] for p in parts])[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+    h, flag = every[order], np.concatenate([p[3] for p in parts])[order]
+    segments = np.zeros(len(every), np.int64)
+    for p, e in zip(parts, ends, strict=True):
+        segments[e - len(p[0]) + p[1]] = p[2]
+    fresh = np.append(True, h[1:] != h[:-1])
+    first, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
     twice = (np.diff(np.append(first, len(h))) > 1) | np.logical_or.reduceat(flag, first)
-    back = np.empty(len(h), bool)
-    back[order] = twice[group]
-    ends = np.cumsum([len(p[0]) for p in parts])
-    return [np.packbits(back[e - len(p[0]) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
+    hot = twice & (np.add.reduceat(segments[order], first) >= HOT_SEGMENTS)
+    out = np.empty((2, len(h)), bool)
+    out[:, order] = np.stack([twice, hot])[:, group]
+    return [np.packbits(out[:, e - len(p[0]) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
 
 
 class Shared:
-    """Distinct segments of a chunk around repeated minimisers, by bucket."""
+    """Distinct segments of a chunk around repeated minimisers, by bucket.
+
+    ``rows_*`` and ``code`` are the segments in text order and the distinct ones they equal.
+    """
 
     def __init__(self, chunk: dict, replies: dict[int, bytes], buckets: int, length: int, gram: int) -> None:
         raw, ids = chunk["raw"], chunk["ids"]
         s = Segments(raw, chunk["offsets"], length, gram)
-        unique, _ = _distinct(s, ids)
+        unique, _, _ = _distinct(s, ids)
         bucket = ((unique >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        repeated = np.zeros(len(unique), bool)
+        marks = np.zeros((2, len(unique)), bool)
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b, data in replies.items():
             own = order[cut[b] : cut[b + 1]]
-            repeated[own] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(own)).astype(bool)
-        rows = np.flatnonzero(repeated[np.searchsorted(unique, s.hash)]) if len(unique) else np.zeros(0, np.int64)
-        self.rows_start, self.rows_run, self.rows_doc = s.start[rows], s.run[rows], s.doc[rows]
-        # Distinct segments (minimiser hash and bytes), each with the least id that holds it.
+            marks[:, own] = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * len(own)).reshape(2, -1).astype(bool)
+        of = np.searchsorted(unique, s.hash) if len(unique) else np.zeros(0, np.int64)
+        repeated, hot = marks[:, of] if len(unique) else np.zeros((2, 0), bool)
+        rows, wide = np.flatnonzero(repeated & ~hot), np.flatnonzero(hot)
         blob = raw.tobytes()
+        # Each window of a hot minimiser is a segment by itself, known by the hash of all its bytes.
+        each = s.run[wide]
+        alone = np.repeat(s.start[wide], each) + _steps(each)
+        keys = np.array([xxhash.xxh64_intdigest(blob[x : x + length]) for x in alone.tolist()], np.uint64)
+        self.rows_start = np.concatenate([s.start[rows], alone])
+        self.rows_run = np.concatenate([s.run[rows], np.ones(len(alone), np.int64)])
+        self.rows_doc = np.concatenate([s.doc[rows], np.repeat(s.doc[wide], each)])
+        hashes = np.concatenate([s.hash[rows], keys])
+        shift = np.concatenate([(s.place - s.start)[rows], np.full(len(alone), -1)])
+        # Distinct segments (hash, bytes and the minimiser's place in them), each with the least id that holds it.
         seen: dict[tuple[int, bytes, int], int] = {}
-        self.code = np.empty(len(rows), np.int64)
-        shift = (s.place - s.start)[rows].tolist()
-        for i, (h, a, r, sh) in enumerate(zip(s.hash[rows].tolist(), self.rows_start.tolist(), self.rows_run.tolist(), shift, strict=True)):
-            self.code[i] = seen.setdefault((h, blob[a : a + r + length - 1], sh), len(seen))
+        ends = self.rows_start + self.rows_run + length - 1
+        self.code = np.fromiter((seen.setdefault((h, blob[x:y], k), len(seen)) for h, x, y, k in zip(hashes.tolist(), self.rows_start.tolist(), ends.tolist(), shift.tolist(), strict=True)), np.int64, len(hashes))
         self.least = np.full(len(seen), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.code, ids[self.rows_doc])
         self.text = [k[1] for k in seen]
+        self.run = np.fromiter((len(t) - length + 1 for t in self.text), np.int64, len(seen))
         self.hash = np.array([k[0] for k in seen], np.uint64)
         self.bucket = ((self.hash >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _steps(run: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each n."""
+    return np.arange(int(run.sum())) - np.repeat(np.cumsum(run) - run, run)
+
+
 def _second_request(length: int, gram: int) -> object:
     def make(chunk: dict, buckets: int) -> Iterator[tuple[int, bytes]]:
         shared = Shared(chunk, chunk["replies"], buckets, length, gram)
@@ -251,51 +289,75 @@ def _earlier(length: int) -> object:
         if len(chosen):
             rep_of = np.full(len(seen), -1, np.int64)
             rep_of[code[chosen]] = np.arange(len(chosen))
-            found = _previous_factors(raw, begin[chosen], run[chosen], least[code[chosen]], length)
+            found = longest_previous_factors(raw, begin[chosen], run[chosen], least[code[chosen]], length) >= length
             offset = np.cumsum(run[chosen]) - run[chosen]
-            for i in np.flatnonzero((rep_of[code] >= 0) & (doc == least[code])).tolist():
-                k = rep_of[code[i]]
-                hit[total[i] : total[i] + run[i]] |= found[offset[k] : offset[k] + run[i]]
-        out, at = [], 0
-        for r in range(len(requests)):
-            n = int(run[owner == r].sum())
-            out.append(np.packbits(hit[at : at + n]).tobytes())
-            at += n
-        return out
+            own = np.flatnonzero((rep_of[code] >= 0) & (doc == least[code]))
+            n, step = run[own], _steps(run[own])
+            hit[np.repeat(total[own], n) + step] |= found[np.repeat(offset[rep_of[code[own]]], n) + step]
+        ends = np.cumsum(np.bincount(owner, run, len(requests)).astype(np.int64))
+        return [np.packbits(part).tobytes() for part in np.split(hit, ends[:-1])]
 
     return answer
 
 
-def _previous_factors(raw: np.ndarray, begin: np.ndarray, run: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Whether each suffix (window) of the segments has an earlier factor of full length.
+def longest_previous_factors(raw: np.ndarray, begin: np.ndarray, run: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix (window) of the segments the length, at most ``length``, of its longest factor that
+    also starts in a segment of smaller id.
 
-    Suffixes are sorted by their first ``length`` bytes and then by id.  The previous smaller
-    position of a suffix within its run of common prefix ``length`` is then the run's first entry.
+    Suffixes are sorted by their first ``length`` bytes and then by id.  Of all suffixes of smaller id
+    the nearest before and the nearest after in that order share the longest prefixes.
     """
-    at = np.repeat(begin, run) + np.arange(int(run.sum())) - np.repeat(np.cumsum(run) - run, run)
+    at = np.repeat(begin, run) + _steps(run)
     owner = np.repeat(doc, run)
-    words = -(-length // 8)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(raw) + 1,), ">u8", padded, strides=(1,))
     keys = []
-    for w in range(words):
+    for w in range(-(-length // 8)):
         left = min(8, length - 8 * w)
-        key = np.zeros(len(at), np.uint64)
-        for i in range(left):
-            key |= padded[at + 8 * w + i].astype(np.uint64) << np.uint64(8 * (7 - i))
-        keys.append(key)
+        keys.append(blocks[at + 8 * w].astype(np.uint64) & ~np.uint64((1 << 8 * (8 - left)) - 1))
     order = np.lexsort((owner, *keys[::-1]))
-    same = np.ones(len(order), bool)
-    if len(order):
-        same[0] = False
-    for key in keys:
-        k = key[order]
-        same[1:] &= k[1:] == k[:-1]
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    out = np.zeros(len(order), bool)
-    out[order] = owner[order[head]] < owner[order]
+    # Common prefix of each suffix with the one before it, in bytes.
+    common, open_ = np.zeros(len(order), np.int64), np.arange(1, len(order))
+    for w, key in enumerate(keys):
+        left = min(8, length - 8 * w)
+        differ = key[order[open_]] ^ key[order[open_ - 1]]
+        some = differ > 0
+        same = np.full(len(open_), 8)
+        same[some] = (differ[some].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
+        common[open_] += np.minimum(same, left)
+        open_ = open_[~some]
+    own = owner[order]
+    factor = np.zeros(len(order), np.int64)
+    np.maximum(_to_smaller(own, common), _to_smaller(own[::-1], np.append(common[1:], 0)[::-1])[::-1], out=factor)
+    out = np.empty(len(order), np.int64)
+    out[order] = factor
     return out
 
 
+def _to_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Common prefix of each entry with the nearest one before it of smaller value; zero without one.
+
+    ``common`` is that of each entry with the one before.  All entries follow their pointers at once:
+    between an entry and its pointer no value is smaller, so a pointer's own pointer is the next to try.
+    """
+    n = len(value)
+    low = np.iinfo(np.int64).min
+    value = np.append(value, low)  # the last place is the end of every chain
+    to = np.append(np.arange(-1, n - 1), n)
+    to[0] = n
+    least = np.append(common, 0)
+    least[0] = 0
+    open_ = np.flatnonzero(value[to[:n]] >= value[:n])
+    while len(open_):
+        p = to[open_]
+        least[open_] = np.minimum(least[open_], least[p])
+        to[open_] = to[p]
+        # No factor is left to find where nothing is shared any more.
+        open_ = open_[(value[to[open_]] >= value[open_]) & (least[open_] > 0)]
+    done = value[to[:n]] < value[:n]
+    return np.where(done & (to[:n] < n), least[:n], 0)
+
+
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
@@ -303,26 +365,31 @@ def _finish(length: int, gram: int, texts: bool) -> object:
     def make(chunk: dict, buckets: int) -> Iterator[pa.RecordBatch]:
         raw, offsets = chunk["raw"], chunk["offsets"]
         shared = Shared(chunk, chunk["replies"], buckets, length, gram)
-        run = np.array([len(t) - length + 1 for t in shared.text], np.int64)
-        hits: list[np.ndarray] = [np.zeros(0, bool)] * len(run)
+        run = shared.run
         order = np.argsort(shared.bucket, kind="stable")
         cut = np.searchsorted(shared.bucket[order], np.arange(buckets + 1))
+        # The answers of all distinct segments, one after the other in the order of the buckets.
+        hits = np.zeros(int(run.sum()), bool)
+        ends = np.cumsum(run[order])
         for b, data in chunk["more"].items():
-            own = order[cut[b] : cut[b + 1]]
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), count=int(run[own].sum())).astype(bool)
-            for i, part in zip(own.tolist(), np.split(bits, np.cumsum(run[own])[:-1]), strict=True):
-                hits[i] = part
-        window = np.zeros(len(raw) + 1, np.int32)
+            lo, hi = cut[b], cut[b + 1]
+            first = int(ends[lo - 1]) if lo else 0
+            hits[first : int(ends[hi - 1])] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(ends[hi - 1]) - first).astype(bool)
+        place = np.empty(len(run), np.int64)
+        place[order] = ends - run[order]
+        edges = np.zeros(len(raw) + 1, np.int32)
         ids = chunk["ids"]
-        for code, a, n, d in zip(shared.code.tolist(), shared.rows_start.tolist(), shared.rows_run.tolist(), shared.rows_doc.tolist(), strict=True):
-            if ids[d] > shared.least[code]:
-                window[a] += 1
-                window[a + n + length - 1] -= 1
-            else:
-                for w in np.flatnonzero(hits[code]).tolist():
-                    window[a + w] += 1
-                    window[a + w + length] -= 1
-        gone = np.cumsum(window[:-1]) > 0
+        # A segment that equals one of a smaller id goes whole; of the others the windows that were hit.
+        later = ids[shared.rows_doc] > shared.least[shared.code]
+        np.add.at(edges, shared.rows_start[later], 1)
+        np.add.at(edges, shared.rows_start[later] + shared.rows_run[later] + length - 1, -1)
+        rest = np.flatnonzero(~later)
+        n, step = shared.rows_run[rest], _steps(shared.rows_run[rest])
+        found = hits[np.repeat(place[shared.code[rest]], n) + step]
+        where = (np.repeat(shared.rows_start[rest], n) + step)[found]
+        np.add.at(edges, where, 1)
+        np.add.at(edges, where + length, -1)
+        gone = np.cumsum(edges[:-1]) > 0
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for d, doc_id in enumerate(chunk["id_list"]):
             own = slice(offsets[d], offsets[d + 1])

@@ -34,6 +34,32 @@ def test_against_brute_force(spark, docs, texts, monkeypatch, size, block):
     assert got == want
 
 
+def test_longest_previous_factors_against_brute_force():
+    rng = np.random.default_rng(3)
+    for length in (3, 8, 13):
+        parts = [bytes(rng.choice(list(b"ab"), rng.integers(length, 40)).astype(np.uint8)) for _ in range(25)]
+        size = np.array([len(p) for p in parts])
+        doc, run = rng.integers(0, 8, len(parts)), size - length + 1
+        got = substrings.longest_previous_factors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, run, doc, length)
+        suffixes = [(d, p[k : k + length]) for d, p in zip(doc.tolist(), parts, strict=True) for k in range(len(p) - length + 1)]
+
+        def shared(x, y):
+            return next((k for k in range(len(x)) if x[k] != y[k]), len(x))
+
+        assert got.tolist() == [max((shared(s, t) for e, t in suffixes if e < d), default=0) for d, s in suffixes]
+
+
+@pytest.mark.parametrize("counted,hot", [(1, 1), (2, 3)])
+def test_hot_minimisers_are_split(spark, monkeypatch, counted, hot):
+    monkeypatch.setattr(substrings, "COUNTED", counted)
+    monkeypatch.setattr(substrings, "HOT_SEGMENTS", hot)
+    rng = np.random.default_rng(1)
+    line = "a passage that very many documents have in common, word for word"
+    rows = [(i, "".join(rng.choice(list("abcdef "), rng.integers(0, 60))) + line[int(rng.integers(0, 8)) :] + "".join(rng.choice(list("abcdef "), rng.integers(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in substrings.remove_repeats(df).collect()) == sorted(reference([(i, t.encode()) for i, t in rows], 50))
+
+
 def test_random_strings(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), "".join(rng.choice(list("ab"), rng.integers(0, 400)))) for i in rng.permutation(60)]
