@@ -37,15 +37,19 @@ def legendre(m: int, lmax: int, z: np.ndarray) -> np.ndarray:
 def coefficients(sky_map: DataFrame, nside: int, lmax: int) -> DataFrame:
     """``l, m, re, im`` of ``sky_map(pix, value)``; missing and null pixels count as zero."""
     good = sky_map.where("value is not null and not isnan(value)").select("pix", "value")
-    rows = hp.with_centre(hp.with_ring(good, nside, "pix", "k"), nside, "pix", "pz", "phi")
+    rows = hp.with_ring(good, nside, "pix", "k")
+    k = F.col("k")
+    rows = rows.select("k", (F.col("pix") - hp.ring_start(nside, k)).alias("i"), hp.ring_length(nside, k).alias("n"), hp.ring_shift(nside, k).alias("shift"), "value")
 
     def series(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.arange(lmax + 1)
-        turn = np.exp(-1j * np.outer(m, pdf["phi"].to_numpy()))
-        c = turn @ pdf["value"].to_numpy()
+        # A ring's pixels are evenly spaced: orders beyond their number repeat those of its transform.
+        n, m = int(pdf["n"].iloc[0]), np.arange(lmax + 1)
+        value = np.zeros(n)
+        value[pdf["i"].to_numpy()] = pdf["value"].to_numpy()
+        c = np.fft.fft(value)[m % n] * np.exp(-2j * np.pi * m * float(pdf["shift"].iloc[0]) / n)
         return pd.DataFrame({"k": np.full(lmax + 1, pdf["k"].iloc[0]), "m": m, "re": c.real, "im": c.imag})
 
-    ring = rows.select("k", "phi", "value").groupBy("k").applyInPandas(series, "k long, m long, re double, im double")
+    ring = rows.groupBy("k").applyInPandas(series, "k long, m long, re double, im double")
     ring = ring.withColumn("z", hp.ring_z(nside, F.col("k")))
     area = 4 * np.pi / hp.npix(nside)
 
@@ -91,11 +95,12 @@ def synthesis(alm: DataFrame, nside: int, lmax: int) -> DataFrame:
     packed = series.withColumns({"n": n, "start": hp.ring_start(nside, F.col("k")), "shift": hp.ring_shift(nside, F.col("k"))})
 
     def pixels(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf["n"].iloc[0])
-        phi = (np.arange(size) + float(pdf["shift"].iloc[0])) * 2 * np.pi / size
-        m = pdf["m"].to_numpy()
-        c = (pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()) * np.where(m == 0, 1.0, 2.0)
-        return pd.DataFrame({"pix": int(pdf["start"].iloc[0]) + np.arange(size), "value": (np.exp(1j * np.outer(phi, m)) @ c).real})
+        size, m = int(pdf["n"].iloc[0]), pdf["m"].to_numpy()
+        turn = np.exp(2j * np.pi * m * float(pdf["shift"].iloc[0]) / size)
+        c = (pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()) * np.where(m == 0, 1.0, 2.0) * turn
+        # Orders that agree on the ring's pixels are added up before the transform.
+        folded = np.bincount(m % size, c.real, size) + 1j * np.bincount(m % size, c.imag, size)
+        return pd.DataFrame({"pix": int(pdf["start"].iloc[0]) + np.arange(size), "value": (np.fft.ifft(folded) * size).real})
 
     return packed.groupBy("k").applyInPandas(pixels, "pix long, value double")
 
