@@ -50,6 +50,15 @@ def test_mass_function_is_plausible():
     assert massfunction.table(m, sigma8=0.9)[3] > n[3]
 
 
+def test_mass_definitions():
+    from skylattice.functions import massfunction
+
+    assert massfunction.critical_overdensity("200c") == 200 and massfunction.critical_overdensity("200m", 0.3) == pytest.approx(60)
+    for bad in ("200x", "c", "", "-1c"):
+        with pytest.raises(ValueError):
+            massfunction.critical_overdensity(bad)
+
+
 def test_mass_bins(spark):
     rng = np.random.default_rng(3)
     mass = 10 ** rng.uniform(13, 15, 300)
