@@ -31,10 +31,10 @@ WINDOW = 10
 #: Positions between two documents of a segment.
 GAP = 1
 #: Text bytes of a segment (a longer document has its own), and windows sent to the segments at once.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 WINDOW_BLOCK = 200_000
 #: Starts of windows that are tried at once.
-TRIED = 1 << 20
+TRIED = 1 << 18
 #: A proximity match has this share of a window's terms, each within SLOP words of its place, in one document.
 NEAR_SHARE, SLOP = 0.8, 2
 

@@ -75,17 +75,23 @@ class Tokens:
 
     def by_bucket(self, words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Stable order by bucket of the words at the given places, and the buckets' bounds."""
-        return _ordered((self.words[words] >> np.uint64(32)) % np.uint64(buckets), buckets)
+        return _ordered(_bucket(self.words, buckets)[words], buckets)
 
     def pairs_by_bucket(self, buckets: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
         """The same for the bigrams: by the first word, and by the second too where the first is hot."""
-        u = self.words[self.u]
-        place = hot.find(u)
-        split = np.where(place >= 0, hot.split[place], 1) if len(hot.words) else np.ones(len(u), np.int64)
-        part = mix(self.words[self.v]) % split.astype(np.uint64)
-        with np.errstate(over="ignore"):
-            key = np.where(split > 1, mix(u + part * np.uint64(0x9E3779B97F4A7C15)), u)
-        return _ordered((key >> np.uint64(32)) % np.uint64(buckets), buckets)
+        place = hot.find(self.words)
+        bucket = _bucket(self.words, buckets)[self.u]
+        rows = np.flatnonzero((place >= 0)[self.u])
+        if len(rows):
+            u = self.u[rows]
+            part = mix(self.words[self.v[rows]]) % hot.split[place[u]].astype(np.uint64)
+            with np.errstate(over="ignore"):
+                bucket[rows] = _bucket(mix(self.words[u] + part * np.uint64(0x9E3779B97F4A7C15)), buckets)
+        return _ordered(bucket, buckets)
+
+
+def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    return ((word >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
 
 
 def _ordered(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,20 +132,23 @@ def hot_words(table: DataFrame, buckets: int) -> Hot:
     return Hot(words[order], split[order])
 
 
-def _planes(key: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, byte by byte: the high ones are zeros."""
-    return np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(array: np.ndarray) -> bytes:
+    """The array byte by byte, sorted 64-bit hashes as differences: planes of zeros take no room when compressed."""
+    if array.dtype == np.uint64:
+        array = np.diff(array, prepend=np.uint64(0))
+    return np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T.tobytes() if len(array) else b""
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    array = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.cumsum(array, dtype=np.uint64) if kind is np.uint64 else array
 
 
 def _wrap(*arrays: np.ndarray) -> bytes:
     """Arrays in one message; unsigned 64-bit ones are sorted."""
     head = np.array([len(arrays), *[len(a) for a in arrays]], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(_planes(a) if a.dtype == np.uint64 else a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, arrays)))
 
 
 def _unwrap(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -149,7 +158,7 @@ def _unwrap(data: bytes, *kinds: type) -> list[np.ndarray]:
     at, out = 8 + 8 * n, []
     for kind, size in zip(kinds, sizes.tolist(), strict=True):
         end = at + size * np.dtype(kind).itemsize
-        out.append(_from_planes(data[at:end]) if kind is np.uint64 else np.frombuffer(data, kind, size, at))
+        out.append(_from_planes(data[at:end], kind))
         at = end
     return out
 
@@ -255,7 +264,7 @@ def _bigram_bucket(buckets: int, hot: Hot) -> object:
         word, place = np.unique(of_v, return_inverse=True)
         contexts_of = np.bincount(place, minlength=len(word)).astype(np.int64)
         count_of = np.bincount(place, total, len(word)).astype(np.int64)
-        order, cut = _ordered((word >> np.uint64(32)) % np.uint64(buckets), buckets)
+        order, cut = _ordered(_bucket(word, buckets), buckets)
         for b in range(buckets):
             own = order[cut[b] : cut[b + 1]]
             if len(own):
