@@ -12,8 +12,9 @@ Counting and lookup run as messages between chunks of documents and hash buckets
 3. Chunks put the numbers together: discounted bigram estimate, interpolated with the discounted
    continuation estimate, interpolated with a uniform share for words never seen.
 
-The shards stay in the shared folder: a ``Model`` scores other texts by messages to the same buckets,
-where workers map the stored arrays again.
+``learn_and_score`` keeps the shards in the shared folder: its ``Model`` scores other texts by messages to
+the same buckets, where workers map the stored arrays again.  ``score`` leaves out the bigrams' shards,
+whose room would exceed the limit that the query has.
 
 Tokens are lower-cased words and one end for each document; the first token follows a start mark.
 Null texts are empty (one end token).  A null id is held out.  With no training documents every
@@ -40,7 +41,7 @@ from .common import LOWER, SPACE, hash_words, mix, staged, word_spans
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MODULUS, HELD_OUT = 10, 0
 #: Text bytes of a chunk: the larger, the fewer distinct bigrams are sent in all.
-CHUNK_BYTES = 11 << 20
+CHUNK_BYTES = 9 << 20
 #: Chunks read to find the words with many followers, the least number of followers there, and such words
 #: at most.  They only decide where bigrams meet, not what is counted.
 HOT_CHUNKS, HOT_FOLLOWERS, MAX_HOT = 8, 200, 100_000
@@ -244,7 +245,7 @@ def _answer_bigrams(asked: list[np.ndarray], grams: Shard, contexts: Shard) -> b
     return _wrap(*grams.find(pair_hash(np.repeat(u, run), v[place])), *contexts.find(u))
 
 
-def _bigram_bucket(buckets: int, hot: Hot) -> object:
+def _bigram_bucket(buckets: int, hot: Hot, keep: bool) -> object:
     def run(table: pa.Table) -> pa.Table:
         asked = [_asked(data) for data in table.column("data").to_pylist()]
         u = np.concatenate([np.repeat(m[0], m[1]) for m in asked])
@@ -258,7 +259,7 @@ def _bigram_bucket(buckets: int, hot: Hot) -> object:
         context, place = np.unique(of_u, return_inverse=True)
         sums = [np.bincount(place, w, len(context)).astype(np.int64) for w in (total, total == 1, total == 2, total > 2)]
         grams, contexts = Shard(key, total), Shard(context, *sums)
-        rows = [("shard", None, table.column("bucket")[0].as_py(), _wrap(key, total, context, *sums))]
+        rows = [("shard", None, table.column("bucket")[0].as_py(), _wrap(key, total, context, *sums))] if keep else []
         for m, chunk, bucket in zip(asked, table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), strict=True):
             rows.append(("grams", chunk, bucket, _answer_bigrams(m, grams, contexts)))
         word, place = np.unique(of_v, return_inverse=True)
@@ -409,13 +410,16 @@ def _put_together(table: DataFrame, grams: DataFrame, words: DataFrame, model: M
     return both.mapInArrow(run, OUT).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def learn_and_score(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the training documents, and the scores of all documents, from one exchange."""
+def learn_and_score(docs: DataFrame, keep: bool = True) -> tuple[Model, DataFrame]:
+    """The model of the training documents, and the scores of all documents, from one exchange.
+
+    Without ``keep`` the bigrams' shards are not stored, and the model is for these documents only.
+    """
     table = packed(docs, "ngram-chunks", CHUNK_BYTES)
     buckets = buckets_for(table)
     hot = hot_words(table, buckets)
     messages = ask(table, _bigram_request(hot), buckets)
-    grams = staged(messages.groupBy("bucket").applyInArrow(_bigram_bucket(buckets, hot), _KINDS), "bigrams")
+    grams = staged(messages.groupBy("bucket").applyInArrow(_bigram_bucket(buckets, hot, keep), _KINDS), "bigrams")
     asked = ask(table, _word_request, buckets).select(F.lit("ask").alias("kind"), "chunk", "bucket", "data")
     words = staged(asked.unionAll(grams.where("kind = 'cont'")).groupBy("bucket").applyInArrow(_word_bucket, _KINDS), "words")
     numbers = lambda rows, kind: rows.where(F.col("kind") == kind).select(F.split(F.col("data").cast("string"), ",").alias("s"))
@@ -436,4 +440,4 @@ def learn_and_score(docs: DataFrame) -> tuple[Model, DataFrame]:
 
 def score(docs: DataFrame) -> DataFrame:
     """Scores of all documents, and their perplexity for each token (see the module's docstring)."""
-    return learn_and_score(docs)[1]
+    return learn_and_score(docs, keep=False)[1]
