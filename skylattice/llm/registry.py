@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, language, ngrams, packing, quality, secrets, simhash, substrings, toxicity
+from . import alignment, bpe, decontamination, html_extract, language, ngrams, orchard, packing, quality, secrets, simhash, substrings, toxicity
 from .common import read_table
 
-#: Vocabulary file of the packing query, one of the installed public tokenizers.
-TOKENIZER = "word_bpe_49k.json"
+#: Vocabulary files of the queries, of the installed public tokenizers: packing, encoding, and the two aligned sides.
+TOKENIZER, RANKS, SIDE_A, SIDE_B = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path(RANKS))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read_table(spark, sf_dir, "documents"), tokenizer_path(SIDE_A), tokenizer_path(SIDE_B))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -71,8 +83,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE}
+    return {"op5_quality_rules": quality.ORACLE, "op12_centroid_clustering": orchard.ORACLE}

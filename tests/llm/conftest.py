@@ -41,3 +41,8 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def sf_small():
+    return "/root/testdata/sf0.001"
