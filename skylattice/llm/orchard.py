@@ -213,8 +213,8 @@ k{i} AS MATERIALIZED (SELECT c, d, coalesce((s - ((s % n) + n) % n) // n, y)::BI
 
 
 #: The same by all distances of all vectors to all centroids.
-ORACLE = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ORACLE = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 comp AS MATERIALIZED (SELECT r, unnest(range(64)) AS d, unnest(e) AS x FROM v),
 f AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS c, e FROM v QUALIFY c < 40),
 k0 AS MATERIALIZED (SELECT c, unnest(range(64)) AS d, unnest(e) AS y FROM f), {_round(0)},
