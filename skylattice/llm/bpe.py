@@ -23,6 +23,7 @@ leftmost goes first.  Very long texts are whole slices of their own.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import duckdb
@@ -36,11 +37,11 @@ from .pieces import Lists, Numbered, piece_starts, text_slices
 
 #: Text bytes of a slice, pieces that a worker remembers, bytes from which a word is long, and rows that the
 #: rounds of one recursion may hold together.
-SLICE_BYTES, KNOWN_PIECES, LONG_WORD, HELD_ROWS = 2 << 20, 1_500_000, 64, 1_000_000
+SLICE_BYTES, KNOWN_PIECES, LONG_WORD, HELD_ROWS = 1 << 20, 600_000, 64, 500_000
 #: Tokens of a block of decoding.
 BLOCK = 1 << 12
 #: Memory of a worker's database.
-MEMORY = "600MB"
+MEMORY = "400MB"
 
 # A round for short words: the leftmost pair of least rank, one in each word.  Places stay dense.
 _CONTRACT = """
@@ -226,8 +227,21 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decode_batches(path), "doc_id long, ids binary, data binary")
 
 
+def _digest_batches(path: str) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = Merges.of(path)
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        for rows, raw, offsets in text_slices(batches, SLICE_BYTES):
+            ids, bounds = merges.encode(raw, offsets)
+            lists = [x.astype("<u4") for x in np.split(ids, bounds[1:-1])]
+            decoded = merges.decode(lists)
+            columns = [pa.array([len(x) for x in lists], pa.int64()), pa.array([digest(x.tobytes()) for x in lists]), pa.array([digest(x) for x in decoded])]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, encoded and decoded again."""
-    both = decode(encode(docs, path), path)
-    count = (F.octet_length("ids") / 4).cast("long")
-    return both.select("doc_id", count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document: encoded, and its ids decoded again,
+    both in one worker, so that only digests leave it."""
+    return documents(docs).mapInArrow(_digest_batches(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

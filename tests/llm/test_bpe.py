@@ -81,6 +81,8 @@ def test_round_trip_of_odd_rows(spark, library):
         ids = np.array(library.encode_ordinary(t), "<u4")
         assert tuple(got[i][1:]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+    both = {r["doc_id"]: bytes(r["data"]).decode() for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()}
+    assert both == {i: t or "" for i, t, *_ in rows}
 
 
 def test_the_query_on_the_tables(spark, sf_small, library):
