@@ -182,12 +182,22 @@ def _byte_letters() -> list[str]:
 # ---------------------------------------------------------------- runs
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes as the largest one needs, compressed; the first byte is their width."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(values.astype(f"<u{width}").tobytes())
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 def packed_run(*columns: np.ndarray) -> bytes:
     """Rows of unsigned 64-bit numbers, the first column by differences, compressed."""
     rows = np.stack([c.astype(np.uint64) for c in columns], axis=1) if len(columns[0]) else np.zeros((0, len(columns)), np.uint64)
     if len(rows):
         rows[1:, 0] = np.diff(rows[:, 0])
-    return zstandard.ZstdCompressor(level=1).compress(rows.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(rows.tobytes())
 
 
 def run_blocks(data: bytes, columns: int, entries: int = READ_ENTRIES) -> Iterator[np.ndarray]:
@@ -224,8 +234,8 @@ def merged(runs: list[bytes]) -> Iterator[tuple[int, int]]:
         yield last, total
 
 
-_RUN = pa.schema([("chunk", pa.string()), ("radix", pa.int32()), ("heads", pa.binary()), ("body", pa.binary()), ("docs", pa.binary())])
-RUN = "chunk string, radix int, heads binary, body binary, docs binary"
+_RUN = pa.schema([("chunk", pa.string()), ("radix", pa.int32()), ("heads", pa.binary()), ("body", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
+RUN = "chunk string, radix int, heads binary, body binary, times binary, docs binary"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())])
 
 
@@ -273,7 +283,10 @@ class _Chunk:
             pair, doc = own >> DOC_BITS, own & ((1 << DOC_BITS) - 1)
             first = np.flatnonzero(np.diff(pair, prepend=-1))
             heads = packed_run(pair[first], np.diff(first, append=len(pair)))
-            out.append({"chunk": name, "radix": r, "heads": heads, "body": zstandard.ZstdCompressor(level=1).compress(np.stack([doc, n]).astype(np.int64).tobytes())})
+            # Documents rise within a pair: differences, the first of a pair from zero.
+            step = np.diff(doc, prepend=0)
+            step[first] = doc[first]
+            out.append({"chunk": name, "radix": r, "heads": heads, "body": narrow(step), "times": narrow(n)})
         return pa.RecordBatch.from_pylist(out, _RUN)
 
 
@@ -314,10 +327,12 @@ def _count_batches(table: pa.Table) -> pa.Table:
 def _contribution_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for heads, body, counted in zip(*(batch.column(c).to_pylist() for c in ("heads", "body", "counted")), strict=True):
+        for heads, body, times, counted in zip(*(batch.column(c).to_pylist() for c in ("heads", "body", "times", "counted")), strict=True):
             head, known = whole_run(heads, 2), whole_run(counted, 3).astype(np.int64)
             size = head[:, 1].astype(np.int64)
-            doc, times = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.int64).reshape(2, -1)
+            step, times = widened(body), widened(times)
+            before = np.cumsum(step) - step
+            doc = np.cumsum(step) - np.repeat(before[np.cumsum(size) - size], size)
             at = np.repeat(np.searchsorted(known[:, 0], head[:, 0].astype(np.int64)), size)
             own, back = np.unique(doc, return_inverse=True)
             count, best = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
@@ -365,7 +380,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_
     runs = stored_runs(docs, a_path, b_path, chunk_bytes)
     salts = _salts(runs)
     counts = counted_runs(runs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    own = runs.where("radix >= 0").select("chunk", "radix", "heads", "body", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("long").alias("salt"))
-    parts = own.join(counts, ["radix", "salt"]).select("chunk", "heads", "body", "counted").mapInArrow(_contribution_batches, "chunk string, part binary")
+    own = runs.where("radix >= 0").select("chunk", "radix", "heads", "body", "times", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("long").alias("salt"))
+    # Both sides are dealt by radix and salt at every size: counted runs are not broadcast.
+    parts = own.join(counts.hint("shuffle_merge"), ["radix", "salt"]).select("chunk", "heads", "body", "times", "counted").mapInArrow(_contribution_batches, "chunk string, part binary")
     lists = parts.groupBy("chunk").agg(F.collect_list("part").alias("parts"))
     return runs.where("radix < 0").select("chunk", "docs").join(lists, "chunk", "left").select("docs", "parts").mapInArrow(_result_batches, RESULT)
