@@ -11,7 +11,7 @@ from .graph import connected_components
 from .profiles import aperture_mean
 from .rows import computed, numbered
 from .significance import signal_pvalue
-from .spatial import cell_neighbours
+from .spatial import cell_neighbours, ring_sums
 
 
 def neighbours(halos: DataFrame, eps: float) -> DataFrame:
@@ -84,7 +84,7 @@ def centroid_sky(summary: DataFrame, centre: tuple) -> DataFrame:
     return computed(summary, centroid_r=r, centroid_ell=ell, centroid_b=b)
 
 
-def association_signals(members: DataFrame, sky_map: DataFrame, nside: int, pool: DataFrame, centre: tuple, radius_col: str = "r500") -> tuple[DataFrame, DataFrame]:
+def association_signals(members: DataFrame, sky_map: DataFrame, nside: int, pool: DataFrame, centre: tuple, radius_col: str = "r500", sums: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Signals and p-values of associations: of all members, and at the median positions.
 
     The members ``(id, label, x, y, z, radius)`` gain distance, Galactic position, angular size, the mean
@@ -92,10 +92,11 @@ def association_signals(members: DataFrame, sky_map: DataFrame, nside: int, pool
     there.  Every step is one plan over all members and labels.
     """
     placed = written(member_sky(members, centre, radius_col), "member-sky")
+    sums = written(ring_sums(sky_map, nside), "ring-sums") if sums is None else sums
 
     def measured(rows: DataFrame, key: str, ell: str, b: str, theta: str) -> DataFrame:
         at = rows.select(key, F.col(ell).alias("lon"), F.col(b).alias("lat"), F.col(theta).alias("theta"))
-        signal = aperture_mean(at, sky_map, nside, F.col("theta"), key).select(key, "signal")
+        signal = aperture_mean(at, sky_map, nside, F.col("theta"), key, sums).select(key, "signal")
         return signal_pvalue(at.select(key, "theta").join(signal, key), pool, key).select(key, "signal", F.col("p").alias("pval"))
 
     each = placed.join(measured(placed, "id", "ell", "b", "theta500"), "id")

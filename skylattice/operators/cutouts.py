@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import ARCMIN, sky_of_offset
 from ..sources.tables import written
-from .rows import computed, numbered
-from .significance import SEED, drawn, random_positions
+from .rows import computed, numbered, numbered_within
+from .significance import SEED, drawn, random_position, random_positions
 from .spatial import nearest_pixel
 
 
@@ -66,6 +66,29 @@ def random_stack(sizes: DataFrame, sky_map: DataFrame, nside: int, n_stack: int,
     return normalised(cut.join(drawn_sizes.select("source_id", "theta"), "source_id"), F.col("theta"), nbins, half)
 
 
+def grouped_random_stack(sources: DataFrame, group: str, sky_map: DataFrame, nside: int, n_stack: int, nbins: int, half: float, npix: int = 301, size_factor: float = 5.0, abs_b_min: float = 10.0, seeds: DataFrame | None = None) -> DataFrame:
+    """``group, iu, iv, value, n_sources``: for each group the mean of cutouts at ``n_stack`` random positions, each
+    with a size drawn with replacement from the group's ``sources(group, theta)``.
+
+    ``seeds(group, seed)`` makes positions and draws hashes of the group's seed; without it both follow the
+    linear rule and the spiral, the same for every group.
+    """
+    ranked = written(numbered_within(sources.where("theta > 0").select(group, "theta"), group, F.col("theta"), name="_k", size="_n"), "sizes")
+    each = ranked.groupBy(group).agg(F.max("_n").alias("_n")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_stack - 1).cast("long"))))
+    if seeds is None:
+        lon, lat = random_position(F.col("_i"), abs_b_min)
+        draw = drawn(F.lit(0), F.col("_i"), F.col("_n"), None)
+    else:
+        each = each.join(F.broadcast(seeds), group)  # one row for each bin that is cut out
+        lon, lat = random_position(F.col("_i"), abs_b_min, F.col("seed"))
+        draw = F.pmod(F.xxhash64(F.col("seed"), F.lit(3), F.lit(0), F.col("_i")), F.col("_n"))
+    where = computed(each, lon=lon, lat=lat, _k=draw.cast("long")).join(ranked.select(group, "_k", "theta"), [group, "_k"])
+    where = where.select(F.concat_ws("/", group, F.col("_i").cast("string")).alias("_id"), group, "lon", "lat", "theta")
+    cut = cutout(where, sky_map, nside, size_factor * F.col("theta"), npix, "_id")
+    normal = normalised(cut.join(where.select("_id", "theta"), "_id"), F.col("theta"), nbins, half, "_id")
+    return normal.join(where.select("_id", group), "_id").groupBy(group, "iu", "iv").agg(F.avg("value").alias("value"), F.count("*").alias("n_sources"))
+
+
 def find_centers(sources: DataFrame, sky_map: DataFrame, nside: int, size_arcmin: float = 240.0, npix: int = 101, final_arcmin: float = 9.6, initial_arcmin: float | None = None, shrink: float = 0.9, max_iterations: int = 1000, key: str = "source_id") -> DataFrame:
     """Centre by shrinking apertures: weighted centroids of positive values, then the peak.
 

@@ -6,49 +6,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ARCMIN
-from .spatial import aperture_join, with_cos_distance
+from .spatial import aperture_join, fewer_by_rings, ring_sums, shell_sums, with_cos_distance
 
 
-def aperture_mean(sources: DataFrame, sky_map: DataFrame, nside: int, radius_arcmin: Column, key: str = "source_id") -> DataFrame:
-    """``key, n_pix, signal``: mean of the good pixels inside each source's disc; null without any."""
-    found = aperture_join(sources.select(key, "lon", "lat", radius_arcmin.alias("radius")), sky_map, nside, F.col("radius") * ARCMIN)
-    each = found.groupBy(key).agg(F.count("*").alias("n_pix"), F.avg("value").alias("signal"))
-    return sources.select(key).join(each, key, "left").select(key, F.coalesce("n_pix", F.lit(0)).alias("n_pix"), "signal")
+def aperture_mean(sources: DataFrame, sky_map: DataFrame, nside: int, radius_arcmin: Column, key: str = "source_id", sums: DataFrame | None = None) -> DataFrame:
+    """``key, n_pix, signal``: mean of the good pixels inside each source's disc; null without any.
+
+    ``sums`` are the map's ``ring_sums`` where they are known already.
+    """
+    sums = ring_sums(sky_map, nside) if sums is None else sums
+    each = shell_sums(sources.select(key, "lon", "lat", (radius_arcmin * ARCMIN).alias("radius")), sums, nside, F.array("radius"), key)
+    rows = sources.select(key).join(each.select(key, F.col("n").alias("n_pix"), F.try_divide("s", "n").alias("signal")), key, "left")
+    return rows.select(key, F.coalesce("n_pix", F.lit(0)).alias("n_pix"), "signal")
 
 
-def annulus_mean(sources: DataFrame, sky_map: DataFrame, nside: int, inner_arcmin: Column, outer_arcmin: Column | None = None, key: str = "source_id") -> DataFrame:
+def annulus_mean(sources: DataFrame, sky_map: DataFrame, nside: int, inner_arcmin: Column, outer_arcmin: Column | None = None, key: str = "source_id", sums: DataFrame | None = None) -> DataFrame:
     """Mean between an inner radius (outside it) and an outer one (twice the inner by default)."""
+    sums = ring_sums(sky_map, nside) if sums is None else sums
     outer = 2 * inner_arcmin if outer_arcmin is None else outer_arcmin
-    near = sources.select(key, "lon", "lat", inner_arcmin.alias("r_in"), outer.alias("r_out"))
-    found = aperture_join(near, sky_map, nside, F.col("r_out") * ARCMIN)
-    ring = with_cos_distance(found).where(F.col("cos_dist") < F.cos(F.col("r_in") * ARCMIN))
-    each = ring.groupBy(key).agg(F.count("*").alias("n_pix"), F.avg("value").alias("background"))
-    return sources.select(key).join(each, key, "left").select(key, F.coalesce("n_pix", F.lit(0)).alias("n_pix"), "background")
+    near = sources.select(key, "lon", "lat", (F.least(inner_arcmin, outer) * ARCMIN).alias("r_in"), (outer * ARCMIN).alias("r_out"))
+    each = shell_sums(near, sums, nside, F.array("r_in", "r_out"), key).where("r_idx = 1")
+    rows = sources.select(key).join(each.select(key, F.col("n").alias("n_pix"), F.try_divide("s", "n").alias("background")), key, "left")
+    return rows.select(key, F.coalesce("n_pix", F.lit(0)).alias("n_pix"), "background")
 
 
-def enclosed_profile(sources: DataFrame, sky_map: DataFrame, nside: int, radii_arcmin: list[float], key: str = "source_id", scale: Column | None = None) -> DataFrame:
-    """``key, r_idx, radius, n_pix, signal`` at every radius, from one disc join and running sums.
-
-    With a ``scale`` (arcmin, by source) the radii are in units of it.
-    A pixel is counted once, at the first radius that holds it; partial sums for each source and
-    radius are taken before the shuffle.
-    """
-    radii = sorted(radii_arcmin)
-    unit = F.lit(1.0) if scale is None else scale.cast("double")
-    found = aperture_join(sources.select(key, "lon", "lat", unit.alias("_unit")), sky_map, nside, F.lit(radii[-1] * ARCMIN) * F.col("_unit"))
-    edges = [F.cos(F.lit(r * ARCMIN) if scale is None else F.lit(r * ARCMIN) * F.col("_unit")) for r in radii]
+def _pixel_shells(sources: DataFrame, sky_map: DataFrame, nside: int, radii: list[float], key: str) -> DataFrame:
+    """``key, r_idx, s, n`` from the pixels of the largest disc: each counts once, at the first radius that holds it."""
+    found = aperture_join(sources.select(key, "lon", "lat", "_unit"), sky_map, nside, F.lit(radii[-1] * ARCMIN) * F.col("_unit"))
+    edges = [F.cos(F.lit(r * ARCMIN) * F.col("_unit")) for r in radii]
     if len(radii) <= 32:
         first = sum(((e > F.col("cos_dist")).cast("int") for e in edges), F.lit(0))
     else:
         first = F.size(F.filter(F.array(*edges), lambda e: e > F.col("cos_dist")))
     shell = with_cos_distance(found).withColumn("r_idx", F.least(first, F.lit(len(radii) - 1)))
-    sums = shell.groupBy(key, "r_idx").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    return shell.groupBy(key, "r_idx").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+
+
+def enclosed_profile(sources: DataFrame, sky_map: DataFrame, nside: int, radii_arcmin: list[float], key: str = "source_id", scale: Column | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """``key, r_idx, radius, n_pix, signal`` at every radius, from sums over shells and their running sums.
+
+    With a ``scale`` (arcmin, by source) the radii are in units of it.  A source's shells come from ring
+    sums where its rings and radii are fewer than the pixels of its largest disc (few radii or a fine
+    map), else from those pixels: either way the fewer rows are joined.
+    """
+    radii = sorted(radii_arcmin)
+    unit = F.lit(1.0) if scale is None else scale.cast("double")
+    rows = sources.select(key, "lon", "lat", unit.alias("_unit"))
+    largest = F.lit(radii[-1] * ARCMIN) * F.col("_unit")
+    looked_up = fewer_by_rings(nside, F.lit(sum(radii) * ARCMIN) * F.col("_unit"), largest)
+    at = F.transform(F.array(*[F.lit(float(r * ARCMIN)) for r in radii]), lambda r: r * F.col("_unit"))
+    by_rings = lambda part: shell_sums(part, ring_sums(sky_map, nside) if sums is None else sums, nside, at, key).select(key, "r_idx", "s", "n")
+    by_pixels = lambda part: _pixel_shells(part, sky_map, nside, radii, key)
+    if scale is None:
+        shells = by_rings(rows) if fewer_by_rings(nside, sum(radii) * ARCMIN, radii[-1] * ARCMIN) else by_pixels(rows)
+    else:
+        shells = by_rings(rows.where(looked_up)).unionByName(by_pixels(rows.where(~looked_up)))
     # Running sums hold from a shell to the next one that has pixels.
     own = Window.partitionBy(key).orderBy("r_idx")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    run = sums.select(key, F.col("r_idx").alias("at"), F.sum("s").over(upto).alias("s"), F.sum("n").over(upto).alias("n"), F.lead("r_idx").over(own).alias("next"))
+    run = shells.select(key, F.col("r_idx").alias("at"), F.sum("s").over(upto).alias("s"), F.sum("n").over(upto).alias("n"), F.lead("r_idx").over(own).alias("next"))
     dense = run.withColumn("r_idx", F.explode(F.sequence("at", F.coalesce("next", F.lit(len(radii))) - 1)))
-    grid = sources.select(key, unit.alias("_unit")).withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.lit(len(radii) - 1))))
+    grid = rows.select(key, "_unit").withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.lit(len(radii) - 1))))
     full = grid.join(dense.select(key, "r_idx", "s", "n"), [key, "r_idx"], "left")
     return full.select(key, "r_idx", (F.element_at(F.array(*[F.lit(r) for r in radii]), F.col("r_idx") + 1) * F.col("_unit")).alias("radius"), F.coalesce("n", F.lit(0)).alias("n_pix"), F.try_divide("s", "n").alias("signal"))
 
@@ -59,10 +77,10 @@ def drop_incomplete(profiles: DataFrame, key: str, n_radii: int) -> DataFrame:
     return profiles.join(whole.select(key), key, "left_semi")
 
 
-def observed_profiles(fits: DataFrame, sky_map: DataFrame, nside: int, radii_arcmin: list[float], background_arcmin: float, fwhm_arcmin: float, key: str = "source_id") -> tuple[DataFrame, DataFrame]:
+def observed_profiles(fits: DataFrame, sky_map: DataFrame, nside: int, radii_arcmin: list[float], background_arcmin: float, fwhm_arcmin: float, key: str = "source_id", sums: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Profile and background (from the radius to the radius plus the beam) of fitted centres."""
-    back = annulus_mean(fits, sky_map, nside, F.lit(background_arcmin), F.lit(background_arcmin + fwhm_arcmin), key)
-    return enclosed_profile(fits, sky_map, nside, radii_arcmin, key), back
+    back = annulus_mean(fits, sky_map, nside, F.lit(background_arcmin), F.lit(background_arcmin + fwhm_arcmin), key, sums)
+    return enclosed_profile(fits, sky_map, nside, radii_arcmin, key, sums=sums), back
 
 
 def interpolated(grid: DataFrame, targets: DataFrame, key: str, outside: str = "clamp") -> DataFrame:

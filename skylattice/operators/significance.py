@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.stats import normal_isf, normal_sf
 from ..sources.tables import written
@@ -38,11 +40,6 @@ def upper_tail(signals: DataFrame, pool: DataFrame, group: str, key: str, nan_as
     return out.withColumn("p", F.when(F.col("signal").isNull(), 0.0).otherwise(F.col("p"))) if nan_as_zero else out
 
 
-def resample_error(means: DataFrame, group: list[str]) -> DataFrame:
-    """Mean and population deviation over resample means ``(group.., rep, mean)``."""
-    return means.groupBy(*group).agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("error"))
-
-
 def drawn(rep: Column, draw: Column, n: Column, seed: int | None, salt: int = 0, rule: tuple[int, int, int] = (7919, 104729, 17)) -> Column:
     """A row number below n: by a hash of seed, repetition and draw (the same in every attempt of a task)
     or, without a seed, by a linear rule that SQL can follow (its cycles are short; not for error estimates)."""
@@ -57,28 +54,149 @@ SEED = 42
 
 
 def draws(n_reps: int, n_draws: int, n_rows: int, spark, seed: int | None = SEED) -> DataFrame:
-    """``rep, draw, row``: rows drawn with replacement."""
+    """``rep, draw, row``: rows drawn with replacement, as a table (``resampled`` needs none)."""
     base = spark.range(n_reps).withColumnRenamed("id", "rep").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     return base.select("rep", "draw", drawn(F.col("rep"), F.col("draw"), F.lit(n_rows), seed).alias("row"))
 
 
-def bootstrap(profiles: DataFrame, n_rows: int, n_boot: int, seed: int | None = SEED) -> DataFrame:
-    """``r_idx, mean, error`` of ``profiles(row, r_idx, signal)``: plain mean, deviation of resample means.
+def resample_error(means: DataFrame, group: list[str]) -> DataFrame:
+    """Mean and population deviation over resample means ``(group.., rep, mean)``."""
+    return means.groupBy(*group).agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("error"))
+
+
+#: Rows whose draws are made together, and repetitions whose sums are one array.
+DRAWN_ROWS, CHUNK_REPS = 1024, 1024
+
+
+def _generator(*key: int) -> np.random.Generator:
+    """The same numbers in every attempt of a task."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([k & 0xFFFFFFFFFFFFFFFF for k in key])))
+
+
+def draw_counts(reps: np.ndarray, n_rows: int, n_draws: int, block: int, seed: int | None, salt: int) -> np.ndarray:
+    """How often each row of a block is drawn in each repetition, when n_draws of n_rows are drawn with replacement.
+
+    With a seed the draws of a repetition are first split over all blocks, then over the block's rows:
+    multinomial counts, and each block makes its own without the others'.  Without one they follow the
+    linear rule of ``drawn``; over a full cycle each row it meets comes up equally often.
+    """
+    low = block * DRAWN_ROWS
+    own = min(DRAWN_ROWS, n_rows - low)
+    if seed is not None:
+        share = np.full(-(-n_rows // DRAWN_ROWS), DRAWN_ROWS / n_rows)
+        share[-1] = 1 - share[:-1].sum()
+        split = _generator(seed, salt, int(reps[0]), 0).multinomial(n_draws, share, len(reps))[:, block]
+        picks = _generator(seed, salt, int(reps[0]), 1, block).integers(0, own, int(split.sum()))
+        return np.bincount(np.repeat(np.arange(len(reps)), split) * own + picks, minlength=len(reps) * own).reshape(len(reps), own)
+    rows = np.arange(low, low + own)
+    if n_draws == n_rows:
+        cycle = np.gcd((7919 + reps) % n_rows, n_rows)[:, None]
+        first = ((reps * 104729 + 17) % n_rows)[:, None]
+        return np.where((rows[None, :] - first) % cycle == 0, cycle, 0)
+    out = np.zeros((len(reps), own), np.int64)
+    for i, r in enumerate(reps.tolist()):
+        draw = np.arange(n_draws)
+        row = (draw * 7919 + r * 104729 + draw * r + 17) % n_rows - low
+        out[i] = np.bincount(row[(row >= 0) & (row < own)], minlength=own)
+    return out
 
-    Draws are counted for each row first, so a resample mean is a weighted sum with one entry a row.
+
+def _array_rows(schema: pa.Schema, group: list, r_idx: np.ndarray, chunk: int, columns: list[np.ndarray]) -> pa.Table:
+    """One row for each radius, with the radius' row of each matrix as an array."""
+    lists = [pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.ravel())) for m in columns]
+    return pa.table([pa.array(group * len(r_idx), schema.field(0).type), pa.array(r_idx, pa.int32()), pa.array(np.full(len(r_idx), chunk), pa.int32()), *lists], schema=schema)
+
+
+_LISTS = [("r_idx", pa.int32()), ("chunk", pa.int32()), ("s", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))]
+
+
+def _group_type(df: DataFrame, group: str) -> tuple[str, pa.DataType]:
+    kind = df.schema[group].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
+def resampled(profiles: DataFrame, group: str, n_reps: int, n_draws: int | None = None, seed: int | None = SEED) -> DataFrame:
+    """``group, r_idx, means``: means over rows drawn with replacement, one for each repetition, as an array.
+
+    ``profiles(group, number, size, r_idx, signal)`` with the rows of a group numbered from 0 and their
+    number; as many are drawn unless ``n_draws`` says otherwise.  No draw is ever a row of a table: how
+    often a row comes up is made next to it, and a block of rows gives its weighted sums for all
+    repetitions as one product of matrices.  Null signals are left out of sums and weights.
     """
-    times = draws(n_boot, n_rows, n_rows, profiles.sparkSession, seed).groupBy("rep", "row").agg(F.count("*").alias("w"))
-    joined = profiles.where("signal is not null").join(times, "row")
-    means = joined.groupBy("r_idx", "rep").agg((F.sum(F.col("w") * F.col("signal")) / F.sum("w")).alias("mean"))
-    error = means.groupBy("r_idx").agg(F.stddev_pop("mean").alias("error"))
+    kind, arrow = _group_type(profiles, group)
+    schema = pa.schema([(group, arrow), *_LISTS])
+
+    def run(table: pa.Table) -> pa.Table:
+        size, block, salt = (table.column(c)[0].as_py() for c in ("size", "_block", "_salt"))
+        r_idx, at = np.unique(table.column("r_idx").to_numpy(), return_inverse=True)
+        own = min(DRAWN_ROWS, size - block * DRAWN_ROWS)
+        signal, there = np.zeros((own, len(r_idx))), np.zeros((own, len(r_idx)))
+        row = table.column("number").to_numpy() - block * DRAWN_ROWS
+        signal[row, at], there[row, at] = table.column("signal").to_numpy(), 1.0
+        parts = []
+        for first in range(0, n_reps, CHUNK_REPS):
+            reps = np.arange(first, min(n_reps, first + CHUNK_REPS))
+            times = draw_counts(reps, size, size if n_draws is None else n_draws, block, seed, salt).astype(float)
+            parts.append(_array_rows(schema, [table.column(group)[0].as_py()], r_idx, first // CHUNK_REPS, [(times @ signal).T.copy(), (times @ there).T.copy()]))
+        return pa.concat_tables(parts)
+
+    rows = profiles.where("signal is not null").select(group, "number", F.col("size").cast("long").alias("size"), F.col("r_idx").cast("int").alias("r_idx"), F.col("signal").cast("double").alias("signal"))
+    blocks = rows.withColumns({"_block": F.floor(F.col("number") / DRAWN_ROWS), "_salt": F.xxhash64(group)})
+    part = blocks.groupBy(group, "_block").applyInArrow(run, f"{group} {kind}, r_idx int, chunk int, s array<double>, w array<double>")
+    return merged_means(part, group)
+
+
+def merged_means(part: DataFrame, group: str) -> DataFrame:
+    """``group, r_idx, means`` of partial sums and weights ``(group, r_idx, chunk, s, w)`` of blocks of rows."""
+    kind, arrow = _group_type(part, group)
+    schema = pa.schema([(group, arrow), ("r_idx", pa.int32()), ("chunk", pa.int32()), ("m", pa.list_(pa.float64()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        s, w = (sum(x.values.to_numpy() for x in table.column(c)) for c in ("s", "w"))
+        mean = np.divide(s, w, out=np.full(len(s), np.nan), where=w > 0)
+        row = [table.column(c).slice(0, 1) for c in (group, "r_idx", "chunk")]
+        return pa.table([*row, pa.array([pa.array(mean, from_pandas=True)], pa.list_(pa.float64()))], schema=schema)
+
+    whole = part.groupBy(group, "r_idx", "chunk").applyInArrow(run, f"{group} {kind}, r_idx int, chunk int, m array<double>")
+    chunks = F.array_sort(F.collect_list(F.struct("chunk", "m")))
+    return whole.groupBy(group, "r_idx").agg(F.flatten(F.transform(chunks, lambda x: x["m"])).alias("means"))
+
+
+def array_mean(means: Column) -> Column:
+    good = F.filter(means, lambda m: m.isNotNull())
+    return F.try_divide(F.aggregate(good, F.lit(0.0), lambda t, m: t + m), F.size(good))
+
+
+def array_deviation(means: Column) -> Column:
+    """Population deviation of an array's values, nulls left out."""
+    good = F.filter(means, lambda m: m.isNotNull())
+    # The mean is an element of a struct, so it is taken once and not for each value.
+    state = F.aggregate(good, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")), _welford)
+    return F.sqrt(F.try_divide(state["m2"], state["n"]))
+
+
+def _welford(state: Column, x: Column) -> Column:
+    n = state["n"] + 1
+    mean = state["mean"] + (x - state["mean"]) / n
+    return F.struct(n.alias("n"), mean.alias("mean"), (state["m2"] + (x - state["mean"]) * (x - mean)).alias("m2"))
+
+
+def bootstrap(profiles: DataFrame, n_rows: int, n_boot: int, seed: int | None = SEED) -> DataFrame:
+    """``r_idx, mean, error`` of ``profiles(row, r_idx, signal)``: plain mean, deviation of resample means."""
+    rows = profiles.select(F.lit(0).alias("_all"), F.col("row").alias("number"), F.lit(n_rows).alias("size"), "r_idx", "signal")
+    error = resampled(rows, "_all", n_boot, None, seed).select("r_idx", array_deviation(F.col("means")).alias("error"))
     return profiles.groupBy("r_idx").agg(F.avg("signal").alias("mean")).join(error, "r_idx", "left")
 
 
 def random_stacks(pool: DataFrame, n_rows: int, n_stack: int, n_sources: int, seed: int | None = SEED) -> DataFrame:
     """``rep, r_idx, mean`` of stacks of pool rows ``(row, r_idx, signal)`` drawn with replacement."""
-    times = draws(n_stack, n_sources, n_rows, pool.sparkSession, seed).groupBy("rep", "row").agg(F.count("*").alias("w"))
-    joined = pool.where("signal is not null").join(times, "row")
-    return joined.groupBy("rep", "r_idx").agg((F.sum(F.col("w") * F.col("signal")) / F.sum("w")).alias("mean"))
+    rows = pool.select(F.lit(0).alias("_all"), F.col("row").alias("number"), F.lit(n_rows).alias("size"), "r_idx", "signal")
+    return listed(resampled(rows, "_all", n_stack, n_sources, seed), "r_idx")
+
+
+def listed(stacks: DataFrame, *by: str) -> DataFrame:
+    """``rep, by.., mean``: arrays of means as rows, without the nulls."""
+    return stacks.select(*by, F.posexplode("means").alias("rep", "mean")).where("mean is not null").select(F.col("rep").cast("long").alias("rep"), *by, "mean")
 
 
 #: Radii of a pool at most: they stand in expressions.
@@ -94,9 +212,19 @@ def pool_radii(pool: DataFrame) -> list[float]:
 
 
 def segment_of(target: Column, radii: list[float]) -> Column:
-    """Number of the segment of the radii that holds a target (the end ones hold what lies outside)."""
-    inner = F.array(*[F.lit(float(r)) for r in radii[1:-1]])
-    return F.size(F.filter(inner, lambda r: r <= target))
+    """Number of the segment of the radii that holds a target (the end ones hold what lies outside).
+
+    Two short lists are searched in place of a long one: heads of blocks, then a block.
+    """
+    inner = [float(r) for r in radii[1:-1]]
+    size = max(1, math.isqrt(len(inner)))
+    blocks = [inner[i : i + size] for i in range(0, len(inner), size)]
+    upto = lambda column: F.size(F.filter(column, lambda r: r <= target))
+    if len(blocks) <= 2:
+        return upto(F.array(*[F.lit(r) for r in inner]))
+    table = F.array(*[F.array(*[F.lit(r) for r in block]) for block in blocks])
+    block = F.greatest(upto(F.array(*[F.lit(b[0]) for b in blocks])), F.lit(1))
+    return (block - 1) * size + upto(F.element_at(table, block))
 
 
 def segments(pool: DataFrame, radii: list[float]) -> DataFrame:
@@ -110,56 +238,189 @@ def on_segment(target: Column) -> Column:
     return F.col("y0") + (target - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
 
 
+#: Pool rows of a group, and sources between whose radii lines are compared at the ends only.
+POOL_ROWS, STRIP_SOURCES = 100_000, 512
+
+
+def count_above(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, theta: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How many lines are at or above each point ``(theta, value)``.
+
+    Points are taken in strips of rising theta.  A line's least and largest value in a strip are those
+    at its ends; lines are sorted by the least one, in classes of similar rise.  A binary search gives
+    the lines that are above for sure, and only those whose values enclose the point's are evaluated.
+    """
+    line = lambda t, k: y0[k] + (t - x0[k]) * (y1[k] - y0[k]) / (x1[k] - x0[k])
+    every = np.arange(len(y0))
+    out = np.zeros(len(theta), np.int64)
+    order = np.argsort(theta, kind="stable")
+    for start in range(0, len(order), STRIP_SOURCES):
+        own = order[start : start + STRIP_SOURCES]
+        ends = line(theta[own[0]], every), line(theta[own[-1]], every)
+        least, most = np.minimum(*ends), np.maximum(*ends)
+        slack = 1e-9 * (np.abs(least) + np.abs(most))  # rounding
+        least, most = least - slack, most + slack
+        rise = np.frexp(most - least)[1] // 2
+        for c in np.unique(rise):
+            mine = np.flatnonzero(rise == c)
+            mine = mine[np.argsort(least[mine], kind="stable")]
+            low, wide = least[mine], float((most[mine] - least[mine]).max())
+            to = np.searchsorted(low, value[own], "right")
+            out[own] += len(mine) - to
+            first = np.searchsorted(low, value[own] - wide, "left")
+            size = to - first
+            for at in range(0, len(own), max(1, int(2_000_000 // max(1, size.max())))):
+                some = slice(at, at + max(1, int(2_000_000 // max(1, size.max()))))
+                n = size[some]
+                point = np.repeat(own[some], n)
+                k = mine[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                out += np.bincount(point[line(theta[point], k) >= value[point]], minlength=len(out))
+    return out
+
+
 def signal_pvalue(signals: DataFrame, pool: DataFrame, key: str, nan_as_zero: bool = False) -> DataFrame:
     """Adds ``p`` to ``signals(key, theta, signal)``: the fraction of pool profiles at or above the signal.
 
     Every profile of ``pool(row, radius, signal)`` is interpolated at the source's own radius, the end
-    segments extended.  Signals meet only the segment that holds their radius; each meets all
-    profiles there, and the comparisons are added up before any shuffle.  Null as in ``upper_tail``.
+    segments extended.  Sources are dealt by ranges of segment and radius, so that many in one segment
+    are many groups; a group has the sources of one range and segment and a bounded block of the
+    pool's lines there, and ``count_above`` ranks them.  No source meets all lines.  Null as in ``upper_tail``.
     """
+    spark = signals.sparkSession
     radii = pool_radii(pool)
-    asked = signals.where("signal is not null and theta is not null").select(key, "theta", F.col("signal").alias("_v"), segment_of(F.col("theta"), radii).alias("seg"))
-    met = asked.join(segments(pool, radii), "seg").where("y0 is not null and y1 is not null")
-    p = met.groupBy(key).agg(F.avg(F.when(on_segment(F.col("theta")) >= F.col("_v"), 1.0).otherwise(0.0)).alias("p"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = signals.where("signal is not null and theta is not null").select(F.col(key).alias("_key"), F.col("theta").cast("double").alias("_t"), F.col("signal").cast("double").alias("_v"), segment_of(F.col("theta"), radii).alias("seg"))
+    dealt = written(asked.repartitionByRange(n, "seg", "_t", "_v").withColumn("_part", F.spark_partition_id()), "p-sources")
+    blocks = max(1, -(-pool.where(F.col("radius") == radii[0]).count() // POOL_ROWS))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks))
+    lines = segments(pool, radii).where("y0 is not null and y1 is not null").select(F.col("seg").alias("_seg"), block.alias("_of"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    lines = dealt.select(F.col("_part").alias("_range"), F.col("seg").alias("_seg")).distinct().join(lines, "_seg")
+    sources = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    kind, arrow = _group_type(dealt, "_key")
+    schema = pa.schema([("_key", arrow), ("_above", pa.int64()), ("_all", pa.int64())])
+
+    def run(some: pa.Table, own: pa.Table) -> pa.Table:
+        if not some.num_rows or not own.num_rows:
+            return schema.empty_table()
+        above = count_above(*(own.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")), some.column("_t").to_numpy(), some.column("_v").to_numpy())
+        return pa.table([some.column("_key"), pa.array(above), pa.array(np.full(len(above), own.num_rows))], schema=schema)
+
+    counted = sources.groupBy("_part", "seg", "_block").cogroup(lines.groupBy("_range", "_seg", "_of")).applyInArrow(run, f"_key {kind}, _above long, _all long")
+    p = counted.groupBy(F.col("_key").alias(key)).agg((F.sum("_above") / F.sum("_all")).alias("p"))
     out = signals.join(p, key, "left")
     return out.withColumn("p", F.when(F.col("signal").isNull(), 0.0).otherwise(F.col("p"))) if nan_as_zero else out
 
 
-def scaled_stacks(sources: DataFrame, pool: DataFrame, norms: list[float], n_stack: int, seed: int | None = SEED, group: str = "bin_idx") -> DataFrame:
-    """``group, rep, r_idx, mean``: stacks of random profiles for groups of sources of different sizes.
+#: Pool rows and draws that meet in one group at most (draws on average).
+STACK_ROWS, STACK_DRAWS = 512, 1_000_000
+
+
+def scaled_stacks(sources: DataFrame, pool: DataFrame, norms: list[float], n_stack: int | Column, seed: int | None = SEED, group: str = "bin_idx") -> DataFrame:
+    """``group, r_idx, means``: stacks of random profiles for groups of sources of different sizes, as arrays
+    over the repetitions.
 
     ``sources(group, number, size, theta)`` with places in the group.  In each stack every source draws
     a pool row and, apart from it, a size among those of its group; the row is interpolated at the
-    scaled radii, clamped to the pool's.
+    scaled radii, clamped to the pool's.  ``n_stack`` may differ by group (a column of the sources).
+    A draw is one row, whatever the number of radii: it goes to its pool row's block, whose profiles
+    are a matrix there, and leaves as sums by group and repetition.
     """
-    radii = pool_radii(pool)
+    spark = sources.sparkSession
+    radii = np.array(pool_radii(pool))
     rows = numbered(pool.select("row").distinct(), F.col("row"), name="_row")
     n_rows = rows.count()
-    pieces = segments(pool, radii).join(rows, "row").drop("row")
-    each = sources.select(group, "number", "size").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_stack - 1))))
-    salted = None if seed is None else F.xxhash64(F.col(group), F.col("number"))
-    draw = F.col("number") if salted is None else salted
+    reps = F.lit(n_stack) if isinstance(n_stack, int) else n_stack
+    each = sources.select(group, "number", "size", reps.cast("long").alias("_reps"))
+    total = each.agg(F.sum("_reps")).first()[0] or 0
+    blocks = -(-n_rows // STACK_ROWS)
+    parts = max(1, -(-total // (blocks * STACK_DRAWS)))
+    each = each.where("_reps > 0").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_reps") - 1)))
+    draw = F.col("number") if seed is None else F.xxhash64(F.col(group), F.col("number"))
     pick = each.select(group, "rep", drawn(F.col("rep"), draw, F.lit(n_rows), seed, 1).alias("_row"), drawn(F.col("rep"), draw, F.col("size"), seed, 2, (6271, 92821, 29)).alias("number"))
-    sized = pick.join(sources.select(group, "number", "theta"), [group, "number"])
-    low, high = F.lit(radii[0]), F.lit(radii[-1])
-    at = sized.select(group, "rep", "_row", "theta", F.posexplode(F.array(*[F.lit(float(x)) for x in norms])).alias("r_idx", "norm"))
-    at = at.withColumn("target", F.least(F.greatest(F.col("theta") * F.col("norm"), low), high))
-    met = at.withColumn("seg", segment_of(F.col("target"), radii)).join(pieces, ["_row", "seg"])
-    return met.groupBy(group, "rep", "r_idx").agg(F.avg(on_segment(F.col("target"))).alias("mean"))
+    sized = pick.join(sources.select(group, "number", F.col("theta").cast("double").alias("theta")), [group, "number"])
+    place = F.floor(F.col("_row") / STACK_ROWS)
+    draws = sized.select(group, "rep", "_row", "theta", place.alias("_block"), F.pmod(F.col("rep"), F.lit(parts)).alias("_part"))
+    profiles = pool.join(rows, "row").select("_row", F.col("radius").cast("double").alias("radius"), F.col("signal").cast("double").alias("signal"), place.alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
+    kind, arrow = _group_type(draws, group)
+    out = pa.schema([(group, arrow), ("rep", pa.int64()), ("s", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))])
+    scale = np.array(norms, float)
+
+    def run(some: pa.Table, own: pa.Table) -> pa.Table:
+        if not some.num_rows:
+            return out.empty_table()
+        low = some.column("_block")[0].as_py() * STACK_ROWS
+        known = np.full((STACK_ROWS, len(radii)), np.nan)
+        known[own.column("_row").to_numpy() - low, np.searchsorted(radii, own.column("radius").to_numpy())] = own.column("signal").to_numpy(zero_copy_only=False)
+        named = some.column(group).combine_chunks().dictionary_encode()
+        rep = some.column("rep").to_numpy()
+        code = named.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (int(rep.max()) + 1) + rep
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        row, theta = some.column("_row").to_numpy()[order] - low, some.column("theta").to_numpy()[order]
+        s, w = np.zeros((len(first), len(scale))), np.zeros((len(first), len(scale)))
+        mark = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+        step = max(1, 4_000_000 // len(scale))
+        for at in range(0, len(order), step):
+            k, t = row[at : at + step, None], np.clip(theta[at : at + step, None] * scale, radii[0], radii[-1])
+            j = np.searchsorted(radii[1:-1], t, "right")
+            value = known[k, j] + (t - radii[j]) * (known[k, j + 1] - known[k, j]) / (radii[j + 1] - radii[j])
+            good = np.isfinite(value)
+            here = mark[at : at + step]
+            begin = np.flatnonzero(np.diff(here, prepend=-1))
+            s[here[begin]] += np.add.reduceat(np.where(good, value, 0.0), begin, axis=0)
+            w[here[begin]] += np.add.reduceat(good.astype(float), begin, axis=0)
+        lists = [pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * len(scale), pa.array(m.ravel())) for m in (s, w)]
+        return pa.table([named.dictionary.take(named.indices.take(pa.array(order[first]))), pa.array(rep[order][first]), *lists], schema=out)
+
+    by = ("_block", "_part")
+    summed = draws.groupBy(*by).cogroup(profiles.groupBy(*by)).applyInArrow(run, f"{group} {kind}, rep long, s array<double>, w array<double>")
+    return _by_radius(summed, group, len(norms))
+
+
+#: Repetitions whose sums by radius are turned into arrays together.
+TURNED_REPS = 256
+
+
+def _by_radius(summed: DataFrame, group: str, n_radii: int) -> DataFrame:
+    """``group, r_idx, means`` of sums by repetition ``(group, rep, s, w)`` with arrays over the radii."""
+    kind, arrow = _group_type(summed, group)
+    schema = pa.schema([(group, arrow), ("r_idx", pa.int32()), ("chunk", pa.int32()), ("m", pa.list_(pa.float64()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        own, at = np.unique(rep, return_inverse=True)
+        total = []
+        for c in ("s", "w"):
+            m = np.zeros((len(own), n_radii))
+            np.add.at(m, at, table.column(c).combine_chunks().values.to_numpy().reshape(-1, n_radii))
+            total.append(m)
+        mean = np.divide(*total, out=np.full(total[0].shape, np.nan), where=total[1] > 0).T
+        lists = pa.ListArray.from_arrays(np.arange(n_radii + 1, dtype=np.int32) * len(own), pa.array(mean.ravel(), from_pandas=True))
+        name = pa.array([table.column(group)[0].as_py()] * n_radii, arrow)
+        return pa.table([name, pa.array(np.arange(n_radii), pa.int32()), pa.array(np.full(n_radii, own[0] // TURNED_REPS), pa.int32()), lists], schema=schema)
+
+    chunked = summed.withColumn("_chunk", F.floor(F.col("rep") / TURNED_REPS)).groupBy(group, "_chunk").applyInArrow(run, f"{group} {kind}, r_idx int, chunk int, m array<double>")
+    chunks = F.array_sort(F.collect_list(F.struct("chunk", "m")))
+    return chunked.groupBy(group, "r_idx").agg(F.flatten(F.transform(chunks, lambda x: x["m"])).alias("means"))
 
 
 def group_bootstrap(profiles: DataFrame, sources: DataFrame, n_boot: int, seed: int | None = SEED, group: str = "bin_idx") -> DataFrame:
     """``group, r_idx, stack, error``: plain means of ``profiles(group, number, r_idx, signal)`` over a group,
     and the deviation of the means over resamples of its sources ``(group, number, size)``."""
-    each = sources.select(group, "number", "size").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    draw = F.col("number") if seed is None else F.xxhash64(F.col(group), F.col("number"))
-    times = each.select(group, "rep", drawn(F.col("rep"), draw, F.col("size"), seed).alias("number")).groupBy(group, "rep", "number").agg(F.count("*").alias("w"))
+    sizes = sources.groupBy(group).agg(F.max("size").alias("size"))
     good = profiles.where("signal is not null")
-    means = good.join(times, [group, "number"]).groupBy(group, "r_idx", "rep").agg((F.sum(F.col("w") * F.col("signal")) / F.sum("w")).alias("mean"))
-    error = means.groupBy(group, "r_idx").agg(F.stddev_pop("mean").alias("error"))
+    means = resampled(good.join(sizes, group), group, n_boot, None, seed)
+    error = means.select(group, "r_idx", array_deviation(F.col("means")).alias("error"))
     return good.groupBy(group, "r_idx").agg(F.avg("signal").alias("stack")).join(error, [group, "r_idx"], "left")
 
 
+def tail_of_stacks(data: DataFrame, stacks: DataFrame, by: list[str], value: str = "stack") -> DataFrame:
+    """``by.., p, sigma``: fraction of the stacks ``(by.., means)`` at or above the data, as sigma too."""
+    good = F.filter("means", lambda m: m.isNotNull())
+    above = F.size(F.filter(good, lambda m: m >= F.col("_d")))
+    p = data.select(*by, F.col(value).alias("_d")).join(stacks, by).select(*by, F.try_divide(above.cast("double"), F.size(good)).alias("p"))
+    return p.withColumn("sigma", normal_isf(F.col("p")))
+
+
 def significance_profile(data: DataFrame, stacks: DataFrame, by: tuple[str, ...] = ("r_idx",)) -> DataFrame:
     """``by.., p, sigma``: fraction of random stacks at or above the data, as sigma too."""
     joined = stacks.join(data.select(*by, F.col("mean").alias("d")), list(by))
@@ -213,27 +474,45 @@ def _student_sf(t: float, nu: float) -> float:
     return inc / 2 if t >= 0 else 1 - inc / 2
 
 
-def student_profile(data: DataFrame, stacks: DataFrame, every: int = 10, first: int = 0) -> DataFrame:
-    """``r_idx, p_t, sigma_t``: tail of a Student law fitted to the stacks at every n-th radius, as sigma too.
+def student_fits(data: DataFrame, stacks: DataFrame, by: list[str], every: int = 10, first: int = 0, value: str = "stack") -> DataFrame:
+    """``by.., r_idx, p_t, sigma_t``: tail of a Student law fitted to the stacks at every n-th radius, as sigma too.
 
+    ``stacks(by.., r_idx, means)`` are arrays, so each fit is one row and all groups are one pass.
     Between fitted radii both are interpolated in the radius number, beyond the last they stay.
     """
-    wanted = data.select(F.col("r_idx").cast("int").alias("r_idx"), F.col("mean").alias("d"))
-    chosen = stacks.where((F.col("r_idx") - first) % every == 0).select(F.col("r_idx").cast("int").alias("r_idx"), "mean").join(wanted, "r_idx")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        nu, mu, sigma = _student_fit(pdf["mean"].to_numpy(float))
-        return pd.DataFrame({"r_idx": [pdf["r_idx"].iloc[0]], "p_t": [_student_sf((float(pdf["d"].iloc[0]) - mu) / sigma, nu)]})
-
-    fitted = written(chosen.groupBy("r_idx").applyInPandas(fit, "r_idx int, p_t double").withColumn("sigma_t", normal_isf(F.col("p_t"))), "student")
-    # One row for each fitted radius: neighbours come from a window over that small table.
-    at = Window.orderBy("k0")
+    keys = [*by, "r_idx"]
+    wanted = data.select(*by, F.col("r_idx").cast("int").alias("r_idx"), F.col(value).alias("d"))
+    chosen = stacks.where((F.col("r_idx") - first) % every == 0).withColumn("r_idx", F.col("r_idx").cast("int")).join(wanted, keys).where("d is not null")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tails = []
+            for means, d in zip(batch.column("means"), batch.column("d").to_pylist(), strict=True):
+                x = means.values.drop_null().to_numpy()
+                if len(x) < 2:
+                    tails.append(None)
+                    continue
+                nu, mu, sigma = _student_fit(x)
+                tails.append(_student_sf((d - mu) / sigma, nu))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(tails, pa.float64())], [*keys, "p_t"])
+
+    kinds = ", ".join(f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in keys)
+    fitted = written(chosen.select(*keys, "means", "d").mapInArrow(fit, f"{kinds}, p_t double").withColumn("sigma_t", normal_isf(F.col("p_t"))), "student")
+    # One row for each fitted radius: neighbours come from a window over a group's few.
+    at = Window.partitionBy(*by).orderBy("k0") if by else Window.orderBy("k0")
     lead = lambda c: F.lead(c).over(at)
-    pieces = fitted.select(F.col("r_idx").alias("k0"), F.col("p_t").alias("p0"), F.col("sigma_t").alias("s0")).select("*", lead("k0").alias("k1"), lead("p0").alias("p1"), lead("s0").alias("s1"))
+    pieces = fitted.select(*by, F.col("r_idx").alias("k0"), F.col("p_t").alias("p0"), F.col("sigma_t").alias("s0")).select("*", lead("k0").alias("k1"), lead("p0").alias("p1"), lead("s0").alias("s1"))
     k = F.col("r_idx")
-    met = wanted.select("r_idx").join(F.broadcast(pieces), (k >= F.col("k0")) & (k < F.coalesce("k1", F.lit(1 << 30))))
+    here = (k >= F.col("k0")) & (k < F.coalesce("k1", F.lit(1 << 30)))
+    met = wanted.select(*keys).join(pieces, by).where(here) if by else wanted.select(*keys).join(F.broadcast(pieces), here)
     line = lambda a, b: F.when(F.col("k1").isNull() | (k == F.col("k0")), F.col(a)).otherwise(F.col(a) + (k - F.col("k0")) * (F.col(b) - F.col(a)) / (F.col("k1") - F.col("k0")))
-    return met.select("r_idx", line("p0", "p1").alias("p_t"), line("s0", "s1").alias("sigma_t"))
+    return met.select(*keys, line("p0", "p1").alias("p_t"), line("s0", "s1").alias("sigma_t"))
+
+
+def student_profile(data: DataFrame, stacks: DataFrame, every: int = 10, first: int = 0) -> DataFrame:
+    """``r_idx, p_t, sigma_t`` of one group, from stacks as rows ``(rep, r_idx, mean)`` and data ``(r_idx, mean)``."""
+    arrays = stacks.groupBy("r_idx").agg(F.collect_list("mean").alias("means"))
+    return student_fits(data, arrays, [], every, first, "mean")
 
 
 def stouffer(pvalues: DataFrame, group: str, p: str = "p") -> DataFrame:
@@ -243,17 +522,35 @@ def stouffer(pvalues: DataFrame, group: str, p: str = "p") -> DataFrame:
     return out.withColumn("p_combined", normal_sf(F.col("z")))
 
 
+def overall_significance(clusters: DataFrame, matches: DataFrame, combined: DataFrame, unmatched_p: float = 0.5, key: str = "obs_id") -> tuple[DataFrame, DataFrame]:
+    """Two levels of Stouffer's rule: ``key, label, p`` of every cluster, and one row over all of them.
+
+    ``matches(key, label)`` pairs clusters with associations, ``combined(label, p_combined)`` joins the
+    p-values of an association's members.  A cluster without an association, or whose association has no
+    p-value, counts with ``unmatched_p``.
+    """
+    each = clusters.select(key).join(matches.select(key, "label"), key, "left").join(combined.select("label", F.col("p_combined").alias("_p")), "label", "left")
+    each = each.select(key, "label", F.coalesce("_p", F.lit(float(unmatched_p))).alias("p"))
+    whole = stouffer(each.withColumn("_all", F.lit(0)), "_all").join(each.agg(F.count("label").alias("n_matched")))
+    return each, whole.select("n", "n_matched", "z", "p_combined")
+
+
 def random_positions(spark, n: int, abs_b_min: float = 0.0, seed: int | None = None) -> DataFrame:
     """``id, lon, lat`` uniform on the sky beyond a latitude: at random, or on the golden-angle spiral without a seed."""
     rows = spark.range(n)
+    lon, lat = random_position(F.col("id"), abs_b_min, None if seed is None else F.lit(seed))
+    return rows.select("id", lon.alias("lon"), lat.alias("lat"))
+
+
+def random_position(number: Column, abs_b_min: float = 0.0, seed: Column | None = None) -> tuple[Column, Column]:
+    """Longitude and latitude of a numbered point, by a hash of seed and number or by the spiral's fractions."""
     if seed is None:
-        u, v, s = golden_fraction(F.col("id"), 0.6180339887498949), golden_fraction(F.col("id"), 0.3819660112501051), golden_fraction(F.col("id"), 0.7548776662466927)
+        u, v, s = golden_fraction(number, 0.6180339887498949), golden_fraction(number, 0.3819660112501051), golden_fraction(number, 0.7548776662466927)
     else:
-        u, v, s = (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1 << 53)) / F.lit(float(1 << 53)) for k in range(3))
+        u, v, s = (F.pmod(F.xxhash64(seed, F.lit(k), number), F.lit(1 << 53)) / F.lit(float(1 << 53)) for k in range(3))
     low = math.sin(math.radians(abs_b_min))
     size = low + (1 - low) * u
-    lat = F.degrees(F.asin(F.least(size, F.lit(1.0)))) * F.when(s < 0.5, -1.0).otherwise(1.0)
-    return rows.select("id", (360 * v).alias("lon"), lat.alias("lat"))
+    return 360 * v, F.degrees(F.asin(F.least(size, F.lit(1.0)))) * F.when(s < 0.5, -1.0).otherwise(1.0)
 
 
 def golden_fraction(key: Column, step: float) -> Column:

@@ -1,14 +1,17 @@
 """Spatial joins between sources and the pixels of a map.
 
-A disc is enumerated ring by ring from column arithmetic, so the join with the map is an equi-join
-on the pixel: no theta join, no broadcast that grows with the map.
+A disc is an arc of every ring it crosses, by column arithmetic.  Sums over discs look the ends of the
+arcs up in running sums along the rings; where the pixels themselves are asked for, arcs are listed.
+Either way the join with the map is an equi-join on the pixel: no theta join, no broadcast that grows
+with the map.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
@@ -27,10 +30,11 @@ def with_cos_distance(df: DataFrame, out: str = "cos_dist") -> DataFrame:
     return df.withColumn(out, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
 
 
-def disc_pixels(sources: DataFrame, nside: int, radius: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """One row for each source and pixel whose centre lies within ``radius`` (radians).
+def _rings(sources: DataFrame, nside: int, radius: Column, lon: str, lat: str) -> DataFrame:
+    """One row for each source and ring that its disc may cross, give or take one at either end.
 
-    All columns of the sources stay; ``z0, phi0`` is their position, ``pix, pz, pphi`` the pixel and its centre.  A source with a null position or radius has no pixels.
+    Adds ``z0, phi0`` and the ring ``_k``, its height ``_z``, length ``_n``, shift ``_shift`` and ``_flat``,
+    the product of the radii of both parallels.  Without a position or radius the ring is null.
     """
     rows = with_position(sources, lon, lat).withColumn("_r", radius).withColumn("_b", F.asin("z0"))
     top = F.when(F.col("_b") + F.col("_r") >= hp.HALF_PI, F.lit(1.0)).otherwise(F.sin(F.col("_b") + F.col("_r")))
@@ -40,19 +44,91 @@ def disc_pixels(sources: DataFrame, nside: int, radius: Column, lon: str = "lon"
     # Rows are dropped by empty lists under outer explodes: a filter on a derived column would be
     # pushed down with all of its expressions copied into it.
     rings = rows.withColumn("_k", F.explode_outer(F.when((F.col("_r") >= 0) & F.col("z0").isNotNull(), F.sequence("_from", F.greatest("_from", "_to")))))
-    k, z, n, x = F.col("_k"), F.col("_z"), F.col("_n"), F.col("_x")
-    rings = rings.withColumn("_z", hp.ring_z(nside, k)).withColumn("_n", hp.ring_length(nside, k))
-    rings = rings.withColumn("_flat", F.sqrt(F.greatest((1 - z * z) * (1 - F.col("z0") * F.col("z0")), F.lit(0.0)))).withColumn("_gap", F.cos("_r") - z * F.col("z0"))
+    k, z = F.col("_k"), F.col("_z")
+    rings = rings.withColumn("_z", hp.ring_z(nside, k)).withColumn("_n", hp.ring_length(nside, k)).withColumn("_shift", hp.ring_shift(nside, k))
+    return rings.withColumn("_flat", F.sqrt(F.greatest((1 - z * z) * (1 - F.col("z0") * F.col("z0")), F.lit(0.0))))
+
+
+def _reach(radius: Column) -> Column:
+    """Cosine of half the arc of a ring within the radius: above 1 none of it is, from -1 down all."""
+    gap = F.cos(radius) - F.col("_z") * F.col("z0")
     # On a pole (or for a source there) the ring is inside or outside as a whole.
-    inside = F.when(F.col("_flat") > 1e-12, F.try_divide("_gap", "_flat")).otherwise(F.when(F.col("_gap") <= 0, -2.0).otherwise(2.0))
-    spans = rings.withColumn("_x", inside).withColumn("_half", F.acos(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))).withColumn("_shift", hp.ring_shift(nside, k))
-    edge = lambda sign: n * (F.col("phi0") + sign * F.col("_half")) / hp.TWO_PI - F.col("_shift")
-    spans = spans.withColumn("_lo", F.when(x <= -1, 0).otherwise(F.ceil(edge(-1))).cast("long"))
-    spans = spans.withColumn("_hi", F.when(x <= -1, n - 1).otherwise(F.least(F.floor(edge(1)), F.col("_lo") + n - 1)).cast("long"))
-    cells = spans.withColumn("_start", hp.ring_start(nside, k)).withColumn("_i", F.explode_outer(F.when((x <= 1) & (F.col("_hi") >= F.col("_lo")), F.sequence("_lo", F.greatest("_lo", "_hi")))))
+    return F.when(F.col("_flat") > 1e-12, F.try_divide(gap, F.col("_flat"))).otherwise(F.when(gap <= 0, -2.0).otherwise(2.0))
+
+
+def _arc(x: Column) -> tuple[Column, Column]:
+    """First and last place on the ring of an arc; they may lie beyond its ends, as many times as it wraps."""
+    n = F.col("_n")
+    edge = lambda sign: n * (F.col("phi0") + sign * F.acos(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))) / hp.TWO_PI - F.col("_shift")
+    low = F.when(x <= -1, 0).otherwise(F.ceil(edge(-1))).cast("long")
+    return low, F.when(x <= -1, n - 1).otherwise(F.least(F.floor(edge(1)), low + n - 1)).cast("long")
+
+
+def disc_pixels(sources: DataFrame, nside: int, radius: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """One row for each source and pixel whose centre lies within ``radius`` (radians).
+
+    All columns of the sources stay; ``z0, phi0`` is their position, ``pix, pz, pphi`` the pixel and its centre.  A source with a null position or radius has no pixels.
+    """
+    rings = _rings(sources, nside, radius, lon, lat).withColumn("_x", _reach(F.col("_r")))
+    x, n = F.col("_x"), F.col("_n")
+    low, high = _arc(x)
+    spans = rings.withColumn("_lo", low).withColumn("_hi", high)
+    cells = spans.withColumn("_start", hp.ring_start(nside, F.col("_k"))).withColumn("_i", F.explode_outer(F.when((x <= 1) & (F.col("_hi") >= F.col("_lo")), F.sequence("_lo", F.greatest("_lo", "_hi")))))
     cells = cells.withColumn("_i", F.pmod(F.col("_i"), n))
     centre = ((F.col("_i") + F.col("_shift")) * hp.TWO_PI / n).alias("pphi")
-    return cells.select(*sources.columns, "z0", "phi0", (F.col("_start") + F.col("_i")).alias("pix"), z.alias("pz"), centre).where("pix is not null")
+    return cells.select(*sources.columns, "z0", "phi0", (F.col("_start") + F.col("_i")).alias("pix"), F.col("_z").alias("pz"), centre).where("pix is not null")
+
+
+def ring_sums(sky_map: DataFrame, nside: int) -> DataFrame:
+    """``pix, s, c, ring_s, ring_c``: sum and number of the good pixels of the ring up to each pixel, and of the
+    whole ring.  Every pixel has a row, good or not; a window holds one ring, at most 4 nside pixels."""
+    every = sky_map.sparkSession.range(hp.npix(nside)).withColumnRenamed("id", "pix").join(good_pixels(sky_map), "pix", "left")
+    rows = hp.with_ring(every, nside, "pix", "_k")
+    ring = Window.partitionBy("_k").orderBy("pix")
+    upto, whole = ring.rowsBetween(Window.unboundedPreceding, 0), ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    value, one = F.coalesce("value", F.lit(0.0)), F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("long")
+    return rows.select("pix", F.sum(value).over(upto).alias("s"), F.sum(one).over(upto).alias("c"), F.sum(value).over(whole).alias("ring_s"), F.sum(one).over(whole).alias("ring_c"))
+
+
+def shell_lookups(sources: DataFrame, nside: int, radii: Column, key: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``key, r_idx, pix, _turns, _sign``: running sums to add up for the shell between each of the rising radii
+    (an array in radians) and the one before.
+
+    A disc is an arc of each ring it crosses, and an arc's sum is a difference of two running sums.  So
+    there are a few rows for each ring, radius and source, and none where the arc is that of the radius
+    before.
+    """
+    rings = _rings(sources.select(key, lon, lat, radii.alias("_radii")), nside, F.element_at("_radii", -1), lon, lat)
+    each = rings.select("*", F.posexplode_outer(F.when(F.col("_k").isNotNull(), F.col("_radii"))).alias("r_idx", "_at"))
+    before = F.when(F.col("r_idx") > 0, F.try_element_at("_radii", F.greatest("r_idx", F.lit(1))))
+    each = each.withColumn("_x", _reach(F.col("_at"))).withColumn("_y", _reach(before))
+    for x, lo, hi in (("_x", "_lo", "_hi"), ("_y", "_lo0", "_hi0")):
+        low, high = _arc(F.col(x))
+        each = each.withColumn(lo, low).withColumn(hi, high)
+    inside = lambda x, lo, hi: F.col(x).isNotNull() & (F.col(x) <= 1) & (F.col(hi) >= F.col(lo))
+    now, had = inside("_x", "_lo", "_hi"), inside("_y", "_lo0", "_hi0")
+    look = lambda place, sign: F.struct(place.alias("i"), F.lit(sign).alias("sign"))
+    new = F.array(look(F.col("_hi"), 1), look(F.col("_lo") - 1, -1))
+    more = F.concat(new, F.array(look(F.col("_hi0"), -1), look(F.col("_lo0") - 1, 1)))
+    same = had & (F.col("_lo") == F.col("_lo0")) & (F.col("_hi") == F.col("_hi0"))
+    asked = F.when(now & ~same, F.when(had, more).otherwise(new))
+    rows = each.withColumn("_start", hp.ring_start(nside, F.col("_k"))).select(key, "r_idx", "_start", "_n", F.explode_outer(asked).alias("_l"))
+    i, n = F.col("_l.i"), F.col("_n")
+    return rows.select(key, "r_idx", (F.col("_start") + F.pmod(i, n)).alias("pix"), F.floor(i / n).alias("_turns"), F.col("_l.sign").alias("_sign"))
+
+
+def shell_sums(sources: DataFrame, sums: DataFrame, nside: int, radii: Column, key: str) -> DataFrame:
+    """``key, r_idx, s, n``: sum and number of the good pixels of each shell, from the map's ``ring_sums``;
+    shells that gain no good pixel have no row."""
+    met = shell_lookups(sources, nside, radii, key).join(sums, "pix")
+    part = lambda one, ring: F.sum(F.col("_sign") * (F.col(one) + F.col("_turns") * F.col(ring)))
+    return met.groupBy(key, "r_idx").agg(part("s", "ring_s").alias("s"), part("c", "ring_c").alias("n")).where("n > 0")
+
+
+def fewer_by_rings(nside: int, total: Column | float, largest: Column | float) -> Column | bool:
+    """Whether looking up two ends on each ring that discs of so many radians in total cross joins fewer rows
+    than the pixels of the largest one (about 12 nside^2 of them on the sphere)."""
+    return 2 * 8 * nside / math.pi * total <= 3 * nside * nside * largest * largest
 
 
 def good_pixels(sky_map: DataFrame, mask: DataFrame | None = None, unseen: float = -1.6375e30) -> DataFrame:
@@ -80,6 +156,8 @@ class BoundMap:
     npix: int = 301
     nbins: int = 128
     half: float = 2.0
+    #: Running sums along the rings, where they are stored already.
+    sums: DataFrame | None = field(default=None, compare=False)
 
 
 def bound_map(sky_map: DataFrame, nside: int, mask: DataFrame | None = None, mask_nside: int | None = None, **settings: float) -> BoundMap:

@@ -101,6 +101,15 @@ SELECT id, sim, round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz)
 WHERE sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) <= 0.3 AND mass >= 5e13"""
 
 
+FINE, WIDE_RADII = 64, (300.0, 600.0, 900.0, 1200.0, 1500.0)
+_wide = ", ".join(f"({i}, {r!r}, {cosr(r)})" for i, r in enumerate(WIDE_RADII))
+wide_profile = f"""WITH m AS (SELECT l_orderkey % {12 * FINE * FINE} AS pix, avg(sqrt(l_extendedprice)) AS value FROM lineitem GROUP BY 1), {rings(FINE)},
+s AS (SELECT *, sin(radians(lat)) AS z0, radians(lon) AS phi0 FROM (SELECT s_suppkey AS source_id, {sky('s_suppkey')} FROM supplier)), radii AS (SELECT * FROM (VALUES {_wide}) t(r_idx, radius, cr)),
+j AS (SELECT s.source_id, {DISTANCE} AS d, m.value FROM s JOIN c ON {DISTANCE} >= {cosr(WIDE_RADII[-1])} JOIN m USING (pix))
+SELECT g.source_id, g.r_idx, g.radius, count(j.value) AS n_pix, round(avg(j.value), 6) AS signal FROM (SELECT source_id, r_idx, radius, cr FROM s CROSS JOIN radii) g
+LEFT JOIN j ON g.source_id = j.source_id AND j.d >= g.cr GROUP BY ALL"""
+
+
 def bin_tables(rows: str) -> str:
     """Tables n, k, top, steps and b (bins) over ``l(lm, k)``; to stand after WITH RECURSIVE."""
     return f"""l AS ({rows}), k AS (SELECT lm, row_number() OVER (ORDER BY lm DESC, k) AS rank FROM l), n AS (SELECT count(*) AS n, min(lm) AS low FROM l),
@@ -123,7 +132,7 @@ q AS (SELECT row, us.user_id, CAST(kk AS INTEGER) AS r_idx, sum(s) OVER w / sum(
 sg AS (SELECT row, r_idx AS x0, signal AS y0, lead(r_idx) OVER w AS x1, lead(signal) OVER w AS y1 FROM q WINDOW w AS (PARTITION BY row ORDER BY r_idx))"""
 pool_pvalue = f"""WITH {POOL}, n AS (SELECT r_idx, count(*) AS n FROM q GROUP BY r_idx)
 SELECT a.r_idx, a.user_id, round(CAST(count(b.signal) AS DOUBLE) / any_value(n), 9) AS p FROM q a JOIN n ON a.r_idx = n.r_idx LEFT JOIN q b ON a.r_idx = b.r_idx AND b.signal >= a.signal * 1.02 GROUP BY a.r_idx, a.user_id"""
-N_BOOT, N_STACK, N_SRC = 60, 50, 25
+N_BOOT, N_STACK, N_SRC = 10_000, 1_000, 100
 bootstrap_stack = f"""WITH {POOL}, nr AS (SELECT count(DISTINCT row) AS n FROM q),
 d AS (SELECT rep, (draw * 7919 + rep * 104729 + draw * rep + 17) % n AS row FROM nr, range(0, {N_BOOT}) a(rep), (SELECT unnest(range(0, (SELECT n FROM nr))) AS draw) b),
 s AS (SELECT r_idx, rep, avg(signal) AS m FROM d JOIN q USING (row) GROUP BY ALL),
@@ -276,12 +285,12 @@ rs AS (SELECT bin_idx, rep, r_idx, avg({_line('t')}) AS m FROM rx JOIN sg ON sg.
 rt AS (SELECT bin_idx, r_idx, avg(m) AS random_mean, stddev_pop(m) AS random_error FROM rs GROUP BY ALL)"""
 
 
-STACK_NORMS, STACK_BOOT, STACK_REPS = (0.5, 1.0, 2.0), 40, 30
+STACK_NORMS, STACK_BOOT, STACK_REPS = (0.5, 1.0, 2.0), 10_000, 1_000
 _stack = "SELECT s_suppkey % 4 AS bin_idx, s_suppkey AS key, {}, 200 + 40 * (s_suppkey % 7) AS theta FROM supplier".format(sky("s_suppkey"))
 stacked_profile = f"""WITH {MAP}, {rings(N)}, {POOL}, {stack_tables(_stack, STACK_NORMS, STACK_BOOT, STACK_REPS)}
 SELECT CAST(data.bin_idx AS BIGINT) AS bin_idx, CAST(r_idx AS INTEGER) AS r_idx, round(stack, 6) AS stack, round(error, 6) AS error, round(random_mean, 6) AS random_mean, round(random_error, 6) AS random_error
 FROM data JOIN be USING (bin_idx, r_idx) JOIN rt USING (bin_idx, r_idx)"""
-SUITE_BOOT, SUITE_REPS = 10, 20
+SUITE_BOOT, SUITE_REPS = 1_000, 100
 _suite_rows = "SELECT i AS bin_idx, halo_idx AS key, ell AS lon, b AS lat, theta FROM cut JOIN b ON lm >= lo AND (hi IS NULL OR lm < hi)"
 mass_bin_suite = f"""WITH RECURSIVE {SKY_HALOS}, cut AS (SELECT halo_idx, ell, b, theta, log10(mass) AS lm FROM u WHERE r <= 250 AND abs(b) >= 10 AND theta >= 5 AND theta <= 6000 AND mass >= 1e14 AND mass <= 4e15),
 {bin_tables('SELECT lm, halo_idx AS k FROM cut')}, {MAP}, {rings(N)}, {POOL}, {stack_tables(_suite_rows.replace('b AS lat', 'cut.b AS lat'), STACK_NORMS, SUITE_BOOT, SUITE_REPS)},
@@ -316,3 +325,63 @@ matched_in_both = f"""WITH o AS (SELECT c_custkey AS obs_id, {sky('(c_custkey +
 a AS (SELECT obs_id, cat_id, {separation('o', 't')} AS sep FROM o JOIN t ON {separation('o', 't')} <= 1200 QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY {separation('o', 't')}, cat_id) = 1),
 b AS (SELECT obs_id, cat_id, {separation('o', 'v')} AS sep FROM o JOIN v ON {separation('o', 'v')} <= 1200 QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY {separation('o', 'v')}, cat_id) = 1)
 SELECT obs_id, a.cat_id AS cat_id_a, round(a.sep, 6) AS sep_a, b.cat_id AS cat_id_b, round(b.sep, 6) AS sep_b FROM a JOIN b USING (obs_id)"""
+
+# ---------------------------------------------------------------- several realisations
+SIMS, SIM_HEADS, SIM_BOOT, SIM_REPS, SIM_REPS_HIGH = 3, (10, 30, 60), 500, 50, 200
+_CUT = f"""{SKY_HALOS}, cut AS (SELECT CAST(halo_idx % {SIMS} AS VARCHAR) AS sim, halo_idx, ell, u.b AS lat, theta, log10(mass) AS lm FROM u
+  WHERE r <= 250 AND abs(b) >= 10 AND theta >= 5 AND theta <= 6000 AND mass >= 1e14 AND mass <= 4e15)"""
+_heads = ", ".join(f"({i}, {sum(SIM_HEADS[:i])}, {sum(SIM_HEADS[: i + 1])})" for i in range(len(SIM_HEADS)))
+SIM_BINS = f"""k AS (SELECT sim, lm, row_number() OVER (PARTITION BY sim ORDER BY lm DESC, halo_idx) AS rank FROM cut), n AS (SELECT sim, min(lm) AS low FROM cut GROUP BY sim),
+top AS (SELECT sim, i, s, e, lm AS lo, lag(lm) OVER (PARTITION BY sim ORDER BY i) AS hi FROM (VALUES {_heads}) t(i, s, e) JOIN k ON rank = e),
+steps AS (SELECT sim, {len(SIM_HEADS)} AS i, greatest(min(lo) - 0.2, any_value(low)) AS lo, min(lo) AS hi FROM top JOIN n USING (sim) GROUP BY sim
+  UNION ALL SELECT sim, i + 1, greatest(lo - 0.2, low), lo FROM steps JOIN n USING (sim) WHERE lo > low),
+bins AS (SELECT sim, i, lo, hi FROM top UNION ALL SELECT sim, i, lo, hi FROM steps),
+inbin AS (SELECT cut.*, i FROM cut JOIN bins ON cut.sim = bins.sim AND lm >= lo AND (hi IS NULL OR lm < hi))"""
+sim_suite_bins = f"""WITH RECURSIVE {_CUT}, {SIM_BINS}, c AS (SELECT sim, i, count(*) AS n FROM inbin GROUP BY ALL),
+d AS (SELECT top.sim, i, k.lm FROM top JOIN k ON k.sim = top.sim AND rank > s AND rank <= e
+  UNION ALL SELECT steps.sim, i, lm FROM steps JOIN cut ON cut.sim = steps.sim AND lm >= lo AND (lm < hi OR (lm = hi AND i = (SELECT max(i) FROM steps q WHERE q.sim = steps.sim)))),
+e AS (SELECT sim, i, median(lm) AS m FROM d GROUP BY ALL)
+SELECT sim, CAST(i AS INTEGER) AS bin_idx, round(lo, 6) AS lo, round(hi, 6) AS hi, coalesce(c.n, 0) AS count, round(m, 6) AS median_log_mass FROM bins LEFT JOIN c USING (sim, i) LEFT JOIN e USING (sim, i)"""
+sim_suite_halos = f"""WITH RECURSIVE {_CUT}, {SIM_BINS}, {MAP}, {rings(N)}, {POOL},
+o AS (SELECT sim, halo_idx, i, theta, sin(radians(lat)) AS z0, radians(ell) AS phi0 FROM inbin),
+a AS (SELECT s.halo_idx, avg(m.value) AS signal FROM o s JOIN c ON {DISTANCE} >= cos(s.theta * {num(np.pi / 10800)}) JOIN m USING (pix) GROUP BY s.halo_idx),
+w AS (SELECT halo_idx, theta / 20 AS theta, signal FROM o JOIN a USING (halo_idx)),
+v AS (SELECT halo_idx, avg(CASE WHEN {_line('theta')} >= w.signal THEN 1.0 ELSE 0.0 END) AS p FROM w JOIN sg ON {_in('theta')} GROUP BY halo_idx)
+SELECT sim, halo_idx, CAST(i AS INTEGER) AS bin_idx, round(signal, 6) AS signal, round(p, 9) AS p FROM o LEFT JOIN a USING (halo_idx) LEFT JOIN v USING (halo_idx)"""
+_sim_rows = "SELECT sim || '/' || CAST(i AS VARCHAR) AS bin_idx, halo_idx AS key, ell AS lon, lat, theta FROM inbin"
+sim_suite_profiles = f"""WITH RECURSIVE {_CUT}, {SIM_BINS}, {MAP}, {rings(N)}, {POOL}, {stack_tables(_sim_rows, STACK_NORMS, SIM_BOOT, SIM_REPS_HIGH).replace(f"np, range(0, {SIM_REPS_HIGH}) a(rep))", f"np, range(0, {SIM_REPS_HIGH}) a(rep) WHERE rep < {SIM_REPS} OR split_part(bin_idx, '/', 2) IN ('0', '1'))")},
+pv AS (SELECT rs.bin_idx, rs.r_idx, avg(CASE WHEN m >= stack THEN 1.0 ELSE 0.0 END) AS p FROM rs JOIN data ON rs.bin_idx = data.bin_idx AND rs.r_idx = data.r_idx GROUP BY ALL),
+od AS (SELECT sim, i, row_number() OVER (PARTITION BY sim ORDER BY i) - 1 AS ord FROM (SELECT DISTINCT sim, i FROM inbin))
+SELECT sim, CAST(i AS INTEGER) AS bin_idx, CAST(ord AS INTEGER) AS result_ord, CAST(r_idx AS INTEGER) AS r_idx, round(stack, 6) AS stack, round(error, 6) AS error, round(random_mean, 6) AS random_mean, round(random_error, 6) AS random_error, round(p, 9) AS p
+FROM data JOIN be USING (bin_idx, r_idx) JOIN rt USING (bin_idx, r_idx) JOIN pv USING (bin_idx, r_idx) JOIN od ON data.bin_idx = sim || '/' || CAST(i AS VARCHAR)"""
+
+
+def _images(name: str, rows: str) -> str:
+    """Mean cutouts ``name(grp, iu, iv, value, n)`` of ``rows(grp, source_id, lon, lat, theta)``."""
+    body = cutout_stack[cutout_stack.index("g AS (") : cutout_stack.index("\nSELECT iu, iv")]
+    body = body.replace("FROM s,", f"FROM {name}_s,").replace("1200.0 / 11", "4 * theta / 11")
+    for x in "gatvno":
+        body = body.replace(f"\n{x} AS (", f"\n{name}_{x} AS (").replace(f"FROM {x})", f"FROM {name}_{x})").replace(f"FROM {x} ", f"FROM {name}_{x} ")
+    body = body.replace("g AS (", f"{name}_g AS (", 1) if body.startswith("g AS (") else body
+    return f"{name}_s AS ({rows}),\n{body.replace('v AS (SELECT t.*', 'v AS (SELECT *')},\n{name} AS (SELECT grp, iu, iv, avg(value) AS value, count(*) AS n FROM {name}_o JOIN (SELECT grp, source_id FROM {name}_s) USING (source_id) GROUP BY ALL)"
+
+
+_halo_rows = "SELECT sim || '/' || CAST(i AS VARCHAR) AS grp, halo_idx AS source_id, ell AS lon, lat, theta FROM inbin WHERE i < 2"
+_random_rows = f"""SELECT grp, grp || '/' || CAST(id AS VARCHAR) AS source_id, 360 * {frac('id * 0.3819660112501051e0')} AS lon,
+  degrees(asin(least({_low} + (1 - {_low}) * {frac('id * 0.6180339887498949e0')}, 1.0))) * CASE WHEN {frac('id * 0.7548776662466927e0')} < 0.5 THEN -1 ELSE 1 END AS lat, theta
+  FROM range(0, {RANDOM_CUTOUTS}) a(id) JOIN (SELECT grp, theta, row_number() OVER (PARTITION BY grp ORDER BY theta) - 1 AS place, count(*) OVER (PARTITION BY grp) AS n FROM near_s) z ON (id * 7919 + 17) % n = place"""
+sim_suite_cutouts = f"""WITH RECURSIVE {_CUT}, {SIM_BINS}, {MAP}, {_images('near', _halo_rows)}, {_images('far', _random_rows)}
+SELECT split_part(grp, '/', 1) AS sim, CAST(split_part(grp, '/', 2) AS INTEGER) AS bin_idx, iu, iv, round(near.value, 6) AS value, near.n AS n_sources, round(far.value, 6) AS random_value, far.n AS n_random FROM near FULL JOIN far USING (grp, iu, iv)"""
+
+
+def upper_normal(z: str) -> str:
+    """Upper tail of the normal law by the midpoint rule, for arguments of moderate size."""
+    return f"(SELECT 0.5e0 - sum(exp(-0.5 * pow({z} * (k + 0.5e0) / 4000, 2))) * {z} / 4000 * {num(1 / np.sqrt(TWO_PI))} FROM range(0, 4000) q(k))"
+
+
+_cp = frac("id * 0.6180339887498949e0")
+overall_significance = f"""WITH a AS (SELECT label, greatest(least({_cp.replace('id', 'vec_id')}, {1 - 1e-15!r}), 1e-15) AS p FROM embeddings),
+b AS (SELECT label, sum({isf('p')}) / sqrt(count(*)) AS z FROM a GROUP BY label), c AS (SELECT label, {upper_normal('z')} AS p FROM b),
+d AS (SELECT s_suppkey, c.label, coalesce(p, 0.5) AS p FROM supplier LEFT JOIN c ON c.label = s_suppkey AND s_suppkey < 7), e AS (SELECT label, greatest(least(p, {1 - 1e-15!r}), 1e-15) AS p FROM d),
+f AS (SELECT count(*) AS n, count(label) AS n_matched, sum({isf('p')}) / sqrt(count(*)) AS z FROM e)
+SELECT n, n_matched, round(z, 6) AS z, round({upper_normal('z')}, 6) AS p_combined FROM f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..operators import bins as mass_bins_ops
 from ..operators import catalogue, cutouts, harmonics, matching, photometry, profiles, projection, significance
 from ..operators.significance import golden_fraction
 from ..operators.spatial import bound_map
-from ..sources.tables import table
+from ..sources.tables import load_bins, save_results, shared_folder, table
 from . import fixtures as fx
 from . import oracle, suite
 
@@ -257,18 +258,75 @@ _STACK = ("stack", "error", "random_mean", "random_error")
 def stacked_profile(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("source_id")
     rows = fx.suppliers(spark, sf).select((k % 4).alias("bin_idx"), k, "lon", "lat", (200 + 40 * (k % 7)).cast("double").alias("theta"))
-    out, _ = suite.stacked_profiles(rows, fx.sky_map(spark, sf), fx.NSIDE, _wide_pool(spark, sf), list(oracle.STACK_NORMS), oracle.STACK_BOOT, oracle.STACK_REPS, None, key="source_id")
+    sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE)
+    out, _, _ = suite.stacked_profiles(rows, sky_map, _wide_pool(spark, sf), list(oracle.STACK_NORMS), oracle.STACK_BOOT, oracle.STACK_REPS, None, key="source_id")
     return rounded(out.select("bin_idx", "r_idx", *_STACK), 6, *_STACK)
 
 
+CUTS = {"r_max": 250.0, "b_min": 10.0, "theta_min": 5.0, "theta_max": 6000.0, "mass_min": 1e14, "mass_max": 4e15}
+
+
 def mass_bin_suite(spark: SparkSession, sf: str) -> DataFrame:
-    cuts = {"r_max": 250.0, "b_min": 10.0, "theta_min": 5.0, "theta_max": 6000.0, "mass_min": 1e14, "mass_max": 4e15}
     sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE)
-    out = suite.mass_bin_suite(fx.halos(spark, sf), sky_map, _wide_pool(spark, sf), fx.BOX, list(oracle.STACK_NORMS), n_boot=oracle.SUITE_BOOT, n_stack=oracle.SUITE_REPS, t_fit_every=0, seed=None, **cuts)
+    settings = suite.Suite(fx.BOX, oracle.STACK_NORMS, n_boot=oracle.SUITE_BOOT, n_stack=oracle.SUITE_REPS, high_bins=0, t_fit_every=0, seed=None)
+    out = suite.mass_bin_suite(fx.halos(spark, sf), sky_map, _wide_pool(spark, sf), settings, **CUTS)
     rows = out["profiles"].withColumn("sigma", F.when(F.abs("sigma") < 1e300, F.col("sigma")))
     return rounded(rounded(rows.select("bin_idx", "r_idx", *_STACK, "p", "sigma"), 6, *_STACK, "sigma"), 9, "p")
 
 
+#: Settings of the run over several realisations: few heads, since each has a share of the halos.
+_SIMS = suite.Suite(fx.BOX, oracle.STACK_NORMS, top_counts=oracle.SIM_HEADS, n_boot=oracle.SIM_BOOT, n_stack=oracle.SIM_REPS, n_stack_high=oracle.SIM_REPS_HIGH, high_bins=2, t_fit_every=1, cutout_bins=2, random_cutouts=oracle.RANDOM_CUTOUTS, size_factor=4.0, seed=None)
+
+
+def _sim_halos(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.halos(spark, sf).withColumn("sim", (F.col("halo_idx") % oracle.SIMS).cast("string"))
+
+
+def _sim_suite(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE, npix=11, nbins=6, half=2.0)
+    return suite.mass_bin_suite(_sim_halos(spark, sf), sky_map, _wide_pool(spark, sf), _SIMS, **CUTS)
+
+
+def sim_suite_halos(spark: SparkSession, sf: str) -> DataFrame:
+    sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE)
+    halos, _ = suite.suite_catalogue(_sim_halos(spark, sf), sky_map, _wide_pool(spark, sf), _SIMS, **CUTS)
+    return rounded(rounded(halos.select("sim", "halo_idx", "bin_idx", "signal", "p"), 6, "signal"), 9, "p")
+
+
+def sim_suite_bins(spark: SparkSession, sf: str) -> DataFrame:
+    sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE)
+    _, bins = suite.suite_catalogue(_sim_halos(spark, sf), sky_map, _wide_pool(spark, sf), _SIMS, **CUTS)
+    return rounded(bins.select("sim", "bin_idx", "lo", "hi", "count", "median_log_mass"), 6, "lo", "hi", "median_log_mass")
+
+
+def sim_suite_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Stacks of all realisations' bins, by way of the stored tables."""
+    halos, bins = suite.suite_tables(_sim_suite(spark, sf), _SIMS, 6, 2.0)
+    folder = f"{shared_folder(spark)}/written/suite-{uuid.uuid4().hex}"
+    save_results(halos, bins, folder)
+    arrays = {"stack": "stacked_profile", "error": "stacked_error", "random_mean": "random_profile", "random_error": "random_error", "p": "p_value_profile"}
+    stored = load_bins(spark, folder).select("sim", "bin_idx", "result_ord", F.posexplode(F.arrays_zip(*[F.col(c).alias(n) for n, c in arrays.items()])).alias("r_idx", "v"))
+    rows = stored.select("sim", "bin_idx", "result_ord", "r_idx", *[F.col("v")[n].alias(n) for n in arrays]).where("stack is not null")
+    return rounded(rounded(rows, 6, *_STACK), 9, "p")
+
+
+def sim_suite_cutouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean cutouts of the first bins of all realisations, around halos and at random positions."""
+    out = _sim_suite(spark, sf)
+    random = out["random_cutouts"].select("sim", "bin_idx", "iu", "iv", F.col("value").alias("random_value"), F.col("n_sources").alias("n_random"))
+    return rounded(out["cutouts"].join(random, ["sim", "bin_idx", "iu", "iv"], "full"), 6, "value", "random_value")
+
+
+def sim_suite_t_fits(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_sim_suite(spark, sf)["t_fits"], 6, "p_t", "sigma_t")
+
+
+def wide_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Discs of many rings of a finer map."""
+    found = profiles.enclosed_profile(fx.suppliers(spark, sf), fx.sky_map(spark, sf, oracle.FINE), oracle.FINE, list(oracle.WIDE_RADII))
+    return rounded(found, 6, "signal")
+
+
 def association_signals(spark: SparkSession, sf: str) -> DataFrame:
     members = fx.points(spark, sf).select("id", F.col("sim").alias("label"), "x", "y", "z", (0.03 + 0.001 * (F.col("id") % 10)).alias("r500"))
     each, medians = assoc.association_signals(members, fx.sky_map(spark, sf), fx.NSIDE, _wide_pool(spark, sf), (0.0, 0.0, 0.0))
@@ -305,6 +363,15 @@ def cluster_matching(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out["matches"], 9, "pval", "dist")
 
 
+def overall_significance(spark: SparkSession, sf: str) -> DataFrame:
+    """Every supplier as a cluster: matched to the label of its number where there is one, else 0.5."""
+    members = fx.points(spark, sf).select("id", F.col("sim").alias("label"), golden_fraction(F.col("id"), fx.GOLDEN).alias("pval"))
+    clusters = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("obs_id"))
+    matches = clusters.where("obs_id < 7").select("obs_id", F.col("obs_id").cast("int").alias("label"))
+    _, whole = significance.overall_significance(clusters, matches, significance.stouffer(members, "label", "pval"))
+    return rounded(whole, 6, "z", "p_combined")
+
+
 def random_pool(spark: SparkSession, sf: str) -> DataFrame:
     """As many pointings as there are orders."""
     n = table(spark, sf, "orders").count()
@@ -316,10 +383,10 @@ def random_pool(spark: SparkSession, sf: str) -> DataFrame:
 CHECKED: tuple[Query, ...] = (
     aperture_mean, annulus_mean, enclosed_profile, halo_cuts, halo_sorted, extent_centre_cut, mass_bins, pool_pvalue, bootstrap_stack,
     random_stack, empirical_sigma_profile, crossmatch_best, radius_cdf, match_halo, pval_matrix, halo_neighbours, particle_projection,
-    grid_projection, cutout_stack, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map, mass_ratio,
+    grid_projection, cutout_stack, wide_profile, sim_suite_halos, sim_suite_bins, sim_suite_profiles, sim_suite_cutouts, overall_significance, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map, mass_ratio,
     signal_pvalue, stacked_profile, mass_bin_suite, association_signals, masked_aperture, random_cutout_stack, matched_in_both,
 )
-UNCHECKED: tuple[Query, ...] = (student_profile, greedy_match, halo_associations, find_center, smooth_map, cross_cl, cluster_matching, random_pool)
+UNCHECKED: tuple[Query, ...] = (student_profile, sim_suite_t_fits, greedy_match, halo_associations, find_center, smooth_map, cross_cl, cluster_matching, random_pool)
 
 
 def queries() -> dict[str, Query]:

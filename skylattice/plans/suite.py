@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import associations as assoc
@@ -10,15 +14,15 @@ from ..operators import bins as mass_bins
 from ..operators import catalogue, cutouts, harmonics, matching, photometry, profiles, significance
 from ..operators.rows import numbered_within
 from ..operators.significance import SEED
-from ..operators.spatial import BoundMap, bound_map
+from ..operators.spatial import BoundMap, bound_map, ring_sums
 from ..sources.tables import written
 
 
 def prepared_map(sky_map: DataFrame, nside: int, mask: DataFrame | None = None, mask_nside: int | None = None, smooth_arcmin: float | None = None, **settings: float) -> tuple[BoundMap, DataFrame]:
-    """The map bound to its mask, smoothed on demand (and written once), and its statistics."""
+    """The map bound to its mask, smoothed on demand, with its running sums (each written once), and its statistics."""
     rows = sky_map if smooth_arcmin is None else harmonics.smoothed(sky_map, nside, smooth_arcmin)
     bound = bound_map(written(rows, "map"), nside, mask, mask_nside, **settings)
-    return bound, photometry.map_statistics(bound.pixels)
+    return replace(bound, sums=written(ring_sums(bound.pixels, nside), "ring-sums")), photometry.map_statistics(bound.pixels)
 
 
 def random_pool(sky_map: DataFrame, nside: int, radii_arcmin: list[float], n_points: int, abs_b_min: float = 10.0, seed: int | None = SEED) -> DataFrame:
@@ -28,62 +32,146 @@ def random_pool(sky_map: DataFrame, nside: int, radii_arcmin: list[float], n_poi
     return profiles.drop_incomplete(found, "source_id", len(radii_arcmin)).withColumnRenamed("source_id", "row")
 
 
-def stacked_profiles(sources: DataFrame, sky_map: DataFrame, nside: int, pool: DataFrame, norms: list[float], n_boot: int, n_stack: int, seed: int | None = SEED, group: str = "bin_idx", key: str = "halo_idx") -> tuple[DataFrame, DataFrame]:
+def stacked_profiles(sources: DataFrame, sky_map: BoundMap, pool: DataFrame, norms: list[float], n_boot: int, n_stack: int, seed: int | None = SEED, group: str = "bin_idx", key: str = "halo_idx", order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stacks of profiles in units of each source's size, for all groups in one plan.
 
     ``sources(group, key, lon, lat, theta)`` and ``pool(row, radius, signal)``.  The first result is
     ``group, r_idx, norm, stack, error, random_mean, random_error``: plain mean, deviation of the
-    bootstrap means, mean and deviation of the random stacks; the second the random stacks themselves.
+    bootstrap means, mean and deviation of the random stacks; then the random stacks ``(group, r_idx,
+    means)`` and the sources' own profiles ``(group, key, r_idx, signal)``.  A column ``reps`` of the
+    sources, constant in a group, overrides the number of random stacks.  Sources are numbered by
+    ``order`` (the key).
     """
-    ranked = written(numbered_within(sources.select(group, key, "lon", "lat", "theta"), group, F.col(key)), "stack-sources")
-    found = profiles.enclosed_profile(ranked.select(key, "lon", "lat", "theta"), sky_map, nside, norms, key, F.col("theta"))
-    own = written(found.join(ranked.select(key, group, "number"), key).select(group, "number", "r_idx", "signal"), "own-profiles")
+    more = [c for c in (order, "reps") if c is not None and c in sources.columns and c != key]
+    ranked = written(numbered_within(sources.select(group, key, "lon", "lat", "theta", *more), group, F.col(order or key)), "stack-sources")
+    found = profiles.enclosed_profile(ranked.select(key, "lon", "lat", "theta"), sky_map.pixels, sky_map.nside, norms, key, F.col("theta"), sky_map.sums)
+    own = written(found.join(ranked.select(key, group, "number"), key).select(group, key, "number", "r_idx", "signal"), "own-profiles")
     data = significance.group_bootstrap(own, ranked, n_boot, seed, group)
-    stacks = written(significance.scaled_stacks(ranked, pool, norms, n_stack, seed, group), "random-stacks")
-    random = stacks.groupBy(group, "r_idx").agg(F.avg("mean").alias("random_mean"), F.stddev_pop("mean").alias("random_error"))
+    reps = F.col("reps") if "reps" in ranked.columns else n_stack
+    stacks = written(significance.scaled_stacks(ranked, pool, norms, reps, seed, group), "random-stacks")
+    means = F.col("means")
+    random = stacks.select(group, "r_idx", significance.array_mean(means).alias("random_mean"), significance.array_deviation(means).alias("random_error"))
     norm = F.element_at(F.array(*[F.lit(float(x)) for x in norms]), F.col("r_idx") + 1)
-    return data.withColumn("norm", norm).join(random, [group, "r_idx"], "left"), stacks
-
-
-def mass_bin_suite(
-    halos: DataFrame, sky_map: BoundMap, pool: DataFrame, box: float, norms: list[float], step: float = 0.2, top_counts: tuple[int, ...] = (10, 50, 100), aperture_scale: float = 1.0,
-    n_boot: int = 10_000, n_stack: int = 1_000, t_fit_every: int = 10, cutout_bins: int = 3, size_factor: float = 5.0, seed: int | None = SEED, **cuts: float,
-) -> dict[str, DataFrame]:
-    """The run over mass bins; all bins are grouping keys of one plan.
+    return data.withColumn("norm", norm).join(random, [group, "r_idx"], "left"), stacks, own.drop("number")
+
+
+@dataclass(frozen=True)
+class Suite:
+    """Settings of the run over mass bins, as far as they aren't those of the map."""
+
+    box: float
+    norms: tuple[float, ...]
+    step: float = 0.2
+    top_counts: tuple[int, ...] = (10, 50, 100)
+    aperture_scale: float = 1.0
+    n_boot: int = 10_000
+    #: Random stacks of a bin, and of the first bins.
+    n_stack: int = 1_000
+    n_stack_high: int = 10_000
+    high_bins: int = 3
+    t_fit_every: int = 10
+    cutout_bins: int = 3
+    size_factor: float = 5.0
+    random_cutouts: int = 0
+    abs_b_min: float = 10.0
+    seed: int | None = SEED
+
+
+def suite_catalogue(halos: DataFrame, sky_map: BoundMap, pool: DataFrame, suite: Suite, **cuts: float) -> tuple[DataFrame, DataFrame]:
+    """Cut halos of all realisations with signal, pool p-value at their own aperture and bin; and all bins.
+
+    Realisations are a grouping key of every step (``sim``; the empty string where halos have none): edges
+    of all of them come from one plan, signals and p-values from one pass over all halos.
+    """
+    named = halos.withColumn("sim", F.col("sim").cast("string") if "sim" in halos.columns else F.lit(""))
+    rows = catalogue.halo_cuts(catalogue.halo_catalogue(named, suite.box, suite.aperture_scale), **cuts)
+    rows = written(rows.withColumns({"lon": F.col("ell"), "lat": F.col("b"), "_id": F.concat_ws("/", "sim", F.col("halo_idx").cast("string"))}), "suite-halos")
+    masses = rows.select("sim", "halo_idx", "mass")
+    edges = written(mass_bins.grouped_edges(masses, "sim", suite.step, suite.top_counts, "halo_idx"), "suite-edges")
+    signal = profiles.aperture_mean(rows, sky_map.pixels, sky_map.nside, F.col("aperture"), "_id", sky_map.sums).select("_id", "signal")
+    at = written(rows.select("_id", F.col("aperture").alias("theta")).join(signal, "_id"), "suite-signals")
+    tails = significance.signal_pvalue(at, pool, "_id").select("_id", "signal", "p")
+    binned = mass_bins.assign_grouped(rows.join(tails, "_id"), edges, "sim").withColumn("_bin", F.concat_ws("/", "sim", F.col("bin_idx").cast("string")))
+    binned = written(binned, "suite-binned")
+    return binned, mass_bins.grouped_summary(binned, edges, masses, "sim", suite.top_counts, "halo_idx")
+
+
+def mass_bin_suite(halos: DataFrame, sky_map: BoundMap, pool: DataFrame, suite: Suite, **cuts: float) -> dict[str, DataFrame]:
+    """The run over mass bins of all realisations; realisation and bin are grouping keys of one plan.
 
     * ``halos``: cut catalogue with signal, pool p-value at the halo's own aperture, and bin;
     * ``bins``: edges, count and median of every bin, empty ones too;
     * ``profiles``: stacks and random stacks with errors, empirical p-value and sigma at each radius;
-    * ``t_fits``: tails of Student laws fitted to the random stacks of each bin;
-    * ``cutouts``: mean normalised cutouts of the first bins, by the angular size (not the aperture).
+    * ``individual`` and ``random``: the halos' own profiles and the random stacks (arrays) behind them;
+    * ``t_fits``: tails of Student laws fitted to the random stacks, one grouped pass for all;
+    * ``cutouts`` and ``random_cutouts``: mean normalised cutouts of the first bins, by the angular size (not
+      the aperture), around the halos and at random positions with sizes drawn from the bin.
     """
-    rows = catalogue.halo_cuts(catalogue.halo_catalogue(halos, box, aperture_scale), **cuts)
-    rows = written(rows.withColumns({"lon": F.col("ell"), "lat": F.col("b")}), "suite-halos")
-    masses = rows.select(F.col("halo_idx").alias("key"), "mass")
-    edges = mass_bins.mass_bin_edges(masses, step, top_counts)
-    signal = profiles.aperture_mean(rows, sky_map.pixels, sky_map.nside, F.col("aperture"), "halo_idx").select("halo_idx", "signal")
-    at = rows.select("halo_idx", F.col("aperture").alias("theta")).join(signal, "halo_idx")
-    tails = significance.signal_pvalue(at, pool, "halo_idx").select("halo_idx", "signal", "p")
-    binned = written(mass_bins.assign_bins(rows.join(tails, "halo_idx"), edges), "suite-binned")
-    stacked, stacks = stacked_profiles(binned.select("bin_idx", "halo_idx", "lon", "lat", F.col("aperture").alias("theta")), sky_map.pixels, sky_map.nside, pool, norms, n_boot, n_stack, seed)
+    binned, bins = suite_catalogue(halos, sky_map, pool, suite, **cuts)
+    reps = F.when(F.col("bin_idx") < suite.high_bins, suite.n_stack_high).otherwise(suite.n_stack)
+    sources = binned.select("_bin", "_id", "halo_idx", "lon", "lat", F.col("aperture").alias("theta"), reps.alias("reps"))
+    stacked, stacks, own = stacked_profiles(sources, sky_map, pool, list(suite.norms), suite.n_boot, suite.n_stack, suite.seed, "_bin", "_id", "halo_idx")
     stacked = written(stacked, "suite-stacks")
-    tail = significance.significance_profile(stacked.withColumnRenamed("stack", "mean"), stacks, ("bin_idx", "r_idx"))
-    out = {"halos": binned, "bins": mass_bins.bin_summary(binned, edges, masses), "profiles": stacked.join(tail, ["bin_idx", "r_idx"], "left")}
-    fits = None
-    for b in edges if t_fit_every else []:  # as many bins as mass steps; each fit is a job over its radii
-        own = F.col("bin_idx") == b["bin_idx"]
-        one = significance.student_profile(stacked.where(own).select("r_idx", F.col("stack").alias("mean")), stacks.where(own), t_fit_every).withColumn("bin_idx", F.lit(b["bin_idx"]))
-        fits = one if fits is None else fits.unionByName(one)
-    if fits is not None:
-        out["t_fits"] = fits
-    first = binned.where(F.col("bin_idx") < cutout_bins).select("bin_idx", "halo_idx", "lon", "lat", "theta")
-    cut = cutouts.cutout(first, sky_map.pixels, sky_map.nside, size_factor * F.col("theta"), sky_map.npix, "halo_idx").join(first.select("halo_idx", "bin_idx", "theta"), "halo_idx")
-    normal = cutouts.normalised(cut, F.col("theta"), sky_map.nbins, sky_map.half, "halo_idx").join(first.select("halo_idx", "bin_idx"), "halo_idx")
-    out["cutouts"] = normal.groupBy("bin_idx", "iu", "iv").agg(F.avg("value").alias("value"), F.count("*").alias("n_sources"))
+    names = written(binned.select("_bin", "sim", "bin_idx").distinct(), "suite-names")
+    by_name = lambda df: names.join(df, "_bin").drop("_bin")
+    tail = significance.tail_of_stacks(stacked, stacks, ["_bin", "r_idx"])
+    out = {"halos": binned.drop("_id", "_bin"), "bins": bins, "profiles": by_name(stacked.join(tail, ["_bin", "r_idx"], "left")), "random": by_name(stacks)}
+    out["individual"] = by_name(own.join(binned.select("_id", "halo_idx"), "_id").drop("_id"))
+    if suite.t_fit_every:
+        out["t_fits"] = by_name(significance.student_fits(stacked, stacks, ["_bin"], suite.t_fit_every))
+    first = binned.where(F.col("bin_idx") < suite.cutout_bins).select("_bin", "_id", "lon", "lat", "theta")
+    cut = cutouts.cutout(first, sky_map.pixels, sky_map.nside, suite.size_factor * F.col("theta"), sky_map.npix, "_id").join(first.select("_id", "theta"), "_id")
+    normal = cutouts.normalised(cut, F.col("theta"), sky_map.nbins, sky_map.half, "_id").join(first.select("_id", "_bin"), "_id")
+    out["cutouts"] = by_name(normal.groupBy("_bin", "iu", "iv").agg(F.avg("value").alias("value"), F.count("*").alias("n_sources")))
+    if suite.random_cutouts:
+        seeds = None
+        if suite.seed is not None:
+            # Realisations count in numeric order where their names are numbers.
+            at = F.row_number().over(Window.orderBy(F.expr("try_cast(sim AS bigint)"), "sim")) - 1
+            place = names.select("sim").distinct().withColumn("_at", at)
+            seeds = names.join(place, "sim").select("_bin", (cutout_seed(suite.seed, F.col("_at"), F.col("bin_idx"))).alias("seed"))
+        random = cutouts.grouped_random_stack(first, "_bin", sky_map.pixels, sky_map.nside, suite.random_cutouts, sky_map.nbins, sky_map.half, sky_map.npix, suite.size_factor, suite.abs_b_min, seeds)
+        out["random_cutouts"] = by_name(random)
     return out
 
 
-def cutout_seed(base: int, sim_index: int, bin_idx: int) -> int:
+def suite_tables(out: dict[str, DataFrame], suite: Suite, nbins: int, half: float) -> tuple[DataFrame, DataFrame]:
+    """The run's results in the stored layout (``save_results``): one row for each halo and for each bin that holds one.
+
+    Profiles are arrays by radius (p-values of halos by their number), images arrays of arrays.
+    """
+    keys = ["sim", "bin_idx"]
+
+    def arrays(df: DataFrame, by: list[str], **columns: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(*by, *[F.col(c).alias(f"_{n}") for n, c in columns.items()])))
+        return df.groupBy(*keys).agg(listed.alias("_l")).select(*keys, *[F.col(f"_l._{n}").alias(n) for n in columns])
+
+    def images(df: DataFrame, name: str) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            image = np.full((nbins, nbins), np.nan)
+            image[pdf["iu"], pdf["iv"]] = pdf["value"]
+            return pd.DataFrame({"sim": [pdf["sim"].iloc[0]], "bin_idx": [pdf["bin_idx"].iloc[0]], name: [image.tolist()]})
+
+        return df.groupBy(*keys).applyInPandas(run, f"sim string, bin_idx int, {name} array<array<double>>")
+
+    halos = out["halos"]
+    bins = out["bins"].where("count > 0").join(arrays(halos, ["halo_idx"], pval_data="p"), keys)
+    # Every bin has all radii: one at which no source has a good pixel is null.
+    norms = F.array(*[F.lit(float(x)) for x in suite.norms])
+    grid = bins.select(*keys, F.posexplode(norms).alias("r_idx", "radius")).join(out["profiles"], [*keys, "r_idx"], "left")
+    names = {"radii_norm": "radius", "stacked_profile": "stack", "stacked_error": "error", "random_profile": "random_mean", "random_error": "random_error", "p_value_profile": "p", "sigma_profile": "sigma"}
+    if "t_fits" in out:
+        grid = grid.join(out["t_fits"], [*keys, "r_idx"], "left")
+        names |= {"t_fit_p_value": "p_t", "t_fit_sigma": "sigma_t"}
+    bins = bins.join(arrays(grid, ["r_idx"], **names), keys)
+    for source, name in (("cutouts", "cutout_mean"), ("random_cutouts", "cutout_random_mean")):
+        if source in out:
+            bins = bins.join(images(out[source], name), keys, "left")
+    bounds = F.array(*[F.lit(float(x)) for x in (-half, half, -half, half)])
+    return halos, bins.withColumn("cutout_extent", F.when(F.col("bin_idx") < suite.cutout_bins, bounds))
+
+
+def cutout_seed(base: int, sim_index: int | Column, bin_idx: int | Column) -> int | Column:
     """Seed of the random cutouts of a realisation's bin."""
     return base + sim_index + bin_idx
 
@@ -91,14 +179,17 @@ def cutout_seed(base: int, sim_index: int, bin_idx: int) -> int:
 def cluster_matching(halos: DataFrame, clusters: DataFrame, mass_function: DataFrame, sky_map: BoundMap, pool: DataFrame, centre: tuple, eps: float = 1.75, min_samples: int = 9, r_max: float = 50.0, threshold: float | None = 0.05, mass_sigma: float = 0.3, radius_col: str = "r500") -> dict[str, DataFrame]:
     """Associations with signals and p-values, matched one to one to observed clusters ``(obs_id, x, y, z)``.
 
-    ``matches`` has the pairs, ``members`` and ``summary`` the signals, ``combined`` the members'
-    p-values of each association joined into one.
+    ``matches`` has the pairs, ``members`` and ``summary`` the signals, ``combined`` the members' p-values of
+    each association joined into one, ``clusters`` that of every observed cluster (0.5 without a match)
+    and ``overall`` one row over all of them.
     """
     members = written(assoc.associations(halos, eps, min_samples, mass_sigma), "members")
-    each, summary = assoc.association_signals(members, sky_map.pixels, sky_map.nside, pool, centre, radius_col)
+    each, summary = assoc.association_signals(members, sky_map.pixels, sky_map.nside, pool, centre, radius_col, sky_map.sums)
     dense = matching.density_of(members.withColumn("log_mass", F.log10("mass")), mass_function)
-    pairs = matching.matching_pairs(clusters, dense, r_max)
-    return {"members": each, "summary": summary, "matches": matching.greedy_match(pairs, threshold), "combined": significance.stouffer(each, "label", "pval")}
+    matches = written(matching.greedy_match(matching.matching_pairs(clusters, dense, r_max), threshold), "matches")
+    combined = significance.stouffer(each, "label", "pval")
+    whole, overall = significance.overall_significance(clusters, matches, combined)
+    return {"members": each, "summary": summary, "matches": matches, "combined": combined, "clusters": whole, "overall": overall}
 
 
 def catalogue_comparison(first: DataFrame, second: DataFrame, n_samples: int = 1000, seed: int | None = SEED) -> tuple[DataFrame, DataFrame]:

@@ -120,7 +120,8 @@ def test_suite(spark):
     assert pool.count() % 3 == 0
     bound, facts = suite.prepared_map(sky, 4, npix=7, nbins=4)
     assert facts.first()["n"] == bound.pixels.count()
-    out = suite.mass_bin_suite(fx.halos(spark, sf), bound, pool, fx.BOX, [0.5, 1.0], top_counts=(10, 20), aperture_scale=20.0, n_boot=5, n_stack=8, t_fit_every=1, b_min=10.0)
+    settings = suite.Suite(fx.BOX, (0.5, 1.0), top_counts=(10, 20), aperture_scale=20.0, n_boot=5, n_stack=8, n_stack_high=8, t_fit_every=1)
+    out = suite.mass_bin_suite(fx.halos(spark, sf), bound, pool, settings, b_min=10.0)
     halos = out["halos"].collect()
     assert out["bins"].agg(F.sum("count")).first()[0] == len(halos) > 0
     assert all((h["p"] is None) == (h["signal"] is None) and (h["p"] is None or 0 <= h["p"] <= 1) for h in halos)
