@@ -327,6 +327,7 @@ def longest_previous_factors(raw: np.ndarray, begin: np.ndarray, run: np.ndarray
         common[open_] += np.minimum(same, left)
         open_ = open_[~some]
     own = owner[order]
+    common[:1] = 0
     factor = np.zeros(len(order), np.int64)
     np.maximum(_to_smaller(own, common), _to_smaller(own[::-1], np.append(common[1:], 0)[::-1])[::-1], out=factor)
     out = np.empty(len(order), np.int64)
@@ -337,25 +338,47 @@ def longest_previous_factors(raw: np.ndarray, begin: np.ndarray, run: np.ndarray
 def _to_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Common prefix of each entry with the nearest one before it of smaller value; zero without one.
 
-    ``common`` is that of each entry with the one before.  All entries follow their pointers at once:
-    between an entry and its pointer no value is smaller, so a pointer's own pointer is the next to try.
+    ``common`` is that of each entry with the one before.  Least values and least common prefixes of
+    blocks of 1, 2, 4, ... entries are laid out once; every entry then goes up past blocks without a
+    smaller value and down into the first that has one, so the steps are as many as the logarithm of
+    the entries, whatever their order.
     """
     n = len(value)
-    low = np.iinfo(np.int64).min
-    value = np.append(value, low)  # the last place is the end of every chain
-    to = np.append(np.arange(-1, n - 1), n)
-    to[0] = n
-    least = np.append(common, 0)
-    least[0] = 0
-    open_ = np.flatnonzero(value[to[:n]] >= value[:n])
-    while len(open_):
-        p = to[open_]
-        least[open_] = np.minimum(least[open_], least[p])
-        to[open_] = to[p]
-        # No factor is left to find where nothing is shared any more.
-        open_ = open_[(value[to[open_]] >= value[open_]) & (least[open_] > 0)]
-    done = value[to[:n]] < value[:n]
-    return np.where(done & (to[:n] < n), least[:n], 0)
+    values, commons = [value], [common]
+    while len(values[-1]) > 1:
+        for levels, none in ((values, np.iinfo(np.int64).max), (commons, np.iinfo(np.int64).max)):
+            even = np.append(levels[-1], none) if len(levels[-1]) % 2 else levels[-1]
+            levels.append(np.minimum(even[::2], even[1::2]))
+    out = np.zeros(n, np.int64)
+    # Of each entry that still goes up: itself, its block, and the least common prefix back to the block's start.
+    entry, block, least = np.arange(n), np.arange(n), common.copy()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(len(values)):
+        right = np.flatnonzero(block & 1)
+        left = block[right] - 1
+        here = values[k][left] < value[entry[right]]
+        hit = right[here]
+        found.append((entry[hit], block[hit] - 1, least[hit]))
+        past = right[~here]
+        least[past] = np.minimum(least[past], commons[k][block[past] - 1])
+        # An entry leaves when it has found a block, at the first place, and where nothing is shared any more.
+        stay = least > 0
+        stay[hit] = False
+        stay &= block > 0
+        entry, block, least = entry[stay], block[stay] >> 1, least[stay]
+        if not len(entry):
+            break
+    entry, block, least = (np.zeros(0, np.int64) for _ in range(3))
+    for k in range(len(found) - 1, -1, -1):
+        entry, block, least = (np.concatenate(x) for x in zip((entry, block, least), found[k], strict=True))
+        if k:
+            right = np.minimum(2 * block + 1, len(values[k - 1]) - 1)
+            there = (2 * block + 1 < len(values[k - 1])) & (values[k - 1][right] < value[entry])
+            skip = ~there & (2 * block + 1 < len(values[k - 1]))
+            least[skip] = np.minimum(least[skip], commons[k - 1][right[skip]])
+            block = 2 * block + there
+    out[entry] = least
+    return out
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
