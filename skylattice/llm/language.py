@@ -218,4 +218,4 @@ def identify(docs: DataFrame) -> DataFrame:
     """Predictions of all documents by a model that never sees the held-out quarter."""
     model = fit(*sample(docs, in_training()))
     out = predict(docs, model)
-    return out.select("doc_id", (~in_training()).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(~in_training(), F.lit(True)).alias("held_out"), "lang_pred", "score", "rejected")

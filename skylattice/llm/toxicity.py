@@ -14,7 +14,8 @@ Most tokens have no such feature and so one common emission.  The chain over a g
 power of one 2x2 matrix, so the exact marginals need a step only for each token with features,
 whatever the length of the text.
 
-Null and empty texts have no tokens and get the score of a document without toxic tokens.  Labels
+Null ids teach nothing and count as held out.  Null and empty texts have no tokens and get the score of a
+document without toxic tokens.  Labels
 that are null are ignored; with no usable labels every score is 0.  Repeated rows score alike and
 teach once; of several texts under one id the least teaches.  Very long texts are scored by slices of
 documents, one long document at a time.  Scores that tie have no order.
@@ -385,4 +386,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model that never sees a label of the held-out third."""
     model = train(docs, labels, in_training())
     out = score(docs, model)
-    return out.select("doc_id", (~in_training()).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
+    return out.select("doc_id", F.coalesce(~in_training(), F.lit(True)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
