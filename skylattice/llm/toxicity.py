@@ -2,7 +2,7 @@
 
 Training reads a bounded sample of labelled documents (``MAX_TOXIC`` and ``MAX_CLEAN`` ids, the
 least by a hash, of at most ``MAX_BYTES`` of text).  A token's features are its word, its prefixes,
-and the prefixes of the words before and after it; those that occur in enough toxic documents and
+and the prefixes of the words before and after it; those that occur in two toxic documents or more and
 seldom in clean ones enter the model.  No token labels are given, so the field finds them: tokens of
 toxic documents with a telling feature of their own start as toxic, all others as clean; the chain of
 two states (one weight for each feature, a bias, transitions) is fitted by gradient ascent on the
@@ -37,8 +37,8 @@ from .common import LOWER, bounded_texts, documents, hash_words, mix, text_buffe
 
 #: Bounds of the training sample: documents, and bytes of their texts.
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 3000, 48 << 20
-#: A feature occurs in this share of the toxic documents, and in at least so many.
-MIN_SHARE, MIN_DOCS = 0.01, 5
+#: A feature occurs in at least so many toxic documents; the penalty weighs it, whatever its share.
+MIN_DOCS = 2
 #: Least logarithm of the ratio of the smoothed shares among toxic and clean documents, of a feature
 #: of the model and of one that marks a token as toxic at first.
 MIN_LOG_RATIO, TELLING = 3.0, 4.0
@@ -186,12 +186,11 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = STEPS) -> Model:
     every = [t for t, y in zip(texts, labels, strict=True) if y]
     toxic = _spread(every)
     clean = [t for t, y in zip(texts, labels, strict=True) if not y]
-    least = max(MIN_DOCS, MIN_SHARE * len(toxic))
     chosen, telling = set(), set()
     for k, (bad, good) in enumerate(zip(_document_counts(toxic), _document_counts(clean), strict=True)):
         for code, n in bad.items():
             ratio = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((good[code] + 0.5) / (len(clean) + 1))
-            if n >= least and ratio >= MIN_LOG_RATIO:
+            if n >= MIN_DOCS and ratio >= MIN_LOG_RATIO:
                 chosen.add(code)
                 if ratio >= TELLING and k < OWN:
                     telling.add(code)

@@ -57,5 +57,5 @@ def test_odd_rows_pass_every_stage(spark, docs, empty, texts, tmp_path):
 
 def test_registry():
     names = list(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)

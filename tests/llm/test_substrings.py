@@ -78,3 +78,28 @@ def test_empty_and_null_id(spark, empty):
     assert out == {None: 80, 1: 0}
     kept = substrings.remove_repeats(df, texts=True).where("doc_id = 1").first()["kept"]
     assert kept == "q" * 80
+
+
+def test_nearest_smaller_in_any_order():
+    import time
+
+    from skylattice.llm.substrings import _to_smaller
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        value, common = rng.integers(0, 6, n), rng.integers(0, 9, n)
+        common[0] = 0
+        want = []
+        for i in range(n):
+            least, j = common[i], i - 1
+            while j >= 0 and value[j] >= value[i]:
+                least, j = min(least, common[j]), j - 1
+            want.append(least if j >= 0 else 0)
+        assert _to_smaller(value, common).tolist() == want
+    n = 100_000
+    value, common = np.concatenate([np.arange(n) + 1, np.zeros(n, np.int64)]), np.full(2 * n, 50)
+    common[0] = 0
+    start = time.time()
+    _to_smaller(value, common)
+    assert time.time() - start < 2
