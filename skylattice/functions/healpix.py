@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,3 +100,19 @@ def rings_above(nside: int, z: Column) -> Column:
     n = nside
     t = n * F.sqrt(F.greatest(3 * (1 - F.abs(z)), F.lit(0.0)))
     return F.when(z > 2.0 / 3.0, F.floor(t)).when(z < -2.0 / 3.0, 4 * n - F.ceil(t)).otherwise(F.floor(n * (2 - 1.5 * z))).cast("long")
+
+
+def pixels_of(nside: int, z: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """``z_phi_to_pix`` for arrays, where a task follows points on a map of its own."""
+    n = nside
+    tt = np.mod(phi, TWO_PI) / HALF_PI
+    tt = np.where(tt >= 4, 0.0, tt)
+    jp, jm = np.floor(n * (0.5 + tt) - 0.75 * n * z), np.floor(n * (0.5 + tt) + 0.75 * n * z)
+    ir = n + 1 + jp - jm
+    belt = 2 * n * (n - 1) + (ir - 1) * 4 * n + np.mod(np.floor((jp + jm - n + (1 - np.mod(ir, 2)) + 1) / 2), 4 * n)
+    part = tt - np.floor(tt)
+    t = n * np.sqrt(np.maximum(3 * (1 - np.abs(z)), 0.0))
+    cr = np.floor(part * t) + np.floor((1 - part) * t) + 1
+    ci = np.mod(np.floor(tt * cr), 4 * cr)
+    cap = np.where(z > 0, 2 * cr * (cr - 1) + ci, npix(n) - 2 * cr * (cr + 1) + ci)
+    return np.where(np.abs(z) <= 2.0 / 3.0, belt, cap).astype(np.int64)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.geometry import ARCMIN, sky_of_offset
+from ..functions.healpix import pixels_of
 from ..sources.tables import written
 from .rows import computed, numbered, numbered_within
 from .significance import SEED, drawn, random_position, random_positions
-from .spatial import nearest_pixel
+from .spatial import aperture_join, nearest_pixel
 
 
 def cutout_grid(sources: DataFrame, size_arcmin: Column, npix: int) -> DataFrame:
@@ -89,51 +93,103 @@ def grouped_random_stack(sources: DataFrame, group: str, sky_map: DataFrame, nsi
     return normal.join(where.select("_id", group), "_id").groupBy(group, "iu", "iv").agg(F.avg("value").alias("value"), F.count("*").alias("n_sources"))
 
 
+class _Patch:
+    """The good pixels around one source, and cutouts of them about any point in it."""
+
+    def __init__(self, nside: int, pix: np.ndarray, value: np.ndarray, lon: float, lat: float, reach: float) -> None:
+        order = np.argsort(pix)
+        self.nside, self.pix, self.value = nside, pix[order], value[order]
+        self.z0, self.phi0, self.cos_reach = math.sin(math.radians(lat)), math.radians(lon), math.cos(min(reach, math.pi))
+        self.whole = reach >= math.pi
+
+    def at(self, x: np.ndarray, y: np.ndarray, lon: float, lat: float) -> np.ndarray | None:
+        """Values (NaN where the map has none) at plane offsets in radians; None if one lies outside the patch."""
+        rho, angle, t = np.hypot(x, y), np.arctan2(x, y), math.radians(lat)
+        z = np.clip(math.sin(t) * np.cos(rho) + math.cos(t) * np.sin(rho) * np.cos(angle), -1, 1)
+        turn = np.arctan2(np.sin(rho) * np.sin(angle), math.cos(t) * np.cos(rho) - math.sin(t) * np.sin(rho) * np.cos(angle))
+        # As a position in degrees first: cells on the border of two pixels go where a cutout puts them.
+        z, phi = np.sin(np.radians(np.degrees(np.arcsin(z)))), np.radians(np.mod(lon + np.degrees(turn), 360.0))
+        near = z * self.z0 + np.sqrt(np.maximum((1 - z * z) * (1 - self.z0 * self.z0), 0.0)) * np.cos(phi - self.phi0)
+        if not self.whole and near.min() < self.cos_reach:
+            return None
+        wanted = pixels_of(self.nside, z, phi)
+        place = np.minimum(np.searchsorted(self.pix, wanted), len(self.pix) - 1)
+        return np.where(self.pix[place] == wanted, self.value[place], np.nan)
+
+
+def _shrunk(patch: _Patch, lon: float, lat: float, size: float, npix: int, final: float, radius: float, shrink: float, max_iterations: int) -> tuple[float, float, bool, int, float] | None:
+    """Centre, whether it converged, steps and last radius of one source; None if it leaves the patch."""
+    n = npix + 1 - npix % 2
+    offset = (np.arange(n) - (n - 1) / 2.0) * size / n
+    y, x = (v.ravel() for v in np.meshgrid(offset, offset, indexing="ij"))
+    apart = np.hypot(x, y)
+    limit, steps = radius, 0
+    while steps < max_iterations:
+        value = patch.at(x * ARCMIN, y * ARCMIN, lon, lat)
+        if value is None:
+            return None
+        weight = np.where(np.isfinite(value) & (apart <= limit), np.maximum(value, 0.0), 0.0)
+        total = weight.sum()
+        steps += 1
+        if not total > 0:
+            return lon, lat, False, steps, limit
+        dx, dy = (weight * x).sum() / total, (weight * y).sum() / total
+        lon, lat, limit = lon + dx / 60 / math.cos(math.radians(lat)), lat + dy / 60, limit * shrink
+        if limit < final:
+            break
+    else:
+        return lon, lat, False, steps, limit
+    # The peak in the last aperture; of equal values the first in reading order.
+    value = patch.at(x * ARCMIN, y * ARCMIN, lon, lat)
+    if value is None:
+        return None
+    inside = np.flatnonzero(np.isfinite(value) & (apart <= final))
+    if len(inside):
+        best = inside[np.argmax(value[inside])]
+        lon, lat = lon + x[best] / 60 / math.cos(math.radians(lat)), lat + y[best] / 60
+    return lon, lat, True, steps, limit
+
+
 def find_centers(sources: DataFrame, sky_map: DataFrame, nside: int, size_arcmin: float = 240.0, npix: int = 101, final_arcmin: float = 9.6, initial_arcmin: float | None = None, shrink: float = 0.9, max_iterations: int = 1000, key: str = "source_id") -> DataFrame:
     """Centre by shrinking apertures: weighted centroids of positive values, then the peak.
 
-    Every step cuts a square anew around each source's present centre, takes the centroid inside the
-    aperture and moves there (longitude by the cosine of the present latitude).  The radius is the
-    same for all sources, so a step is one plan over all of them; sources without weight stop.
+    Every step cuts a square anew around the source's present centre, takes the centroid inside the
+    aperture and moves there (longitude by the cosine of the present latitude); a source without weight
+    stops.  One disc join gives each source its patch of the map, twice as wide as the square, and the
+    steps run within it.  Sources that leave their patch are taken again with one twice as wide.
     """
     if not 0 < shrink < 1:
         raise ValueError("the aperture must shrink")
     radius = size_arcmin / math.sqrt(2) if initial_arcmin is None else initial_arcmin
-    now = written(sources.select(key, "lon", "lat", F.lit(True).alias("alive"), F.lit(0).alias("n_iterations"), F.lit(float(radius)).alias("final_radius")), "centres")
-
-    def moved(rows: DataFrame, dx: Column, dy: Column) -> dict[str, Column]:
-        return {"lon": F.col("lon") + dx / 60 / F.cos(F.radians("lat")), "lat": F.col("lat") + dy / 60}
-
-    def inside(limit: float) -> DataFrame:
-        cut = cutout(now.where("alive"), sky_map, nside, F.lit(float(size_arcmin)), npix, key)
-        return cut.where(F.col("value").isNotNull() & (F.hypot("x", "y") <= limit))
-
-    steps = 0
-    while steps < max_iterations:
-        w = F.greatest(F.col("value"), F.lit(0.0))
-        centroid = inside(radius).groupBy(key).agg(F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("y")).alias("wy")).where("w > 0")
-        steps, next_radius = steps + 1, radius * shrink
-        rows = now.join(centroid, key, "left")
-        go = F.col("alive") & F.col("w").isNotNull()
-        to = moved(rows, F.try_divide("wx", "w"), F.try_divide("wy", "w"))
-        now = written(
-            rows.select(
-                key, *[F.when(go, c).otherwise(F.col(n)).alias(n) for n, c in to.items()], go.alias("alive"),
-                F.when(F.col("alive"), F.lit(steps)).otherwise(F.col("n_iterations")).alias("n_iterations"),
-                F.when(go, F.lit(float(next_radius))).otherwise(F.col("final_radius")).alias("final_radius"),
-            ),
-            "centres",
-        )
-        radius = next_radius
-        if radius < final_arcmin:
+    kind = sources.schema[key].dataType
+    columns = f"`{key}` {kind.simpleString()}, lon double, lat double, converged boolean, n_iterations int, final_radius double, left boolean"
+    schema = pa.schema([(key, to_arrow_type(kind)), ("lon", pa.float64()), ("lat", pa.float64()), ("converged", pa.bool_()), ("n_iterations", pa.int32()), ("final_radius", pa.float64()), ("left", pa.bool_())])
+    places = sources.select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    start = (F.lit(False).alias("converged"), F.lit(1).alias("n_iterations"), F.lit(float(radius)).alias("final_radius"))
+
+    def step(reach: float) -> object:
+        def run(table: pa.Table) -> pa.Table:
+            lon, lat = table.column("lon")[0].as_py(), table.column("lat")[0].as_py()
+            patch = _Patch(nside, table.column("pix").to_numpy(), table.column("value").to_numpy(), lon, lat, reach)
+            found = _shrunk(patch, lon, lat, size_arcmin, npix, final_arcmin, radius, shrink, max_iterations)
+            row = (lon, lat, False, 0, radius, True) if found is None else (*found, False)
+            return pa.table([table.column(key).slice(0, 1), *[pa.array([v], f.type) for v, f in zip(row, list(schema)[1:], strict=True)]], schema=schema)
+
+        return run
+
+    # Half a diagonal and a pixel: the square itself; the rest is room to move.
+    reach, left, out = 2 * (size_arcmin * ARCMIN / math.sqrt(2)) + 2.0 / nside, places, None
+    while True:
+        near = aperture_join(left, sky_map, nside, F.lit(min(reach + 2.0 / nside, math.pi))).select(key, "lon", "lat", "pix", F.col("value").cast("double").alias("value"))
+        found = written(near.groupBy(key).applyInArrow(step(reach), columns), "centres")
+        done = found.where("not left").drop("left")
+        out = done if out is None else out.unionByName(done)
+        again = found.where("left").select(key)
+        if again.isEmpty():
             break
-    else:
-        return now.select(key, "lon", "lat", F.lit(False).alias("converged"), "n_iterations", "final_radius")
-    # The peak in the last aperture; of equal values the first in reading order.
-    best = inside(final_arcmin).groupBy(key).agg(F.max(F.struct(F.col("value"), -F.col("iy"), -F.col("ix"), F.col("x"), F.col("y"))).alias("m")).select(key, "m.x", "m.y")
-    rows = now.join(best, key, "left")
-    to = moved(rows, F.col("x"), F.col("y"))
-    return rows.select(key, *[F.coalesce(c, F.col(n)).alias(n) for n, c in to.items()], F.col("alive").alias("converged"), "n_iterations", "final_radius")
+        left, reach = places.join(again, key, "left_semi"), 2 * reach
+    lost = places.join(out.select(key), key, "left_anti").select(key, "lon", "lat", *start)
+    return out.unionByName(lost)
 
 
 def display_scale(image: DataFrame) -> float:

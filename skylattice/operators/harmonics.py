@@ -2,11 +2,14 @@
 
 A transform is a sum over rings: each ring's Fourier series, then Legendre functions of its height.
 Ring series are made where the rings lie; each order m is then one group of at most 4 nside - 1
-rows, so the work splits over m and no task holds the map.
+rows, so the work splits over m and no task holds the map.  Legendre functions come in blocks of degrees
+on the rings of one half of the sphere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,22 +19,58 @@ from ..functions import healpix as hp
 from ..sources.tables import written
 
 
-def legendre(m: int, lmax: int, z: np.ndarray) -> np.ndarray:
-    """Normalised associated Legendre functions of order m for l = m .. lmax, rows l, columns z."""
+#: Degrees of a block of Legendre functions, steps between two looks at their size, and the power of two of a scale.
+DEGREES, STEPS, SCALE = 64, 16, 400
+
+
+def legendre_blocks(m: int, lmax: int, z: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Normalised associated Legendre functions of order m in blocks of degrees from m up: ``l, rows``.
+
+    Only the last two degrees are carried from block to block.  High orders start far below the least
+    double near the poles and still grow to matter at higher degrees, so every column has a scale: its
+    numbers stand for multiples of ``2^(SCALE * e)``, and while ``e`` is below zero they count as nothing.
+    """
     s = np.sqrt(np.maximum(1 - z * z, 0.0))
-    out = np.zeros((lmax - m + 1, len(z)))
-    # The seed is kept as a logarithm until it is used: high orders underflow near the poles.
     logs = 0.5 * np.sum(np.log((2 * np.arange(1, m + 1) + 1) / (2.0 * np.arange(1, m + 1)))) - 0.5 * np.log(4 * np.pi)
     with np.errstate(divide="ignore"):
-        now = (-1.0) ** m * np.exp(logs + m * np.log(s)) if m else np.full(len(z), np.exp(logs))
-    out[0] = now
-    if lmax > m:
-        out[1] = np.sqrt(2 * m + 3.0) * z * now
-    for ell in range(m + 2, lmax + 1):
-        a = np.sqrt((4.0 * ell * ell - 1) / (ell * ell - m * m))
-        b = np.sqrt(((ell - 1.0) ** 2 - m * m) / (4 * (ell - 1.0) ** 2 - 1))
-        out[ell - m] = a * (z * out[ell - m - 1] - b * out[ell - m - 2])
-    return out
+        size = np.maximum((logs + m * np.log(s)) / np.log(2), -1e9) if m else np.full(len(z), logs / np.log(2))
+    e = np.minimum(np.round(size / SCALE), 0)
+    before, now = np.zeros(len(z)), (-1.0) ** m * np.exp2(size - SCALE * e)
+    for low in range(m, lmax + 1, DEGREES):
+        high = min(lmax + 1, low + DEGREES)
+        block = np.empty((high - low, len(z)))
+        for ell in range(low, high):
+            if ell > m:
+                a = np.sqrt((4.0 * ell * ell - 1) / (ell * ell - m * m))
+                b = np.sqrt(((ell - 1.0) ** 2 - m * m) / (4 * (ell - 1.0) ** 2 - 1)) if ell > m + 1 else 0.0
+                before, now = now, a * (z * now - b * before)
+                if (ell - m) % STEPS == 0:
+                    large = (np.abs(now) > 2.0 ** (SCALE // 2)) & (e < 0)
+                    before[large] *= 2.0**-SCALE
+                    now[large] *= 2.0**-SCALE
+                    e[large] += 1
+            block[ell - low] = np.where(e < 0, 0.0, now)
+        yield low, block
+
+
+def legendre(m: int, lmax: int, z: np.ndarray) -> np.ndarray:
+    """Normalised associated Legendre functions of order m for l = m .. lmax, rows l, columns z."""
+    return np.concatenate([rows for _, rows in legendre_blocks(m, lmax, z)])
+
+
+def _north(nside: int) -> np.ndarray:
+    """Heights of the rings from the first to the equator's; those of the south mirror them."""
+    k = np.arange(1, 2 * nside + 1)
+    return np.where(k < nside, 1 - k * k / (3.0 * nside * nside), 2 * (2.0 * nside - k) / (3.0 * nside))
+
+
+def _folded(k: np.ndarray, value: np.ndarray, nside: int) -> tuple[np.ndarray, np.ndarray]:
+    """A ring's value and its mirror's, added and subtracted, by the rings of the north (the equator alone)."""
+    rings = np.zeros(4 * nside + 1, value.dtype)
+    rings[k] = value
+    north, south = rings[1 : 2 * nside + 1], rings[4 * nside - 1 : 2 * nside - 1 : -1].copy()
+    south[-1] = 0  # the equator has no mirror
+    return north + south, north - south
 
 
 def coefficients(sky_map: DataFrame, nside: int, lmax: int) -> DataFrame:
@@ -50,13 +89,19 @@ def coefficients(sky_map: DataFrame, nside: int, lmax: int) -> DataFrame:
         return pd.DataFrame({"k": np.full(lmax + 1, pdf["k"].iloc[0]), "m": m, "re": c.real, "im": c.imag})
 
     ring = rows.groupBy("k").applyInPandas(series, "k long, m long, re double, im double")
-    ring = ring.withColumn("z", hp.ring_z(nside, F.col("k")))
     area = 4 * np.pi / hp.npix(nside)
 
     def project(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Functions of even l - m are the same on mirrored rings, the others change sign.
         m = int(pdf["m"].iloc[0])
-        p = legendre(m, lmax, pdf["z"].to_numpy())
-        return pd.DataFrame({"l": np.arange(m, lmax + 1), "m": m, "re": area * (p @ pdf["re"].to_numpy()), "im": area * (p @ pdf["im"].to_numpy())})
+        even, odd = _folded(pdf["k"].to_numpy(), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), nside)
+        out = np.empty(lmax - m + 1, complex)
+        for low, p in legendre_blocks(m, lmax, _north(nside)):
+            at = low - m
+            first = at % 2
+            out[at : at + len(p)][first::2] = p[first::2] @ even
+            out[at : at + len(p)][1 - first :: 2] = p[1 - first :: 2] @ odd
+        return pd.DataFrame({"l": np.arange(m, lmax + 1), "m": m, "re": area * out.real, "im": area * out.imag})
 
     return ring.groupBy("m").applyInPandas(project, "l long, m long, re double, im double")
 
@@ -78,17 +123,21 @@ def refined(sky_map: DataFrame, nside: int, lmax: int, iterations: int = 3) -> D
 
 def synthesis(alm: DataFrame, nside: int, lmax: int) -> DataFrame:
     """``pix, value`` of a real map with the given coefficients."""
-    rings = alm.sparkSession.range(1, 4 * nside).select(F.col("id").alias("k"), hp.ring_z(nside, F.col("id")).alias("z"))
-    # A map has 4 nside - 1 rings: their heights go with every order.
-    heights = np.array([[r["k"], r["z"]] for r in rings.orderBy("k").collect()])
 
     def columns(pdf: pd.DataFrame) -> pd.DataFrame:
         m = int(pdf["m"].iloc[0])
         own = pdf.sort_values("l")
         c = np.zeros(lmax - m + 1, complex)
         c[own["l"].to_numpy() - m] = own["re"].to_numpy() + 1j * own["im"].to_numpy()
-        f = legendre(m, lmax, heights[:, 1]).T @ c
-        return pd.DataFrame({"k": heights[:, 0].astype(int), "m": m, "re": f.real, "im": f.imag})
+        even, odd = np.zeros(2 * nside, complex), np.zeros(2 * nside, complex)
+        for low, p in legendre_blocks(m, lmax, _north(nside)):
+            first = (low - m) % 2
+            own = c[low - m : low - m + len(p)]
+            even += p[first::2].T @ own[first::2]
+            odd += p[1 - first :: 2].T @ own[1 - first :: 2]
+        # The south from the last ring before the equator down.
+        f = np.concatenate([even + odd, (even - odd)[-2::-1]])
+        return pd.DataFrame({"k": np.arange(1, 4 * nside), "m": m, "re": f.real, "im": f.imag})
 
     series = alm.groupBy("m").applyInPandas(columns, "k long, m long, re double, im double")
     n = hp.ring_length(nside, F.col("k"))

@@ -194,6 +194,11 @@ match_halo = f"""WITH {NEAR}, k AS (SELECT *, {_cdf} AS cdf, row_number() OVER (
 SELECT f.ref_id, k.id, round(cdf, 9) AS cdf, round(dist, 9) AS dist FROM f LEFT JOIN k ON f.ref_id = k.ref_id AND rn = 1"""
 pval_matrix = f"""WITH {POINTS}, w AS (SELECT f.ref_id AS obs_id, p.sim AS label, p.x AS px, p.y AS py, p.z AS pz, f.x AS fx, f.y AS fy, f.z AS fz, n, {_d} AS dist FROM f CROSS JOIN p)
 SELECT obs_id, label, round(avg(CASE WHEN dist <= 0.1 THEN {_cdf} ELSE 1 END), 9) AS pval, round(sqrt(pow(any_value(fx) - avg(px), 2) + pow(any_value(fy) - avg(py), 2) + pow(any_value(fz) - avg(pz), 2)), 9) AS dist FROM w GROUP BY obs_id, label"""
+greedy_pairs = f"""WITH RECURSIVE mx AS ({pval_matrix}), ok AS (SELECT * FROM mx WHERE pval <= 0.9999),
+g AS (SELECT 0 AS n, [-1]::BIGINT[] AS rows, [-1]::BIGINT[] AS cols
+  UNION ALL SELECT n + 1, list_append(rows, b.obs_id), list_append(cols, b.label) FROM g, LATERAL (SELECT obs_id, label FROM ok WHERE NOT list_contains(rows, obs_id) AND NOT list_contains(cols, label) ORDER BY pval, obs_id, label LIMIT 1) b),
+f AS (SELECT rows, cols FROM g ORDER BY n DESC LIMIT 1), p AS (SELECT unnest(rows) AS obs_id, unnest(cols) AS label FROM f)
+SELECT ok.obs_id, ok.label, ok.pval, ok.dist FROM p JOIN ok USING (obs_id, label)"""
 halo_neighbours = f"WITH {POINTS} SELECT f.id, count(*) AS n_near, round(sum({_d}), 6) AS total_dist FROM p0 f JOIN p0 p ON {_d} <= 0.1 GROUP BY f.id"
 _pz = "(z / sqrt(x * x + y * y + z * z))"
 particle_projection = f"""WITH {POINTS}, v AS (SELECT {_pz} AS zz, atan2(y, x) AS phi FROM p0 WHERE sqrt(x * x + y * y + z * z) <= 0.4), g AS (SELECT {pixel(4, 'zz', 'phi')} AS pix, count(*) AS n FROM v GROUP BY 1)

@@ -139,6 +139,12 @@ def greedy_match(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(matching.greedy_match(_matrix(spark, sf), None), 9, "pval", "dist")
 
 
+def greedy_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """One-to-one matches among the near pairs only."""
+    pairs = matching.matching_pairs(_references(spark, sf).withColumnRenamed("ref_id", "obs_id"), _halos(spark, sf).withColumnRenamed("sim", "label"), 0.1)
+    return rounded(matching.greedy_match(pairs, 0.9999), 9, "pval", "dist")
+
+
 def halo_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     near = assoc.neighbours(fx.points(spark, sf), 0.1)
     return rounded(near.groupBy("id").agg(F.count("*").alias("n_near"), F.sum("dist").alias("total_dist")), 6, "total_dist")
@@ -383,7 +389,7 @@ def random_pool(spark: SparkSession, sf: str) -> DataFrame:
 CHECKED: tuple[Query, ...] = (
     aperture_mean, annulus_mean, enclosed_profile, halo_cuts, halo_sorted, extent_centre_cut, mass_bins, pool_pvalue, bootstrap_stack,
     random_stack, empirical_sigma_profile, crossmatch_best, radius_cdf, match_halo, pval_matrix, halo_neighbours, particle_projection,
-    grid_projection, cutout_stack, wide_profile, sim_suite_halos, sim_suite_bins, sim_suite_profiles, sim_suite_cutouts, overall_significance, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map, mass_ratio,
+    grid_projection, cutout_stack, wide_profile, greedy_pairs, sim_suite_halos, sim_suite_bins, sim_suite_profiles, sim_suite_cutouts, overall_significance, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map, mass_ratio,
     signal_pvalue, stacked_profile, mass_bin_suite, association_signals, masked_aperture, random_cutout_stack, matched_in_both,
 )
 UNCHECKED: tuple[Query, ...] = (student_profile, sim_suite_t_fits, greedy_match, halo_associations, find_center, smooth_map, cross_cl, cluster_matching, random_pool)

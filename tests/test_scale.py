@@ -193,6 +193,18 @@ def test_overall_significance_of_unmatched_clusters(spark):
     assert (row["n"], row["n_matched"]) == (3, 2) and row["z"] == pytest.approx(z, abs=1e-6) and row["p_combined"] == pytest.approx(erfc(z / sqrt(2)) / 2, abs=1e-6)
 
 
+def test_a_long_chain_of_pairs_is_few_rounds(spark, monkeypatch):
+    from skylattice.operators import matching
+
+    tables = []
+    monkeypatch.setattr(matching, "written", lambda df, name, keep=matching.written: tables.append(name) or keep(df, name))
+    n = 2500
+    rows = [(i, i, (2 * i) / (2 * n), 0.0) for i in range(n)] + [(i + 1, i, (2 * i + 1) / (2 * n), 0.0) for i in range(n)]
+    got = matching.greedy_match(spark.createDataFrame(rows, "obs_id long, label long, pval double, dist double"), None).select("obs_id", "label").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(n)]
+    assert tables.count("taken") == 1 and tables.count("chains") <= 15
+
+
 def test_random_cutouts_of_groups_and_their_seeds(spark):
     from skylattice.operators import cutouts
 
@@ -240,3 +252,73 @@ def test_a_large_fits_file_is_many_tasks(tmp_path):
     assert len(parts) > 80 and sum(p.count for p in parts) == n
     last = list(reader.read(fits.Rows(0, n - 3, 3)))
     assert last[0].column("A").to_pylist() == [0.0, 0.0, 2.5] and last[0].column("row").to_pylist()[-1] == n - 1
+
+
+def test_legendre_blocks_of_high_order():
+    """A start far below the least double, against the recursion in long decimals."""
+    from decimal import Decimal, getcontext
+
+    from skylattice.operators import harmonics
+
+    getcontext().prec = 40
+    m, lmax, z = 2500, 5000, 0.8
+    zd, s2 = Decimal(z), 1 - Decimal(z) * Decimal(z)
+    seed = (1 / (4 * Decimal(math.pi))).sqrt()
+    for k in range(1, m + 1):
+        seed *= (Decimal(2 * k + 1) / Decimal(2 * k) * s2).sqrt()
+    before, now = Decimal(0), seed
+    want = {m: float(now)}
+    for ell in range(m + 1, lmax + 1):
+        a = (Decimal(4 * ell * ell - 1) / Decimal(ell * ell - m * m)).sqrt()
+        b = (Decimal((ell - 1) ** 2 - m * m) / Decimal(4 * (ell - 1) ** 2 - 1)).sqrt()
+        before, now = now, a * (zd * now - b * before)
+        want[ell] = float(now)
+    got = np.concatenate([rows[:, 0] for _, rows in harmonics.legendre_blocks(m, lmax, np.array([z]))])
+    assert seed < Decimal("1e-320") and max(abs(v) for v in want.values()) > 0.1
+    assert got == pytest.approx(np.array([want[ell] for ell in range(m, lmax + 1)]), abs=1e-9)
+
+
+def test_legendre_blocks_stay_small():
+    import tracemalloc
+
+    from skylattice.operators import harmonics
+
+    nside = 512
+    tracemalloc.start()
+    for _, rows in harmonics.legendre_blocks(200, 3 * nside - 1, harmonics._north(nside)):
+        assert rows.shape[0] <= harmonics.DEGREES
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+
+
+def test_centres_are_one_join_and_follow_sources_that_wander(spark):
+    from skylattice.operators import cutouts
+
+    nside = 16
+    at = hp.with_centre(spark.range(hp.npix(nside)).withColumnRenamed("id", "pix"), nside)
+    # A slope that draws every centre far away from its start.
+    sky = at.select("pix", (10 + 9 * F.cos("pphi") * F.sqrt(1 - F.col("pz") * F.col("pz"))).alias("value"))
+    df = spark.createDataFrame([(1, 120.0, 10.0), (2, 5.0, -5.0), (3, None, 1.0)], "source_id long, lon double, lat double")
+    joins = []
+    original = cutouts.aperture_join
+    cutouts.aperture_join = lambda *a, **k: joins.append(1) or original(*a, **k)
+    try:
+        got = {r["source_id"]: r for r in cutouts.find_centers(df, sky, nside, 2400.0, 21, 400.0, shrink=0.97).collect()}
+    finally:
+        cutouts.aperture_join = original
+    assert len(joins) >= 2 and got[1]["converged"] and abs(got[1]["lon"]) < 100 and (got[3]["converged"], got[3]["n_iterations"]) == (False, 1)
+    joins.clear()
+    cutouts.aperture_join = lambda *a, **k: joins.append(1) or original(*a, **k)
+    try:
+        cutouts.find_centers(df.where("source_id = 2"), sky, nside, 1800.0, 15, 600.0).collect()
+    finally:
+        cutouts.aperture_join = original
+    assert len(joins) == 1
+
+
+def test_pixels_of_arrays_are_those_of_columns(spark):
+    rng = np.random.default_rng(9)
+    z, phi = np.concatenate([rng.uniform(-1, 1, 3000), [1.0, -1.0, 2 / 3, -2 / 3, 0.0]]), np.concatenate([rng.uniform(-7, 7, 3000), [0.0, 1.0, 2.0, 3.0, 0.0]])
+    for nside in (1, 4, 64):
+        rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(z, phi))], "i long, z double, phi double").select("i", hp.z_phi_to_pix(nside, F.col("z"), F.col("phi")).alias("pix")).orderBy("i").collect()
+        assert [r["pix"] for r in rows] == hp.pixels_of(nside, z, phi).tolist()
