@@ -107,16 +107,16 @@ def test_recall_on_the_held_out_third():
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in labels}
     ids = sorted(texts)
     learned = [i for i in ids if third(i) != 1]
-    model = toxicity.fit([texts[i] for i in learned], [labels[i] for i in learned])
+    model = T.fit([texts[i] for i in learned], [labels[i] for i in learned])
     asked = [i for i in ids if third(i) == 1]
-    raw, offsets = toxicity._arrays([texts[i] for i in asked])
-    scores = [model.score(p) for _, p in toxicity._documents(model, raw, offsets)]
+    raw, offsets = T._arrays([texts[i] for i in asked])
+    scores = [model.score(p) for _, p in T._documents(model, raw, offsets)]
     toxic = [s for i, s in zip(asked, scores) if labels[i]]
     clean = [s for i, s in zip(asked, scores) if not labels[i]]
-    assert sum(s >= toxicity.THRESHOLD for s in toxic) >= 0.9 * len(toxic) and sum(s >= toxicity.THRESHOLD for s in clean) <= 0.01 * len(clean)
+    assert sum(s >= T.THRESHOLD for s in toxic) >= 0.9 * len(toxic) and sum(s >= T.THRESHOLD for s in clean) <= 0.01 * len(clean)
 
 
 def test_null_id_is_held_out(spark, docs):
     labels = spark.createDataFrame([(0, 1), (5, 0), (None, 1)], "doc_id long, toxic int")
-    rows = toxicity.toxicity(docs, labels).where("doc_id is null").collect()
+    rows = T.toxicity(docs, labels).where("doc_id is null").collect()
     assert rows and all(r["held_out"] for r in rows)
