@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, hash_words, staged, text_buffer, without, word_spans
+from .common import LOWER, documents, hash_words, staged, text_buffer, tidy, without, word_spans
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
@@ -76,7 +76,7 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of all documents, written to the shared folder."""
-    return staged(documents(docs).mapInArrow(_index_batches, INDEX_SCHEMA), "postings")
+    return staged(documents(docs).mapInArrow(tidy(_index_batches), INDEX_SCHEMA), "postings")
 
 
 class Windows:
@@ -250,10 +250,10 @@ def search(index: DataFrame, benchmark: DataFrame) -> DataFrame:
     first = next(blocks, Windows([], np.zeros((0, WINDOW), np.uint64), np.zeros(0, np.int64)))
     second = next(blocks, None)
     if second is None:
-        return index.mapInArrow(_search_batches(first), RESULT)
+        return index.mapInArrow(tidy(_search_batches(first)), RESULT)
 
     def hits(block: Windows) -> DataFrame:
-        return staged(index.mapInArrow(_search_batches(block), RESULT).where("size(near_items) > 0").select("segment", "row", "items", "near_items", "hits"), "window-hits")
+        return staged(index.mapInArrow(tidy(_search_batches(block)), RESULT).where("size(near_items) > 0").select("segment", "row", "items", "near_items", "hits"), "window-hits")
 
     parts = [hits(first), hits(second)]
     parts += [hits(block) for block in blocks]

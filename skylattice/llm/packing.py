@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, staged
+from .common import documents, shuffle_partitions, staged, tidy
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights and combinations used in each: bounds the plan's size.
@@ -38,7 +38,7 @@ STRENGTH, STEP = 0.5, 0.5
 DIVES, DIVE_ROUNDS, SLACK = 12, 30, 1
 #: Parts of words and odd words that a Python worker keeps with their ids, pieces ranked together in
 #: one window group, and documents whose texts are held at once.
-CACHED_PIECES, CACHED_WORDS, RANKED_TOGETHER, HELD_TEXTS = 800_000, 50_000, 50_000, 256
+CACHED_PIECES, CACHED_WORDS, RANKED_TOGETHER, HELD_TEXTS = 300_000, 50_000, 50_000, 256
 SEPARATOR = b"\0\0\0\0"
 
 # The pre-tokenizer's pieces of lower-cased text (fixed value, after the tokenizer's file), for plain text:
@@ -134,7 +134,7 @@ def _piece_batches(path: str, capacity: int) -> object:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece."""
-    return documents(docs).mapInArrow(_piece_batches(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents(docs).mapInArrow(tidy(_piece_batches(tokenizer, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

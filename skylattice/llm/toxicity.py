@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_texts, documents, hash_words, mix, text_buffer, word_spans
+from .common import LOWER, bounded_texts, documents, hash_words, mix, text_buffer, tidy, word_spans
 
 #: Bounds of the training sample: documents, and bytes of their texts.
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 3000, 48 << 20
@@ -359,7 +359,7 @@ def _score_batches(model: Model, spans: bool) -> object:
 def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """``doc_id, score`` and, if asked, ``spans``: code-point offsets of toxic words and their marginals."""
     schema = "doc_id long, score double" + ", spans array<struct<start:int,end:int,p:double>>" * spans
-    return documents(docs).mapInArrow(_score_batches(model, spans), schema)
+    return documents(docs).mapInArrow(tidy(_score_batches(model, spans)), schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -370,7 +370,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             raw, offsets = text_buffer(batch.column("text").fill_null(""))
             yield batch.filter(pa.array([model.score(p) < threshold for _, p in _documents(model, raw, offsets)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Model:
