@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, staged, text_buffer
+from .common import documents, give_back, shuffle_partitions, staged, text_buffer, tidy
 
 #: Text bytes of a chunk (a longer document has its own), and of a bucket at least.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 6 << 20
@@ -58,7 +58,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterat
 
 def packed(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents as compressed chunks in a table of the shared folder."""
-    return staged(documents(docs).mapInArrow(lambda batches: _pack_batches(batches, chunk_bytes), CHUNK), name)
+    return staged(documents(docs).mapInArrow(tidy(lambda batches: _pack_batches(batches, chunk_bytes)), CHUNK), name)
 
 
 def buckets_for(table: DataFrame) -> int:
@@ -96,7 +96,7 @@ def ask(table: DataFrame, request: Callable[[dict, int], Iterator[tuple[int, byt
             if rows:
                 yield pa.RecordBatch.from_pydict({"chunk": [chunk["chunk"]] * len(rows), "bucket": [b for b, _ in rows], "data": [d for _, d in rows]}, _MESSAGE)
 
-    return table.mapInArrow(run, MESSAGE)
+    return table.mapInArrow(tidy(run), MESSAGE)
 
 
 def replies(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
@@ -104,6 +104,7 @@ def replies(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -
 
     def run(table: pa.Table) -> pa.Table:
         out = answer(table.column("data").to_pylist())
+        give_back()
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())}, _MESSAGE)
 
     return messages.groupBy("bucket").applyInArrow(run, MESSAGE)

@@ -344,14 +344,16 @@ def _to_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
     the entries, whatever their order.
     """
     n = len(value)
+    # Common prefixes are short and places fit 32 bits: the layouts stay small.
+    common = common.astype(np.uint8 if n and common.max() < 255 else np.int32)
     values, commons = [value], [common]
     while len(values[-1]) > 1:
-        for levels, none in ((values, np.iinfo(np.int64).max), (commons, np.iinfo(np.int64).max)):
-            even = np.append(levels[-1], none) if len(levels[-1]) % 2 else levels[-1]
+        for levels in (values, commons):
+            even = np.append(levels[-1], np.iinfo(levels[-1].dtype).max) if len(levels[-1]) % 2 else levels[-1]
             levels.append(np.minimum(even[::2], even[1::2]))
     out = np.zeros(n, np.int64)
     # Of each entry that still goes up: itself, its block, and the least common prefix back to the block's start.
-    entry, block, least = np.arange(n), np.arange(n), common.copy()
+    entry, block, least = np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32), common.copy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in range(len(values)):
         right = np.flatnonzero(block & 1)
@@ -368,15 +370,15 @@ def _to_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
         entry, block, least = entry[stay], block[stay] >> 1, least[stay]
         if not len(entry):
             break
-    entry, block, least = (np.zeros(0, np.int64) for _ in range(3))
+    entry, block, least = entry[:0], block[:0], least[:0]
     for k in range(len(found) - 1, -1, -1):
-        entry, block, least = (np.concatenate(x) for x in zip((entry, block, least), found[k], strict=True))
+        entry, block, least = (np.concatenate(x) for x in zip((entry, block, least), found.pop(), strict=True))
         if k:
             right = np.minimum(2 * block + 1, len(values[k - 1]) - 1)
             there = (2 * block + 1 < len(values[k - 1])) & (values[k - 1][right] < value[entry])
             skip = ~there & (2 * block + 1 < len(values[k - 1]))
             least[skip] = np.minimum(least[skip], commons[k - 1][right[skip]])
-            block = 2 * block + there
+            block = 2 * block + there.astype(np.int32)
     out[entry] = least
     return out
 
