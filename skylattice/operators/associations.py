@@ -64,6 +64,19 @@ def association_summary(members: DataFrame, n_realisations: int) -> DataFrame:
     return members.groupBy("label").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"], F.count("*").alias("n_members"), (F.count("*") / F.lit(n_realisations)).alias("fraction_present"))
 
 
+def with_optional(members: DataFrame, optional: DataFrame, key: str = "id") -> DataFrame:
+    """Members with optional data; a column of the same name takes the place of the member's own, for all rows."""
+    own = [c for c in members.columns if c == key or c not in optional.columns]
+    return members.select(*own).join(optional, key, "left")
+
+
+def as_maps(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys.., entries``: each row as a map from column to its value as JSON, for access by name."""
+    others = [c for c in rows.columns if c not in keys]
+    pairs = [x for c in others for x in (F.lit(c), F.to_json(F.struct(F.col(c).alias("value"))))]
+    return rows.select(*keys, F.create_map(*pairs).alias("entries"))
+
+
 def member_sky(members: DataFrame, centre: tuple, radius_col: str = "r500") -> DataFrame:
     """Distance, Galactic position and angular size of each member."""
     if radius_col not in members.columns:

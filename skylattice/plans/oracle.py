@@ -390,3 +390,34 @@ b AS (SELECT label, sum({isf('p')}) / sqrt(count(*)) AS z FROM a GROUP BY label)
 d AS (SELECT s_suppkey, c.label, coalesce(p, 0.5) AS p FROM supplier LEFT JOIN c ON c.label = s_suppkey AND s_suppkey < 7), e AS (SELECT label, greatest(least(p, {1 - 1e-15!r}), 1e-15) AS p FROM d),
 f AS (SELECT count(*) AS n, count(label) AS n_matched, sum({isf('p')}) / sqrt(count(*)) AS z FROM e)
 SELECT n, n_matched, round(z, 6) AS z, round({upper_normal('z')}, 6) AS p_combined FROM f"""
+
+# ---------------------------------------------------------------- frames, observed profiles, images
+PIVOT, TOWARDS = (0.02, -0.01, 0.03), (200.0, 35.0)
+_P0 = POINTS[: POINTS.index("p AS (SELECT p0.*")].rstrip().rstrip(",")
+_x, _y, _z = (f"({c} - {num(v)})" for c, v in zip("xyz", PIVOT, strict=True))
+_r = f"sqrt({_x} * {_x} + {_y} * {_y} + {_z} * {_z})"
+spherical_frame = f"WITH {_P0} SELECT id, round({_r}, 9) AS r, round(acos(greatest(least({_z} / {_r}, 1), -1)), 9) AS theta, round(atan2({_y}, {_x}) - {TWO_PI} * floor(atan2({_y}, {_x}) / {TWO_PI}), 9) AS phi FROM p0"
+turned_positions = f"WITH {_P0} SELECT id, " + ", ".join(f"round({v} + {num(c)}, 9) AS g{n}" for v, c, n in zip(rotation(_x, _y, _z), PIVOT, "xyz", strict=True)) + " FROM p0"
+cluster_positions = f"""WITH a AS (SELECT s_suppkey AS source_id, {sky('s_suppkey')}, (s_acctbal + 1000) / 1e5 AS z FROM supplier), b AS (SELECT source_id, lon, lat, {distance('z')} AS d FROM a)
+SELECT source_id, round(d * cos(radians(lat)) * cos(radians(lon)), 6) AS x, round(d * cos(radians(lat)) * sin(radians(lon)), 6) AS y, round(d * sin(radians(lat)), 6) AS z FROM b"""
+_lt, _bt = num(TOWARDS[0]), num(np.deg2rad(TOWARDS[1]))
+sky_offsets = f"""WITH a AS (SELECT c_custkey AS key, {sky('c_custkey')} FROM customer), b AS (SELECT key, cos(radians(lat)) * cos(radians(lon - {_lt})) AS x, cos(radians(lat)) * sin(radians(lon - {_lt})) AS y, sin(radians(lat)) AS z FROM a)
+SELECT key, round(60 * degrees(atan2(y, x * cos({_bt}) + z * sin({_bt}))), 6) AS dx, round(60 * degrees(asin(greatest(least(z * cos({_bt}) - x * sin({_bt}), 1), -1))), 6) AS dy FROM b"""
+_q = rotation("qx", "qy", "qz")
+centroid_frame = f"""WITH {_P0}, s AS (SELECT sim AS label, count(*) AS n_members, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p0 GROUP BY sim),
+w AS (SELECT *, cx - {num(PIVOT[0])} AS qx, cy - {num(PIVOT[1])} AS qy, cz - {num(PIVOT[2])} AS qz FROM s), g AS (SELECT *, {_q[0]} AS gx, {_q[1]} AS gy, {_q[2]} AS gz FROM w)
+SELECT label, n_members, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, round(n_members / 20.0, 6) AS fraction_present, round(sqrt(qx * qx + qy * qy + qz * qz), 6) AS centroid_r, round({lon_of('gx', 'gy')}, 6) AS centroid_ell,
+  round(degrees(asin(greatest(least(gz / sqrt(gx * gx + gy * gy + gz * gz), 1), -1))), 6) AS centroid_b FROM g"""
+_obs = f"s AS (SELECT *, sin(radians(lat)) AS z0, radians(lon) AS phi0 FROM (SELECT s_suppkey AS source_id, {sky('s_suppkey')} FROM supplier))"
+_radii = ", ".join(f"({i}, {cosr(r)})" for i, r in enumerate(RADII))
+observed_profiles = f"""WITH {MAP}, {rings(N)}, {_obs}, j AS (SELECT s.source_id, {DISTANCE} AS d, m.value FROM s JOIN c ON {DISTANCE} >= {cosr(720.0)} JOIN m USING (pix)),
+b AS (SELECT source_id, avg(value) AS background FROM j WHERE d < {cosr(480.0)} GROUP BY source_id), g AS (SELECT source_id, r_idx, cr FROM s, (VALUES {_radii}) t(r_idx, cr)),
+e AS (SELECT g.source_id, r_idx, avg(value) AS signal FROM g LEFT JOIN j ON g.source_id = j.source_id AND d >= cr GROUP BY ALL)
+SELECT source_id, r_idx, round(signal, 6) AS signal, round(background, 6) AS background FROM e LEFT JOIN b USING (source_id)"""
+poorly_matched = f"WITH mx AS ({pval_matrix}) SELECT obs_id, round(min(pval), 9) AS p_best FROM mx GROUP BY obs_id HAVING min(pval) > 0.9"
+mean_images = """WITH c AS (SELECT label AS sim, CAST(vec_id % 6 AS INTEGER) AS iu, CAST(vec_id % 5 AS INTEGER) AS iv, CASE WHEN CAST(embedding[1] AS DOUBLE) > 0.2 THEN NULL ELSE CAST(embedding[2] AS DOUBLE) END AS value FROM embeddings),
+i AS (SELECT iu, iv, avg(value) AS value, count(DISTINCT sim) AS n_sims FROM c GROUP BY iu, iv)
+SELECT iu, iv, round(value, 9) AS value, n_sims, round((SELECT quantile_cont(abs(value), 0.99) FROM i), 9) AS scale FROM i"""
+association_maps = """SELECT vec_id AS id, 'label' AS name, '{"value":' || label || '}' AS value FROM embeddings
+UNION ALL SELECT vec_id, 'log_mass', '{"value":' || (vec_id % 7) || '.0}' FROM embeddings WHERE vec_id % 2 = 0
+UNION ALL SELECT vec_id, 'tag', CASE WHEN vec_id % 2 = 0 THEN '{"value":"x"}' ELSE '{}' END FROM embeddings"""

@@ -361,12 +361,15 @@ def matched_in_both(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(matching.matched_in_both(one, two), 6, "sep_a", "sep_b")
 
 
-def cluster_matching(spark: SparkSession, sf: str) -> DataFrame:
+def _cluster_matching(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     rows = fx.points(spark, sf).withColumn("mass", F.pow(F.lit(10.0), F.col("log_mass"))).withColumn("r500", F.lit(0.03)).drop("log_mass")
     clusters = _references(spark, sf).withColumnRenamed("ref_id", "obs_id")
     sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE)
-    out = suite.cluster_matching(rows, clusters, _mass_function(spark), sky_map, _wide_pool(spark, sf), (0.0, 0.0, 0.0), 0.08, 5, 0.1, None, 0.6)
-    return rounded(out["matches"], 9, "pval", "dist")
+    return suite.cluster_matching(rows, clusters, _mass_function(spark), sky_map, _wide_pool(spark, sf), (0.0, 0.0, 0.0), 0.08, 5, 0.1, None, 0.6)
+
+
+def cluster_matching(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_cluster_matching(spark, sf)["matches"], 9, "pval", "dist")
 
 
 def overall_significance(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,14 +388,76 @@ def random_pool(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.groupBy("r_idx", "radius").agg(F.count("*").alias("n"), F.avg("signal").alias("mean")), 6, "mean")
 
 
+def spherical_frame(spark: SparkSession, sf: str) -> DataFrame:
+    r, theta, phi = geometry.cartesian_to_r_theta_phi(F.col("x"), F.col("y"), F.col("z"), oracle.PIVOT)
+    return rounded(fx.points(spark, sf).select("id", r.alias("r"), theta.alias("theta"), phi.alias("phi")), 9, "r", "theta", "phi")
+
+
+def turned_positions(spark: SparkSession, sf: str) -> DataFrame:
+    turned = geometry.icrs_to_galactic_cartesian(F.col("x"), F.col("y"), F.col("z"), oracle.PIVOT)
+    return rounded(fx.points(spark, sf).select("id", *[v.alias(f"g{c}") for c, v in zip("xyz", turned, strict=True)]), 9, "gx", "gy", "gz")
+
+
+def cluster_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Cartesian places of suppliers as clusters on the sky with a redshift."""
+    rows = fx.suppliers(spark, sf).withColumn("d", cosmology.comoving_distance((F.col("s_acctbal") + 1000) / 1e5))
+    x = geometry.spherical_to_cartesian(F.col("d"), F.col("lon"), F.col("lat"))
+    return rounded(rows.select("source_id", *[v.alias(c) for c, v in zip("xyz", x, strict=True)]), 6, "x", "y", "z")
+
+
+def sky_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.on_sky(table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), "key")
+    dx, dy = geometry.offsets_arcmin(F.col("lon"), F.col("lat"), F.lit(oracle.TOWARDS[0]), F.lit(oracle.TOWARDS[1]))
+    return rounded(rows.select("key", dx.alias("dx"), dy.alias("dy")), 6, "dx", "dy")
+
+
+def centroid_frame(spark: SparkSession, sf: str) -> DataFrame:
+    members = fx.points(spark, sf).withColumnRenamed("sim", "label")
+    out = assoc.centroid_sky(assoc.association_summary(members, 20), oracle.PIVOT)
+    names = ("cx", "cy", "cz", "fraction_present", "centroid_r", "centroid_ell", "centroid_b")
+    return rounded(out.select("label", "n_members", *names), 6, *names)
+
+
+def observed_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles and backgrounds of fitted centres, the background from its radius to that and the beam."""
+    sky_map, _ = suite.prepared_map(fx.sky_map(spark, sf), fx.NSIDE)
+    each, back = profiles.observed_profiles(fx.suppliers(spark, sf), sky_map.pixels, fx.NSIDE, list(oracle.RADII), 480.0, 240.0, "source_id", sky_map.sums)
+    return rounded(each.join(back.select("source_id", "background"), "source_id").select("source_id", "r_idx", "signal", "background"), 6, "signal", "background")
+
+
+def poorly_matched(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(matching.poorly_matched(_matrix(spark, sf), 0.9), 9, "p_best")
+
+
+def mean_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of images averaged over realisations, and the scale they are shown at."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    cells = table(spark, sf, "embeddings").select(F.col("label").alias("sim"), (F.col("vec_id") % 6).cast("int").alias("iu"), (F.col("vec_id") % 5).cast("int").alias("iv"), F.when(e(0) > 0.2, float("nan")).otherwise(e(1)).alias("value"))
+    image = catalogue.mean_over_simulations(cells, ["iu", "iv"])
+    return rounded(image.withColumn("scale", F.lit(cutouts.display_scale(image))), 9, "value", "scale")
+
+
+def association_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of associations by name, with optional data that replaces a field of the same name."""
+    members = fx.points(spark, sf).select("id", F.col("sim").alias("label"), "log_mass")
+    optional = table(spark, sf, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).cast("double").alias("log_mass"), F.lit("x").alias("tag"))
+    entries = assoc.as_maps(assoc.with_optional(members, optional), "id").select("id", F.explode("entries").alias("name", "value"))
+    return entries.where("name <> 'log_mass' or id % 2 = 0")
+
+
+def cluster_overall(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole matching flow as one row: cut, clustering, signals, matches, both levels of combination."""
+    return rounded(_cluster_matching(spark, sf)["overall"], 6, "z", "p_combined")
+
+
 #: Queries with a SQL counterpart, and those that SQL can't express (tested against brute force).
 CHECKED: tuple[Query, ...] = (
     aperture_mean, annulus_mean, enclosed_profile, halo_cuts, halo_sorted, extent_centre_cut, mass_bins, pool_pvalue, bootstrap_stack,
     random_stack, empirical_sigma_profile, crossmatch_best, radius_cdf, match_halo, pval_matrix, halo_neighbours, particle_projection,
-    grid_projection, cutout_stack, wide_profile, greedy_pairs, sim_suite_halos, sim_suite_bins, sim_suite_profiles, sim_suite_cutouts, overall_significance, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map, mass_ratio,
+    grid_projection, cutout_stack, wide_profile, greedy_pairs, spherical_frame, turned_positions, cluster_positions, sky_offsets, centroid_frame, observed_profiles, poorly_matched, mean_images, association_maps, sim_suite_halos, sim_suite_bins, sim_suite_profiles, sim_suite_cutouts, overall_significance, mass_matched_y, catalogue_scaling, sim_summary, stouffer, galactic_frame, distances, map_statistics, degraded_map, mass_ratio,
     signal_pvalue, stacked_profile, mass_bin_suite, association_signals, masked_aperture, random_cutout_stack, matched_in_both,
 )
-UNCHECKED: tuple[Query, ...] = (student_profile, sim_suite_t_fits, greedy_match, halo_associations, find_center, smooth_map, cross_cl, cluster_matching, random_pool)
+UNCHECKED: tuple[Query, ...] = (student_profile, sim_suite_t_fits, greedy_match, halo_associations, find_center, smooth_map, cross_cl, cluster_matching, cluster_overall, random_pool)
 
 
 def queries() -> dict[str, Query]:

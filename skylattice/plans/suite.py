@@ -176,13 +176,15 @@ def cutout_seed(base: int, sim_index: int | Column, bin_idx: int | Column) -> in
     return base + sim_index + bin_idx
 
 
-def cluster_matching(halos: DataFrame, clusters: DataFrame, mass_function: DataFrame, sky_map: BoundMap, pool: DataFrame, centre: tuple, eps: float = 1.75, min_samples: int = 9, r_max: float = 50.0, threshold: float | None = 0.05, mass_sigma: float = 0.3, radius_col: str = "r500") -> dict[str, DataFrame]:
+def cluster_matching(halos: DataFrame, clusters: DataFrame, mass_function: DataFrame, sky_map: BoundMap, pool: DataFrame, centre: tuple, eps: float = 1.75, min_samples: int = 9, r_max: float = 50.0, threshold: float | None = 0.05, mass_sigma: float = 0.3, radius_col: str = "r500", extent: tuple[float, float] | None = None) -> dict[str, DataFrame]:
     """Associations with signals and p-values, matched one to one to observed clusters ``(obs_id, x, y, z)``.
 
     ``matches`` has the pairs, ``members`` and ``summary`` the signals, ``combined`` the members' p-values of
     each association joined into one, ``clusters`` that of every observed cluster (0.5 without a match)
-    and ``overall`` one row over all of them.
+    and ``overall`` one row over all of them.  With an ``extent`` (distance, mass) halos beyond the distance
+    from the middle of their realisation or below the mass are left out first.
     """
+    halos = halos if extent is None else catalogue.extent_centre_cut(halos, *extent)
     members = written(assoc.associations(halos, eps, min_samples, mass_sigma), "members")
     each, summary = assoc.association_signals(members, sky_map.pixels, sky_map.nside, pool, centre, radius_col, sky_map.sums)
     dense = matching.density_of(members.withColumn("log_mass", F.log10("mass")), mass_function)
