@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angular_size_arcmin, icrs_to_galactic_spherical
@@ -19,20 +21,64 @@ def neighbours(halos: DataFrame, eps: float) -> DataFrame:
     return cell_neighbours(halos, halos.withColumnRenamed("id", "other"), eps, "id", "other")
 
 
+def _linked_cells(core: DataFrame, side: float, eps: float) -> DataFrame:
+    """``a, b``: enough pairs of core cells that hold core rows within eps to give all components.
+
+    For every two cells near enough, the row of the first that is nearest to the second's middle is held
+    against the second's rows: as many rows as there are core rows, times a constant.  Only cells that
+    this leaves in different components compare the rows on the sides they turn to each other.
+    """
+    cells = written(core.groupBy("node", "cx", "cy", "cz").agg(F.count("*").alias("n")), "core-cells")
+    ahead = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    offset = F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in ahead]))
+    from_ = cells.select(F.col("node").alias("a"), *[F.col(c).alias(f"a{c}") for c in ("cx", "cy", "cz")], offset.alias("_o"))
+    from_ = from_.select("a", *[(F.col(f"a{c}") + F.col("_o")[i]).alias(c) for i, c in enumerate(("cx", "cy", "cz"))])
+    middle = [((F.col(f"c{c}") + 0.5) * side).alias(f"m{c}") for c in "xyz"]
+    pairs = written(from_.join(cells, ["cx", "cy", "cz"]).select("a", F.col("node").alias("b"), *middle), "cell-pairs")
+    apart = lambda one, two: F.sqrt(sum((F.pow(F.col(f"{one}{c}") - F.col(f"{two}{c}"), 2) for c in "xyz"), F.lit(0.0)))
+    at = lambda name, prefix: core.select(F.col("node").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in "xyz"])
+    toward = pairs.join(at("a", "p"), "a").groupBy("a", "b").agg(F.min_by(F.struct("px", "py", "pz"), apart("p", "m")).alias("p")).select("a", "b", "p.*")
+    met = toward.join(at("b", "q"), "b").groupBy("a", "b").agg(F.min(apart("p", "q")).alias("d"))
+    quick = written(met.where(F.col("d") <= eps).select("a", "b"), "cell-links")
+    roots = connected_components(quick)
+    rooted = lambda side_: roots.select(F.col("node").alias(side_), F.col("root").alias(f"r{side_}"))
+    open_ = pairs.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "mx", "my", "mz")
+
+    def gap(prefix: str) -> Column:
+        beyond = lambda c: F.greatest(F.abs(F.col(f"{prefix}{c}") - F.col(f"m{c}")) - side / 2, F.lit(0.0))
+        return F.sqrt(sum((F.pow(beyond(c), 2) for c in "xyz"), F.lit(0.0)))
+
+    edge = open_.join(at("a", "p"), "a").where(gap("p") <= eps)
+    rest = edge.join(at("b", "q"), "b").where(apart("p", "q") <= eps).select("a", "b").distinct()
+    return quick.unionByName(rest)
+
+
 def density_clusters(halos: DataFrame, eps: float = 1.75, min_samples: int = 9) -> DataFrame:
     """``id, label`` of clustered rows of ``halos(id, x, y, z)``; noise has no row.
 
     Core rows have min_samples neighbours, themselves included.  Clusters are components of core
     rows; a border row goes to the neighbouring cluster whose first core row is least.  Labels count
     from 0 in the order of the clusters' first core rows.
+
+    Rows of one cell whose diagonal is eps are all neighbours: a cell of min_samples rows is core without
+    a comparison, and the core rows of a cell are one node of the graph.  Only rows of smaller cells are
+    compared with those around them, fewer than min_samples of each cell.
     """
-    near = neighbours(halos, eps)
-    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
-    from_core = near.join(core, "id")
-    edges = from_core.join(core.withColumnRenamed("id", "other"), "other").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    roots = connected_components(edges)
-    rooted = core.join(roots, core["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
-    border = from_core.join(rooted, "id").join(core.withColumnRenamed("id", "other"), "other", "left_anti").groupBy("other").agg(F.min("root").alias("root")).select(F.col("other").alias("id"), "root")
+    side = eps / math.sqrt(3) * (1 - 1e-9)
+    cell = {f"c{c}": F.floor(F.col(c) / side) for c in "xyz"}
+    rows = halos.select("id", "x", "y", "z").withColumns(cell)
+    node = F.concat_ws(",", *[F.col(c).cast("string") for c in cell])
+    rows = written(rows.join(rows.groupBy(*cell).agg(F.count("*").alias("n")), list(cell)).withColumn("node", node), "cells")
+    sparse = rows.where(F.col("n") < min_samples)
+    near = written(cell_neighbours(rows, sparse.select(F.col("id").alias("other"), "x", "y", "z"), eps, "id", "other").select("id", "other"), "near")
+    found = near.groupBy("other").agg(F.count("*").alias("k")).where(F.col("k") >= min_samples).select(F.col("other").alias("id"))
+    core = rows.where(F.col("n") >= min_samples).unionByName(sparse.join(found, "id", "left_semi"))
+    core = written(core.select("id", "x", "y", "z", *cell, "node"), "core")
+    joined = connected_components(_linked_cells(core, side, eps)).select("node", F.col("root").alias("_c"))
+    grouped = core.join(joined, "node", "left").select("id", F.coalesce("_c", "node").alias("_c"))
+    first = grouped.groupBy("_c").agg(F.min("id").alias("root"))
+    rooted = written(grouped.join(first, "_c").select("id", "root"), "core-roots")
+    border = near.join(rooted, "id").join(rooted.select(F.col("id").alias("other")), "other", "left_anti").groupBy("other").agg(F.min("root").alias("root")).select(F.col("other").alias("id"), "root")
     labels = numbered(rooted.select("root").distinct(), F.col("root"), name="label").withColumn("label", F.col("label").cast("int"))
     return rooted.unionByName(border).join(labels, "root").select("id", "label")
 

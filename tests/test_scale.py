@@ -322,3 +322,45 @@ def test_pixels_of_arrays_are_those_of_columns(spark):
     for nside in (1, 4, 64):
         rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(z, phi))], "i long, z double, phi double").select("i", hp.z_phi_to_pix(nside, F.col("z"), F.col("phi")).alias("pix")).orderBy("i").collect()
         assert [r["pix"] for r in rows] == hp.pixels_of(nside, z, phi).tolist()
+
+
+def brute_clusters(points, eps, min_samples):
+    """Labels by plain breadth-first search; a border point goes to the cluster whose first core point is least."""
+    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)) <= eps
+    core = d.sum(axis=1) >= min_samples
+    root = np.full(len(points), -1)
+    for i in range(len(points)):
+        if core[i] and root[i] < 0:
+            todo = [i]
+            root[i] = i
+            while todo:
+                for j in np.flatnonzero(d[todo.pop()] & core & (root < 0)).tolist():
+                    root[j] = i
+                    todo.append(j)
+    for i in np.flatnonzero(~core).tolist():
+        near = root[np.flatnonzero(d[i] & core)]
+        root[i] = near.min() if len(near) else -1
+    names = {r: k for k, r in enumerate(sorted({r for r in root.tolist() if r >= 0}))}
+    return {i: names[r] for i, r in enumerate(root.tolist()) if r >= 0}
+
+
+@pytest.mark.parametrize("seed,eps,least", [(0, 0.3, 4), (1, 0.12, 3), (2, 0.8, 9)])
+def test_clusters_by_cells_equal_brute_force(spark, seed, eps, least):
+    from skylattice.operators import associations
+
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([rng.normal(size=(120, 3)) * 0.4, rng.normal(size=(60, 3)) * 0.05 + 1, rng.normal(size=(60, 3)) * 0.05 + [1.2, 1, 1], rng.uniform(-2, 2, (60, 3))])
+    points = rng.permutation(points)
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, x double, y double, z double")
+    got = {r["id"]: r["label"] for r in associations.density_clusters(rows, eps, least).collect()}
+    assert got == brute_clusters(points, eps, least)
+
+
+def test_a_cell_of_many_points_is_core_without_pairs(spark):
+    from skylattice.operators import associations
+
+    h = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    dense = spark.range(100_000).select("id", (h * 0.1).alias("x"), (F.pmod(F.col("id"), F.lit(97)) / 970.0).alias("y"), F.lit(0.05).alias("z"))
+    others = spark.createDataFrame([(200_000, 0.9, 0.05, 0.05), (200_001, 3.0, 3.0, 3.0)], "id long, x double, y double, z double")
+    got = associations.density_clusters(dense.unionByName(others), 1.0, 9)
+    assert got.count() == 100_001 and got.select("label").distinct().count() == 1 and got.where("id = 200001").count() == 0
