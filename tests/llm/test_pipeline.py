@@ -55,6 +55,26 @@ def test_odd_rows_pass_every_stage(spark, docs, empty, texts, tmp_path):
         assert stage(spark, empty, folder).count() == 0
 
 
+def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
+    import random
+
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
+    bad = ["vilest", "vilely", "grumpo", "grumpa", "nasty"]
+    rows = []
+    for i in range(600):
+        own = r.choices(words, k=r.randint(5, 80))
+        for _ in range(r.randint(1, 4) if i % 4 == 0 else 0):
+            own.insert(r.randrange(len(own)), r.choice(bad))
+        rows.append((i, " ".join(own), "en", "s", 1))
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {r["doc_id"] for r in corpus_pipeline.toxic_stage(spark, docs, folder).collect()}
+    toxic, clean = {i for i in range(600) if i % 4 == 0}, {i for i in range(600) if i % 4}
+    assert len(kept & toxic) <= 0.1 * len(toxic) and len(kept & clean) >= 0.99 * len(clean)
+
+
 def test_registry():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
