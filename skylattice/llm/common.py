@@ -76,6 +76,17 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone.select(F.col("doc_id").alias(key)), F.col("doc_id") == F.col(key), "left_anti")
 
 
+#: Bytes of a batch that goes to a worker at most; texts are long, and either side holds a batch more than once.
+BATCH_BYTES = 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to BATCH_BYTES, unless they are shorter already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """What this worker's allocators keep for later goes back to the system."""
     pa.default_memory_pool().release_unused()
