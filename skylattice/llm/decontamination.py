@@ -87,7 +87,7 @@ class Windows:
 
 
 def windows(rows: Iterator[tuple[int, str | None]]) -> Iterator[Windows]:
-    """Distinct windows of the items, in blocks."""
+    """Distinct windows of the items, in blocks of at most WINDOW_BLOCK, however long an item is."""
     item, term, size = [], [], []
 
     def block() -> Windows:
@@ -108,9 +108,10 @@ def windows(rows: Iterator[tuple[int, str | None]]) -> Iterator[Windows]:
                 item.append(item_id)
                 size.append(n)
                 term.append(np.concatenate([window, np.full(WINDOW - n, window[0], np.uint64)]))
-        if len(item) >= WINDOW_BLOCK:
-            yield block()
-            item, term, size = [], [], []
+            # A long item goes on in the next block, where a window may come again: its hits are put together.
+            if len(item) >= WINDOW_BLOCK:
+                yield block()
+                item, term, size, seen = [], [], [], set()
     if item:
         yield block()
 

@@ -41,6 +41,18 @@ def test_against_brute_force(spark, docs, texts, monkeypatch, block):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 
+def test_one_very_long_item_comes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "WINDOW_BLOCK", 1000)
+    words = [f"w{i * 7919 % 5003}" for i in range(7000)]
+    blocks = list(D.windows(iter([(1, " ".join(words)), (2, "a b")])))
+    assert max(len(b.item) for b in blocks) == 1000 and len(blocks) == 7
+    monkeypatch.setattr(D, "WINDOW_BLOCK", 4000)
+    docs = [(1, " ".join(words[995:1012])), (2, " ".join(words[5000:5015])), (3, "x " + " ".join(words[10:19])), (4, "a b")]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "a b")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (17, 1), 2: (15, 1), 3: (0, 0), 4: (2, 1)}
+
+
 def test_proximity(spark):
     text = "alpha beta gamma delta eps zeta eta theta iota kappa"
     near = text.replace("delta", "delta new").replace("eta theta", "eta other")
