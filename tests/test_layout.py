@@ -5,17 +5,31 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def test_entry_without_the_corpus_operators(tmp_path):
+CODE = "import __spark_entry__ as e; print(len(e.queries()), sum(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+
+
+def entry_of_a_copy(tmp_path, *left_out, before=""):
     copy = str(tmp_path / "copy")
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.md", "*.json"))
-    code = "import __spark_entry__ as e; print(len(e.queries()), sum(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
-    said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.md", "*.json", *left_out))
+    said = subprocess.run([sys.executable, "-c", before + CODE], cwd=copy, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
     assert said.returncode == 0, said.stderr
-    n, corpus = map(int, said.stdout.split())
-    assert n > 30 and corpus == 0
+    return *map(int, said.stdout.split()), said.stderr
+
+
+@pytest.mark.parametrize("left_out", [("llm",), ("llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_without_the_corpus_operators(tmp_path, left_out):
+    n, corpus, said = entry_of_a_copy(tmp_path, *left_out)
+    assert n > 30 and corpus == 0 and "left out" not in said
+
+
+def test_a_missing_library_is_named(tmp_path):
+    n, corpus, said = entry_of_a_copy(tmp_path, before="import sys; sys.modules['zstandard'] = None; ")
+    assert n > 30 and corpus == 0 and "left out" in said and "zstandard" in said
 
 
 def test_nothing_imports_the_corpus_operators():
