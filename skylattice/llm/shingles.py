@@ -5,9 +5,17 @@ hashes have one order.  Two sets of similarity 4/5 or more then share an element
 ``n - ceil(4 n / 5) + 1`` of each set of n, so these prefixes are the keys and no pair is missed.
 Hashes that many documents hold come last in the order, which only keeps buckets small.
 
-Equal sets are one node.  Each node is first verified against a hub or two, the ones it shares most
-buckets with; then all pairs whose nodes aren't connected yet, and whose common keys allow the
-similarity, are verified too, so the components are those of all similar pairs.
+Equal sets are one node.  Candidates found another way (the pipeline gives those of the fingerprints)
+are verified first, then each node of a bucket of unconnected ones against a hub or two, those it shares
+most buckets with.  Of all other pairs whose nodes aren't connected yet none is left out:
+
+* nodes of the same hub, their frame, are held by what they have more and less than it.  Two sets that
+  aren't both similar to the frame need many common differences to be similar, so prefixes of the
+  differences, rarest first, are the keys: a group of edited copies is no bucket of all pairs;
+* nodes of different frames meet in the buckets of their prefixes.
+
+In both, the place of a common key bounds what the sets can share after it.  The pairs that are left are
+verified too, so the components are those of all similar pairs.
 
 A null or blank text has the empty set; blank texts equal each other and nothing else.
 """
@@ -28,11 +36,13 @@ from .common import LOWER, SPACE, documents, hash_words, mix, short_batches, sta
 
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, SHARE = 5, (4, 5)
-#: Buckets of more sets than this have hubs of their own, and their sets so many hubs at first (others one).
+#: Sets in buckets of more than this have so many hubs at first (others one).
 PAIRED_BUCKET, HUBS = 32, 2
 #: Share of the hashes, from the least on, that are counted over all documents for the order (prefixes hold
 #: the least); documents from which a hash is frequent, and such hashes at most, the most frequent ones.
 COUNTED_SHARE, FREQUENT, MAX_FREQUENT = 0.4, 33, 200_000
+#: Least similarity, as a fraction, of a set to the hub that is its frame.
+FRAME_SHARE = (1, 3)
 #: Pairs of mark and id (16 bytes each) that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
@@ -106,7 +116,9 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         key = np.concatenate([np.zeros(0, np.int64), *parts])
-        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("mark").take(pa.array(row)), batch.column("size").take(pa.array(row))], ["key", "mark", "size"])
+        place = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(p), dtype=np.int32) for p in parts]])
+        columns = [batch.column(c).take(pa.array(row)) for c in ("mark", "size")]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *columns, pa.array(place)], ["key", "mark", "size", "place"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,17 +145,26 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, least: DataFrame, docs: DataFrame) -> DataFrame:
-    """The similar ones of ``pairs(a, b)``; their sets are made again from one text each."""
-    pairs = staged(pairs, "shingle-pairs")
-    marks = pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).distinct()
-    asked = staged(marks.join(least, "mark").select("mark", "doc_id"), "shingle-asked")
+def sets_of(marks: DataFrame, least: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """``mark, hashes`` of ``marks(mark)``, made again from one text each; a repeated row may give its set again."""
+    asked = staged(marks.distinct().join(least, "mark").select("mark", "doc_id"), f"{name}-asked")
     # The texts stay where they are while the ids asked for fit in a broadcast; beyond, both sides are shuffled.
     few = asked.count() <= BROADCAST_IDS
-    sets = staged(docs.join(F.broadcast(asked) if few else asked, "doc_id").select("mark", "text").mapInArrow(tidy(_set_batches), "mark long, hashes binary"), "shingle-sets")
+    return staged(docs.join(F.broadcast(asked) if few else asked, "doc_id").select("mark", "text").mapInArrow(tidy(_set_batches), "mark long, hashes binary"), name)
+
+
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = sets.select(F.col("mark").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("mark").alias("b"), F.col("hashes").alias("y"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify_batches), "a long, b long")
-    return staged(found.distinct(), "shingle-links")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The similar ones of ``pairs(a, b)``."""
+    return staged(_met(pairs, sets).mapInArrow(tidy(_verify_batches), "a long, b long").distinct(), "shingle-links")
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark")))
 
 
 def _close(x: str, y: str) -> object:
@@ -153,51 +174,123 @@ def _close(x: str, y: str) -> object:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of marks of different roots in a bucket whose sizes allow the similarity, and the number of their buckets."""
-    side = lambda n: rows.select("key", F.col("mark").alias(n), F.col("size").alias(f"n{n}"), F.col("root").alias(f"root_{n}"))
-    both = side("a").join(side("b"), "key").where("a < b and root_a <> root_b").where(_close("na", "nb"))
-    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-
-
-def _possible(pairs: DataFrame) -> DataFrame:
-    """The pairs that can be similar: their prefixes' common hashes and the rest of the set whose prefix
-    ends first bound what they share.  Buckets that hold both nodes of an unconnected pair are all mixed,
-    so all their common hashes are counted."""
-    most = F.col("common") + F.expr(f"({SHARE[0]} * greatest(na, nb) + {SHARE[1] - 1}) div {SHARE[1]}") - 1
-    return pairs.where(sum(SHARE) * most >= SHARE[0] * (F.col("na") + F.col("nb"))).select("a", "b")
+    """Pairs of marks of different roots and frames that can be similar: of their common keys the first leaves
+    enough hashes behind it in either set (the order of the hashes is one for all)."""
+    side = lambda n: rows.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("mark", "size", "place", "root", "frame")])
+    apart = "mark_a < mark_b and root_a <> root_b and not coalesce(frame_a = frame_b or frame_a = mark_b or frame_b = mark_a, false)"
+    enough = f"{sum(SHARE)} * least(size_a - place_a, size_b - place_b) >= {SHARE[0]} * (size_a + size_b)"
+    both = side("a").join(side("b"), "key").where(apart).where(_close("size_a", "size_b")).where(enough)
+    return both.select(F.col("mark_a").alias("a"), F.col("mark_b").alias("b")).distinct()
 
 
 def _stars(shared: DataFrame) -> DataFrame:
-    """Pairs of each mark with the hubs it shares most buckets with: of a small bucket the mark of least hash,
-    of a large one that of least hash with the key, so that a large group has many hubs."""
-    salt = F.when(F.col("n") > PAIRED_BUCKET, F.col("key")).otherwise(F.lit(0))
-    hub = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64(salt, "mark").alias("h"), F.col("mark").alias("hub"), F.col("size").alias("hub_size"))).alias("s")).select("key", "s.hub", "s.hub_size")
+    """``mark, hub, place``: the hubs that each mark shares most buckets with.  The hub of a bucket is the mark
+    that shares most with others in all, in a group of edited copies that with fewest edits."""
+    score = shared.groupBy("mark").agg(F.sum("n").alias("score"))
+    best = F.max(F.struct("score", F.xxhash64("mark").alias("h"), F.col("mark").alias("hub"), F.col("size").alias("hub_size")))
+    hub = shared.join(score, "mark").groupBy("key").agg(best.alias("s")).select("key", "s.score", "s.hub", "s.hub_size")
     met = shared.join(hub, "key").where("mark <> hub").where(_close("size", "hub_size"))
-    each = met.groupBy("mark", "hub").agg(F.count("*").alias("c"), F.max(F.col("n") > PAIRED_BUCKET).alias("large"))
+    each = met.groupBy("mark", "hub").agg(F.count("*").alias("c"), F.max("score").alias("score"), F.max(F.col("n") > PAIRED_BUCKET).alias("large"))
     # A mark has at most one hub for each of its keys here; the best of them stay.
-    best = each.groupBy("mark").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.xxhash64("mark", "hub").alias("h"), "hub"))), 1, F.when(F.max("large"), HUBS).otherwise(1)).alias("hubs"))
-    pairs = best.select("mark", F.explode("hubs.hub").alias("hub"))
-    return pairs.select(F.least("mark", "hub").alias("a"), F.greatest("mark", "hub").alias("b")).distinct()
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), (-F.col("score")).alias("s"), "hub")))
+    best = each.groupBy("mark").agg(F.slice(ranked, 1, F.when(F.max("large"), HUBS).otherwise(1)).alias("hubs"))
+    return best.select("mark", F.posexplode("hubs.hub").alias("place", "hub"))
+
+
+def _difference_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
+        rows, keys, weight, slack = [], [], [], []
+        for i in range(batch.num_rows):
+            own, hub = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("x", "y"))
+            more, less = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
+            if FRAME_SHARE[1] * (len(hub) - len(less)) >= FRAME_SHARE[0] * (len(hub) + len(more)):
+                rows.append(i)
+                keys.append(np.concatenate([more, ~less]))
+                weight.append(SHARE[1] * len(less) + SHARE[0] * len(more))
+                slack.append((SHARE[1] - SHARE[0]) * len(hub))
+        n = [len(k) for k in keys]
+        spread = lambda v: pa.array(np.repeat(np.array(v, np.int64), n))
+        columns = [batch.column(c).take(pa.array(np.repeat(np.array(rows, np.int64), n))) for c in ("a", "b")]
+        key = pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*columns, key, spread(n), spread(weight), spread(slack)], ["mark", "frame", "key", "n", "weight", "slack"])
+
+
+def differences(frames: DataFrame, sets: DataFrame) -> DataFrame:
+    """What each mark has more and less than its frame (less: inverted hashes), one row for each hash, and the
+    mark's number of them, its weight ``5 less + 4 more`` and the slack, a fifth of the frame's size in fifths.
+
+    With o common differences, two sets of one frame are similar just if ``9 o >= weight_a + weight_b - slack``;
+    a set is similar to the frame itself just if its weight is at most the slack.
+    """
+    pairs = frames.select(F.col("mark").alias("a"), F.col("frame").alias("b"))
+    return staged(_met(pairs, sets).mapInArrow(tidy(_difference_batches), "mark long, frame long, key long, n long, weight long, slack long").distinct(), "shingle-differences")
+
+
+def _framed_pairs(differences: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of one frame and different roots that can be similar.
+
+    At least one of them, a, isn't similar to the frame, so ``9 o > weight_b``, and ``9 o >= weight_a - slack``.
+    Either bounds the number of common differences from below, so a prefix of each, rarest first, holds one,
+    and the first common one leaves enough of them behind it on both sides.
+    """
+    whole = sum(SHARE)
+    counted = differences.withColumn("held", F.count("*").over(Window.partitionBy("frame", "key")))
+    place = F.row_number().over(Window.partitionBy("mark", "frame").orderBy("held", "key"))
+    placed = _rooted(counted.withColumn("place", place).where("held > 1"), roots)
+    side = lambda x, n: x.select("frame", "key", *[F.col(c).alias(f"{c}_{n}") for c in ("mark", "root", "n", "weight", "slack", "place")])
+    far = side(placed.where("weight > slack").where(f"place <= n + 1 - (weight - slack + {whole - 1}) div {whole}"), "a")
+    every = side(placed.where(f"place <= n - weight div {whole}"), "b")
+    met = far.join(every, ["frame", "key"]).where("root_a <> root_b").where(f"weight_a + weight_b - slack_a <= {whole} * (least(n_a - place_a, n_b - place_b) + 1)")
+    return met.select(F.least("mark_a", "mark_b").alias("a"), F.greatest("mark_a", "mark_b").alias("b")).distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, F.col("mark") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "mark"))
+
+
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The buckets of more than one root, with ``root``."""
+    rooted = _rooted(shared, roots)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
+    return rooted.join(mixed, "key")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id`` of every document with an id: the least id linked to it by similar pairs."""
+def near_duplicates(docs: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """``doc_id, component_id`` of every document with an id: the least id linked to it by similar pairs.
+
+    ``candidates(x, y)`` are pairs of ids found another way, which are verified first; whatever they are,
+    the result is the same.
+    """
     short_batches(docs.sparkSession)
     docs = documents(docs).where("doc_id is not null")
     marks = staged(docs.mapInArrow(tidy(_prefix_batches(frequent_hashes(docs))), "doc_id long, mark long, size int, prefix binary"), "shingles")
     least = staged(marks.groupBy("mark").agg(F.min("doc_id").alias("doc_id")), "shingle-distinct")
     # Of a repeated row one stands for the set; keys are shuffled once and only shared ones are written.
     first = marks.join(least, ["mark", "doc_id"]).select("mark", "size", "prefix")
-    keyed = first.mapInArrow(tidy(_key_batches), "key long, mark long, size int")
+    keyed = first.mapInArrow(tidy(_key_batches), "key long, mark long, size int, place int")
     shared = staged(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").distinct(), "shingle-buckets")
-    links = verified(_stars(shared), least, docs)
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    if candidates is not None:
+        named = lambda n, mark: marks.select(F.col("doc_id").alias(n), F.col("mark").alias(mark))
+        both = candidates.join(named("x", "p"), "x").join(named("y", "q"), "y").where("p <> q")
+        pairs = staged(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "shingle-candidates")
+        links = verified(pairs, sets_of(_both(pairs), least, docs, "shingle-sets"))
     roots = connected_components(links)
-    rooted = shared.join(roots, F.col("mark") == F.col("node"), "left").select("key", "mark", "size", F.coalesce("root", "mark").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    rest = staged(_possible(_pairs(rooted.join(mixed, "key"))), "shingle-rest")
+    open_ = staged(_mixed(shared, roots), "shingle-open")
+    stars = staged(_stars(open_.drop("root")), "shingle-stars")
+    sets = sets_of(stars.select("mark").union(stars.select("hub")), least, docs, "shingle-sets")
+    links = links.union(verified(stars.select(F.least("mark", "hub").alias("a"), F.greatest("mark", "hub").alias("b")).distinct(), sets))
+    roots = connected_components(links)
+    mixed = staged(_mixed(open_.drop("root"), roots), "shingle-mixed")
+    frames = stars.where("place = 0").select("mark", F.col("hub").alias("frame")).join(mixed.select("mark").distinct(), "mark")
+    frames = frames.withColumn("members", F.count("*").over(Window.partitionBy("frame")))
+    apart = differences(frames.where("members > 1"), sets)
+    known = frames.where("members = 1").select("mark", "frame").union(apart.select("mark", "frame").distinct())
+    rest = staged(_pairs(mixed.join(known, "mark", "left")).union(_framed_pairs(apart, roots)), "shingle-rest")
     if not rest.isEmpty():
-        links = links.union(verified(rest, least, docs))
+        more = _both(rest).join(sets.select("mark"), "mark", "left_anti")
+        links = links.union(verified(rest, sets.union(sets_of(more, least, docs, "shingle-sets"))))
         roots = connected_components(links)
-    rooted = least.select("mark", "doc_id").join(roots, F.col("mark") == F.col("node"), "left").select("mark", "doc_id", F.coalesce("root", "mark").alias("root"))
+    rooted = _rooted(least.select("mark", "doc_id"), roots)
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("mark", "component_id")
     return marks.select("doc_id", "mark").join(named, "mark").select("doc_id", "component_id")

@@ -64,3 +64,33 @@ def test_shingle_sets():
     sets = shingles.shingle_sets(pa.array(["a b c d e f", "A B C D  E", "b c d e f", "", "a b", "a b c d e a b c d e"]))
     assert [len(s) for s in sets] == [2, 1, 1, 0, 1, 5]
     assert set(sets[0].tolist()) == {int(sets[1][0]), int(sets[2][0])}
+
+
+def test_far_copies_of_one_text_need_no_pair_of_each(spark, monkeypatch):
+    """Copies with so many edits that half aren't similar to the base, and copies of those."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(2000)]
+    base, texts = r.choices(words, k=150), []
+
+    def copy_of(text, edits):
+        out = list(text)
+        for i in r.sample(range(len(out)), edits):
+            out[i] = r.choice(words)
+        return out
+
+    for i in range(240):
+        texts.append(copy_of(base, i % 9))
+        if i % 40 == 8:
+            texts.append(copy_of(texts[-1], 1))
+    texts = [" ".join(t) for t in texts]
+    asked, verified = [], shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda pairs, *rest: (asked.append(pairs.count()), verified(pairs, *rest))[1])
+    df = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(df).collect()}
+    sets = [grams(t) for t in texts]
+    near = np.array([[alike(a, b) for b in sets] for a in sets])
+    label = np.arange(len(sets))
+    for _ in range(20):
+        label = np.array([label[n].min() for n in near])
+    assert got == dict(enumerate(label.tolist())) and 40 < len(set(got.values())) < 200
+    assert sum(asked) <= 8 * len(texts), asked
