@@ -160,12 +160,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """``x, y``: pairs of ids that connect all documents whose fingerprints are linked."""
+    marks = staged(fingerprints(docs).where("doc_id is not null"), "simhash")
+    least = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    copies = marks.join(least, "fp").where("doc_id <> first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
+    side = lambda n, first: least.select(F.col("fp").alias(n), F.col("first").alias(first))
+    return copies.union(links(least).join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one, the least id, kept of each component; all columns stay.
 
-    Components are those of verified shingle similarity (``shingles``): the fingerprint's two bits
-    would leave most edited copies.  Rows that repeat a kept id stay together; a row with a null id
-    always stays.
+    Fingerprints and their Golay keys propose pairs, exact shingle similarity verifies them, and
+    ``shingles`` completes the components with the similar pairs that two bits miss.  Rows that repeat a
+    kept id stay together; a row with a null id always stays.
     """
-    found = shingles.near_duplicates(docs)
+    found = shingles.near_duplicates(docs, candidates(docs))
     return without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))

@@ -78,3 +78,24 @@ def test_keep_one_and_empty(docs, empty, texts):
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert 1 not in ids and ids.count(0) == 2 and None in ids and 3 in ids and 4 not in ids
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_keep_one_verifies_the_pairs_of_the_fingerprints(docs, texts, monkeypatch):
+    seen, near_duplicates = [], simhash.shingles.near_duplicates
+
+    def watched(table, candidates=None):
+        seen.extend((r["x"], r["y"]) for r in candidates.collect())
+        return near_duplicates(table, candidates)
+
+    monkeypatch.setattr(simhash.shingles, "near_duplicates", watched)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    f = np.array([direct(t) for t in texts], np.uint64)
+    near = np.bitwise_count(f[:, None] ^ f[None]) <= 2
+    joined = np.eye(len(texts), dtype=bool)
+    for x, y in seen:
+        joined[x, y] = joined[y, x] = True
+    for links in (near, joined):
+        for _ in range(6):
+            links |= links @ links
+    assert (near == joined).all() and near.sum() > len(texts)
+    assert 0 in kept and 1 not in kept
