@@ -17,6 +17,9 @@ most buckets with.  Of all other pairs whose nodes aren't connected yet none is
 In both, the place of a common key bounds what the sets can share after it.  The pairs that are left are
 verified too, so the components are those of all similar pairs.
 
+Hashes are counted, and keys meet, as packed messages to buckets (see ``chunks``): a shingle is never a
+row of its own, only a key that several sets share.
+
 A null or blank text has the empty set; blank texts equal each other and nothing else.
 """
 
@@ -32,7 +35,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import LOWER, SPACE, documents, hash_words, mix, short_batches, staged, text_buffer, tidy, word_spans
+from .chunks import BUCKET_BYTES
+from .common import LOWER, SPACE, documents, give_back, hash_words, mix, short_batches, shuffle_partitions, staged, text_buffer, tidy, word_spans
 
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, SHARE = 5, (4, 5)
@@ -45,6 +49,11 @@ COUNTED_SHARE, FREQUENT, MAX_FREQUENT = 0.4, 33, 200_000
 FRAME_SHARE = (1, 3)
 #: Pairs of mark and id (16 bytes each) that are broadcast at most.
 BROADCAST_IDS = 1_000_000
+#: Entries that a task gathers before it sends them to the buckets.
+HELD = 1 << 18
+#: A hash with its number, and a key of a set, as they are sent.
+COUNT = np.dtype([("h", "<u8"), ("count", "<i8")])
+KEY = np.dtype([("key", "<u8"), ("mark", "<i8"), ("size", "<i4"), ("place", "<i4")])
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x94D049BB133111EB], np.uint64)
 
@@ -81,17 +90,60 @@ def _mark(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64))
 
 
-def _longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets in proportion to the text, at least one for each shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
+
+
+def _sent(entries: np.ndarray, by: str, buckets: int) -> pa.RecordBatch:
+    """A message ``(bucket, data)`` to each bucket that gets any of the entries."""
+    bucket = (entries[by] % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    to, starts = np.unique(bucket[order], return_index=True)
+    data = [part.tobytes() for part in np.split(entries[order], starts[1:])] if len(to) else []
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _counts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Entries of the distinct hashes with the sums of their numbers."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+    out = np.empty(len(first), COUNT)
+    out["h"], out["count"] = h[first], np.add.reduceat(n, first) if len(first) else 0
+    return out
+
+
+def _count_batches(buckets: int) -> object:
     limit = np.uint64(int(COUNTED_SHARE * (1 << 64)))
-    for _, sets in _slices(batches):
-        low = [own[: np.searchsorted(own, limit)] for own in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *low]).view(np.int64))], ["h"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, sets in _slices(batches):
+            held += [own[: np.searchsorted(own, limit)] for own in sets]
+            n += sum(len(own) for own in held[-len(sets) :]) if sets else 0
+            if n >= HELD:
+                yield _sent(_counts(np.concatenate(held), np.ones(n, np.int64)), "h", buckets)
+                held, n = [], 0
+        if n:
+            yield _sent(_counts(np.concatenate(held), np.ones(n, np.int64)), "h", buckets)
+
+    return run
+
+
+def _frequent_of(table: pa.Table) -> pa.Table:
+    rows = np.frombuffer(b"".join(table.column("data").to_pylist()), COUNT)
+    rows = _counts(rows["h"], rows["count"])
+    rows = rows[rows["count"] >= FREQUENT]
+    give_back()
+    return pa.table({"h": pa.array(rows["h"].view(np.int64)), "count": pa.array(rows["count"])})
 
-def frequent_hashes(docs: DataFrame) -> np.ndarray:
+
+def frequent_hashes(docs: DataFrame, buckets: int) -> np.ndarray:
     """The frequent hashes, sorted; any such list gives the same result."""
-    counts = docs.mapInArrow(tidy(_longs), "h long").groupBy("h").count()
-    rows = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    counts = docs.mapInArrow(tidy(_count_batches(buckets)), "bucket int, data binary").groupBy("bucket").applyInArrow(_frequent_of, "h long, count long")
+    rows = counts.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").toArrow()
     return np.sort(np.array(rows.column("h").combine_chunks(), np.int64).view(np.uint64))
 
 
@@ -111,14 +163,43 @@ def _prefix_batches(frequent: np.ndarray) -> object:
     return run
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-        parts = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
-        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        key = np.concatenate([np.zeros(0, np.int64), *parts])
-        place = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(p), dtype=np.int32) for p in parts]])
-        columns = [batch.column(c).take(pa.array(row)) for c in ("mark", "size")]
-        yield pa.RecordBatch.from_arrays([pa.array(key), *columns, pa.array(place)], ["key", "mark", "size", "place"])
+def _key_batches(buckets: int) -> object:
+    def entries(batch: pa.RecordBatch) -> np.ndarray:
+        parts = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
+        n = np.array([len(p) for p in parts], np.int64)
+        out = np.empty(int(n.sum()), KEY)
+        out["key"] = np.concatenate([np.zeros(0, np.uint64), *parts])
+        out["mark"], out["size"] = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("mark", "size"))
+        out["place"] = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            held.append(entries(batch))
+            n += len(held[-1])
+            if n >= HELD:
+                yield _sent(np.concatenate(held), "key", buckets)
+                held, n = [], 0
+        if n:
+            yield _sent(np.concatenate(held), "key", buckets)
+
+    return run
+
+
+def _shared_of(table: pa.Table) -> pa.Table:
+    rows = np.frombuffer(b"".join(table.column("data").to_pylist()), KEY)
+    rows = rows[np.lexsort((rows["mark"], rows["key"]))]
+    # A repeated row is one.
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["mark"][1:] != rows["mark"][:-1])
+    rows = rows[fresh]
+    _, at, n = np.unique(rows["key"], return_inverse=True, return_counts=True)
+    n = n[at]
+    rows, n = rows[n > 1], n[n > 1]
+    give_back()
+    columns = {c: np.ascontiguousarray(rows[c]) for c in KEY.names}
+    return pa.table({"key": columns["key"].view(np.int64), "mark": columns["mark"], "size": columns["size"], "place": columns["place"], "n": n.astype(np.int64)})
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +344,13 @@ def near_duplicates(docs: DataFrame, candidates: DataFrame | None = None) -> Dat
     """
     short_batches(docs.sparkSession)
     docs = documents(docs).where("doc_id is not null")
-    marks = staged(docs.mapInArrow(tidy(_prefix_batches(frequent_hashes(docs))), "doc_id long, mark long, size int, prefix binary"), "shingles")
+    buckets = buckets_for(docs)
+    marks = staged(docs.mapInArrow(tidy(_prefix_batches(frequent_hashes(docs, buckets))), "doc_id long, mark long, size int, prefix binary"), "shingles")
     least = staged(marks.groupBy("mark").agg(F.min("doc_id").alias("doc_id")), "shingle-distinct")
     # Of a repeated row one stands for the set; keys are shuffled once and only shared ones are written.
     first = marks.join(least, ["mark", "doc_id"]).select("mark", "size", "prefix")
-    keyed = first.mapInArrow(tidy(_key_batches), "key long, mark long, size int, place int")
-    shared = staged(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").distinct(), "shingle-buckets")
+    keyed = first.mapInArrow(tidy(_key_batches(buckets)), "bucket int, data binary")
+    shared = staged(keyed.groupBy("bucket").applyInArrow(_shared_of, "key long, mark long, size int, place int, n long"), "shingle-buckets")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     if candidates is not None:
         named = lambda n, mark: marks.select(F.col("doc_id").alias(n), F.col("mark").alias(mark))

@@ -25,7 +25,7 @@ from pyspark.sql import Window
 
 from . import shingles
 from ..operators.graph import connected_components
-from .common import LOWER_BYTES, documents, staged, without
+from .common import LOWER_BYTES, documents, staged, tidy, without
 
 #: Segments of the fingerprint: first bit and number of bits.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -64,13 +64,13 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``: fp is the fingerprint's bits as a signed long."""
-    return documents(docs).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return documents(docs).mapInArrow(tidy(_fingerprint_batches), "doc_id long, fp long")
 
 
-def _remainders() -> np.ndarray:
-    """Syndromes of all 23-bit words, by linearity from the single bits."""
+def _remainders(first: int, last: int) -> np.ndarray:
+    """Syndromes of all words of the bits from first to before last, by linearity from the single bits."""
     table = np.zeros(1, np.uint16)
-    for bit in range(23):
+    for bit in range(first, last):
         word = 1 << bit
         for shift in range(22, 10, -1):
             if word >> shift & 1:
@@ -80,17 +80,17 @@ def _remainders() -> np.ndarray:
 
 
 class Golay:
-    """Nearest codeword of every 23-bit word."""
+    """Nearest codeword of every 23-bit word; the syndrome is that of the low and that of the high bits."""
 
     _shared: Golay | None = None
 
     def __init__(self) -> None:
-        self.syndrome = _remainders()
+        self.low, self.high = _remainders(0, 12), _remainders(12, 23)
         self.error = np.zeros(2048, np.uint32)
         for weight in (1, 2, 3):
             for bits in combinations(range(23), weight):
                 word = sum(1 << b for b in bits)
-                self.error[self.syndrome[word]] = word
+                self.error[self.low[word & 4095] ^ self.high[word >> 12]] = word
 
     @classmethod
     def shared(cls) -> Golay:
@@ -100,7 +100,8 @@ class Golay:
 
     def index(self, words: np.ndarray) -> np.ndarray:
         """Twelve-bit index of the codeword nearest to each word."""
-        return (words ^ self.error[self.syndrome[words]]) >> np.uint32(11)
+        syndrome = self.low[words & np.uint32(4095)] ^ self.high[words >> np.uint32(12)]
+        return (words ^ self.error[syndrome]) >> np.uint32(11)
 
     def near(self, words: np.ndarray) -> np.ndarray:
         """Indices of the codewords of each word and of its 23 neighbours, shape (n, 24)."""
@@ -138,7 +139,7 @@ def links(fps: DataFrame) -> DataFrame:
     itself and its 64 one-bit neighbours: two fingerprints share such an entry just if they differ
     in two bits or fewer, and each entry, of at most 65 rows, links to its least member.
     """
-    keyed = staged(fps.select("fp").mapInArrow(_key_batches, "key long, fp long"), "simhash-keys")
+    keyed = staged(fps.select("fp").mapInArrow(tidy(_key_batches), "key long, fp long"), "simhash-keys")
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     small = keyed.join(size.where(F.col("n") <= PAIRED_BUCKET).select("key"), "key")
     left, right = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))

@@ -94,3 +94,41 @@ def test_far_copies_of_one_text_need_no_pair_of_each(spark, monkeypatch):
         label = np.array([label[n].min() for n in near])
     assert got == dict(enumerate(label.tolist())) and 40 < len(set(got.values())) < 200
     assert sum(asked) <= 8 * len(texts), asked
+
+
+def test_hashes_are_counted_and_keys_meet_as_messages(monkeypatch):
+    """Rows to the JVM are messages, not hashes; counts and shared keys are those of a direct count."""
+    monkeypatch.setattr(shingles, "HELD", 500)
+    monkeypatch.setattr(shingles, "FREQUENT", 3)
+    r = random.Random(6)
+    line = [f"w{r.randint(0, 999)}" for _ in range(40)]
+    texts = ["", "one"] + [" ".join(line[: r.randint(5, 40)] + [f"w{r.randint(0, 999)}" for _ in range(60)]) for _ in range(60)]
+    sets, buckets = shingles.shingle_sets(pa.array(texts)), 7
+
+    def met(messages, bucket):
+        rows = pa.Table.from_batches(messages)
+        assert rows.num_rows <= buckets * len(messages) and len(messages) < len(texts)
+        parts = [rows.filter(pa.array([b == k for b in rows.column("bucket").to_pylist()])) for k in range(buckets)]
+        return pa.concat_tables([bucket(p) for p in parts]).to_pylist()
+
+    batches = [pa.record_batch({"text": pa.array(texts[i : i + 9])}) for i in range(0, len(texts), 9)]
+    got = met(list(shingles._count_batches(buckets)(iter(batches))), shingles._frequent_of)
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    low = values < np.uint64(int(shingles.COUNTED_SHARE * (1 << 64)))
+    want = {(int(v.view(np.int64)), int(c)) for v, c in zip(values[low], counts[low], strict=True) if c >= 3}
+    assert {(g["h"], g["count"]) for g in got} == want and len(got) == len(want) > 5
+
+    prefixes = [s[: shingles.prefix_length(len(s))] for s in sets]
+    # The third text stands twice, as a repeated row.
+    rows = [(m, len(sets[m]), prefixes[m].tobytes()) for m in [*range(len(sets)), 2]]
+    batches = [pa.record_batch({"mark": pa.array([x[0] for x in part], pa.int64()), "size": pa.array([x[1] for x in part], pa.int32()), "prefix": pa.array([x[2] for x in part], pa.binary())}) for part in (rows[:30], rows[30:])]
+    got = met(list(shingles._key_batches(buckets)(iter(batches))), shingles._shared_of)
+    values, counts = np.unique(np.concatenate(prefixes), return_counts=True)
+    n = dict(zip(values.tolist(), counts.tolist(), strict=True))
+    want = {(int(k.view(np.int64)), m, len(sets[m]), place, n[int(k)]) for m, own in enumerate(prefixes) for place, k in enumerate(own) if n[int(k)] > 1}
+    assert {tuple(g.values()) for g in got} == want and len(got) == len(want) > 20
+
+
+def test_workers_remember_no_large_table():
+    golay = simhash.Golay.shared()
+    assert sum(a.nbytes for a in vars(golay).values()) < 1 << 20
