@@ -96,12 +96,22 @@ def buckets_for(docs: DataFrame) -> int:
     return max(1, shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
 
 
+def _planes(entries: np.ndarray) -> bytes:
+    """The entries byte by byte, all first bytes first: what is zero in all of them shrinks in the shuffle."""
+    return np.ascontiguousarray(entries).view(np.uint8).reshape(len(entries), entries.dtype.itemsize).T.tobytes()
+
+
+def _read(messages: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(m, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind) for m in messages.to_pylist()]
+    return np.concatenate([np.empty(0, kind), *parts])
+
+
 def _sent(entries: np.ndarray, by: str, buckets: int) -> pa.RecordBatch:
     """A message ``(bucket, data)`` to each bucket that gets any of the entries."""
     bucket = (entries[by] % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     to, starts = np.unique(bucket[order], return_index=True)
-    data = [part.tobytes() for part in np.split(entries[order], starts[1:])] if len(to) else []
+    data = [_planes(part) for part in np.split(entries[order], starts[1:])] if len(to) else []
     return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
 
@@ -133,7 +143,7 @@ def _count_batches(buckets: int) -> object:
 
 
 def _frequent_of(table: pa.Table) -> pa.Table:
-    rows = np.frombuffer(b"".join(table.column("data").to_pylist()), COUNT)
+    rows = _read(table.column("data"), COUNT)
     rows = _counts(rows["h"], rows["count"])
     rows = rows[rows["count"] >= FREQUENT]
     give_back()
@@ -188,7 +198,7 @@ def _key_batches(buckets: int) -> object:
 
 
 def _shared_of(table: pa.Table) -> pa.Table:
-    rows = np.frombuffer(b"".join(table.column("data").to_pylist()), KEY)
+    rows = _read(table.column("data"), KEY)
     rows = rows[np.lexsort((rows["mark"], rows["key"]))]
     # A repeated row is one.
     fresh = np.ones(len(rows), bool)

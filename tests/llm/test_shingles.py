@@ -132,3 +132,10 @@ def test_hashes_are_counted_and_keys_meet_as_messages(monkeypatch):
 def test_workers_remember_no_large_table():
     golay = simhash.Golay.shared()
     assert sum(a.nbytes for a in vars(golay).values()) < 1 << 20
+
+
+def test_messages_shrink_to_the_hashes():
+    h = np.sort(np.random.default_rng(3).integers(0, 2**62, 4000, dtype=np.uint64))
+    sent = shingles._sent(shingles._counts(h, np.ones(len(h), np.int64)), "h", 1).column("data")
+    assert pa.compress(sent[0].as_py(), codec="lz4", asbytes=True).__len__() <= 8.2 * len(h)
+    assert (shingles._read(pa.chunked_array([sent]), shingles.COUNT)["h"] == h).all()
