@@ -17,6 +17,9 @@ most buckets with.  Of all other pairs whose nodes aren't connected yet none is
 In both, the place of a common key bounds what the sets can share after it.  The pairs that are left are
 verified too, so the components are those of all similar pairs.
 
+Before any verification a small bitmap of each set (``sketch``) bounds from above what two sets share.  Whole
+sets are made and sent only for pairs that the bound allows, so it costs bytes, never a pair.
+
 Hashes are counted, and keys meet, as packed messages to buckets (see ``chunks``): a shingle is never a
 row of its own, only a key that several sets share.
 
@@ -45,6 +48,8 @@ PAIRED_BUCKET, HUBS = 32, 2
 #: Share of the hashes, from the least on, that are counted over all documents for the order (prefixes hold
 #: the least); documents from which a hash is frequent, and such hashes at most, the most frequent ones.
 COUNTED_SHARE, FREQUENT, MAX_FREQUENT = 0.4, 33, 200_000
+#: Bits of a set's bitmap for each of its hashes, at least (the next power of two).
+SKETCH_BITS = 2
 #: Least similarity, as a fraction, of a set to the hub that is its frame.
 FRAME_SHARE = (1, 3)
 #: Pairs of mark and id (16 bytes each) that are broadcast at most.
@@ -81,6 +86,23 @@ def prefix_length(n: int) -> int:
     return n - -(-SHARE[0] * n // SHARE[1]) + 1 if n else 0
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Bitmap of the set: the bit of each hash's low bits is one."""
+    bits = 1 << max(3, (SKETCH_BITS * len(own) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[own & np.uint64(bits - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def can_share(size_x: int, x: bytes, size_y: int, y: bytes) -> int:
+    """Hashes that two sets have in common at most, by their sizes and bitmaps: each bit that only one of them has
+    is a hash that the other lacks."""
+    n = min(len(x), len(y))
+    # The longer bitmap is folded to the length of the shorter one, whose bits are fewer low bits of the hash.
+    a, b = (np.bitwise_or.reduce(np.frombuffer(v, np.uint8).reshape(-1, n), axis=0) for v in (x, y))
+    return min(size_x - int(np.bitwise_count(a & ~b).sum()), size_y - int(np.bitwise_count(b & ~a).sum()))
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         yield batch, shingle_sets(batch.column("text"))
@@ -168,7 +190,8 @@ def _prefix_batches(frequent: np.ndarray) -> object:
                     own = own[np.argsort(common, kind="stable")[:n]]
                 prefixes.append(own[:n].tobytes())
             marks = pa.array([_mark(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), marks, pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "mark", "size", "prefix"])
+            columns = [batch.column("doc_id"), marks, pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "size", "prefix", "sketch"])
 
     return run
 
@@ -236,9 +259,25 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _likely_batches(share: tuple[int, int]) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, a, n_b, b = (batch.column(c).to_pylist() for c in ("a_size", "a_sketch", "b_size", "b_sketch"))
+            keep = [sum(share) * can_share(n_a[i], a[i], n_b[i], b[i]) >= share[0] * (n_a[i] + n_b[i]) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def likely(pairs: DataFrame, least: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """Those of ``pairs(a, b)`` that can have the similarity, by the bitmaps."""
+    side = lambda n: least.select(F.col("mark").alias(n), F.col("size").alias(f"{n}_size"), F.col("sketch").alias(f"{n}_sketch"))
+    return staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(_likely_batches(share)), "a long, b long"), "shingle-likely")
+
+
 def sets_of(marks: DataFrame, least: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """``mark, hashes`` of ``marks(mark)``, made again from one text each; a repeated row may give its set again."""
-    asked = staged(marks.distinct().join(least, "mark").select("mark", "doc_id"), f"{name}-asked")
+    asked = staged(marks.distinct().join(least.select("mark", "doc_id"), "mark"), f"{name}-asked")
     # The texts stay where they are while the ids asked for fit in a broadcast; beyond, both sides are shuffled.
     few = asked.count() <= BROADCAST_IDS
     return staged(docs.join(F.broadcast(asked) if few else asked, "doc_id").select("mark", "text").mapInArrow(tidy(_set_batches), "mark long, hashes binary"), name)
@@ -254,6 +293,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(_met(pairs, sets).mapInArrow(tidy(_verify_batches), "a long, b long").distinct(), "shingle-links")
 
 
+def linked(pairs: DataFrame, least: DataFrame, docs: DataFrame) -> DataFrame:
+    """The similar ones of ``pairs(a, b)``; sets are made for those only that can be similar."""
+    pairs = likely(pairs, least)
+    return verified(pairs, sets_of(_both(pairs), least, docs, "shingle-sets"))
+
+
 def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark")))
 
@@ -355,10 +400,11 @@ def near_duplicates(docs: DataFrame, candidates: DataFrame | None = None) -> Dat
     short_batches(docs.sparkSession)
     docs = documents(docs).where("doc_id is not null")
     buckets = buckets_for(docs)
-    marks = staged(docs.mapInArrow(tidy(_prefix_batches(frequent_hashes(docs, buckets))), "doc_id long, mark long, size int, prefix binary"), "shingles")
-    least = staged(marks.groupBy("mark").agg(F.min("doc_id").alias("doc_id")), "shingle-distinct")
+    marks = staged(docs.mapInArrow(tidy(_prefix_batches(frequent_hashes(docs, buckets))), "doc_id long, mark long, size int, prefix binary, sketch binary"), "shingles")
+    # Rows of one mark have one set, and so one size and bitmap.
+    least = staged(marks.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "shingle-distinct")
     # Of a repeated row one stands for the set; keys are shuffled once and only shared ones are written.
-    first = marks.join(least, ["mark", "doc_id"]).select("mark", "size", "prefix")
+    first = marks.select("doc_id", "mark", "size", "prefix").join(least.select("mark", "doc_id"), ["mark", "doc_id"]).select("mark", "size", "prefix")
     keyed = first.mapInArrow(tidy(_key_batches(buckets)), "bucket int, data binary")
     shared = staged(keyed.groupBy("bucket").applyInArrow(_shared_of, "key long, mark long, size int, place int, n long"), "shingle-buckets")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
@@ -366,22 +412,23 @@ def near_duplicates(docs: DataFrame, candidates: DataFrame | None = None) -> Dat
         named = lambda n, mark: marks.select(F.col("doc_id").alias(n), F.col("mark").alias(mark))
         both = candidates.join(named("x", "p"), "x").join(named("y", "q"), "y").where("p <> q")
         pairs = staged(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "shingle-candidates")
-        links = verified(pairs, sets_of(_both(pairs), least, docs, "shingle-sets"))
+        links = linked(pairs, least, docs)
     roots = connected_components(links)
     open_ = staged(_mixed(shared, roots), "shingle-open")
     stars = staged(_stars(open_.drop("root")), "shingle-stars")
-    sets = sets_of(stars.select("mark").union(stars.select("hub")), least, docs, "shingle-sets")
-    links = links.union(verified(stars.select(F.least("mark", "hub").alias("a"), F.greatest("mark", "hub").alias("b")).distinct(), sets))
+    links = links.union(linked(stars.select(F.least("mark", "hub").alias("a"), F.greatest("mark", "hub").alias("b")).distinct(), least, docs))
     roots = connected_components(links)
     mixed = staged(_mixed(open_.drop("root"), roots), "shingle-mixed")
     frames = stars.where("place = 0").select("mark", F.col("hub").alias("frame")).join(mixed.select("mark").distinct(), "mark")
-    frames = frames.withColumn("members", F.count("*").over(Window.partitionBy("frame")))
-    apart = differences(frames.where("members > 1"), sets)
+    # Counted first, since one frame may have most of the marks.
+    frames = frames.join(frames.groupBy("frame").agg(F.count("*").alias("members")), "frame")
+    framed = likely(frames.where("members > 1").select(F.col("mark").alias("a"), F.col("frame").alias("b")), least, FRAME_SHARE)
+    sets = sets_of(_both(framed), least, docs, "shingle-sets")
+    apart = differences(framed.select(F.col("a").alias("mark"), F.col("b").alias("frame")), sets)
     known = frames.where("members = 1").select("mark", "frame").union(apart.select("mark", "frame").distinct())
     rest = staged(_pairs(mixed.join(known, "mark", "left")).union(_framed_pairs(apart, roots)), "shingle-rest")
     if not rest.isEmpty():
-        more = _both(rest).join(sets.select("mark"), "mark", "left_anti")
-        links = links.union(verified(rest, sets.union(sets_of(more, least, docs, "shingle-sets"))))
+        links = links.union(linked(rest, least, docs))
         roots = connected_components(links)
     rooted = _rooted(least.select("mark", "doc_id"), roots)
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("mark", "component_id")

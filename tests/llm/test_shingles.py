@@ -139,3 +139,38 @@ def test_messages_shrink_to_the_hashes():
     sent = shingles._sent(shingles._counts(h, np.ones(len(h), np.int64)), "h", 1).column("data")
     assert pa.compress(sent[0].as_py(), codec="lz4", asbytes=True).__len__() <= 8.2 * len(h)
     assert (shingles._read(pa.chunked_array([sent]), shingles.COUNT)["h"] == h).all()
+
+
+def test_bitmaps_bound_what_two_sets_share():
+    r = np.random.default_rng(5)
+    empty = np.zeros(0, np.uint64)
+    for n in (1, 3, 40, 700):
+        for m in (0, n // 3, n, 5 * n):
+            for common in (0, min(n, m) // 2, min(n, m)):
+                h = np.unique(r.integers(0, 2**63, n + m + 9, dtype=np.uint64))[: n + m - common]
+                r.shuffle(h)
+                x, y = h[:n], h[n - common :]
+                bound = shingles.can_share(len(x), shingles.sketch(x), len(y), shingles.sketch(y))
+                assert common <= bound <= min(n, m)
+    assert shingles.can_share(0, shingles.sketch(empty), 0, shingles.sketch(empty)) == 0
+    x, y = r.integers(0, 2**63, (2, 1000), dtype=np.uint64)
+    # Unlike sets stay far below what similar ones of this size must share.
+    assert 3 * shingles.can_share(1000, shingles.sketch(x), 1000, shingles.sketch(y)) < 2 * 1000
+    assert len(shingles.sketch(x)) <= len(x) // 2
+
+
+def test_whole_sets_are_made_only_for_pairs_that_can_be_similar(spark, monkeypatch):
+    """Texts that share a passage meet in buckets, but their bitmaps tell them apart."""
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(3000)]
+    line = r.choices(words, k=40)
+    # Fewer than make a hash frequent, so that the passage is among the keys.
+    texts = [" ".join(line + r.choices(words, k=260)) for _ in range(shingles.FREQUENT - 3)]
+    last = len(texts)
+    texts.append(texts[7] + " edited")
+    asked, sets_of = [], shingles.sets_of
+    monkeypatch.setattr(shingles, "sets_of", lambda marks, *rest: (asked.extend(r["mark"] for r in marks.distinct().collect()), sets_of(marks, *rest))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(df).collect()}
+    assert got == {i: 7 if i == last else i for i in range(last + 1)}
+    assert 2 <= len(asked) <= 6, len(asked)
