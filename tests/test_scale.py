@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.functions import healpix as hp
-from skylattice.operators import bins, profiles, significance, spatial
+from skylattice.operators import bins, matching, profiles, significance, spatial
 from skylattice.plans import suite
 from skylattice.sources import fits
 
@@ -364,3 +364,29 @@ def test_a_cell_of_many_points_is_core_without_pairs(spark):
     others = spark.createDataFrame([(200_000, 0.9, 0.05, 0.05), (200_001, 3.0, 3.0, 3.0)], "id long, x double, y double, z double")
     got = associations.density_clusters(dense.unionByName(others), 1.0, 9)
     assert got.count() == 100_001 and got.select("label").distinct().count() == 1 and got.where("id = 200001").count() == 0
+
+
+def test_nearest_matches_by_rising_separation_equal_brute_force(spark, monkeypatch):
+    """Most sources lie far from a crowded catalogue: they meet few of its rows, whatever the limit."""
+    rng = np.random.default_rng(5)
+    o = [(i, float(rng.uniform(0, 360)), float(rng.uniform(50, 90) if i % 3 else rng.uniform(-90, 90)), float(rng.uniform(0, 0.02)) if i % 7 else None) for i in range(150)]
+    c = [(i, float(rng.uniform(0, 360)), float(90 - rng.exponential(4.0)), float(rng.uniform(0, 0.02))) for i in range(200)]
+    c += [(1000 + i, lon, lat, z) for i, (_, lon, lat, z) in enumerate(c[:20])] + [(None, o[1][1], o[1][2], 0.01)]
+    left = spark.createDataFrame(o + [(None, 1.0, 89.0, 0.01), (900, None, 5.0, 0.01)], "obs_id long, lon double, lat double, z double")
+    right = spark.createDataFrame(c, "cat_id long, lon double, lat double, z double")
+    met, of = [], matching._met_in_pixels
+    monkeypatch.setattr(matching, "FEW_PAIRS", 100)
+    monkeypatch.setattr(matching, "_met_in_pixels", lambda *a, **k: met.append((a[2], of(*a, **k))) or met[-1][1])
+    unit = lambda lon, lat: np.array([math.cos(math.radians(lat)) * math.cos(math.radians(lon)), math.cos(math.radians(lat)) * math.sin(math.radians(lon)), math.sin(math.radians(lat))])
+    for limit, dz in ((1200.0, None), (600.0, 0.005)):
+        met.clear()
+        got = {r["obs_id"]: (r["cat_id"], r["separation_arcmin"]) for r in matching.crossmatch(left, right, limit, dz).collect()}
+        assert got[900] == got[None] == (None, None) and len(met) >= 4
+        n_met = met[0][1].count()
+        for i, lon, lat, z in o:
+            near = [(60 * math.degrees(2 * math.asin(min(1.0, np.linalg.norm(unit(lon, lat) - unit(b, t)) / 2))), k) for k, b, t, w in c if k is not None and (dz is None or (z is not None and abs(z - w) <= dz))]
+            near = [x for x in sorted(near, key=lambda x: (round(x[0], 7), x[1])) if x[0] <= limit]
+            assert got[i][0] == (near[0][1] if near else None)
+            assert got[i][1] == (pytest.approx(near[0][0], abs=1e-6) if near else None)
+        whole = sum(1 for _, lon, lat, _ in o for k, b, t, _ in c if k is not None and 60 * math.degrees(2 * math.asin(np.linalg.norm(unit(lon, lat) - unit(b, t)) / 2)) <= limit)
+        assert met[0][0] < limit and n_met < whole / 2
