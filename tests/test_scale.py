@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.functions import healpix as hp
-from skylattice.operators import bins, matching, profiles, significance, spatial
+from skylattice.operators import bins, cutouts, matching, profiles, significance, spatial
 from skylattice.plans import suite
 from skylattice.sources import fits
 
@@ -390,3 +390,30 @@ def test_nearest_matches_by_rising_separation_equal_brute_force(spark, monkeypat
             assert got[i][1] == (pytest.approx(near[0][0], abs=1e-6) if near else None)
         whole = sum(1 for _, lon, lat, _ in o for k, b, t, _ in c if k is not None and 60 * math.degrees(2 * math.asin(np.linalg.norm(unit(lon, lat) - unit(b, t)) / 2)) <= limit)
         assert met[0][0] < limit and n_met < whole / 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_rings_and_discs_are_never_broadcast(spark):
+    """Sources from a small file make many rows: the optimizer takes them for the smaller side."""
+    sky, _, _ = masked_map(spark, 8)
+    df = spark.range(40).select(F.col("id").alias("source_id"), (F.col("id") * 9.0).alias("lon"), (F.col("id") - 20.0).alias("lat"))
+    for nside in (8, 256):
+        sums = sky.select("pix", F.col("value").alias("s"), F.lit(1).alias("c"), F.col("value").alias("ring_s"), F.lit(1).alias("ring_c"))
+        for found in (spatial.shell_sums(df, sums, nside, F.array(F.lit(0.1)), "source_id"), spatial.aperture_join(df, sky, nside, F.lit(0.1))):
+            plan = plan_of(found)
+            build = "BuildRight" if nside == 8 else None
+            assert ("BroadcastHashJoin" in plan) == (nside == 8) and (build is None or build in plan), plan
+            assert "BuildLeft" not in plan
+
+
+def test_centres_list_their_discs_where_they_are_followed(spark):
+    """The pixels of a source's patch aren't shuffled: the sources are dealt before, by key."""
+    sky, _, _ = masked_map(spark, 8)
+    df = spark.range(6).select(F.col("id").alias("source_id"), (F.col("id") * 50.0).alias("lon"), (F.col("id") * 9.0 - 20).alias("lat"))
+    near = spatial.aperture_join(spatial.spread(df, "source_id"), sky, 8, F.lit(0.5)).groupBy("source_id").agg(F.count("*"))
+    plan = plan_of(near)
+    assert plan.count("Exchange hashpartitioning(source_id") == 1, plan
+    assert {r["source_id"] for r in cutouts.find_centers(df, sky, 8, 2400.0, 15, 600.0).collect()} == set(range(6))
