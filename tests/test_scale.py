@@ -417,3 +417,43 @@ def test_centres_list_their_discs_where_they_are_followed(spark):
     plan = plan_of(near)
     assert plan.count("Exchange hashpartitioning(source_id") == 1, plan
     assert {r["source_id"] for r in cutouts.find_centers(df, sky, 8, 2400.0, 15, 600.0).collect()} == set(range(6))
+
+
+def test_pairs_in_space_are_made_in_one_pass(spark):
+    """Pairs carry what is asked of them, so they aren't shuffled to meet it; equal probabilities go to the least id."""
+    rng = np.random.default_rng(6)
+    halos = [(i, i % 4, *map(float, rng.uniform(-1, 1, 3)), float(rng.uniform(13, 14)), float(rng.uniform(0.5, 2))) for i in range(90)]
+    halos += [(1000 - i, *h[1:]) for i, h in enumerate(halos)]  # copies under other numbers
+    h = spark.createDataFrame(halos, "id long, label int, x double, y double, z double, log_mass double, n double")
+    refs = [(i, *map(float, rng.uniform(-1, 1, 3)), 13.5) for i in range(25)]
+    r = spark.createDataFrame(refs, "ref_id long, x double, y double, z double, log_mass double")
+    assert plan_of(matching.halo_cdf(h, r, 0.5)).count("Exchange") == 2
+    pairs = matching.matching_pairs(r.withColumnRenamed("ref_id", "obs_id"), h, 0.5)
+    assert plan_of(pairs).count("Exchange hashpartitioning(cx") == 2 and "Exchange hashpartitioning(id" not in plan_of(pairs)
+    found = {x["ref_id"]: x for x in matching.match_halo(h, r, 0.5, 0.5, 0.4).collect()}
+    listed = {(x["ref_id"], x["id"]): x for x in matching.halo_cdf(h, r, 0.5).collect()}
+    assert len(found) == len(refs)
+    for ref in refs:
+        near = []
+        for i, _, x, y, z, mass, n in halos:
+            d = math.dist(ref[1:4], (x, y, z))
+            cdf = 1 - math.exp(-4.0 / 3 * math.pi * d**3 * n)
+            if d <= 0.5:
+                assert listed[ref[0], i]["cdf"] == pytest.approx(cdf, abs=1e-12) and listed[ref[0], i]["dlogm"] == pytest.approx(abs(mass - ref[4]), abs=1e-12)
+                if cdf < 0.5 and abs(mass - ref[4]) < 0.4:
+                    near.append((round(cdf, 12), i, d))
+        assert found[ref[0]]["id"] == (min(near)[1] if near else None)
+        assert found[ref[0]]["dist"] == (pytest.approx(min(near)[2]) if near else None)
+
+
+def test_only_pairs_that_a_round_follows_are_stored(spark):
+    """Of a full matrix a round keeps pairs with one better one at most."""
+    rows = [(i, k, ((i * 37 + k * 11) % 101) / 101, 1.0) for i in range(60) for k in range(4)]
+    pairs = spark.createDataFrame(rows, "obs_id long, label int, pval double, dist double")
+    assert matching._dominated(pairs).count() <= 2 * (4 + 60)
+    want, used = [], set()
+    for i, k, p, _ in sorted(rows, key=lambda x: (x[2], x[0], x[1])):
+        if ("o", i) not in used and ("l", k) not in used:
+            want.append((i, k))
+            used |= {("o", i), ("l", k)}
+    assert sorted((x["obs_id"], x["label"]) for x in matching.greedy_match(pairs, None).collect()) == sorted(want)
