@@ -457,3 +457,39 @@ def test_only_pairs_that_a_round_follows_are_stored(spark):
             want.append((i, k))
             used |= {("o", i), ("l", k)}
     assert sorted((x["obs_id"], x["label"]) for x in matching.greedy_match(pairs, None).collect()) == sorted(want)
+
+
+def test_random_stacks_in_batches_equal_whole_ones(spark, monkeypatch):
+    """Draws of one batch of repetitions are on disk at a time, whatever the number of all."""
+    rows = spark.range(11).crossJoin(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "radius double")).select(F.col("id").alias("row"), "radius", (F.col("id") * F.col("radius") % 7).alias("signal"))
+    src = spark.createDataFrame([(g, i, n, 0.5 + i, reps) for g, n, reps in (("a", 4, 7), ("b", 2, 4), ("c", 1, 0)) for i in range(n)], "g string, number long, size long, theta double, reps int")
+    stored, of = [], significance.written
+    monkeypatch.setattr(significance, "written", lambda df, name: stored.append(name) or of(df, name))
+    found = []
+    for most in (1 << 40, 1):
+        monkeypatch.setattr(significance, "BATCH_DRAWS", most)
+        stored.clear()
+        found.append({(r["g"], r["r_idx"]): r["means"] for r in significance.scaled_stacks(src, rows, [0.5, 1.0], F.col("reps"), 3, "g").collect()})
+    assert stored.count("stack-sums") == 3
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 4
+    for k, means in found[0].items():
+        assert len(means) == (7 if k[0] == "a" else 4) and found[1][k] == pytest.approx(means)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from skylattice.sources.tables import written
+
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = files()
+    assert written(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "test").count() == 7
+    own = spark.sparkContext.statusTracker().getActiveStageIds()
+    for _ in range(50):
+        left = files() - before
+        if len(left) <= 1:  # that of the count itself
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1 and not own
